@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 
 def canonical(text: Column) -> Column:
@@ -30,25 +30,25 @@ def clashes(forms: DataFrame) -> DataFrame:
     return g.where("a <> z").select(F.col("digest").alias("clash"))
 
 
-def with_next(docs: DataFrame, span: int = 256) -> DataFrame:
+def with_next(docs: DataFrame, bits: int = 8) -> DataFrame:
     """docs (doc_id, text) plus next_text: that of the next larger doc_id (after the largest: the smallest; ties by text).
 
-    Texts meet in buckets of `span` ids, and only the first text of each bucket goes to the end of the bucket before it.
+    Texts meet in buckets of 2^bits ids, and only the first text of each bucket goes to the end of the bucket before it.
     """
-    df = docs.withColumn("bucket", F.floor(F.coalesce("doc_id", F.lit(0)) / span))
+    dealt = docs.select("doc_id", "text", F.shiftright(F.coalesce("doc_id", F.lit(0).cast("long")), bits).alias("bucket"))
     own = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    df = df.withColumns({"next_text": F.lead("text").over(own), "last": F.lead(F.lit(1)).over(own).isNull()})
+    df = dealt.withColumns({"next_text": F.lead("text").over(own), "last": F.lead(F.lit(1)).over(own).isNull()})
 
     # The bucket after each one, found among bucket numbers alone: in blocks of 4096 buckets, then among the blocks.
-    b = docs.select(F.floor(F.coalesce("doc_id", F.lit(0)) / span).alias("bucket")).distinct()
-    b = b.withColumn("block", F.floor(F.col("bucket") / 4096))
+    b = docs.select(F.shiftright(F.coalesce("doc_id", F.lit(0).cast("long")), bits).alias("bucket")).distinct()
+    b = b.withColumn("block", F.shiftright("bucket", 12))
     inside = F.lead("bucket").over(Window.partitionBy("block").orderBy("bucket"))
     b = b.withColumn("after", inside)
     blocks = b.groupBy("block").agg(F.min("bucket").alias("least"))
-    blocks = blocks.withColumn("up", F.floor(F.col("block") / 4096))
+    blocks = blocks.withColumn("up", F.shiftright("block", 12))
     blocks = blocks.withColumn("after_block", F.lead("least").over(Window.partitionBy("up").orderBy("block")))
     ups = blocks.groupBy("up").agg(F.min("least").alias("up_least"))
-    ups = ups.withColumn("zone", F.floor(F.col("up") / 65536))
+    ups = ups.withColumn("zone", F.shiftright("up", 16))
     ups = ups.withColumn("after_up", F.lead("up_least").over(Window.partitionBy("zone").orderBy("up")))
     zones = ups.groupBy("zone").agg(F.min("up_least").alias("zone_least"))
     every = Window.partitionBy(F.lit(0)).orderBy("zone")  # one row for 2^40 buckets of ids
@@ -59,11 +59,9 @@ def with_next(docs: DataFrame, span: int = 256) -> DataFrame:
     blocks = blocks.join(ups.select("up", "after_up"), "up").withColumn("after_block", F.coalesce("after_block", "after_up"))
     b = b.join(blocks.select("block", "after_block"), "block").select("bucket", F.coalesce("after", "after_block").alias("after"))
 
-    heads = docs.withColumn("bucket", F.floor(F.coalesce("doc_id", F.lit(0)) / span))
-    least = heads.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("m")).select("bucket", F.col("m.doc_id").alias("least"))
-    ends = b.join(least.withColumnRenamed("bucket", "after"), "after").select("bucket", "least")
-    first = docs.select(F.col("doc_id").alias("first_id"), F.col("text").alias("first_text"))
-    first = ends.join(first, ends.least.eqNullSafe(first.first_id)).groupBy("bucket").agg(F.min("first_text").alias("first_text"))
+    # The same exchange of texts serves both: the first text of each bucket, and what follows inside a bucket.
+    first = dealt.withColumn("r", F.row_number().over(own)).where("r = 1").select(F.col("bucket").alias("after"), F.col("text").alias("first_text"))
+    first = b.join(first, "after").select("bucket", "first_text")
     df = df.join(first, "bucket", "left")
     return df.withColumn("next_text", F.when(F.col("last"), F.col("first_text")).otherwise(F.col("next_text"))).drop(
         "bucket", "last", "first_text"
@@ -91,7 +89,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         likeness("edited_form").alias("near_edited"), likeness("next_form").alias("near_next"),
     )
     form = canonical(F.coalesce("text", F.lit(""))).alias("form")
-    clash = clashes(docs.select(form).withColumn("digest", digest(F.col("form"))))
+    clash = materialise(clashes(docs.select(form).withColumn("digest", digest(F.col("form")))), "clashes")
     row = row.join(clash, row.digest == clash.clash, "left").withColumn(
         "fingerprint", F.when(F.col("clash").isNull(), F.col("digest")).otherwise(F.concat("digest", "wide"))
     ).drop("clash")
