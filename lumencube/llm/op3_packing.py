@@ -9,7 +9,7 @@ window is cut into lengths that are powers of two, which need no padding.
 
 from __future__ import annotations
 
-import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -27,6 +27,41 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 END_ID = 2
 
 
+def _byte_marks() -> dict[int, int]:
+    """What a byte-level vocabulary writes for each byte: printable ones as they are, the others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+class Pieces(dict):
+    """Piece without white space -> ids as little-endian uint32 bytes; computed when first asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.words, self.marks = tokenizer, tokenizer.model.tokenize, _byte_marks()
+
+    def __missing__(self, w: str) -> bytes:
+        if w.isalpha() and (w.isascii() or len(w) < 100):  # a run of letters is one word for the tokenizer's model
+            tokens = self.words(w if w.isascii() else w.encode().decode("latin-1").translate(self.marks))
+            ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        elif (k := self.letters(w)) and "'" not in w and not any(map(str.isalnum, w[k:])):
+            ids = self[w[:k]] + self[w[k:]]  # marks after a run of letters are a piece of their own
+        else:
+            ids = self.whole(w)
+        self[w] = ids
+        return ids
+
+    @staticmethod
+    def letters(w: str) -> int:
+        """How many letters w begins with, less than all."""
+        return next((k for k in range(len(w) - 1, 0, -1) if w[k - 1].isalpha()), 0) if w[0].isalpha() and not w[-1].isalnum() else 0
+
+    def whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Tokens:
     """Token ids of texts as little-endian uint32 bytes.
 
@@ -35,13 +70,13 @@ class Tokens:
     tokens' strings, separators that only Python takes for white space, a capital sigma) are encoded whole.
     """
 
-    _WHOLE = re.compile("[\x1c-\x1fΣ]|<\\|")
+    _WHOLE = ("<|", "Σ", "\x1c", "\x1d", "\x1e", "\x1f")
     _kept: dict[str, Tokens] = {}
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.seen = Tokenizer.from_file(path), most, {}
+        self.pieces, self.most = Pieces(Tokenizer.from_file(path)), most
 
     @classmethod
     def at(cls, path: str) -> Tokens:
@@ -51,19 +86,15 @@ class Tokens:
         return cls._kept[path]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if self._WHOLE.search(t) else unicodedata.normalize("NFC", t).lower().split() for t in texts]
-        new = set().union(*(s for s in split if s)).difference(self.seen)
-        if len(self.seen) + len(new) > self.most:
-            self.seen.clear()
-            new = set().union(*(s for s in split if s))
-        fresh = list(new)
-        for k in range(0, len(fresh), 5000):
-            part = fresh[k : k + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.seen[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.seen.__getitem__
-        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return [whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
+        get, out = self.pieces.__getitem__, []
+        for t in texts:
+            if any(map(t.__contains__, self._WHOLE)):
+                out.append(self.pieces.whole(t))
+            else:
+                out.append(b"".join(map(get, unicodedata.normalize("NFC", t).lower().split())))
+        return out
 
 
 class Packer:
