@@ -5,8 +5,9 @@ are one class at once. Two sets over the threshold (0.85) share far over half of
 half of a sketch goes into the inverted lists (the prefix filter; rarity over all documents): texts whose likeness is a
 common passage don't meet. Members of short lists are paired. In long lists (large families of copies) sets that can't
 reach the threshold with any member are left out (exact bound: hashes that no other member has), then every member is
-compared with the one that is most like the rest; only members that this leaves in different components are paired. So
-a family of n copies costs about n comparisons, and no link between components is lost.
+compared with the one that is most like the rest; only members that this leaves in different components, and that the
+same bound allows for the pair, are paired. So a family of n copies costs about n comparisons, and no link between
+components is lost.
 Of a pair, the union sketch estimates the similarity; unless it is far too low, both full sets are compared.
 
 How often a pair at 0.85 shares less than half of 48 retained values: a binomial tail of about 1e-9.
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
@@ -105,6 +106,12 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.mapInPandas(run, "a long, b long")
 
 
+def reachable(n_a: str, own_a: str, n_b: str, own_b: str) -> Column:
+    """Whether two sets of the long lists may meet the threshold: what only one of them has is outside of the other."""
+    n_a, own_a, n_b, own_b = map(F.col, (n_a, own_a, n_b, own_b))
+    return 100 * F.least(n_a - own_a, n_b - own_b) >= PERCENT * F.greatest(n_a + own_b, n_b + own_a)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): of every node of an edge (a, b), the smallest node that it reaches. Labels spread and are then
     replaced by their own labels, so the number of rounds is about the logarithm of the longest path."""
@@ -171,18 +178,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = once.where("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
     heavy = heavy.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     heavy = materialise(heavy.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * PERCENT), "heavy")
-    middle = heavy.groupBy("v").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("r"), "rep", "n")).alias("m"))
-    star = heavy.join(middle.select("v", F.col("m.rep").alias("mid"), F.col("m.n").alias("mid_n")), "v")
-    star = star.where((F.col("rep") != F.col("mid")) & (F.col("n") * 100 >= F.col("mid_n") * PERCENT) & (F.col("mid_n") * 100 >= F.col("n") * PERCENT))
+    middle = heavy.groupBy("v").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("r"), "rep", "n", "own")).alias("m"))
+    star = heavy.join(middle.select("v", F.col("m.rep").alias("mid"), F.col("m.n").alias("mid_n"), F.col("m.own").alias("mid_own")), "v")
+    star = star.where((F.col("rep") != F.col("mid")) & reachable("n", "own", "mid_n", "mid_own"))
     star = star.select(F.least("rep", "mid").alias("a"), F.greatest("rep", "mid").alias("b")).distinct()
 
     edges = materialise(verify(light.unionByName(star).distinct(), sets), "links")
     labels = components(edges)
     named_by = lambda d, c: d.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_l")), c, "left").withColumn(f"{c}_l", F.coalesce(f"{c}_l", c))
-    members = named_by(heavy.select("v", "rep", "n"), "rep")
+    members = named_by(heavy.select("v", "rep", "n", "own"), "rep")
     mixed = members.groupBy("v").agg(F.min("rep_l").alias("lo"), F.max("rep_l").alias("hi")).where("lo <> hi").select("v")
     members = materialise(members.join(mixed, "v"), "mixed")
-    rest = paired(members, F.col("rep_l_x") != F.col("rep_l_y"))
+    rest = paired(members, F.col("rep_l_x") != F.col("rep_l_y"), reachable("n_x", "own_x", "n_y", "own_y"))
     more = materialise(verify(rest, sets), "links")
     if not more.isEmpty():
         joined = named_by(named_by(more, "a"), "b").select(F.col("a_l").alias("a"), F.col("b_l").alias("b"))
