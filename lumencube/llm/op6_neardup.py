@@ -189,7 +189,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = named_by(heavy.select("v", "rep", "n", "own"), "rep")
     mixed = members.groupBy("v").agg(F.min("rep_l").alias("lo"), F.max("rep_l").alias("hi")).where("lo <> hi").select("v")
     members = materialise(members.join(mixed, "v"), "mixed")
-    rest = paired(members, F.col("rep_l_x") != F.col("rep_l_y"), reachable("n_x", "own_x", "n_y", "own_y"))
+    members = members.join(members.groupBy("rep").agg(F.collect_set("v").alias("lists")), "rep")  # at most K values
+    first = F.array_min(F.array_intersect("lists_x", "lists_y")) == F.col("v")  # a pair is made in one list alone
+    rest = paired(members, F.col("rep_l_x") != F.col("rep_l_y"), reachable("n_x", "own_x", "n_y", "own_y"), first)
     more = materialise(verify(rest, sets), "links")
     if not more.isEmpty():
         joined = named_by(named_by(more, "a"), "b").select(F.col("a_l").alias("a"), F.col("b_l").alias("b"))
