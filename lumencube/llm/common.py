@@ -35,3 +35,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(parts: int, at: int) -> Column:
     """Whether crc32 of the doc_id as text leaves the remainder `at`; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts == at
+
+
+def first_ids(docs: DataFrame, salt: str, most: int) -> DataFrame:
+    """The `most` distinct doc_ids with the smallest crc32 of salt and id, ties by the id: a bounded sample; ids alone move."""
+    order = F.crc32(F.concat(F.lit(salt), F.col("doc_id").cast("string")).cast("binary"))
+    return docs.where("doc_id is not null").select("doc_id").distinct().orderBy(order, "doc_id").limit(most)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import first_ids, held_out, table
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "distinct_words", "repeated_neighbours", "distinct_lines", "words_a_line",
@@ -151,8 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> AdditiveM
     Null labels and texts take no part. Only features come to the driver, not texts.
     """
     y = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("y"))
-    order = F.crc32(F.concat(F.lit("q"), F.col("doc_id").cast("string")).cast("binary"))
-    ids = docs.where(~held_out(4, 2) & F.col("text").isNotNull()).select("doc_id").join(y, "doc_id").orderBy(order, "doc_id").limit(max_rows)
+    usable = docs.where(~held_out(4, 2) & F.col("text").isNotNull()).join(y, "doc_id")
+    ids = first_ids(usable, "q", max_rows).join(y, "doc_id")
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

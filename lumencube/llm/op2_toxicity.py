@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import first_ids, held_out, table
 from .wordtable import WordTable, chunks, codes_of
 
 BUCKETS, DIM, WINDOW = 1 << 17, 8, 4
@@ -182,10 +182,9 @@ class Scorer:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Model:
     """Fits a model on labelled rows: the max_rows with the smallest crc32 of doc_id (ties by doc_id); null labels or texts take no part."""
     y = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    rows = docs.select("doc_id", "text").where(~held_out(5, 0) & F.col("text").isNotNull()).join(y, "doc_id")
-    order = (F.crc32(F.concat(F.lit("t"), F.col("doc_id").cast("string")).cast("binary")), F.col("doc_id"))
-    got = rows.orderBy(*order).limit(max_rows).collect()
-    got = sorted(got, key=lambda r: r["doc_id"])
+    rows = docs.select("doc_id", "text").where(~held_out(5, 0) & F.col("text").isNotNull())
+    ids = first_ids(rows.join(y, "doc_id"), "t", max_rows).join(y, "doc_id")
+    got = sorted(rows.join(F.broadcast(ids), "doc_id").collect(), key=lambda r: (r["doc_id"], r["text"]))
     return Model().fit([r["text"] for r in got], np.array([int(r["y"]) for r in got], np.int64))
 
 
