@@ -283,9 +283,9 @@ def stokes_derived(spark, d):
     return s.select("channel", "y", "x", r6(p).alias("plinear"), r6(p / F.col("i")).alias("pflinear"), r6(F.degrees(F.atan2("u", "q") * 0.5)).alias("pangle"))
 
 
-@query("SELECT p_partkey, p_retailprice, p_brand FROM part WHERE p_retailprice >= 1000 AND p_retailprice < 1500 AND contains(p_brand, '3') ORDER BY p_retailprice DESC, p_partkey LIMIT 50 OFFSET 20")
+@query("SELECT p_partkey, p_retailprice, p_brand FROM part WHERE p_retailprice >= 920 AND p_retailprice < 990 AND contains(p_brand, '3') ORDER BY p_retailprice DESC, p_partkey LIMIT 50 OFFSET 20")
 def catalog_filter_page(spark, d):
-    p = _table(spark, d, "part").where((F.col("p_retailprice") >= 1000) & (F.col("p_retailprice") < 1500) & F.contains("p_brand", F.lit("3")))
+    p = _table(spark, d, "part").where((F.col("p_retailprice") >= 920) & (F.col("p_retailprice") < 990) & F.contains("p_brand", F.lit("3")))
     return p.select("p_partkey", "p_retailprice", "p_brand").orderBy(F.desc("p_retailprice"), "p_partkey").offset(20).limit(50)
 
 
