@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import beam_area, finite, in_polygon, in_rectangle, layer_to_mip, micro, mip_to_layer, r6, tile_id, tile_parts
@@ -23,7 +23,6 @@ class Query:
 
 CATALOGUE: dict[str, Query] = {}
 _PX = "WITH " + cubes.SQL + " "
-INSIDE = in_rectangle(F.col("x"), F.col("y"), 25.5, 18.05, 30.4, 25.7)
 _INSIDE = "(x + 0.5 - 25.5 >= -15.2 AND x + 0.5 - 25.5 < 15.2 AND y + 0.5 - 18.05 >= -12.85 AND y + 0.5 - 18.05 < 12.85)"
 TRIANGLE = [(4.0, 3.0), (57.3, 9.2), (30.1, 44.7)]
 BEAM = beam_area(4.2, 3.1, 1.5)
@@ -33,6 +32,10 @@ _CROSS = " + ".join(
 )
 
 
+def _inside() -> Column:
+    return in_rectangle(F.col("x"), F.col("y"), 25.5, 18.05, 30.4, 25.7)
+
+
 def query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         CATALOGUE[f.__name__] = Query(f, sql)
@@ -206,7 +209,7 @@ def region_clip(spark, d):
 
 @query(_PX + "SELECT channel, y, count(*) AS n, min(x) AS x_from, max(x) AS x_to FROM px WHERE " + _INSIDE + " GROUP BY ALL")
 def region_mask_rect(spark, d):
-    return cubes.emb3d_nan(spark, d).where(INSIDE).groupBy("channel", "y").agg(F.count("*").alias("n"), F.min("x").alias("x_from"), F.max("x").alias("x_to"))
+    return cubes.emb3d_nan(spark, d).where(_inside()).groupBy("channel", "y").agg(F.count("*").alias("n"), F.min("x").alias("x_from"), F.max("x").alias("x_to"))
 
 
 @query(_PX + """SELECT channel, y, count(*) AS n, min(x) AS x_from, max(x) AS x_to FROM px
@@ -224,12 +227,12 @@ def region_mask_polygon(spark, d):
 
 @query(_PX + "SELECT channel, " + _NINE.format(beam=1.0) + " FROM px WHERE " + _INSIDE + " GROUP BY channel")
 def region_spectrum_9stats(spark, d):
-    return R.region_stats(cubes.emb3d_nan(spark, d), INSIDE & F.col("y").between(5, 31), ["channel"])
+    return R.region_stats(cubes.emb3d_nan(spark, d), _inside() & F.col("y").between(5, 31), ["channel"])
 
 
 @query(_PX + "SELECT stokes, channel, " + _NINE.format(beam=repr(BEAM)) + " FROM li WHERE " + _INSIDE + " GROUP BY ALL")
 def region_stat_flux(spark, d):
-    return R.region_stats(cubes.li4d(spark, d), INSIDE, ["stokes", "channel"], BEAM)
+    return R.region_stats(cubes.li4d(spark, d), _inside(), ["stokes", "channel"], BEAM)
 
 
 @query(_PX + "SELECT stokes, channel, count(v) AS n, sum(round(v * 1e6)::BIGINT) / 1e6 AS sum, min(v) AS min, max(v) AS max FROM li GROUP BY ROLLUP(stokes, channel)")
@@ -242,7 +245,7 @@ def stats_rollup(spark, d):
 arg_min(x, (v, y, x)) FILTER (v IS NOT NULL) AS min_x, arg_min(y, (v, y, x)) FILTER (v IS NOT NULL) AS min_y, arg_max(x, (v, -y, -x)) FILTER (v IS NOT NULL) AS max_x, arg_max(y, (v, -y, -x)) FILTER (v IS NOT NULL) AS max_y
 FROM px WHERE """ + _INSIDE + " GROUP BY channel")
 def stats_full(spark, d):
-    px = cubes.emb3d_nan(spark, d).where(INSIDE).withColumn("v", finite(F.col("v")))
+    px = cubes.emb3d_nan(spark, d).where(_inside()).withColumn("v", finite(F.col("v")))
     lo = F.when(F.col("v").isNotNull(), F.struct("v", "y", "x"))
     hi = F.when(F.col("v").isNotNull(), F.struct(F.col("v"), (-F.col("y")).alias("a"), (-F.col("x")).alias("b")))
     return px.groupBy("channel").agg(
@@ -254,7 +257,7 @@ def stats_full(spark, d):
 @query(_PX + ", e2 AS (SELECT channel // 3 AS slab, count(DISTINCT channel) AS c, sum(round(v * 1e6)::BIGINT) AS s, count(v) AS n FROM px WHERE " + _INSIDE + """ GROUP BY 1)
 SELECT slab, (sum(c) OVER w)::BIGINT AS channels, (sum(n) OVER w)::BIGINT AS n, sum(s) OVER w / 1e6 AS sum, round(sum(s) OVER w / sum(n) OVER w / 1e6, 6) AS mean FROM e2 WINDOW w AS (ORDER BY slab)""")
 def progressive_spectrum(spark, d):
-    return R.progressive(cubes.emb3d_nan(spark, d), INSIDE, 3)
+    return R.progressive(cubes.emb3d_nan(spark, d), _inside(), 3)
 
 
 @query(_PX + """, c AS (SELECT *, (1.0e9 + channel * 1.0e6) / 1e6 AS c, avg(v) OVER (PARTITION BY y, x) AS m FROM px WHERE v IS NOT NULL)

@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from lumencube.plans.catalogue import CATALOGUE
@@ -19,7 +20,7 @@ def db():
 
 def plain(df):
     def one(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return None
         return float(v) if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)) else str(v)
 
