@@ -9,6 +9,7 @@ LIGHT = 299792458.0
 # Polarisation codes, file extensions, and the forms of region lines.
 STOKES = {1: "I", 2: "Q", 3: "U", 4: "V", -1: "RR", -2: "LL", -3: "RL", -4: "LR", -5: "XX", -6: "YY", -7: "XY", -8: "YX"}
 EXTENSIONS = {"fits": "FITS", "fit": "FITS", "fts": "FITS", "hdf5": "HDF5", "h5": "HDF5", "zarr": "CASA", "crtf": "CRTF", "reg": "DS9_REG"}
+AXIS_ROLES = {"RA": "longitude", "GLON": "longitude", "DEC": "latitude", "GLAT": "latitude", "FREQ": "channel", "VRAD": "channel", "VELO": "channel", "STOKES": "stokes", "TIME": "time"}
 BOX = r"^centerbox \[\[([0-9.]+)pix, ([0-9.]+)pix\], \[([0-9.]+)pix, ([0-9.]+)pix\]\]"
 SYMBOL = r"^symbol \[\[([0-9.]+)pix, ([0-9.]+)pix\]"
 
@@ -45,6 +46,41 @@ def file_type(name: Column) -> Column:
     return out
 
 
+def entry_type(value: Column) -> Column:
+    """BOOL, INT, FLOAT or STRING of a header value as text; NULL without one."""
+    number = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([EeDd][+-]?[0-9]+)?$"
+    return (
+        F.when(value.isNull(), None).when(value.isin("T", "F"), "BOOL").when(value.rlike("^[+-]?[0-9]+$"), "INT").when(value.rlike(number), "FLOAT").otherwise("STRING")
+    )
+
+
+def axis_role(ctype: Column) -> Column:
+    """The role of an axis by the start of its type."""
+    out = F.lit(None).cast("string")
+    for start, role in AXIS_ROLES.items():
+        out = F.when(F.upper(ctype).startswith(start), role).otherwise(out)
+    return out
+
+
+def beam_record(major: Column, minor: Column, angle: Column) -> Column:
+    """Beam in arc seconds and degrees, for all channels and polarisations (-1); NULL without a major axis."""
+    return F.when(major.isNotNull(), F.struct((major * 3600).alias("major"), (minor * 3600).alias("minor"), angle.alias("angle"), F.lit(-1).alias("channel"), F.lit(-1).alias("stokes")))
+
+
+def sexagesimal(degrees: Column, hours: bool) -> Column:
+    """Degrees as h:m:s (right ascension, wrapped at 24 h) or signed d:m:s (declination), to the thousandth of a second."""
+    milli = F.round(F.abs(degrees) * 3600000 if not hours else F.pmod(degrees, F.lit(360.0)) * 240000).cast("long")
+    milli = F.pmod(milli, F.lit(86400000)) if hours else milli
+    sign = F.lit("") if hours else F.when((degrees < 0) & (milli > 0), "-").otherwise("+")
+    part = lambda c, n: F.lpad(F.floor(c).cast("string"), n, "0")
+    return F.concat(sign, part(milli / 3600000, 2), F.lit(":"), part(F.pmod(milli, F.lit(3600000)) / 60000, 2), F.lit(":"), part(F.pmod(milli, F.lit(60000)) / 1000, 2), F.lit("."), part(F.pmod(milli, F.lit(1000)), 3))
+
+
+def pixel_centre(v: Column) -> Column:
+    """The nearest whole pixel; halves go to the even one."""
+    return F.rint(v).cast("int")
+
+
 def parse_regions(lines: DataFrame) -> DataFrame:
     """lines plus type, cx, cy, w, h, color, line_width of boxes and points; other lines are left out."""
     line, num = F.col("line"), lambda p, k: F.regexp_extract("line", p, k).cast("double")

@@ -13,19 +13,30 @@ from pyspark.sql import functions as F
 ROWS = 50
 
 
-def emb3d(spark: SparkSession, sf_dir: str, channels: tuple[int, int] | None = None) -> DataFrame:
-    """channels: a half-open range, pushed to the scan as a range of vec_id."""
-    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    if channels:
-        df = df.where((F.col("vec_id") >= channels[0] * ROWS) & (F.col("vec_id") < channels[1] * ROWS))
-    df = df.select("vec_id", F.posexplode("embedding").alias("x", "v"))
+def emb3d_pixels(vectors: DataFrame) -> DataFrame:
+    """channel, y, x, v of a table or stream with the columns of embeddings."""
+    df = vectors.select("vec_id", F.posexplode("embedding").alias("x", "v"))
     channel = F.floor(F.col("vec_id") / ROWS).cast("int")
     return df.select(channel.alias("channel"), (F.col("vec_id") % ROWS).cast("int").alias("y"), "x", F.col("v").cast("double").alias("v"))
 
 
-def emb3d_nan(spark: SparkSession, sf_dir: str, channels: tuple[int, int] | None = None) -> DataFrame:
+def emb3d_nan_pixels(vectors: DataFrame) -> DataFrame:
     gap = (F.col("y") * 7 + F.col("x") * 13 + F.col("channel")) % 11 == 0
-    return emb3d(spark, sf_dir, channels).withColumn("v", F.when(gap, float("nan")).otherwise(F.col("v")))
+    return emb3d_pixels(vectors).withColumn("v", F.when(gap, float("nan")).otherwise(F.col("v")))
+
+
+def _vectors(spark: SparkSession, sf_dir: str, channels: tuple[int, int] | None) -> DataFrame:
+    """channels: a half-open range, pushed to the scan as a range of vec_id."""
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return df.where((F.col("vec_id") >= channels[0] * ROWS) & (F.col("vec_id") < channels[1] * ROWS)) if channels else df
+
+
+def emb3d(spark: SparkSession, sf_dir: str, channels: tuple[int, int] | None = None) -> DataFrame:
+    return emb3d_pixels(_vectors(spark, sf_dir, channels))
+
+
+def emb3d_nan(spark: SparkSession, sf_dir: str, channels: tuple[int, int] | None = None) -> DataFrame:
+    return emb3d_nan_pixels(_vectors(spark, sf_dir, channels))
 
 
 def li4d(spark: SparkSession, sf_dir: str) -> DataFrame:

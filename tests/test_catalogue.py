@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lumencube.plans.catalogue import CATALOGUE
+from lumencube.plans.registry import CATALOGUE
 
 SF = "/root/testdata/sf0.001"
 
