@@ -1,9 +1,10 @@
 """Toxicity: averaged subword-bag embeddings under a linear softmax, trained jointly in numpy.
 
 A word's bag holds the word and its character 3- to 5-grams (with edge marks), hashed into `buckets` rows of an embedding
-table, so an unseen misspelling shares most of its vectors with the word it stems from. The bag of a window of words is
-the mean of their vectors; the score of a document is the softmax of its most toxic window, so that a few words count in
-a long text as in a short one. In training, the window of a toxic document that scores highest stands for it.
+table, so an unseen misspelling shares most of its vectors with the word it stems from. A document's bag is that of its
+`strong` (3) most toxic different words, averaged, so that a few words count in a long text as in a short one, while one
+word that happens to look like them does not decide. In training, the words that score highest stand for a document, and
+random words of documents that aren't toxic for the rest of them.
 The table is trained from a sample of at most `max_rows` labelled documents (a parameter); scoring reads every whole text.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import first_ids, held_out, table
 from .wordtable import WordTable, chunks, codes_of
 
-BUCKETS, DIM, WINDOW = 1 << 17, 8, 4
+BUCKETS, DIM, STRONG = 1 << 17, 8, 3
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -57,27 +58,30 @@ def bags(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarr
     return ids[order], owners[order]
 
 
-def window_scores(values: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the windows that start at each word: the mean over the bag, and the doc; values has (sum, count) of each word.
-
-    A window ends with its doc; a doc that is shorter than a window has one window.
+def strongest(values: np.ndarray, at: np.ndarray, strong: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the `strong` different words of each doc with the highest mean over their bags (-1: fewer words), and the mean
+    over the bags of them together. values: (sum, count) of each word; at: where docs start. Words of equal score are one word.
     """
-    sums = np.concatenate([np.zeros((1, 2)), np.cumsum(values, axis=0, dtype=np.float64)])
+    score = values[:, 0] / values[:, 1]
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    start = np.arange(len(values))
-    end = np.minimum(start + window, at[doc + 1])
-    part = sums[end] - sums[start]
-    score = part[:, 0] / part[:, 1]
-    score[(end - start < window) & (start > at[doc])] = -np.inf
-    return score, doc
+    places, pooled = np.full((len(at) - 1, strong), -1), np.zeros((len(at) - 1, 2))
+    for k in range(strong):
+        best = np.maximum.reduceat(score, at[:-1])
+        same = np.flatnonzero(score == best[doc])
+        which, first = np.unique(doc[same], return_index=True)
+        some = best[which] > -np.inf
+        places[which[some], k] = same[first[some]]
+        pooled[which[some]] += values[same[first[some]]]
+        score[same] = -np.inf
+    return places, pooled[:, 0] / pooled[:, 1]
 
 
 class Model:
-    """Embeddings e (buckets x dim), softmax weights w (dim x 2) and bias b; trained by Adagrad on windows of words."""
+    """Embeddings e (buckets x dim), softmax weights w (dim x 2) and bias b; trained by Adagrad on the strongest words of docs."""
 
-    def __init__(self, buckets: int = BUCKETS, dim: int = DIM, window: int = WINDOW, seed: int = 7):
+    def __init__(self, buckets: int = BUCKETS, dim: int = DIM, strong: int = STRONG, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.window, self.buckets = window, buckets
+        self.strong, self.buckets = strong, buckets
         self.e = rng.normal(0, 0.05, (buckets, dim)).astype(np.float32)
         self.w = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
         self.b = np.zeros(2, np.float32)
@@ -102,7 +106,7 @@ class Model:
         begin = np.concatenate([[0], np.cumsum(size)])
         at = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
         word = np.fromiter((vocabulary[w] for d in docs for w in d), np.int32, int(at[-1]))
-        # At first, windows are told apart by how often their n-grams' words occur in documents of either class.
+        # At first, words are told apart by how often their n-grams' words occur in documents of either class.
         seen = np.zeros((2, len(vocabulary)))
         for i in range(len(docs)):
             seen[y[i], np.unique(word[at[i] : at[i + 1]])] += 1
@@ -113,20 +117,17 @@ class Model:
         for epoch in range(epochs):
             m = margin if epoch == 0 else self.margin()
             each = np.bincount(owner, weights=m[flat], minlength=len(vocabulary))
-            score, doc = window_scores(np.stack([each[word], size[word]], 1), at, self.window)
-            top = np.lexsort((-score, doc))[at[:-1]]  # the highest window of each document
-            some = rng.integers(0, len(word), 4 * len(docs))
-            some = some[(y[doc[some]] == 0) & (score[some] > -np.inf)]
-            starts = np.concatenate([top, some])
-            label = np.concatenate([y, np.zeros(len(some), np.int64)])
-            weight = np.array([1.0, max(1.0, (label == 0).sum() / max(1, (label == 1).sum()) / 2)], np.float32)
+            top, _ = strongest(np.stack([each[word], size[word]], 1), at, self.strong)
+            quiet = np.flatnonzero(y == 0)
+            some = at[quiet][:, None] + (rng.random((len(quiet), 4 * self.strong)) * np.diff(at)[quiet][:, None]).astype(np.int64)
+            starts = np.concatenate([top, some.reshape(-1, self.strong)])
+            label = np.concatenate([y, np.zeros(4 * len(quiet), np.int64)])
             order = rng.permutation(len(starts))
             for k in range(0, len(order), 128):
                 part = order[k : k + 128]
                 rows = []
                 for s in starts[part]:
-                    words = word[s : min(s + self.window, at[doc[s] + 1])]
-                    rows.append(np.concatenate([flat[begin[w] : begin[w + 1]] for w in words]))
+                    rows.append(np.concatenate([flat[begin[w] : begin[w + 1]] for w in word[s[s >= 0]]]))
                 n = np.array([len(r) for r in rows])
                 ids = np.concatenate(rows)
                 hidden = np.add.reduceat(self.e[ids], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0) / n[:, None]
@@ -134,7 +135,6 @@ class Model:
                 p = np.exp(logits - logits.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 p[np.arange(len(part)), label[part]] -= 1
-                p *= weight[label[part]][:, None]
                 back = p @ self.w.T
                 step_w = hidden.T @ p
                 w2 += step_w**2
@@ -148,14 +148,14 @@ class Model:
         return self
 
     def scorer(self) -> Scorer:
-        return Scorer(self.margin(), float(self.b[1] - self.b[0]), self.window)
+        return Scorer(self.margin(), float(self.b[1] - self.b[0]), self.strong)
 
 
 class Scorer:
-    """Scores texts by their most toxic window; keeps what each word adds."""
+    """Scores texts by their most toxic words; keeps what each word adds."""
 
-    def __init__(self, margin: np.ndarray, bias: float, window: int):
-        self.margin, self.bias, self.window, self.words = margin, bias, window, None
+    def __init__(self, margin: np.ndarray, bias: float, strong: int):
+        self.margin, self.bias, self.strong, self.words = margin, bias, strong, None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"words": None}
@@ -173,9 +173,8 @@ class Scorer:
         some = [i for i, d in enumerate(docs) if d]
         if some:
             values, at = self.words.rows([docs[i] for i in some])
-            score, _ = window_scores(values, at, self.window)
-            best = np.maximum.reduceat(score, at[:-1]) + self.bias
-            out[some] = 1 / (1 + np.exp(-np.clip(best, -40, 40)))
+            _, mean = strongest(values, at, self.strong)
+            out[some] = 1 / (1 + np.exp(-np.clip(mean + self.bias, -40, 40)))
         return out
 
 
