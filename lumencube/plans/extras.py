@@ -107,7 +107,7 @@ def header_entries(spark, d):
     return _table(spark, d, "part").select("p_partkey", value.alias("value"), M.entry_type(value).alias("type"))
 
 
-@query("SELECT p_partkey, round((0.001 + p_partkey % 7 * 0.0005) * 3600, 6) AS major, round((0.001 + p_partkey % 5 * 0.0002) * 3600, 6) AS minor, (p_partkey % 180)::DOUBLE AS angle, -1 AS channel FROM part WHERE p_partkey % 3 <> 0")
+@query("SELECT p_partkey, round((0.001::DOUBLE + p_partkey % 7 * 0.0005::DOUBLE) * 3600, 6) AS major, round((0.001::DOUBLE + p_partkey % 5 * 0.0002::DOUBLE) * 3600, 6) AS minor, (p_partkey % 180)::DOUBLE AS angle, -1 AS channel FROM part WHERE p_partkey % 3 <> 0")
 def header_beam(spark, d):
     p = F.col("p_partkey")
     beam = M.beam_record(F.when(p % 3 != 0, 0.001 + p % 7 * 0.0005), 0.001 + p % 5 * 0.0002, (p % 180).cast("double"))
