@@ -1,9 +1,10 @@
 """PII: fixed patterns seed a bootstrapped extraction by context, in DataFrame expressions alone.
 
 Base spans (e-mail addresses, IP addresses, card numbers, phone numbers) come from four regular expressions with checks.
-They are the seeds. A pattern is the word before (or after) an item together with the item's shape (runs of digits and
-of letters, and everything else as it stands). The confidence of a pattern for a kind is the share of its items that are
-of the kind; items that hold digits or an @ but are no base spans are scored by the patterns that they stand in, and
+They are the seeds. A pattern is the word before an item, the word after it, or both; what the item looks like is no part
+of it. The confidence of a pattern for a kind is the share of its items that are of the kind; items that hold digits or
+an @ but are no base spans (tokens without the marks at their ends, or groups of digits with single spaces between) are
+scored by the patterns that they stand in, a little less where no seed of the kind has the same sorts of characters, and
 their scores count as part items in the next round. What ends with a high score and stands in a well-supported pattern is
 added as a span of the kind.
 
@@ -27,7 +28,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 MAY_HAVE = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-ITEM = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+ITEM = r"(?<!\S)(?:[(+]?+[0-9][0-9().-]*+(?:\x20\(?+[0-9][0-9().-]*+(?!\S))++|[^\s0-9@]*+[0-9@]\S*+)"
+# Marks at an item's ends; a + or @ before it and a whole group in brackets at its start belong to it.
+HEAD, TAIL = r"^(?!\([0-9]+\))[^\p{L}\p{N}+@]++", r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$"
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})\.){3}0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"
 FOUND = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 
@@ -46,10 +49,10 @@ def _inner(x: Column, before: Column, total) -> Column:
 
 
 def _context(gap: Column, side: str) -> Column:
-    """The word at the end (left) or start (right) of what lies between two matches, of its 32 nearest characters."""
+    """The word, without marks, at the end (left) or start (right) of what lies between two matches, of its 32 nearest characters."""
     if side == "left":
-        return F.lower(F.regexp_extract(F.right(gap, F.lit(32)), r"(\S++)\s*+$", 1))
-    return F.lower(F.regexp_extract(F.left(gap, F.lit(32)), r"^\s*+(\S++)", 1))
+        return F.lower(F.regexp_extract(F.right(gap, F.lit(32)), r"([\p{L}\p{M}]++)[^\p{L}\p{M}\p{N}]*+$", 1))
+    return F.lower(F.regexp_extract(F.left(gap, F.lit(32)), r"^[^\p{L}\p{M}\p{N}]*+([\p{L}\p{M}]++)", 1))
 
 
 def with_matches(df: DataFrame, name: str, pattern: str, needs: str | None) -> DataFrame:
@@ -95,6 +98,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
         df = with_matches(df, kind, PATTERNS[kind], MAY_HAVE[kind])
         df = df.withColumn(kind, _filtered(kind))
     df = with_matches(df, "items", ITEM, None).drop("text")
+    df = df.withColumn("items", F.filter(F.transform("items", _stripped), lambda i: i["value"].rlike(r"[\p{L}\p{N}]")))
     taken = F.concat(*KINDS)
     return df.withColumn("items", F.filter("items", lambda i: ~F.exists(taken, lambda b: (b["start"] < i["end"]) & (b["end"] > i["start"]))))
 
@@ -103,11 +107,20 @@ def _filtered(kind: str) -> Column:
     return F.filter(kind, lambda s: _valid(kind, s["value"]))
 
 
-def _shape(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.left(value, F.lit(64)), "[0-9]+", "9"), r"\p{L}+", "a")
+def _stripped(i: Column) -> Column:
+    """An item without the marks at its ends."""
+    bare = F.regexp_replace(i["value"], HEAD, "")
+    start, value = i["end"] - F.char_length(bare), F.regexp_replace(bare, TAIL, "")
+    return F.struct(start.alias("start"), (start + F.char_length(value)).alias("end"), value.alias("value"), i["left"].alias("left"), i["right"].alias("right"))
 
 
-def discover(found: DataFrame, rounds: int = 2, support: int = 5, accept: float = 0.9) -> DataFrame:
+def _look(value: Column) -> Column:
+    """Which sorts of characters a value has: @, letters, and no, few, some or many digits. A weak feature of its kind."""
+    digits = F.least(F.lit(3), F.ceil(F.regexp_count(value, F.lit("[0-9]")) / 4))
+    return F.concat_ws(",", F.contains(value, F.lit("@")).cast("string"), value.rlike(r"\p{L}").cast("string"), digits.cast("string"))
+
+
+def discover(found: DataFrame, rounds: int = 2, support: int = 5, accept: float = 0.9, unusual: float = 0.91) -> DataFrame:
     """(doc_id, text_hash, kind, start, end): items that high-confidence patterns add; found: base_spans() rows."""
     of = lambda kind, column: found.select("doc_id", "text_hash", F.lit(kind).alias("kind"), F.explode(column).alias("s")).select("doc_id", "text_hash", "kind", "s.*")
     seeds = of("email", "email")
@@ -115,10 +128,13 @@ def discover(found: DataFrame, rounds: int = 2, support: int = 5, accept: float
         seeds = seeds.unionByName(of(kind, kind))
     items = of(None, "items").withColumn("kind", F.lit(None).cast("string"))
     every = seeds.unionByName(items)
-    every = every.withColumn("shape", _shape(F.col("value")))
-    sides = F.filter(F.array(*[F.when(F.col(s) != "", F.concat(F.lit(f"{s}:"), F.col(s), F.lit("|"), F.col("shape"))) for s in ("left", "right")]), lambda p: p.isNotNull())
+    looks = F.broadcast(seeds.select("kind", _look(F.col("value")).alias("look")).distinct().withColumn("usual", F.lit(1.0)))
+    has = {s: F.col(s) != "" for s in ("left", "right")}
+    sides = [F.when(has[s], F.concat(F.lit(f"{s}:"), F.col(s))) for s in has]
+    sides.append(F.when(has["left"] & has["right"], F.concat(F.lit("both:"), F.col("left"), F.lit(" "), F.col("right"))))
+    sides = F.filter(F.array(*sides), lambda p: p.isNotNull())
     # The graph: one edge for each value and pattern, with how often it occurs.
-    graph = every.select("kind", "value", "shape", F.explode(sides).alias("pattern")).groupBy("kind", "value", "pattern").agg(F.count("*").alias("n"))
+    graph = every.select("kind", "value", F.explode(sides).alias("pattern")).groupBy("kind", "value", "pattern").agg(F.count("*").alias("n"))
     graph = materialise(graph, "graph")
     seed_edges = graph.where("kind is not null")
     seen = seed_edges.groupBy("pattern", "kind").agg(F.sum("n").alias("hits"), F.count("*").alias("values"))
@@ -133,7 +149,12 @@ def discover(found: DataFrame, rounds: int = 2, support: int = 5, accept: float
         hits = F.col("hits") if gained is None else F.col("hits") + F.coalesce("extra", F.lit(0.0))
         trust = score.select("pattern", "kind", F.least(F.lit(1.0), hits / F.col("total")).alias("trust")).where("trust >= 0.5")
         match = loose.join(trust, "pattern")
-        values = match.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.ln(1.000001 - F.col("trust"))))).alias("score"))
+        # The words at both sides together are no evidence besides each side's: the stronger of the two counts.
+        both = F.startswith("pattern", F.lit("both:"))
+        apart = 1 - F.exp(F.sum(F.when(~both, F.ln(1.000001 - F.col("trust"))).otherwise(0.0)))
+        values = match.groupBy("value", "kind").agg(F.greatest(apart, F.max(F.when(both, F.col("trust")))).alias("score"))
+        values = values.withColumn("look", _look(F.col("value"))).join(looks, ["kind", "look"], "left")
+        values = values.select("value", "kind", (F.col("score") * F.coalesce("usual", F.lit(unusual))).alias("score"))
         gained = match.select("value", "kind", "pattern", "n").join(values, ["value", "kind"])
         gained = materialise(gained.groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("extra")), "gained")
         values = materialise(values, "values")

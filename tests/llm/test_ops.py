@@ -231,6 +231,15 @@ def test_pii_finds_by_context_and_redacts(spark):
     assert clean[5] == "please write to [EMAIL] today" and clean[100] == rows[-1][1]
 
 
+def test_pii_finds_items_of_other_shapes(spark):
+    rows = [(i, f"please write to user{i}@host.example today or call me at +1 (988) 555-2{i:03} any time") for i in range(60)]
+    rows += [(99, "please write to bob99@localhost today"), (101, "we write to (amy7@intranet), today"), (102, "then call me at 988 555 1234 any time")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in op9_pii.redact(df).collect()}
+    assert clean[99] == "please write to [EMAIL] today" and clean[101] == "we write to ([EMAIL]), today"
+    assert clean[102] == "then call me at [PHONE] any time"
+
+
 def test_quality(docs, none):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))
