@@ -4,9 +4,10 @@ Base spans (e-mail addresses, IP addresses, card numbers, phone numbers) come fr
 They are the seeds. A pattern is the word before an item, the word after it, or both; what the item looks like is no part
 of it. The confidence of a pattern for a kind is the share of its items that are of the kind; items that hold digits or
 an @ but are no base spans (tokens without the marks at their ends, or groups of digits with single spaces between) are
-scored by the patterns that they stand in, a little less where no seed of the kind has the same sorts of characters, and
-their scores count as part items in the next round. What ends with a high score and stands in a well-supported pattern is
-added as a span of the kind.
+scored by the patterns that they stand in, a little less where no seed of the kind has the same sorts of characters.
+Each round makes its patterns anew, from the seeds and from the items that the round before gave a high score, these by
+their scores; so an item may stand only in contexts that found items have. What has a high score in the last round is
+added as a span of its kind wherever it stands in one of that round's patterns.
 
 Positions are code points. split() gives what lies between the matches of a pattern, so running sums of lengths give
 where each match starts. Quantifiers are possessive where that changes nothing, so no long run is scanned twice.
@@ -138,30 +139,28 @@ def discover(found: DataFrame, rounds: int = 2, support: int = 5, accept: float
     graph = materialise(graph, "graph")
     seed_edges = graph.where("kind is not null")
     seen = seed_edges.groupBy("pattern", "kind").agg(F.sum("n").alias("hits"), F.count("*").alias("values"))
-    seen = materialise(seen.where(F.col("values") >= support), "patterns")
-    loose = graph.where("kind is null").select("value", "pattern", "n").join(seen.select("pattern").distinct(), "pattern", "left_semi")
-    loose = materialise(loose, "loose")
-    all_hits = graph.join(seen.select("pattern").distinct(), "pattern", "left_semi").groupBy("pattern").agg(F.sum("n").alias("total"))
-    base = materialise(seen.join(all_hits, "pattern"), "patterns")
-    gained = None
-    for _ in range(rounds):
-        score = base if gained is None else base.join(gained, ["pattern", "kind"], "left")
-        hits = F.col("hits") if gained is None else F.col("hits") + F.coalesce("extra", F.lit(0.0))
-        trust = score.select("pattern", "kind", F.least(F.lit(1.0), hits / F.col("total")).alias("trust")).where("trust >= 0.5")
+    total = graph.groupBy("pattern").agg(F.sum("n").alias("total"))
+    loose = graph.where("kind is null").select("value", "pattern", "n")
+    support_of = seen.select("pattern", "kind", F.col("hits").cast("double"), F.col("values").cast("double"))
+    for k in range(rounds):
+        # No pattern is trusted beyond 0.95, so an item that looks unlike all seeds of the kind needs the words at both sides.
+        # A round's patterns come from the seeds and from what the round before accepted, a score being a part of an item.
+        trust = support_of.groupBy("pattern", "kind").agg(F.sum("hits").alias("hits"), F.sum("values").alias("values")).where(F.col("values") >= support)
+        trust = trust.join(total, "pattern").select("pattern", "kind", F.least(F.lit(0.95), F.col("hits") / F.col("total")).alias("trust"))
+        trust = materialise(trust.where("trust >= 0.5"), "trust")
         match = loose.join(trust, "pattern")
         # The words at both sides together are no evidence besides each side's: the stronger of the two counts.
         both = F.startswith("pattern", F.lit("both:"))
-        apart = 1 - F.exp(F.sum(F.when(~both, F.ln(1.000001 - F.col("trust"))).otherwise(0.0)))
+        apart = 1 - F.exp(F.sum(F.when(~both, F.ln(1 - F.col("trust"))).otherwise(0.0)))
         values = match.groupBy("value", "kind").agg(F.greatest(apart, F.max(F.when(both, F.col("trust")))).alias("score"))
         values = values.withColumn("look", _look(F.col("value"))).join(looks, ["kind", "look"], "left")
         values = values.select("value", "kind", (F.col("score") * F.coalesce("usual", F.lit(unusual))).alias("score"))
-        gained = match.select("value", "kind", "pattern", "n").join(values, ["value", "kind"])
-        gained = materialise(gained.groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("extra")), "gained")
-        values = materialise(values, "values")
-    best = values.where(F.col("score") >= accept).groupBy("value").agg(F.max(F.struct("score", "kind")).alias("m"))
-    best = best.select("value", F.col("m.kind").alias("kind"))
-    strong = base.where(F.col("hits") / F.col("total") >= accept).select("pattern", "kind")
-    places = every.where("kind is null").drop("kind").withColumn("pattern", F.explode(sides)).join(best, "value").join(strong, ["pattern", "kind"], "left_semi")
+        best = values.where(F.col("score") >= accept).groupBy("value").agg(F.max(F.struct("score", "kind")).alias("m"))
+        best = materialise(best.select("value", "m.kind", "m.score"), "accepted")
+        if k + 1 < rounds:
+            gained = loose.join(best, "value").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("hits"), F.sum("score").alias("values"))
+            support_of = seen.select(*gained.columns).unionByName(gained)
+    places = every.where("kind is null").drop("kind").withColumn("pattern", F.explode(sides)).join(best, "value").join(trust.select("pattern", "kind"), ["pattern", "kind"], "left_semi")
     return places.select("doc_id", "text_hash", "kind", "start", "end").distinct()
 
 

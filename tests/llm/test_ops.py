@@ -240,6 +240,20 @@ def test_pii_finds_items_of_other_shapes(spark):
     assert clean[102] == "then call me at [PHONE] any time"
 
 
+def test_pii_second_round_reaches_further(spark):
+    rows = [(i, f"please write to user{i}@host.example today") for i in range(200)]
+    # Found in the first round; they alone make "login" a pattern, which ann7@intranet needs.
+    rows += [(1000 + i, f"please write to bob{i}@localhost today and login bob{i}@localhost now") for i in range(12)]
+    rows += [(2000, "then login ann7@intranet again"), (2001, "in 1999, today was \"fine\"")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = op9_pii.materialise(op9_pii.base_spans(df), "pii")
+    ids = [{r.doc_id for r in op9_pii.discover(found, rounds=n).collect()} for n in (1, 2)]
+    assert ids == [set(range(1000, 1012)), {2000, *range(1000, 1012)}]
+    clean = {r.doc_id: r.text for r in op9_pii.redact(df).where("doc_id >= 1000").collect()}
+    assert clean[1003] == "please write to [EMAIL] today and login [EMAIL] now" and clean[2000] == "then login [EMAIL] again"
+    assert clean[2001] == rows[-1][1]
+
+
 def test_quality(docs, none):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))
