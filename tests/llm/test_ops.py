@@ -109,6 +109,18 @@ def test_language(spark, docs, none):
     assert op4_language.identify(none, model).count() == 0 and op4_language.identify(docs, op4_language.learn(none)).where("lang_pred = 'und'").count() == docs.count()
 
 
+def test_language_keeps_all_grams(spark):
+    # Over 300,000 different 4-grams of one language: all count, the single ones too, and each language is calibrated.
+    rng = np.random.default_rng(0)
+    words = ["".join(chr(0x4E00 + c) for c in w) for w in rng.integers(0, 5000, (12_000, 38))]
+    rows = [(i, " ".join(words[k : k + 100]), "zh") for i, k in enumerate(range(0, len(words), 100))]
+    rows += [(10_000 + i, "a few plain words of another tongue", "en") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = op4_language.learn(df)
+    n = op4_language.gram_counts(df.where(~op4_language.held_out(4, 2))).where("lang = 'zh'").count()
+    assert n > 300_000 and len(got.models["zh"].hashes[3]) == n and np.isfinite(got.deviation).all()
+
+
 def test_kneser_ney_sums_to_one():
     grams, counts = np.unique(op4_language.grams_of(["abab", "abba", "baab"] * 3)[0], return_counts=True)
     m = op4_language.LanguageModel(grams, counts)
