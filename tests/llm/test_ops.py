@@ -293,3 +293,16 @@ def test_pipeline(spark):
     times = docs.groupBy("doc_id").count()
     packed = c.packing(spark, docs, SF).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).join(times, "doc_id").toPandas()
     assert (packed["sum(length)"] == packed["max(doc_tokens)"] * packed["count"]).all() and len(packed) == times.count()
+
+
+def test_pipeline_mixing_takes_null_and_repeated_ids(spark):
+    import corpus_pipeline as c
+
+    rows = [(None if i % 5 == 0 else i % 70, f"{i} " + "w " * (i % 9), ["big", "big", "big", None, "small"][i * 7 % 11 % 5]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    times = {}
+    for r in op8_mixing.choose(df, max_repeats=2.0).collect():
+        assert times.setdefault((r.source, r.doc_id), r.times) == r.times
+    got = c.mixing(spark, df, SF)
+    want = sorted(repr(r) for r in rows for _ in range(times[r[2] or "", r[0]]))
+    assert got.columns == df.columns and any("(None" in r for r in want) and sorted(repr(tuple(r)) for r in got.collect()) == want
