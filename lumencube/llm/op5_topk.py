@@ -1,12 +1,12 @@
-"""Exact top-k search by inner product: an M-tree of paged nodes, searched best first.
+"""Exact top-k search by inner product: an M-tree of paged nodes, searched in two rounds.
 
 Vectors are made integer. Appending sqrt(M - |x|^2) (M: the largest squared norm) makes the order of inner products that
 of Euclidean distances, so metric bounds apply. Equal vectors are one entry, with their smallest ids. Routing vectors
 are taken from a bounded sample; every entry goes to its nearest one, and each of these sets is cut, by distance from
 the routing vector, into pages that hold all entries, their distances to the routing vector (parent distances), and the
 smallest and largest of these (the radii). A query first reads its nearest pages, which gives a bound on its k-th score.
-Then it visits only pages that could still hold a better entry by the triangle inequality, nearest first; inside a page,
-parent distances spare most of the products that could not count. Scores are exact integer products.
+Then it visits only pages that could still hold a better entry by the triangle inequality; inside a page, entries that no
+query of the block needs by their parent distances are left out before products are made. Scores are exact integer products.
 """
 
 from __future__ import annotations
@@ -50,8 +50,16 @@ def _distances(a: np.ndarray, b: np.ndarray, top: float) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def dealt(near: DataFrame, most: int) -> DataFrame:
+    """near plus salt: cuts each ring (route, ring) of over `most` entries by a hash of the vector in parts of about as many."""
+    parts = near.groupBy("route", "ring").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
+    # At most entries / most rows: rings that fit have none.
+    near = near.join(F.broadcast(parts), ["route", "ring"], "left")
+    return near.withColumn("salt", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1)))).drop("parts")
+
+
 def build_pages(entries: DataFrame, routes: np.ndarray, top: float, page_rows: int) -> DataFrame:
-    """PAGE_SCHEMA rows. Of a routing vector's set, pages are cut by rank of distance in bounded steps."""
+    """PAGE_SCHEMA rows. Of a routing vector's set, pages are cut by rank of distance in rings and parts of bounded size."""
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -60,8 +68,9 @@ def build_pages(entries: DataFrame, routes: np.ndarray, top: float, page_rows: i
             yield b.assign(route=near.astype(np.int32), distance=d[np.arange(len(b)), near])
 
     near = entries.mapInPandas(assign, "v array<bigint>, ids array<bigint>, route int, distance double")
-    # Rings of distance bound what meets in one task; each ring of a set is cut into pages of page_rows entries.
-    near = near.withColumn("ring", F.floor(F.col("distance") / 8))
+    # A ring may hold most of a table (near copies, concentrated distances), so large ones are dealt in parts. A page's radii
+    # are those of its own entries, so the bounds hold for any dealing.
+    near = materialise(near.withColumn("ring", F.floor(F.col("distance") / 8)), "near")
 
     def page(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("distance", kind="stable")
@@ -71,11 +80,11 @@ def build_pages(entries: DataFrame, routes: np.ndarray, top: float, page_rows: i
             ids = np.concatenate([np.asarray(i, np.int64) for i in p["ids"]])
             owners = np.repeat(np.arange(len(p)), [len(i) for i in p["ids"]]).astype(np.int32)
             d = p["distance"].to_numpy(np.float64)
-            number = (int(key[0]) << 40) | (int(key[1]) << 20) | (k // page_rows)
-            out.append((number, int(key[0]), d[0], d[-1], len(p), ids.tobytes(), owners.tobytes(), _matrix(p["v"]).astype(np.int32).tobytes(), d.tobytes()))
+            out.append((0, int(key[0]), d[0], d[-1], len(p), ids.tobytes(), owners.tobytes(), _matrix(p["v"]).astype(np.int32).tobytes(), d.tobytes()))
         return pd.DataFrame(out, columns=[x.split()[0] for x in PAGE_SCHEMA.split(", ")])
 
-    return near.groupBy("route", "ring").applyInPandas(page, PAGE_SCHEMA)
+    made = dealt(near, 64 * page_rows).groupBy("route", "ring", "salt").applyInPandas(page, PAGE_SCHEMA)
+    return made.withColumn("page", F.monotonically_increasing_id())
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, page_rows: int = 512, block: int = 128, most_routes: int = 256) -> DataFrame:
@@ -132,7 +141,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, page_rows: int =
                     reach = _distances(q, routes[r.route : r.route + 1], top)[:, 0]
                     # Parent distances: an entry farther from the query's ring than its k-th distance can't count.
                     may = np.abs(reach[:, None] - parent) <= kth[:, None] + 1e-6
-                    score = np.where(may, q @ x.T, -np.inf)[:, owners]
+                    some = np.flatnonzero(may.any(0))
+                    score = np.full(may.shape, -np.inf)
+                    score[:, some] = np.where(may[:, some], q @ x[some].T, -np.inf)
+                    score = score[:, owners]
                     score[qid[:, None] == ids] = -np.inf
                     order = np.lexsort((np.broadcast_to(ids, score.shape), -score))[:, :k]
                     rows = np.repeat(np.arange(len(qid)), order.shape[1])
@@ -166,9 +178,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, page_rows: int =
                         else:
                             hit = np.zeros(len(h), bool)
                             hit[np.unique(np.argsort(low, axis=1, kind="stable")[:, :nearest])] = True
-                        where = np.flatnonzero(hit)
-                        where = where[np.argsort(low[:, where].min(0), kind="stable")]
-                        yield pd.DataFrame({"page": h["page"].to_numpy()[where], "block": r.block, "qids": r.qids, "q": r.q, "kth": r.kth})
+                        yield pd.DataFrame({"page": h["page"].to_numpy()[hit], "block": r.block, "qids": r.qids, "q": r.q, "kth": r.kth})
 
             parts.append(reach.mapInPandas(route, "page long, block long, qids binary, q binary, kth binary"))
         out = parts[0]

@@ -143,6 +143,22 @@ def test_top_k(spark, db):
     assert few.count() == 2 and op5_topk.search(v.where("false"), v).count() == 0
 
 
+def test_top_k_deals_large_rings(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([1 + rng.integers(0, 3, (3000, 8)) / 256, rng.normal(size=(300, 8))])  # nearly one vector, and others
+    v = spark.createDataFrame([(i, [float(e) for e in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    near = op5_topk.integer_vectors(v).select("v", F.lit(0).alias("route"), F.lit(0).cast("long").alias("ring"))
+    sizes = [r["count"] for r in op5_topk.dealt(near, 256).groupBy("route", "ring", "salt").count().collect()]
+    assert sum(sizes) == 3300 and len(sizes) == 13 and max(sizes) < 512
+    got = op5_topk.search(v, v.where("vec_id % 300 = 0"), page_rows=4).toPandas()
+    y = np.floor(x * 256).astype(np.int64)
+    for q in range(0, 3300, 300):
+        want = sorted((-int(y[q] @ y[i]), i) for i in range(3300) if i != q)[:5]
+        assert [(-s, i) for s, i in zip(*got[got.query_id == q].sort_values("rank")[["score", "vec_id"]].to_numpy().T, strict=True)] == want
+
+
 def test_near_duplicates(spark, db, docs, none):
     same(op6_neardup.op6_near_duplicates(spark, SF).toPandas(), db.execute(op6_neardup.ORACLE).df(), ["doc_id"])
     out = op6_neardup.near_duplicates(docs).collect()
