@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 _OWN_ROOT: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; an own folder only where that is unset, as in tests."""
+    """The shared folder named in spark.checkpoint.dir. Where that is unset, an own folder, as in tests; on a cluster that is an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_ROOT:
         _OWN_ROOT.append(tempfile.mkdtemp(prefix="spark-shared-"))
     return _OWN_ROOT[0]
@@ -25,9 +33,28 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet to the shared folder and reads it back, so that lost executors cost nothing."""
     path = f"{shared_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes the tables that are materialised inside when it ends; what the yielded function materialises stays."""
+    before, kept = len(_WRITTEN), set()
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        out = materialise(df, label)
+        kept.add(_WRITTEN.pop())
+        return out
+
+    yield keep
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in _WRITTEN[before:]:
+        at = hadoop.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del _WRITTEN[before:]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,3 +68,22 @@ def first_ids(docs: DataFrame, salt: str, most: int) -> DataFrame:
     """The `most` distinct doc_ids with the smallest crc32 of salt and id, ties by the id: a bounded sample; ids alone move."""
     order = F.crc32(F.concat(F.lit(salt), F.col("doc_id").cast("string")).cast("binary"))
     return docs.where("doc_id is not null").select("doc_id").distinct().orderBy(order, "doc_id").limit(most)
+
+
+def with_columns(docs: DataFrame, compute: Callable, added: T.StructType, drop: tuple[str, ...] = ()) -> DataFrame:
+    """docs without the columns `drop`, plus the columns `added`, which compute(texts) gives as a list of arrays, batch by batch.
+
+    All other columns pass as Arrow arrays, so ids of any size stay as they are beside nulls.
+    """
+    names = [c for c in docs.columns if c not in drop]
+    schema = T.StructType([*[f for f in docs.schema.fields if f.name in names], *added.fields])
+
+    def run(batches):
+        kinds = [to_arrow_type(f.dataType) for f in added.fields]
+        for b in batches:
+            if b.num_rows:
+                got = compute(b.column("text").to_pylist())
+                new = [pa.array(c, k) for c, k in zip(got, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *new], names=schema.names)
+
+    return docs.mapInArrow(run, schema)

@@ -1,27 +1,26 @@
 """Toxicity: averaged subword-bag embeddings under a linear softmax, trained jointly in numpy.
 
 A word's bag holds the word and its character 3- to 5-grams (with edge marks), hashed into `buckets` rows of an embedding
-table, so an unseen misspelling shares most of its vectors with the word it stems from. A document's bag is that of its
-`strong` (3) most toxic different words, averaged, so that a few words count in a long text as in a short one, while one
-word that happens to look like them does not decide. In training, the words that score highest stand for a document, and
-random words of documents that aren't toxic for the rest of them.
+table, so an unseen misspelling shares most of its vectors with the word it stems from. A word's vector is the mean over
+its bag; a document's is the weighted average over all of its words, as often as they occur, and a linear softmax tells the
+classes. A word's weight is the exponential of a learned linear form of its vector, so every word counts, but one that
+matters counts in a long text too. Table, weights and softmax are trained together, by the gradient of the same loss.
 The table is trained from a sample of at most `max_rows` labelled documents (a parameter); scoring reads every whole text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import first_ids, held_out, table
+from .common import first_ids, held_out, table, with_columns
 from .wordtable import WordTable, chunks, codes_of
 
-BUCKETS, DIM, STRONG = 1 << 17, 8, 3
+BUCKETS, DIM, EPOCHS, RATE = 1 << 17, 8, 3, 0.15
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -58,39 +57,18 @@ def bags(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarr
     return ids[order], owners[order]
 
 
-def strongest(values: np.ndarray, at: np.ndarray, strong: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the `strong` different words of each doc with the highest mean over their bags (-1: fewer words), and the mean
-    over the bags of them together. values: (sum, count) of each word; at: where docs start. Words of equal score are one word.
-    """
-    score = values[:, 0] / values[:, 1]
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    places, pooled = np.full((len(at) - 1, strong), -1), np.zeros((len(at) - 1, 2))
-    for k in range(strong):
-        best = np.maximum.reduceat(score, at[:-1])
-        same = np.flatnonzero(score == best[doc])
-        which, first = np.unique(doc[same], return_index=True)
-        some = best[which] > -np.inf
-        places[which[some], k] = same[first[some]]
-        pooled[which[some]] += values[same[first[some]]]
-        score[same] = -np.inf
-    return places, pooled[:, 0] / pooled[:, 1]
-
-
 class Model:
-    """Embeddings e (buckets x dim), softmax weights w (dim x 2) and bias b; trained by Adagrad on the strongest words of docs."""
+    """Embeddings e (buckets x dim), attention v (dim), softmax weights w (dim x 2) and bias b; trained by Adagrad."""
 
-    def __init__(self, buckets: int = BUCKETS, dim: int = DIM, strong: int = STRONG, seed: int = 7):
+    def __init__(self, buckets: int = BUCKETS, dim: int = DIM, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.strong, self.buckets = strong, buckets
+        self.buckets = buckets
         self.e = rng.normal(0, 0.05, (buckets, dim)).astype(np.float32)
         self.w = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
+        self.v = (self.w[:, 1] - self.w[:, 0]).copy()
         self.b = np.zeros(2, np.float32)
 
-    def margin(self) -> np.ndarray:
-        """What a bucket adds to the difference of the two classes' logits."""
-        return (self.e @ (self.w[:, 1] - self.w[:, 0])).astype(np.float32)
-
-    def fit(self, texts: list[str], labels: np.ndarray, epochs: int = 6, rate: float = 0.15, seed: int = 7) -> Model:
+    def fit(self, texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
         docs, y = [], []
         for t, label in zip(texts, labels, strict=True):
             if words := tokens(t):
@@ -104,65 +82,66 @@ class Model:
         flat, owner = bags(list(vocabulary), self.buckets)
         size = np.bincount(owner, minlength=len(vocabulary))
         begin = np.concatenate([[0], np.cumsum(size)])
-        at = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-        word = np.fromiter((vocabulary[w] for d in docs for w in d), np.int32, int(at[-1]))
-        # At first, words are told apart by how often their n-grams' words occur in documents of either class.
-        seen = np.zeros((2, len(vocabulary)))
-        for i in range(len(docs)):
-            seen[y[i], np.unique(word[at[i] : at[i + 1]])] += 1
-        count = [np.bincount(flat, weights=seen[c][owner], minlength=self.buckets) for c in (0, 1)]
-        margin = np.log((count[1] + 0.5) / (y == 1).sum()) - np.log((count[0] + 0.5) / (y == 0).sum())
-        margin[count[0] + count[1] < 3] = 0
-        e2, w2 = np.full(self.buckets, 1e-4, np.float32), np.full_like(self.w, 1e-2)
-        for epoch in range(epochs):
-            m = margin if epoch == 0 else self.margin()
-            each = np.bincount(owner, weights=m[flat], minlength=len(vocabulary))
-            top, _ = strongest(np.stack([each[word], size[word]], 1), at, self.strong)
-            quiet = np.flatnonzero(y == 0)
-            some = at[quiet][:, None] + (rng.random((len(quiet), 4 * self.strong)) * np.diff(at)[quiet][:, None]).astype(np.int64)
-            starts = np.concatenate([top, some.reshape(-1, self.strong)])
-            label = np.concatenate([y, np.zeros(4 * len(quiet), np.int64)])
-            order = rng.permutation(len(starts))
-            for k in range(0, len(order), 128):
-                part = order[k : k + 128]
-                rows = []
-                for s in starts[part]:
-                    rows.append(np.concatenate([flat[begin[w] : begin[w + 1]] for w in word[s[s >= 0]]]))
-                n = np.array([len(r) for r in rows])
-                ids = np.concatenate(rows)
-                hidden = np.add.reduceat(self.e[ids], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0) / n[:, None]
-                logits = hidden @ self.w + self.b
-                p = np.exp(logits - logits.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(part)), label[part]] -= 1
-                back = p @ self.w.T
-                step_w = hidden.T @ p
-                w2 += step_w**2
-                self.w -= rate * step_w / np.sqrt(w2)
-                self.b -= rate * 0.1 * p.mean(0)
-                unique, inverse = np.unique(ids, return_inverse=True)
-                grad = np.zeros((len(unique), self.e.shape[1]), np.float32)
-                np.add.at(grad, inverse, np.repeat(back / n[:, None], n, axis=0))
-                e2[unique] += (grad**2).mean(1)
-                self.e[unique] -= rate * grad / np.sqrt(e2[unique])[:, None]
+        counted = [np.unique([vocabulary[w] for w in d], return_counts=True) for d in docs]
+        squares = [np.full(x.shape, s, np.float32) for x, s in ((self.e[:, 0], 1e-4), (self.v, 1e-2), (self.w, 1e-2))]
+        for _ in range(epochs):
+            order = rng.permutation(len(docs))
+            for k in range(0, len(order), 64):
+                part = order[k : k + 64]
+                lengths = np.array([len(counted[i][0]) for i in part])
+                words, inverse = np.unique(np.concatenate([counted[i][0] for i in part]), return_inverse=True)
+                times = np.concatenate([counted[i][1] for i in part]).astype(np.float32)
+                n = size[words]
+                rows = flat[np.arange(n.sum()) + np.repeat(begin[words] - np.cumsum(n) + n, n)]
+                self._step(rows, n, inverse, times, lengths, y[part], squares, rate)
         return self
 
+    def _step(self, rows, size, word, times, lengths, y, squares, rate) -> None:
+        """One gradient step. rows: buckets of the batch's words, size of them each; word: of each (document, word) pair."""
+        edge = np.concatenate([[0], np.cumsum(size)[:-1]])
+        u = np.add.reduceat(self.e[rows], edge, axis=0) / size[:, None]
+        at, doc = np.concatenate([[0], np.cumsum(lengths)[:-1]]), np.repeat(np.arange(len(lengths)), lengths)
+        t = (u @ self.v)[word]
+        a = times * np.exp(t - np.maximum.reduceat(t, at)[doc])
+        a /= np.add.reduceat(a, at)[doc]
+        h = np.add.reduceat(a[:, None] * u[word], at, axis=0)
+        logits = h @ self.w + self.b
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        back = p @ self.w.T
+        pull = a * ((u[word] - h[doc]) * back[doc]).sum(1)  # of each pair's attention
+        to_word = a[:, None] * back[doc] + pull[:, None] * self.v
+        sums = lambda key, x, n: np.stack([np.bincount(key, x[:, j], n) for j in range(x.shape[1])], 1).astype(np.float32)
+        unique = np.flatnonzero(np.bincount(rows, minlength=self.buckets))
+        step_e = sums(rows, np.repeat(sums(word, to_word, len(u)) / size[:, None], size, axis=0), self.buckets)[unique]
+        step_v, step_w = pull @ u[word], h.T @ p
+        e2, v2, w2 = squares
+        e2[unique] += (step_e**2).mean(1)
+        v2 += step_v**2
+        w2 += step_w**2
+        self.e[unique] -= rate * step_e / np.sqrt(e2[unique])[:, None]
+        self.v -= (rate * step_v / np.sqrt(v2)).astype(np.float32)
+        self.w -= (rate * step_w / np.sqrt(w2)).astype(np.float32)
+        self.b -= rate * 0.1 * p.mean(0).astype(np.float32)
+
     def scorer(self) -> Scorer:
-        return Scorer(self.margin(), float(self.b[1] - self.b[0]), self.strong)
+        return Scorer((self.e @ (self.w[:, 1] - self.w[:, 0])).astype(np.float32), (self.e @ self.v).astype(np.float32), float(self.b[1] - self.b[0]))
 
 
 class Scorer:
-    """Scores texts by their most toxic words; keeps what each word adds."""
+    """Scores texts by what each bucket adds to a word's part in the logit and to its attention; keeps both of each word."""
 
-    def __init__(self, margin: np.ndarray, bias: float, strong: int):
-        self.margin, self.bias, self.strong, self.words = margin, bias, strong, None
+    def __init__(self, margin: np.ndarray, attention: np.ndarray, bias: float):
+        self.margin, self.attention, self.bias, self.words = margin, attention, bias, None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"words": None}
 
     def _compute(self, words: list[str]) -> np.ndarray:
         ids, owner = bags(words, len(self.margin))
-        return np.stack([np.bincount(owner, weights=self.margin[ids], minlength=len(words)), np.bincount(owner, minlength=len(words))], 1)
+        n = np.bincount(owner, minlength=len(words))
+        return np.stack([np.bincount(owner, weights=x[ids], minlength=len(words)) / n for x in (self.margin, self.attention)], 1)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Between 0 and 1; 0 for texts without words."""
@@ -173,32 +152,38 @@ class Scorer:
         some = [i for i, d in enumerate(docs) if d]
         if some:
             values, at = self.words.rows([docs[i] for i in some])
-            _, mean = strongest(values, at, self.strong)
-            out[some] = 1 / (1 + np.exp(-np.clip(mean + self.bias, -40, 40)))
+            start, doc = at[:-1], np.repeat(np.arange(len(at) - 1), np.diff(at))
+            a = np.exp(values[:, 1] - np.maximum.reduceat(values[:, 1], start)[doc]).astype(np.float64)
+            z = np.add.reduceat(a * values[:, 0], start) / np.add.reduceat(a, start)
+            out[some] = 1 / (1 + np.exp(-np.clip(z + self.bias, -40, 40)))
         return out
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Model:
-    """Fits a model on labelled rows: the max_rows with the smallest crc32 of doc_id (ties by doc_id); null labels or texts take no part."""
+    """Fits a model on labelled rows: the max_rows with the smallest crc32 of doc_id (ties by doc_id); null labels or texts take no part.
+
+    Of rows that repeat a doc_id the one with the smallest text counts, and of its labels the largest.
+    """
     y = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     rows = docs.select("doc_id", "text").where(~held_out(5, 0) & F.col("text").isNotNull())
     ids = first_ids(rows.join(y, "doc_id"), "t", max_rows).join(y, "doc_id")
-    got = sorted(rows.join(F.broadcast(ids), "doc_id").collect(), key=lambda r: (r["doc_id"], r["text"]))
+    got = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).collect()
+    got.sort(key=lambda r: r["doc_id"])
     return Model().fit([r["text"] for r in got], np.array([int(r["y"]) for r in got], np.int64))
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row of docs: doc_id, held_out, score, predicted. Null, empty or wordless texts score 0. Other columns aren't read."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.scorer())  # 4 bytes a bucket, whatever the corpus
+    """Per row of docs: doc_id, held_out, score, predicted. Null, empty or wordless texts score 0; repeated rows score alike.
+
+    Other columns aren't read. An empty table gives no rows. A score of exactly 0.5 is predicted as toxic.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model.scorer())  # 8 bytes a bucket, whatever the corpus
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = shared.value
-        for b in batches:
-            s = np.concatenate([np.zeros(0), *(scorer.score(part) for part in chunks(b["text"]))])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": s})
+    def compute(texts: list[str | None]) -> list[np.ndarray]:
+        return [np.concatenate([np.zeros(0), *(shared.value.score(part) for part in chunks(texts))])]
 
     out = docs.select("doc_id", "text", held_out(5, 0).alias("held_out"))
-    out = out.mapInPandas(run, f"doc_id {dict(out.dtypes)['doc_id']}, held_out boolean, score double")
+    out = with_columns(out, compute, T.StructType().add("score", "double"), drop=("text",))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
