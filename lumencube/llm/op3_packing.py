@@ -15,7 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,19 +153,24 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, open_windows: i
     """Rows of PIECE, one a piece: every id of every document in exactly one piece.
 
     A null or empty text has the end id alone. Repeated rows are packed each; a null doc_id stays null. Other columns of
-    docs are not read. sequence_id is unique over both stages. An empty table gives no rows.
+    docs are not read; doc_id is a long. sequence_id is unique over both stages. An empty table gives no rows.
     """
-    schema = PIECE + ", ids binary"
-    names = [x.split()[0] for x in schema.split(", ")]
+    names = [x.split()[0] for x in PIECE.split(", ")]
     end = np.array([END_ID], "<u4").tobytes()
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows_of(rows: list[tuple], ids: list[bytes | None] | None = None) -> pa.RecordBatch:
+        columns = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[] for _ in names])]
+        if ids is None:
+            return pa.RecordBatch.from_arrays(columns, names=names)
+        return pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], names=[*names, "ids"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Tokens.at(tokenizer_path)
         part = TaskContext.get().partitionId()
         packer = Packer(size, open_windows, part << 32)
         for b in batches:
-            docs_in = iter(b["doc_id"].astype(object).where(b["doc_id"].notna(), None))
-            for some in chunks(b["text"]):
+            docs_in = iter(b.column("doc_id").to_pylist())  # Python integers: ids of any size beside nulls
+            for some in chunks(b.column("text").to_pylist()):
                 for ids in encoder.encode(some):
                     doc, ids = next(docs_in), ids + end
                     total = len(ids) // 4
@@ -175,22 +180,23 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, open_windows: i
                     if whole < total:
                         packer.put(doc, whole, ids[4 * whole :], total)
                 if len(packer.out) > 5000:
-                    yield pd.DataFrame([(*r, None) for r in packer.out], columns=names)
+                    yield rows_of(packer.out, [None] * len(packer.out))
                     packer.out = []
-        rest = [(doc, start, len(ids) // 4, 0, total, -1 - part, 0, ids) for w in packer.open for doc, start, ids, total in w[1]]
-        if rows := [(*r, None) for r in packer.out] + rest:
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-
-    def second(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["sequence_id", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-        packer = Packer(size, 0, (1 << 62) + (int(key[0]) << 32))
-        packer.open = [[0, [(r.doc_id if pd.notna(r.doc_id) else None, r.start, r.ids, r.doc_tokens) for r in b.itertuples()]]]
+        yield rows_of(packer.out, [None] * len(packer.out))
+        rest = [(doc, start, len(ids) // 4, 0, total, -1 - part, 0) for w in packer.open for doc, start, ids, total in w[1]]
+        yield rows_of(rest, [p[2] for w in packer.open for p in w[1]])
+
+    def second(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("sequence_id", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
+        packer = Packer(size, 0, (1 << 62) + (key[0].as_py() << 32))
+        pieces = zip(*(t[c].to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")), strict=True)
+        packer.open = [[0, list(pieces)]]
         packer.finish()
-        return pd.DataFrame(packer.out, columns=names[:-1]).astype({"doc_id": "Int64"})
+        return pa.Table.from_batches([rows_of(packer.out)])
 
-    placed = materialise(docs.select("doc_id", "text").mapInPandas(first, schema), "packed")
-    left = placed.where("sequence_id < 0").withColumn("sequence_id", F.col("sequence_id"))
-    merged = left.groupBy(F.floor((-1 - F.col("sequence_id")) / merge).alias("part")).applyInPandas(second, PIECE)
+    placed = materialise(docs.select("doc_id", "text").mapInArrow(first, PIECE + ", ids binary"), "packed")
+    left = placed.where("sequence_id < 0")
+    merged = left.groupBy(F.floor((-1 - F.col("sequence_id")) / merge).alias("part")).applyInArrow(second, PIECE)
     return placed.where("sequence_id >= 0").drop("ids").unionByName(merged)
 
 
