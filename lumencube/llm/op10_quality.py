@@ -8,16 +8,15 @@ pair, found by binning. Training reads the features of at most `max_rows` labell
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 from operator import eq
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import first_ids, held_out, table
+from .common import first_ids, held_out, table, with_columns
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "distinct_words", "repeated_neighbours", "distinct_lines", "words_a_line",
@@ -26,23 +25,31 @@ FEATURES = (
 _CLASSES = None
 
 
-def _classes() -> np.ndarray:
-    """Class of each 16-bit code point: 0 other letters, 1 upper case, 2 digit, 3 white space, 4 symbol, 5 | , 6 !, 7 full stop or comma."""
+def _class(c: str) -> int:
+    """0 other letters, 1 upper case, 2 digit, 3 white space, 4 symbol, 5 | , 6 !, 7 full stop or comma."""
+    if c in "|!.,":
+        return {"|": 5, "!": 6}.get(c, 7)
+    return 1 if c.isupper() else 0 if c.isalpha() else 2 if c.isdigit() else 3 if c.isspace() else 4
+
+
+def classes(text: str) -> np.ndarray:
+    """Class of each code point of a text: 16-bit ones by a table, others by the few different ones that the text has."""
     global _CLASSES
     if _CLASSES is None:
-        c = [chr(i) for i in range(0x10000)]
-        t = np.array([1 if x.isupper() else 0 if x.isalpha() else 2 if x.isdigit() else 3 if x.isspace() else 4 for x in c], np.uint8)
-        for x, k in (("|", 5), ("!", 6), (".", 7), (",", 7)):
-            t[ord(x)] = k
-        _CLASSES = t
-    return _CLASSES
+        _CLASSES = np.array([_class(chr(i)) for i in range(0x10000)], np.uint8)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _CLASSES[np.minimum(codes, 0xFFFF)]
+    wide = codes > 0xFFFF
+    if wide.any():
+        some, which = np.unique(codes[wide], return_inverse=True)
+        out[wide] = np.array([_class(chr(i)) for i in some], np.uint8)[which]
+    return out
 
 
 def features(text: str | None) -> np.ndarray:
     text = text or ""
     n = len(text)
-    codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
-    share = np.bincount(_classes()[codes], minlength=8) / max(1, n)
+    share = np.bincount(classes(text), minlength=8) / max(1, n)
     words, lines = text.split(), text.split("\n")
     m = max(1, len(words))
     return np.array([
@@ -148,34 +155,32 @@ class AdditiveModel:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> AdditiveModel:
     """From labelled rows that are not held out: those max_rows with the smallest crc32 of doc_id (ties by doc_id).
 
-    Null labels and texts take no part. Only features come to the driver, not texts.
+    Null labels and texts take no part; of rows that repeat a doc_id the one with the smallest text counts, and of its
+    labels the largest. Only features come to the driver, not texts.
     """
     y = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("y"))
     usable = docs.where(~held_out(4, 2) & F.col("text").isNotNull()).join(y, "doc_id")
     ids = first_ids(usable, "q", max_rows).join(y, "doc_id")
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"].astype(float), "x": [features(t) for t in b["text"]]})
-
-    got = rows.mapInPandas(run, "doc_id long, y double, x array<double>").toPandas().sort_values("doc_id")
-    x = np.stack(got["x"].tolist()) if len(got) else np.zeros((0, len(FEATURES)))
-    return AdditiveModel().fit(x, got["y"].to_numpy())
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    got = with_columns(rows, lambda texts: [[features(t) for t in texts]], T.StructType().add("x", T.ArrayType(T.DoubleType())), drop=("text",))
+    got = sorted(got.collect(), key=lambda r: r["doc_id"])
+    x = np.array([r["x"] for r in got]) if got else np.zeros((0, len(FEATURES)))
+    return AdditiveModel().fit(x, np.array([float(r["y"]) for r in got]))
 
 
 def quality(docs: DataFrame, model: AdditiveModel) -> DataFrame:
-    """Per row of docs: doc_id, held_out, score, predicted. Null texts are scored as empty ones. Other columns aren't read."""
+    """Per row of docs: doc_id, held_out, score, predicted. Null texts are scored as empty ones; repeated rows score alike.
+
+    Other columns aren't read. An empty table gives no rows. A score of exactly 0.7 is predicted as good.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of a fixed size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                x = np.stack([features(t) for t in b["text"]])
-                yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": shared.value.score(x)})
+    def compute(texts: list[str | None]) -> list[np.ndarray]:
+        return [shared.value.score(np.stack([features(t) for t in texts]))]
 
     out = docs.select("doc_id", "text", held_out(4, 2).alias("held_out"))
-    out = out.mapInPandas(run, f"doc_id {dict(out.dtypes)['doc_id']}, held_out boolean, score double")
+    out = with_columns(out, compute, T.StructType().add("score", "double"), drop=("text",))
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
