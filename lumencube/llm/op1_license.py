@@ -1,159 +1,218 @@
 """License scans: which text blocks hold (most of) the words of a license template.
 
 Two answers a document. The base answer counts the places where the words of four fixed phrases stand one after the
-other. The wider answer is an exact set-similarity join between text blocks and templates: a block matches when it holds
-at least `threshold` of the template's distinct words. Words are ordered by their count over all documents, rarest first;
-a block can only match if it holds one of the first |T| - o + 1 words of the template (o: the overlap that is needed),
-has at least o words, and has enough words left from the first shared word on. What passes is verified on the full sets.
-
-Templates are constants of this module (or an argument), so what is broadcast is bounded by them, never by the corpus.
+other. The wider answer is an exact set-similarity join between text blocks and templates. A block is any run of
+consecutive words as long as the template and a quarter more; it matches when it holds at least `threshold` of the
+template's distinct words. Words are ordered by the number of documents that hold them, rarest first. A block can only
+match if it holds one of the first |T| - o + 1 words of the template (o: the overlap that is needed; prefix), so the join
+is by these words' places. Around such a place there must be o words of the template (length) that come no earlier in the
+order than this one (position; a block is found from the rarest word that it shares). What passes is verified: every
+block that holds the place is looked at.
+Of templates that match the same words, the one with the larger containment, then with more words, gives its label.
+
+The texts are read once, by one helper that turns a text into the places of template words; it passes over texts that
+hold too few different words of every template. Templates are constants of this module (or an argument), so what is
+broadcast is bounded by them, never by the corpus.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
-# The word pattern (either case; words are folded afterwards) and the base phrases with their labels.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# The base phrases with their labels.
 PHRASES = {
     "gnu general public license": "gpl",
     "apache license": "apache",
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Well-known license sentences.
+# Sentences and paragraphs of well-known licenses.
 TEMPLATES = [
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
     ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("cc-by", "licensed under cc by 4 0"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("mit", "released under the mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("mpl", "subject to the terms of the mozilla public license"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
-]
-# A superset of what can hold a base phrase; only such texts are looked at word by word.
-MAY_HOLD = r"(?i)general[^a-z0-9]+public|apache[^a-z0-9]+license|mit[^a-z0-9]+license|cc[^a-z0-9]+by"
-
-
-def words_of(text: Column) -> Column:
-    """The words of a text with A-Z folded, as an array."""
-    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.translate(w, UPPER, LOWER))
-
-
-def _phrase_at(words: Column, i: Column, phrase: str) -> Column:
-    hit = F.lit(True)
-    for k, w in enumerate(phrase.split()):
-        hit = hit & (F.get(words, i + k) == w)
-    return F.coalesce(hit, F.lit(False))
-
-
-def base_scan(docs: DataFrame) -> DataFrame:
-    """docs plus n_words, starts (array of places), base (array of labels); null text counts as empty."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.withColumn("n_words", F.regexp_count(text, F.lit(WORD)).cast("long"))
-    df = df.withColumn("_w", F.when(text.rlike(MAY_HOLD), words_of(text)))
-    n = F.size("_w")
-    starts = F.filter(
-        F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.exists(F.array(*[_phrase_at(F.col("_w"), i, p) for p in PHRASES]), lambda x: x),
-    )
-    df = df.withColumn("_s", F.when(F.col("_w").isNotNull(), starts).otherwise(F.array().cast("array<int>")))
-    def at_some(phrase: str) -> Column:
-        return F.exists("_s", lambda i: _phrase_at(F.col("_w"), i, phrase))
-
-    base = [F.when(at_some(p), F.lit(label)) for p, label in PHRASES.items()]
-    df = df.withColumn("base", F.when(F.size("_s") > 0, F.array_compact(F.array(*base))).otherwise(F.array().cast("array<string>")))
-    return df.withColumnRenamed("_s", "starts").drop("_w")
-
-
-def template_order(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[str, int]:
-    """Rank of each template word by its count over all documents, rarest first, ties by the word.
-
-    The counts brought to the driver are at most as many as the templates have words.
-    """
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
-    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
-    counts = words.select(F.lower("w").alias("w")).where(F.col("w").isin(vocabulary)).groupBy("w").count()
-    n = {r["w"]: r["count"] for r in counts.collect()}
-    return {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (n.get(w, 0), w)))}
-
-
-def template_join(
-    docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.85, block_words: int = 32
-) -> DataFrame:
-    """Rows (doc_id, text_hash, block, template, label, containment) of all blocks that meet the threshold.
-
-    Blocks are windows of `block_words` words at every half window, so that any run of up to half a window is whole in one.
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+]
+# Bytes that are no part of a word become spaces, A-Z become a-z; all bytes of other characters belong to words.
+_KEEP = {*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(0x80, 0x100)}
+_FOLD = bytes(c if c in _KEEP else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+SCAN = "id long, n_words long, starts array<long>, base array<string>, places array<int>, tokens array<int>, holding array<long>"
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+
+
+def phrase_places(words: list[bytes], phrase: list[bytes]) -> list[int]:
+    """Where the words of a phrase stand one after the other."""
+    out, at, n = [], -1, len(phrase)
+    while True:
+        try:
+            at = words.index(phrase[0], at + 1)
+        except ValueError:
+            return out
+        if words[at : at + n] == phrase:
+            out.append(at)
+
+
+class Templates:
+    """Word lists, numbered words, and the needed overlap and block length of each template."""
+
+    def __init__(self, templates: list[tuple[str, str]], threshold: float):
+        self.labels = [label for label, _ in templates]
+        lists = [words_of(t) for _, t in templates]
+        self.words = sorted(set().union(*lists))
+        self.number = {w: k for k, w in enumerate(self.words)}
+        self.tokens = [sorted({self.number[w] for w in t}) for t in lists]
+        self.need = [math.ceil(threshold * len(t) - 1e-9) for t in self.tokens]
+        self.span = [math.ceil(1.25 * len(t)) for t in lists]
+
+    def prefixes(self, holding: dict[int, int]) -> list[tuple]:
+        """(token, template, label, size, need, span, own) of every template's first words; own: the words from it on.
+
+        A block is found from the rarest word that it shares, so words before that one are not looked for.
+        """
+        out = []
+        for t, tokens in enumerate(self.tokens):
+            ranked = sorted(tokens, key=lambda k: (holding.get(k, 0), k))
+            for at, token in enumerate(ranked[: len(ranked) - self.need[t] + 1]):
+                out.append((token, t, self.labels[t], len(tokens), self.need[t], self.span[t], ranked[at:]))
+        return out
+
+
+def scan(docs: DataFrame, templates: Templates) -> DataFrame:
+    """docs plus SCAN. places and tokens: template words of texts that may match, in order; holding: on a batch's first
+    row, how many of its texts hold each template word."""
+    phrases = [(p.encode().split(), label) for p, label in PHRASES.items()]
+    bit = {w: 1 << k for k, w in enumerate(templates.words)}
+    masks = [sum(1 << k for k in t) for t in templates.tokens]
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCAN}"
+
+    def one(text: str | None, holding: list[int]) -> tuple:
+        words = words_of(text)
+        own = bit.keys() & set(words)
+        starts: list[int] = []
+        base = []
+        for phrase, label in phrases:
+            if all(w in own or w not in bit for w in phrase) and (at := phrase_places(words, phrase)):
+                starts += at
+                base.append(label)
+        held = 0
+        for w in own:
+            held |= bit[w]
+            holding[templates.number[w]] += 1
+        some = 0
+        for mask, need in zip(masks, templates.need, strict=True):
+            if (held & mask).bit_count() >= need:
+                some |= mask
+        hits = [(i, templates.number[w]) for i, w in enumerate(words) if bit.get(w, 0) & some] if some else []
+        return len(words), sorted(set(starts)), base, [i for i, _ in hits], [k for _, k in hits]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        names = ["doc_id", *[c.split()[0] for c in SCAN.split(", ")]]
+        for b in batches:
+            if b.num_rows:
+                holding = [0] * len(templates.words)
+                rows = [one(t, holding) for t in b.column("text").to_pylist()]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                first = pa.array([holding, *[None] * (len(rows) - 1)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("id"), *columns, first], names=names)
+
+    return docs.select("doc_id", "text").withColumn("id", F.monotonically_increasing_id()).mapInArrow(run, schema)
+
+
+def template_join(scanned: DataFrame, templates: Templates) -> DataFrame:
+    """(id, template, label, first, last, overlap, containment) of the best block around every place that meets the threshold.
+
+    scanned: rows of scan(), materialised. The counts brought to the driver are as many as the templates have words.
     """
-    spark, stride = docs.sparkSession, block_words // 2
-    rank = template_order(docs, templates)
-    entries, full = [], []
-    for t, (label, words) in enumerate(templates):
-        tokens = sorted(set(words.split()), key=rank.__getitem__)
-        need = math.ceil(threshold * len(tokens) - 1e-9)
-        full.append((t, label, tokens, need))
-        entries += [(w, t, p) for p, w in enumerate(tokens[: len(tokens) - need + 1])]
-    prefix = sorted({w for w, _, _ in entries})
-    by_token = spark.createDataFrame(entries, "token string, template int, at int")
-    sides = spark.createDataFrame(full, "template int, label string, tokens array<string>, need int")
-    by_token = F.broadcast(by_token.join(F.broadcast(sides), "template"))
-
-    some = F.array(*[F.lit(w) for w in prefix])
-    vocabulary = F.array(*[F.lit(w) for w in sorted(rank, key=rank.__getitem__)])
-    words = words_of(F.col("text"))
-    hit = docs.where(F.col("text").rlike(r"(?i)(?<![0-9a-z])(?:" + "|".join(prefix) + r")(?![0-9a-z])"))
-    hit = hit.select("doc_id", F.xxhash64("text").alias("text_hash"), words.alias("words"))
-    hit = hit.where(F.arrays_overlap("words", some))
-    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(some, F.get("words", i)))
-    blocks = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(F.floor(i / stride), F.floor(i / stride) - 1))))
-    blocks = F.when(F.size("words") <= stride, F.array(F.lit(0).cast("long"))).otherwise(F.filter(blocks, lambda b: b >= 0))
-    hit = hit.withColumn("block", F.explode(blocks))
-    held = F.array_distinct(F.slice("words", F.col("block").cast("int") * stride + 1, block_words))
-    hit = hit.select("doc_id", "text_hash", "block", F.size(held).alias("n"), F.array_intersect(vocabulary, held).alias("held"))
-    hit = hit.dropDuplicates(["doc_id", "text_hash", "block"])
-    pair = hit.withColumn("token", F.explode(F.array_intersect("held", some))).join(by_token, "token")
-    left = F.least(F.size("tokens") - F.col("at"), F.size("held") - F.array_position("held", F.col("token")).cast("int") + 1)
-    pair = pair.groupBy("doc_id", "text_hash", "block", "template").agg(
-        F.min_by(F.struct("n", "held", "label", "tokens", "need", left.alias("left")), "at").alias("c")
-    ).select("doc_id", "text_hash", "block", "template", "c.*")
-    pair = pair.where((F.col("n") >= F.col("need")) & (F.col("left") >= F.col("need")))
-    overlap = F.size(F.array_intersect("tokens", "held"))
-    pair = pair.where(overlap >= F.col("need")).withColumn("containment", overlap / F.size("tokens"))
-    return pair.select("doc_id", "text_hash", "block", "template", "label", "containment")
+    spark = scanned.sparkSession
+    holding = scanned.where("holding IS NOT NULL").select(F.posexplode("holding").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n"))
+    prefixes = templates.prefixes({r["k"]: r["n"] for r in holding.collect()})
+    schema = "token int, template int, label string, size int, need int, span int, own array<int>"
+    prefixes = F.broadcast(spark.createDataFrame(prefixes, schema))
+    hits = scanned.where(F.size("places") > 0).select("id", F.arrays_zip("places", "tokens").alias("hits"))
+    pair = hits.withColumn("hit", F.explode("hits")).withColumn("token", F.col("hit.tokens")).join(prefixes, "token")
+    at = F.col("hit.places")
+    # Template words in the blocks that hold the place.
+    near = F.filter("hits", lambda h: (h["places"] > at - F.col("span")) & (h["places"] < at + F.col("span")) & F.array_contains("own", h["tokens"]))
+    pair = pair.withColumn("near", near).where(F.size(F.array_distinct("near.tokens")) >= F.col("need"))
+
+    def block(h):  # the block that begins with this word, if it holds the place
+        inside = F.filter("near", lambda g: (g["places"] >= h["places"]) & (g["places"] < h["places"] + F.col("span")))
+        n = F.size(F.array_distinct(F.transform(inside, lambda g: g["tokens"])))
+        last = F.array_max(F.transform(inside, lambda g: g["places"]))
+        return F.struct(n.alias("overlap"), (-h["places"]).alias("before"), last.alias("last"))
+
+    begins = F.filter("near", lambda h: (h["places"] <= at))
+    best = F.array_max(F.transform(begins, block))
+    pair = pair.withColumn("best", best).where(F.col("best.overlap") >= F.col("need"))
+    return pair.select(
+        "id", "template", "label", (-F.col("best.before")).alias("first"), F.col("best.last").alias("last"), F.col("best.overlap").alias("overlap"),
+        (F.col("best.overlap") / F.col("size")).alias("containment"),
+    ).distinct()
+
+
+def winners(found: DataFrame) -> DataFrame:
+    """(id, labels, best): matches that no better one of another label covers (by half of their words' extent or more)."""
+    each = found.groupBy("id", "template", "label", "first", "last").agg(F.max(F.struct("containment", "overlap")).alias("merit"))
+    every = each.groupBy("id").agg(F.collect_set(F.struct("merit", "label", "first", "last")).alias("m"))  # a place a template word at most
+
+    def beaten(x, by):
+        common = F.least(x["last"], by["last"]) - F.greatest(x["first"], by["first"]) + 1
+        return (by["label"] != x["label"]) & (by["merit"] > x["merit"]) & (2 * common >= x["last"] - x["first"] + 1)
+
+    best = F.filter("m", lambda x: ~F.exists("m", lambda by: beaten(x, by)))
+    every = every.withColumn("w", best)
+    return every.select("id", F.array_distinct("w.label").alias("found"), F.array_max(F.transform("m", lambda x: x["merit"]["containment"])).alias("best"))
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.85) -> DataFrame:
     """Per row of docs: n_words, n_base, first_word, last_word, base_labels, labels, score (the largest containment).
 
     Null or empty text: no words, no labels, score 0. Repeated rows get the same answer each. Other columns of docs are
-    not read. An empty table gives an empty result.
+    not read. An empty table gives an empty result. Matches that tie in containment and words all give their labels.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base_scan(docs).withColumn("text_hash", F.xxhash64("text")).drop("text")
-    more = template_join(docs, templates, threshold)
-    more = more.groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
-    more = more.withColumnsRenamed({"doc_id": "m_id", "text_hash": "m_hash"})
-    both = base.join(more, base.doc_id.eqNullSafe(more.m_id) & (base.text_hash == more.m_hash), "left")
+    made = Templates(templates, threshold)
+    scanned = materialise(scan(docs, made), "license-scan")
+    both = scanned.drop("places", "tokens", "holding").join(winners(template_join(scanned, made)), "id", "left")
     labels = F.array_union("base", F.coalesce("found", F.array().cast("array<string>")))
     join = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     has = F.size("starts") > 0
     return both.select(
         "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"),
-        F.when(has, F.array_min("starts")).cast("long").alias("first_word"),
-        F.when(has, F.array_max("starts")).cast("long").alias("last_word"),
+        F.when(has, F.array_min("starts")).alias("first_word"), F.when(has, F.array_max("starts")).alias("last_word"),
         join(F.col("base")).alias("base_labels"), join(labels).alias("labels"),
         F.greatest(F.coalesce("best", F.lit(0.0)), F.when(has, 1.0).otherwise(0.0)).alias("score"),
-    )
+    )
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
