@@ -1,16 +1,17 @@
-"""Exact top-k search by inner product: an M-tree of paged nodes, searched in two rounds.
-
-Vectors are made integer. Appending sqrt(M - |x|^2) (M: the largest squared norm) makes the order of inner products that
-of Euclidean distances, so metric bounds apply. Equal vectors are one entry, with their smallest ids. Routing vectors
-are taken from a bounded sample; every entry goes to its nearest one, and each of these sets is cut, by distance from
-the routing vector, into pages that hold all entries, their distances to the routing vector (parent distances), and the
-smallest and largest of these (the radii). A query first reads its nearest pages, which gives a bound on its k-th score.
-Then it visits only pages that could still hold a better entry by the triangle inequality; inside a page, entries that no
-query of the block needs by their parent distances are left out before products are made. Scores are exact integer products.
+"""Exact top-k search by inner product: M-trees, searched best first, in two rounds.
+
+Vectors are made integer, shorter ones padded with zeros. Equal vectors are one entry, with their smallest ids. Routing
+vectors are taken from a bounded sample; every entry goes to its nearest one, and each of these sets is cut into parts of
+bounded size by a hash; every part is an M-tree (mtree.py), built in one task. Routing vectors cover their parts by one
+radius each, so the table of them is the top of the tree, and its size is bounded by a parameter.
+In the first round a block of queries searches one tree of each query's nearest routing vector, which gives a bound on
+its k-th score. In the second it searches the trees of the routing vectors whose radius the bound allows; inside a tree
+the bound shrinks while pages are read. Scores are exact integer products.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,15 +20,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
+from .mtree import Tree
 
-PAGE_SCHEMA = "page long, route int, inner double, outer double, n int, ids binary, owners binary, vectors binary, distances binary"
+BLOCK = "block long, qids binary, q binary, least binary"
+FOUND = "query_id long, vec_id long, score long"
+LARGEST = 2.0**62
 
 
 def integer_vectors(rows: DataFrame) -> DataFrame:
-    """(vec_id, v array<bigint>): floor(256 x) of each component as double; rows with null or non-finite parts are left out."""
+    """(vec_id, v array<bigint>): floor(256 x) of each component as double; rows with null or non-finite parts are left out.
+
+    So are vectors whose squared norm is 2^62 or more: their products would not fit a 64-bit score.
+    """
     x = F.col("embedding")
     ok = x.isNotNull() & F.col("vec_id").isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    return rows.where(F.coalesce(ok, F.lit(False))).select("vec_id", F.transform(x, lambda e: F.floor(e.cast("double") * 256)).alias("v"))
+    scaled = F.transform(x, lambda e: e.cast("double") * 256)
+    small = F.aggregate(scaled, F.lit(0.0), lambda s, e: s + e * e) < LARGEST
+    # floor of a double is a bigint only where it fits, so large vectors go first.
+    return rows.where(F.coalesce(ok & small, F.lit(False))).select("vec_id", F.transform(scaled, lambda e: F.floor(e)).alias("v"))
 
 
 def smallest_ids(vectors: DataFrame, most: int) -> DataFrame:
@@ -39,185 +49,155 @@ def smallest_ids(vectors: DataFrame, most: int) -> DataFrame:
     return parts.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in column])
+def dealt(near: DataFrame, most: int) -> DataFrame:
+    """near plus salt: cuts each route of over `most` entries, by a hash of the vector, into parts of about as many."""
+    parts = near.groupBy("route").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    near = near.join(F.broadcast(parts), "route")  # at most as many rows as there are routing vectors
+    return near.withColumn("salt", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).drop("parts")
+
 
+class Space:
+    """What all tasks share: the length of vectors, M, the routing vectors, and whether float products are exact."""
 
-def _distances(a: np.ndarray, b: np.ndarray, top: float) -> np.ndarray:
-    """Distances between the lifted rows of a and b."""
-    lift_a, lift_b = (np.sqrt(np.maximum(0, top - (x**2).sum(1))) for x in (a, b))
-    square = (a**2).sum(1)[:, None] + (b**2).sum(1) - 2 * (a @ b.T) + (lift_a[:, None] - lift_b) ** 2
-    return np.sqrt(np.maximum(square, 0))
+    def __init__(self, dim: int, top: float, routes: list[list[int]]):
+        self.dim, self.top = dim, top
+        self.kind = np.float64 if top < 2.0**53 else np.int64
+        self.routes = self.matrix(routes)
+        self.lift = np.sqrt(np.maximum(0.0, top - (self.routes.astype(np.float64) ** 2).sum(1)))
 
+    def matrix(self, column) -> np.ndarray:
+        out = np.zeros((len(column), self.dim), self.kind)
+        for i, v in enumerate(column):
+            out[i, : len(v)] = v
+        return out
 
-def dealt(near: DataFrame, most: int) -> DataFrame:
-    """near plus salt: cuts each ring (route, ring) of over `most` entries by a hash of the vector in parts of about as many."""
-    parts = near.groupBy("route", "ring").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
-    # At most entries / most rows: rings that fit have none.
-    near = near.join(F.broadcast(parts), ["route", "ring"], "left")
-    return near.withColumn("salt", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    def to_routes(self, x: np.ndarray, query: bool) -> np.ndarray:
+        """Distances of entries, or of queries (whose lifted coordinate is 0), to the routing vectors."""
+        norm = (x.astype(np.float64) ** 2).sum(1)
+        lift = np.zeros(len(x)) if query else np.sqrt(np.maximum(0.0, self.top - norm))
+        dots = (x @ self.routes.T).astype(np.float64)
+        return np.sqrt(np.maximum(0.0, (norm + lift**2)[:, None] + self.top - 2 * (dots + lift[:, None] * self.lift)))
 
 
-def build_pages(entries: DataFrame, routes: np.ndarray, top: float, page_rows: int) -> DataFrame:
-    """PAGE_SCHEMA rows. Of a routing vector's set, pages are cut by rank of distance in rings and parts of bounded size."""
+def build_trees(entries: DataFrame, space: Space, shard_rows: int, page_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(route, salt, tree), a row a tree; and (route, radius), a row a routing vector that has entries."""
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            d = _distances(_matrix(b["v"]), routes, top)
-            near = d.argmin(1)
-            yield b.assign(route=near.astype(np.int32), distance=d[np.arange(len(b)), near])
+            if len(b):
+                d = space.to_routes(space.matrix(b["v"]), query=False)
+                near = d.argmin(1)
+                yield b.assign(route=near.astype(np.int32), distance=d[np.arange(len(b)), near])
 
-    near = entries.mapInPandas(assign, "v array<bigint>, ids array<bigint>, route int, distance double")
-    # A ring may hold most of a table (near copies, concentrated distances), so large ones are dealt in parts. A page's radii
-    # are those of its own entries, so the bounds hold for any dealing.
-    near = materialise(near.withColumn("ring", F.floor(F.col("distance") / 8)), "near")
+    near = materialise(entries.mapInPandas(assign, "v array<bigint>, ids array<bigint>, route int, distance double"), "near")
 
-    def page(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("distance", kind="stable")
-        out = []
-        for k in range(0, len(b), page_rows):
-            p = b.iloc[k : k + page_rows]
-            ids = np.concatenate([np.asarray(i, np.int64) for i in p["ids"]])
-            owners = np.repeat(np.arange(len(p)), [len(i) for i in p["ids"]]).astype(np.int32)
-            d = p["distance"].to_numpy(np.float64)
-            out.append((0, int(key[0]), d[0], d[-1], len(p), ids.tobytes(), owners.tobytes(), _matrix(p["v"]).astype(np.int32).tobytes(), d.tobytes()))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in PAGE_SCHEMA.split(", ")])
+        tree = Tree(space.matrix(b["v"]), space.top, page_rows)
+        content = pickle.dumps((tree, [np.asarray(i).tolist() for i in b["ids"]]))
+        return pd.DataFrame({"route": [key[0]], "salt": [key[1]], "tree": [content]})
 
-    made = dealt(near, 64 * page_rows).groupBy("route", "ring", "salt").applyInPandas(page, PAGE_SCHEMA)
-    return made.withColumn("page", F.monotonically_increasing_id())
+    trees = dealt(near, shard_rows).groupBy("route", "salt").applyInPandas(build, "route int, salt int, tree binary")
+    return materialise(trees, "trees"), near.groupBy("route").agg(F.max("distance").alias("radius"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, page_rows: int = 512, block: int = 128, most_routes: int = 256) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, page_rows: int = 64, block: int = 256, most_routes: int = 256, shard_rows: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best other vectors, ties to the smaller vec_id.
 
-    vectors and queries: (vec_id, embedding); a query's own vec_id is no candidate. Rows with null or non-finite parts
-    take no part; vectors of other lengths than the first routing vector's are an error. Repeated rows count once.
-    most_routes bounds the routing vectors, and so what each task gets of them.
+    vectors and queries: (vec_id, embedding); a query's own vec_id is no candidate. Rows with null or non-finite parts, or
+    with squared norms of 2^62 or more, take no part. Vectors that are shorter than the longest count as padded with zeros,
+    empty ones as zeros. Repeated rows count once. An empty table gives no rows; with fewer than k others, a query has
+    fewer rows. most_routes bounds the routing vectors, and so what each task gets of them; shard_rows is about the size
+    of a tree (by default a fortieth of the entries, at least 256 and at most 8192).
     """
     spark = vectors.sparkSession
     entries = materialise(smallest_ids(integer_vectors(vectors).distinct(), k + 1), "entries")
+    asked = materialise(integer_vectors(queries).distinct(), "asked")
     norm = F.aggregate("v", F.lit(0).cast("long"), lambda s, e: s + e * e)
-    n, top = entries.agg(F.count("*"), F.max(norm)).first()
-    result = "query_id long, rank int, vec_id long, score long"
-    if not n:
-        return spark.createDataFrame([], result)
-    top = float(top)
+    measures = [F.count("*"), F.max(norm), F.max(F.size("v"))]
+    (n, top, dim), (asks, q_top, q_dim) = entries.agg(*measures).first(), asked.agg(*measures).first()
+    if not n or not asks:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     want = int(min(most_routes, max(1, round(np.sqrt(n / 8)))))
-    sample = entries.orderBy(F.xxhash64("v"), "v").limit(want).select("v").toPandas()
-    routes = _matrix(sample["v"])
-    pages = materialise(build_pages(entries, routes, top, page_rows), "pages")
-
-    asked = integer_vectors(queries).distinct()
+    sample = entries.orderBy(F.xxhash64("v"), "v").limit(want).select("v").collect()
+    space = Space(max(dim, q_dim, 1), float(max(top, q_top)), [r["v"] for r in sample])
+    trees, covers = build_trees(entries, space, shard_rows or int(min(8192, max(256, n // 40))), page_rows)
+    radius = np.full(want, -np.inf)
+    for r in covers.collect():  # at most most_routes rows
+        radius[r["route"]] = r["radius"]
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            q = _matrix(b["v"])
-            b = b.assign(near=_distances(q, routes, top).argmin(1)).sort_values(["near", "vec_id"])
-            for s in range(0, len(b), block):
-                p = b.iloc[s : s + block]
-                yield pd.DataFrame({"block": [int(p["vec_id"].min())], "qids": [p["vec_id"].to_numpy(np.int64).tobytes()], "q": [_matrix(p["v"]).astype(np.int32).tobytes()]})
-
-    asked = materialise(asked.mapInPandas(blocks, "block long, qids binary, q binary"), "queries")
-    heads = pages.select("page", "route", "inner", "outer")
-    dim = routes.shape[1]
-
-    def bounds(q: np.ndarray, h: pd.DataFrame) -> np.ndarray:
-        """Least possible distance from each query to an entry of each page."""
-        d = _distances(q, routes, top)[:, h["route"].to_numpy()]
-        return np.maximum(0, np.maximum(d - h["outer"].to_numpy(), h["inner"].to_numpy() - d))
-
-    def visit(pairs: DataFrame) -> DataFrame:
-        """(query_id, vec_id, score) of what pages add; pairs: block, qids, q, least (of each query's bound), page columns."""
+            if len(b):
+                q = space.matrix(b["v"])
+                order = np.lexsort((b["vec_id"].to_numpy(), np.where(radius < 0, np.inf, space.to_routes(q, query=True)).argmin(1)))
+                for s in range(0, len(b), block):
+                    ids, some = b["vec_id"].to_numpy()[order[s : s + block]], q[order[s : s + block]]
+                    none = np.full(len(ids), -np.inf)
+                    yield pd.DataFrame({"block": [int(ids.min())], "qids": [ids.astype(np.int64).tobytes()], "q": [some.tobytes()], "least": [none.tobytes()]})
+
+    asked = materialise(asked.mapInPandas(blocks, BLOCK), "queries")
+
+    def unpack(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.frombuffer(r.qids, np.int64), np.frombuffer(r.q, space.kind).reshape(-1, space.dim), np.frombuffer(r.least, np.float64)
+
+    def wanted(q: np.ndarray, least: np.ndarray, nearest: bool) -> np.ndarray:
+        """Which queries (rows) need the trees of which routing vectors."""
+        d = space.to_routes(q, query=True)
+        if nearest:
+            return np.arange(d.shape[1]) == np.where(radius < 0, np.inf, d).argmin(1)[:, None]
+        norm = (q.astype(np.float64) ** 2).sum(1)
+        bound = np.sqrt(np.maximum(0.0, norm + space.top - 2 * np.where(np.isinf(least), 0, least))) + 1e-6 * (np.sqrt(norm + space.top) + 1)
+        return d - radius <= np.where(np.isinf(least), np.inf, bound)[:, None]
+
+    def visit(asking: DataFrame, nearest: bool) -> DataFrame:
+        """FOUND rows of the trees that the blocks' queries need; nearest: of the first tree of each query's nearest route."""
+
+        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for r in b.itertuples():
+                    _, q, least = unpack(r)
+                    hit = np.flatnonzero(wanted(q, least, nearest).any(0))
+                    yield pd.DataFrame({"route": hit.astype(np.int32), "block": r.block, "qids": r.qids, "q": r.q, "least": r.least})
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for r in b.itertuples():
-                    qid = np.frombuffer(r.qids, np.int64)
-                    q = np.frombuffer(r.q, np.int32).reshape(-1, dim).astype(np.float64)
-                    kth = np.frombuffer(r.kth, np.float64)
-                    x = np.frombuffer(r.vectors, np.int32).reshape(-1, dim).astype(np.float64)
-                    parent = np.frombuffer(r.distances, np.float64)
-                    ids, owners = np.frombuffer(r.ids, np.int64), np.frombuffer(r.owners, np.int32)
-                    reach = _distances(q, routes[r.route : r.route + 1], top)[:, 0]
-                    # Parent distances: an entry farther from the query's ring than its k-th distance can't count.
-                    may = np.abs(reach[:, None] - parent) <= kth[:, None] + 1e-6
-                    some = np.flatnonzero(may.any(0))
-                    score = np.full(may.shape, -np.inf)
-                    score[:, some] = np.where(may[:, some], q @ x[some].T, -np.inf)
-                    score = score[:, owners]
-                    score[qid[:, None] == ids] = -np.inf
-                    order = np.lexsort((np.broadcast_to(ids, score.shape), -score))[:, :k]
-                    rows = np.repeat(np.arange(len(qid)), order.shape[1])
-                    got = score[rows, order.ravel()]
-                    keep = got > -np.inf
-                    yield pd.DataFrame({"query_id": qid[rows][keep], "vec_id": ids[order.ravel()][keep], "score": got[keep].astype(np.int64)})
-
-        return pairs.mapInPandas(run, "query_id long, vec_id long, score long")
+                    qids, q, least = unpack(r)
+                    tree, ids = pickle.loads(r.tree)
+                    out = []
+                    for i in np.flatnonzero(wanted(q, least, nearest)[:, r.route]):
+                        own = int(qids[i])
+                        out += [(own, x, s) for s, x in tree.search(q[i], k, ids, own, float(least[i]))]
+                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype(np.int64)
+
+        pairs = asking.mapInPandas(route, "route int, " + BLOCK)
+        pairs = pairs.join(trees.where("salt = 0") if nearest else trees, "route")
+        return pairs.select("route", "block", "qids", "q", "least", "tree").mapInPandas(run, FOUND)
 
     def best(found: DataFrame) -> DataFrame:
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    # Page heads without vectors: 40 bytes a page. Up to 200,000 pages go to each task; beyond that, in rounds of as many.
-    def pairing(reach: DataFrame, nearest: int | None) -> DataFrame:
-        parts, number = [], heads.count()
-        slices = max(1, -(-number // 200_000))
-        for s in range(slices):
-            h = heads.where(F.pmod(F.xxhash64("page"), F.lit(slices)) == s).toPandas().sort_values("page").reset_index(drop=True)
-            shared = spark.sparkContext.broadcast(h)
-
-            def route(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-                h = shared.value
-                for b in batches:
-                    for r in b.itertuples():
-                        q = np.frombuffer(r.q, np.int32).reshape(-1, dim).astype(np.float64)
-                        low = bounds(q, h)
-                        kth = np.frombuffer(r.kth, np.float64)
-                        if nearest is None:
-                            hit = (low <= kth[:, None] + 1e-6).any(0)
-                        else:
-                            hit = np.zeros(len(h), bool)
-                            hit[np.unique(np.argsort(low, axis=1, kind="stable")[:, :nearest])] = True
-                        yield pd.DataFrame({"page": h["page"].to_numpy()[hit], "block": r.block, "qids": r.qids, "q": r.q, "kth": r.kth})
-
-            parts.append(reach.mapInPandas(route, "page long, block long, qids binary, q binary, kth binary"))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.join(pages.select("page", "route", "ids", "owners", "vectors", "distances"), "page")
-
-    def with_kth(found: DataFrame | None) -> DataFrame:
-        """asked plus kth: each query's distance to its k-th best so far (infinite before it has k)."""
+    def with_least(found: DataFrame) -> DataFrame:
+        """asked with each query's k-th best score so far (minus infinity before it has k)."""
 
         def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             r = left.iloc[0]
-            qid = np.frombuffer(r["qids"], np.int64)
-            q = np.frombuffer(r["q"], np.int32).reshape(-1, dim).astype(np.float64)
-            kth = np.full(len(qid), np.inf)
-            by = right[right["rank"] == k].set_index("query_id")["score"]
-            for i, x in enumerate(qid):
-                if x in by.index:  # the lifted distance that belongs to the score
-                    lift = np.sqrt(max(0.0, top - float((q[i] ** 2).sum())))
-                    square = float((q[i] ** 2).sum()) + lift**2 + top - 2.0 * float(by[x])
-                    kth[i] = np.sqrt(max(0.0, square))
-            return pd.DataFrame({"block": [r["block"]], "qids": [r["qids"]], "q": [r["q"]], "kth": [kth.tobytes()]})
-
-        schema = "block long, qids binary, q binary, kth binary"
-        if found is None:
-            def none(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for b in batches:
-                    yield b.assign(kth=[np.full(len(x) // 8, np.inf).tobytes() for x in b["qids"]])
-
-            return asked.mapInPandas(none, schema)
-        unpacked = asked.mapInPandas(
+            # The next float below a score, so that one of over 53 bits isn't rounded up.
+            by = dict(zip(right["query_id"], np.nextafter(right["score"].to_numpy(np.float64), -np.inf), strict=True))
+            least = np.array([by.get(int(x), -np.inf) for x in np.frombuffer(r["qids"], np.int64)], np.float64)
+            return pd.DataFrame({"block": [r["block"]], "qids": [r["qids"]], "q": [r["q"]], "least": [least.tobytes()]})
+
+        ids = asked.select("block", "qids").mapInPandas(
             lambda bs: (pd.DataFrame({"block": r.block, "query_id": np.frombuffer(r.qids, np.int64)}) for b in bs for r in b.itertuples()),
             "block long, query_id long",
         )
-        mine = found.join(unpacked, "query_id")
-        return asked.groupBy("block").cogroup(mine.groupBy("block")).applyInPandas(run, schema)
+        mine = found.where(F.col("rank") == k).join(ids, "query_id")  # a row a query
+        return asked.groupBy("block").cogroup(mine.groupBy("block")).applyInPandas(run, BLOCK)
 
-    first = materialise(best(visit(pairing(with_kth(None), 1))), "first")
-    rest = visit(pairing(with_kth(first), None))
+    first = materialise(best(visit(asked, True)), "first")
+    rest = visit(with_least(first), False)
     final = best(rest.unionByName(first.select("query_id", "vec_id", "score")).distinct())
     return final.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
