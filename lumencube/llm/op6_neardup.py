@@ -1,7 +1,7 @@
 """MinHash near-dedup: bottom-k sketches, inverted lists, union-sketch estimates, exact Jaccard, components.
 
-Each text's distinct word shingles are hashed by one 64-bit function; the `k` smallest hashes are its sketch. Equal sets
-are one class at once. Two sets over the threshold (0.85) share far over half of their sketches, so only the rarest
+Each text's distinct word shingles are hashed by one 64-bit function; the `k` smallest hashes are its sketch. Sets of one
+size and 128-bit signature are one class, once their bytes have been compared. Two sets over the threshold (0.85) share far over half of their sketches, so only the rarest
 half of a sketch goes into the inverted lists (the prefix filter; rarity over all documents): texts whose likeness is a
 common passage don't meet. Members of short lists are paired. In long lists (large families of copies) sets that can't
 reach the threshold with any member are left out (exact bound: hashes that no other member has), then every member is
@@ -21,8 +21,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialise, table
+from .common import materialise, table, with_columns
 
 K, SHARE, PERCENT, SHORT = 48, 0.5, 85, 32
 _STEP, _SIGN = np.uint64(0x9E3779B97F4A7C15), np.uint64(1 << 63)
@@ -54,21 +55,52 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     return np.unique((s ^ _SIGN).view(np.int64))
 
 
+def signature(x: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums over a set."""
+    u = x.view(np.uint64)
+    one = int(_mix(u * _STEP + np.uint64(1)).sum(dtype=np.uint64).view(np.int64))
+    return one, int(np.bitwise_xor.reduce(_mix(u * _STEP + np.uint64(2))).view(np.int64)) if len(x) else 0
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, s1, s2, sketch): size of the set, a 128-bit signature of the whole set, the k smallest hashes."""
+    """docs' doc_id with n, s1, s2, sketch: size of the set, its signature, the k smallest hashes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [shingle_set(t) for t in b["text"]]
-            u = [x.view(np.uint64) for x in sets]
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"], "n": [len(x) for x in sets],
-                "s1": [int(_mix(x * _STEP + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) for x in u],
-                "s2": [int(np.bitwise_xor.reduce(_mix(x * _STEP + np.uint64(2))).view(np.int64)) if len(x) else 0 for x in u],
-                "sketch": [x[:K] for x in sets],
-            })
+    def compute(texts: list[str | None]) -> list[list]:
+        sets = [shingle_set(t) for t in texts]
+        return [[len(x) for x in sets], *map(list, zip(*map(signature, sets), strict=True)), [x[:K] for x in sets]]
+
+    added = T.StructType().add("n", "long").add("s1", "long").add("s2", "long").add("sketch", T.ArrayType(T.LongType()))
+    return with_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), compute, added, drop=("text",))
+
+
+def whole_sets(docs: DataFrame) -> DataFrame:
+    """docs' columns but text, with n, s1, s2 and s, the whole set as bytes."""
+
+    def compute(texts: list[str | None]) -> list[list]:
+        sets = [shingle_set(t) for t in texts]
+        return [[len(x) for x in sets], *map(list, zip(*map(signature, sets), strict=True)), [x.tobytes() for x in sets]]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, s1 long, s2 long, sketch array<long>")
+    added = T.StructType().add("n", "long").add("s1", "long").add("s2", "long").add("s", "binary")
+    return with_columns(docs, compute, added, drop=("text",))
+
+
+def one_row_an_id(feats: DataFrame) -> DataFrame:
+    """feats with the n, s1, s2 of each doc_id's largest set (ties by signature) on all of its rows, and whether it's the row's own."""
+    named = feats.where("doc_id IS NOT NULL")
+    several = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    largest = named.join(several, "doc_id").groupBy("doc_id").agg(F.max(F.struct("n", "s1", "s2")).alias("m"))
+    out = feats.join(materialise(largest, "repeated"), "doc_id", "left")
+    own = F.col("m").isNull() | (F.struct("n", "s1", "s2") == F.col("m"))
+    return out.select("doc_id", *[F.coalesce(f"m.{c}", c).alias(c) for c in ("n", "s1", "s2")], "sketch", own.alias("own"))
+
+
+def unlike(docs: DataFrame, named: DataFrame, classes: DataFrame) -> DataFrame:
+    """(s1, s2, n) of the classes with several members whose sets are not the same bytes; normally none."""
+    several = classes.where("members > 1").select("s1", "s2", "n")
+    members = named.join(several, ["s1", "s2", "n"], "left_semi").select("doc_id").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id", "left_semi")
+    sets = whole_sets(rows).join(several, ["s1", "s2", "n"], "left_semi")
+    return sets.groupBy("s1", "s2", "n").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("s1", "s2", "n")
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
@@ -133,25 +165,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
     Texts that are null, empty or without words have no shingles and are components of their own. Rows that repeat a
-    doc_id count as one document and get the same answer each. A row without doc_id has no component and is kept. Other
-    columns of docs are not read. An empty table gives no rows.
+    doc_id count as one document, that of the largest set, and get the same answer each. A row without doc_id has no
+    component and is kept. Other columns of docs are not read; doc_id is a long. An empty table gives no rows.
     """
-    feats = materialise(features(docs), "features")
-    named = feats.where("n > 0 and doc_id is not null")
-    classes = named.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "sketch")).alias("m"))
-    classes = materialise(classes.select("s1", "s2", "n", F.col("m.doc_id").alias("rep"), F.col("m.sketch").alias("sketch")), "classes")
+    feats = one_row_an_id(materialise(features(docs), "features"))
+    named = feats.where("own and n > 0 and doc_id is not null")
+    classes = named.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "sketch")).alias("m"), F.count("*").alias("members"))
+    classes = materialise(classes.select("s1", "s2", "n", F.col("m.doc_id").alias("rep"), F.col("m.sketch").alias("sketch"), "members"), "classes")
+    # Members of a class that bytes tell apart are classes of their own.
+    apart = materialise(unlike(docs, named, classes), "apart")
+    key = ["s1", "s2", "n"]
+    single = named.join(apart, key, "left_semi").groupBy("doc_id", *key).agg(F.first("sketch").alias("sketch"))
+    classes = classes.join(apart, key, "left_anti").select(*key, "rep", "sketch").unionByName(single.select(*key, F.col("doc_id").alias("rep"), "sketch"))
 
     lists = materialise(inverted_lists(classes), "lists")
     size = lists.groupBy("v").count().where("count > 1")
     lists = materialise(lists.join(size, "v"), "lists")
-    wanted = lists.select(F.col("rep").alias("doc_id")).distinct()
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"rep": b["doc_id"], "s": [shingle_set(t).tobytes() for t in b["text"]]})
-
-    some = docs.select("doc_id", "text").join(wanted, "doc_id")
-    sets = materialise(some.mapInPandas(whole, "rep long, s binary").dropDuplicates(["rep"]), "sets")
+    wanted = lists.select("rep").distinct().join(classes.select("rep", *key), "rep")
+    some = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.select("rep"), "rep", "left_semi")
+    sets = whole_sets(some).join(wanted, ["rep", *key], "left_semi").dropDuplicates(["rep"])
+    sets = materialise(sets.select("rep", "s"), "sets")
 
     def paired(members: DataFrame, *more) -> DataFrame:
         """Pairs of members of one list whose sizes allow the threshold."""
@@ -200,9 +233,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             more.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
         ).groupBy("node").agg(F.min("label").alias("label"))
         labels = every.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-    found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    found = found.select("s1", "s2", "n", F.coalesce("label", "rep").alias("found"))
-    out = feats.select("doc_id", "n", "s1", "s2").join(found, ["s1", "s2", "n"], "left")
+    found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "rep", F.coalesce("label", "rep").alias("found"))
+    of_class, of_own = found.join(apart, key, "left_anti").drop("rep"), found.join(apart, key, "left_semi").select(F.col("rep").alias("doc_id"), F.col("found").alias("found_alone"))
+    out = feats.select("doc_id", *key).join(of_class, key, "left").join(of_own, "doc_id", "left").withColumn("found", F.coalesce("found_alone", "found"))
     component = F.when(F.col("n") > 0, F.coalesce("found", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select(
