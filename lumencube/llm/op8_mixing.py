@@ -4,8 +4,10 @@ Each source's share p of all tokens (white-space-separated words) becomes a weig
 is found by bisection on a grid of 2^-20: the smallest one (the most even mix) for which no source has to be repeated
 more than `max_repeats` times, or, if a target entropy is given, the largest one whose mix has at least that entropy.
 A source's budget is its weight times `budget_ratio` times all tokens. It is spent on whole copies of the source, then
-on a permutation of its blocks: documents are dealt into blocks by a hash, blocks are taken in hash order while they fit,
-and the block that the budget ends in is taken document by document, in hash order, up to the budget.
+on a permutation of its blocks: documents are dealt into blocks of about `block_docs` by a hash, blocks are taken in hash
+order while they fit, and the block that the budget ends in is taken document by document, in hash order, up to the budget.
+Where a budget ends is looked for in 1024 ranges of the blocks' hashes first, then among the blocks of one range, then
+among the documents of one block, so no window holds more than a thousandth of a large source's blocks.
 """
 
 from __future__ import annotations
@@ -76,15 +78,27 @@ def choose(docs: DataFrame, max_repeats: float = 4.0, entropy: float | None = No
     few = weights.limit(10_001).count() <= 10_000
     small = (lambda d: F.broadcast(d)) if few else (lambda d: d)
 
-    n_blocks = F.least(F.lit(4096), F.greatest(F.lit(1), F.ceil(F.col("documents") / block_docs)))
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("documents") / block_docs))
     w = weights.select("source", "exponent", "weight", "copies", "rest", n_blocks.alias("n_blocks"))
     rows = rows.join(small(w), "source").withColumn("block", _hash("#deal", "source", "doc_id") % F.col("n_blocks"))
     blocks = rows.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"), F.first("rest").alias("rest"))
-    in_turn = Window.partitionBy("source").orderBy(_hash("#blocks", "source", "block"), "block")
-    before = F.coalesce(F.sum("block_tokens").over(in_turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.withColumn("left", F.col("rest") - before)
-    blocks = blocks.select("source", "block", F.when(F.col("left") >= F.col("block_tokens"), 1).when(F.col("left") > 0, 0).otherwise(-1).alias("state"), "left")
-    blocks = materialise(blocks, "mix-blocks")
+    blocks = blocks.withColumn("turn", _hash("#blocks", "source", "block"))
+    blocks = materialise(blocks.withColumn("range", F.shiftright("turn", 38)), "mix-blocks")
+
+    def left(tokens: str, in_turn) -> Column:
+        """What is left of a source's last copy when a range's or block's turn comes."""
+        return F.coalesce(F.sum(tokens).over(in_turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    ranges = blocks.groupBy("source", "range").agg(F.sum("block_tokens").alias("range_tokens"), F.first("rest").alias("rest"))
+    ranges = ranges.withColumn("range_left", F.col("rest") - left("range_tokens", Window.partitionBy("source").orderBy("range"))).drop("rest")
+    blocks = blocks.join(ranges, ["source", "range"])
+    state = lambda rest, tokens: F.when(rest >= tokens, 1).when(rest > 0, 0).otherwise(-1)
+    of_range = state(F.col("range_left"), F.col("range_tokens"))
+    whole_ranges = blocks.where(of_range != 0).select("source", "block", of_range.alias("state"), F.lit(None).cast("long").alias("left"))
+    ends = blocks.where(of_range == 0)
+    ends = ends.withColumn("left", F.col("range_left") - left("block_tokens", Window.partitionBy("source", "range").orderBy("turn", "block")))
+    ends = ends.select("source", "block", state(F.col("left"), F.col("block_tokens")).alias("state"), "left")
+    blocks = materialise(whole_ranges.unionByName(ends), "mix-states")
 
     # Only the block in which a source's budget ends is looked at document by document.
     ends = blocks.where("state = 0").select("source", F.col("block").alias("end_block"), "left")
@@ -121,7 +135,7 @@ expo AS (SELECT CASE WHEN (SELECT max(1.0 / n * total / tokens) FROM logs, (SELE
 w AS (SELECT source, tokens AS all_tokens, documents, a AS exponent, round(exp(l * a) / (SELECT sum(exp(l * e2.a)) FROM logs, expo e2), 9) AS weight, total
   FROM logs, expo),
 b AS (SELECT *, floor(weight * total)::BIGINT AS budget FROM w),
-c AS (SELECT *, budget // all_tokens AS copies, budget % all_tokens AS rest, least(4096, greatest(1, ceil(documents / 64)))::BIGINT AS n_blocks FROM b),
+c AS (SELECT *, budget // all_tokens AS copies, budget % all_tokens AS rest, greatest(1, ceil(documents / 64))::BIGINT AS n_blocks FROM b),
 r AS (SELECT d.*, exponent, weight, copies, rest,
   ('0x' || substr(md5('#deal:' || source || ':' || doc_id), 1, 12))::BIGINT % n_blocks AS block FROM d JOIN c USING (source)),
 bl AS (SELECT source, block, sum(tokens) AS bt, any_value(rest) AS rest FROM r GROUP BY source, block),
