@@ -49,11 +49,22 @@ def _inner(x: Column, before: Column, total) -> Column:
     return F.transform(x.getField("p"), lambda _, i: before + total(F.slice(x.getField("p"), F.lit(1), i + 1)))
 
 
+LEFT, RIGHT = r"(?<![\p{L}\p{M}])([\p{L}\p{M}]++)[^\p{L}\p{M}\p{N}]*+$", r"^[^\p{L}\p{M}\p{N}]*+([\p{L}\p{M}]++)"
+
+
 def _context(gap: Column, side: str) -> Column:
-    """The word, without marks, at the end (left) or start (right) of what lies between two matches, of its 32 nearest characters."""
+    """The word, without marks, at the end (left) or start (right) of what lies between two matches.
+
+    The 32 nearest characters are looked at first; all of the gap where these don't hold the word with what bounds it.
+    """
     if side == "left":
-        return F.lower(F.regexp_extract(F.right(gap, F.lit(32)), r"([\p{L}\p{M}]++)[^\p{L}\p{M}\p{N}]*+$", 1))
-    return F.lower(F.regexp_extract(F.left(gap, F.lit(32)), r"^[^\p{L}\p{M}\p{N}]*+([\p{L}\p{M}]++)", 1))
+        near = F.right(gap, F.lit(32))
+        whole = near.rlike(r"[^\p{L}\p{M}][\p{L}\p{M}]++[^\p{L}\p{M}\p{N}]*+$") | near.rlike(r"\p{N}[^\p{L}\p{M}\p{N}]*+$")
+    else:
+        near = F.left(gap, F.lit(32))
+        whole = near.rlike(r"^[^\p{L}\p{M}\p{N}]*+(?:[\p{L}\p{M}]++[^\p{L}\p{M}]|\p{N})")
+    text = F.when((F.char_length(gap) <= 32) | whole, near).otherwise(gap)
+    return F.lower(F.regexp_extract(text, LEFT if side == "left" else RIGHT, 1))
 
 
 def with_matches(df: DataFrame, name: str, pattern: str, needs: str | None) -> DataFrame:
@@ -168,7 +179,8 @@ def pii(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, text_hash, n_email, n_ip, n_card, n_phone, base (spans) and all (spans), ordered by kind
     and start; a span is (kind_no, kind, start, end).
 
-    A null text counts as empty. Repeated rows get the same spans each. Other columns of docs are not read.
+    A null text counts as empty. Repeated rows get the same spans each. Other columns of docs are not read. Of kinds whose
+    scores for an item tie, the one that sorts last counts. An empty table gives no rows; long texts are read whole.
     """
     found = materialise(base_spans(docs), "pii")
     more = discover(found)
@@ -219,5 +231,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pii(table(spark, sf_dir, "documents"))
     return p.select(
         "doc_id", *[f"n_{k}" for k in KINDS], F.sha2(spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        spelled(F.col("all")).alias("spans"),
+        spelled(F.col("all")).alias("spans"), F.size("all").cast("long").alias("n_spans"),
     )
