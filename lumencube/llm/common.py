@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,22 +36,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def intermediates(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """Deletes the tables that are materialised inside when it ends; what the yielded function materialises stays."""
-    before, kept = len(_WRITTEN), set()
+class Intermediates:
+    """Deletes the tables that are materialised inside of it, and those of `also`, when it ends; what keep() writes stays."""
 
-    def keep(df: DataFrame, label: str) -> DataFrame:
+    def __init__(self, spark: SparkSession, also: list[str] | None = None):
+        self.spark, self.also, self.kept = spark, also or [], []
+
+    def __enter__(self) -> Intermediates:
+        self.before = len(_WRITTEN)
+        return self
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
         out = materialise(df, label)
-        kept.add(_WRITTEN.pop())
+        self.kept.append(_WRITTEN.pop())
         return out
 
-    yield keep
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for path in _WRITTEN[before:]:
-        at = hadoop.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    del _WRITTEN[before:]
+    def __exit__(self, *error: object) -> None:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in [*self.also, *_WRITTEN[self.before :]]:
+            at = hadoop.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        del _WRITTEN[self.before :]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
