@@ -4,6 +4,7 @@ import hashlib
 import re
 import unicodedata
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -121,13 +122,61 @@ def test_language_keeps_all_grams(spark):
     assert n > 300_000 and len(got.models["zh"].hashes[3]) == n and np.isfinite(got.deviation).all()
 
 
-def test_kneser_ney_sums_to_one():
-    grams, counts = np.unique(op4_language.grams_of(["abab", "abba", "baab"] * 3)[0], return_counts=True)
-    m = op4_language.LanguageModel(grams, counts)
-    h = int(grams[0]) >> 16 << 16
-    known = np.unique(grams & np.uint64(0xFFFF))
-    p = np.exp(m.log_probabilities(np.array([h | int(k) for k in known], np.uint64)).astype(float)).sum()
-    assert 0.9 < p < 1.0001
+def dictionary_model(words):
+    """Interpolated Kneser-Ney over padded words, by dictionaries of tuples: log-probability of each 4-gram's last character."""
+    full = Counter(tuple((["\0"] * 3 + ["<", *w, ">"])[i : i + 4]) for w in words for i in range(1, len(w) + 2))
+    counts = {4: full}
+    for n in (3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    d, total, width = {}, {}, {}
+    for n, c in counts.items():
+        ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d[n] = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+        for g, v in c.items():
+            total[n, g[:-1]] = total.get((n, g[:-1]), 0) + v
+            width[n, g[:-1]] = width.get((n, g[:-1]), 0) + 1
+
+    def p(g):
+        n = len(g)
+        if n == 0:
+            return 1 / 2000
+        below = p(g[1:])
+        if (n, g[:-1]) not in total:
+            return below
+        t = total[n, g[:-1]]
+        return max(counts[n][g] - d[n], 0) / t + d[n] * width[n, g[:-1]] / t * below if n > 1 else max(counts[1][g] - d[1], 0) / t + d[1] * width[1, ()] / t / 2000
+
+    return p
+
+
+def test_language_models_equal_dictionaries(spark):
+    rng = np.random.default_rng(3)
+    rows, words = [], {}
+    for lang, letters in (("aa", "abcdeé"), ("bb", "bcdfgß😀𐐀𐐁")):
+        for i in range(60):
+            text = " ".join("".join(rng.choice(list(letters), rng.integers(1, 9))) for _ in range(30))
+            rows.append((len(rows), text, lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            words.setdefault(lang, []).extend(op4_language.runs(text))
+    got = op4_language.learn(df)
+    texts = [t for _, t, _ in rows[::7]] + ["unseen zzz", "ab", "a" * 100 + " gß"]
+    entropies, n = got.entropies(texts)
+    models = {lang: dictionary_model(w) for lang, w in words.items()}
+    for row, text in enumerate(texts):
+        for k, lang in enumerate(got.langs):
+            logs = [np.log(models[lang](tuple((["\0"] * 3 + ["<", *w, ">"])[i : i + 4]))) for w in op4_language.runs(text) for i in range(1, len(w) + 2)]
+            assert len(logs) == n[row] and abs(-np.mean(logs) - entropies[row, k]) < 1e-4
+
+
+def test_language_of_numerals_and_repeats(spark):
+    rows = [(i, "the quiet river runs past the old mill", "en") for i in range(40)] + [(100 + i, "der stille fluss fliesst an der alten muehle", "de") for i in range(40)]
+    rows += [(900, "½ ²", None), (901, "the old river", None), (901, "the old river", None), (2**60 + 1, "der alte fluss", None), (None, "the mill", None), (2**60 + 3, "the mill " * 20_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = [(r.doc_id, r.lang_pred, r.score) for r in op4_language.identify(df, op4_language.learn(df)).collect()]
+    assert (900, "und", 0.0) in out and len({r for r in out if r[0] == 901}) == 1
+    assert {r[:2] for r in out} >= {(901, "en"), (2**60 + 1, "de"), (None, "en"), (2**60 + 3, "en")}
 
 
 def test_top_k(spark, db):
