@@ -47,11 +47,12 @@ def bags(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarr
     ids, owners = [mixed(whole * step + np.uint64(1))], [np.arange(len(words))]
     h = codes
     for n in range(2, 6):
-        h = h[: len(codes) - n + 1] * step + codes[n - 1 :]
+        starts = max(0, len(codes) - n + 1)  # a single short word has no n-gram of this length
+        h = h[:starts] * step + codes[n - 1 :]
         if n > 2:
-            inside = owner[: len(codes) - n + 1] == owner[n - 1 :]
+            inside = owner[:starts] == owner[n - 1 :]
             ids.append(mixed(h[inside] + np.uint64(n)))
-            owners.append(owner[: len(codes) - n + 1][inside])
+            owners.append(owner[:starts][inside])
     ids, owners = np.concatenate(ids), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
     return ids[order], owners[order]
