@@ -101,7 +101,7 @@ def build_trees(entries: DataFrame, space: Space, shard_rows: int, page_rows: in
     return materialise(trees, "trees"), near.groupBy("route").agg(F.max("distance").alias("radius"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, page_rows: int = 64, block: int = 256, most_routes: int = 256, shard_rows: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, page_rows: int = 256, block: int = 256, most_routes: int = 256, shard_rows: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best other vectors, ties to the smaller vec_id.
 
     vectors and queries: (vec_id, embedding); a query's own vec_id is no candidate. Rows with null or non-finite parts, or
