@@ -13,15 +13,6 @@ def finite(v: Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
 
 
-def micro(v: Column) -> Column:
-    """Millionths as an integer: sums of these do not depend on the order of the rows."""
-    return F.round(v * 1e6).cast("long")
-
-
-def r6(v: Column) -> Column:
-    return F.round(v, 6)
-
-
 def tile_id(layer: Column, y: Column, x: Column) -> Column:
     """A tile's packed coordinate: 8 bits of layer, 12 of y, 12 of x."""
     return F.shiftleft(layer, 24).bitwiseOR(F.shiftleft(y, 12)).bitwiseOR(x)

@@ -10,8 +10,8 @@ LIGHT = 299792458.0
 STOKES = {1: "I", 2: "Q", 3: "U", 4: "V", -1: "RR", -2: "LL", -3: "RL", -4: "LR", -5: "XX", -6: "YY", -7: "XY", -8: "YX"}
 EXTENSIONS = {"fits": "FITS", "fit": "FITS", "fts": "FITS", "hdf5": "HDF5", "h5": "HDF5", "zarr": "CASA", "crtf": "CRTF", "reg": "DS9_REG"}
 AXIS_ROLES = {"RA": "longitude", "GLON": "longitude", "DEC": "latitude", "GLAT": "latitude", "FREQ": "channel", "VRAD": "channel", "VELO": "channel", "STOKES": "stokes", "TIME": "time"}
-BOX = r"^centerbox \[\[([0-9.]+)pix, ([0-9.]+)pix\], \[([0-9.]+)pix, ([0-9.]+)pix\]\]"
-SYMBOL = r"^symbol \[\[([0-9.]+)pix, ([0-9.]+)pix\]"
+BOX = r"^centerbox\s*\[\[\s*([0-9.]+)pix,\s*([0-9.]+)pix\s*\],\s*\[\s*([0-9.]+)pix,\s*([0-9.]+)pix\s*\]\]"
+SYMBOL = r"^symbol\s*\[\[\s*([0-9.]+)pix,\s*([0-9.]+)pix\s*\]"
 
 
 def axis_ends(crval: Column, cdelt: Column, crpix: Column, n: Column) -> tuple[Column, Column]:
@@ -67,13 +67,15 @@ def beam_record(major: Column, minor: Column, angle: Column) -> Column:
     return F.when(major.isNotNull(), F.struct((major * 3600).alias("major"), (minor * 3600).alias("minor"), angle.alias("angle"), F.lit(-1).alias("channel"), F.lit(-1).alias("stokes")))
 
 
-def sexagesimal(degrees: Column, hours: bool) -> Column:
-    """Degrees as h:m:s (right ascension, wrapped at 24 h) or signed d:m:s (declination), to the thousandth of a second."""
-    milli = F.round(F.abs(degrees) * 3600000 if not hours else F.pmod(degrees, F.lit(360.0)) * 240000).cast("long")
-    milli = F.pmod(milli, F.lit(86400000)) if hours else milli
-    sign = F.lit("") if hours else F.when((degrees < 0) & (milli > 0), "-").otherwise("+")
+def sexagesimal(degrees: Column, hours: bool, places: int = 3) -> Column:
+    """Degrees as h:m:s (right ascension, wrapped at 24 h) or signed d:m:s (declination), to `places` places of a second."""
+    unit = 10**places
+    ticks = F.round((F.pmod(degrees, F.lit(360.0)) * 240 if hours else F.abs(degrees) * 3600) * unit).cast("long")
+    ticks = F.pmod(ticks, F.lit(86400 * unit)) if hours else ticks
+    sign = F.lit("") if hours else F.when((degrees < 0) & (ticks > 0), "-").otherwise("+")
     part = lambda c, n: F.lpad(F.floor(c).cast("string"), n, "0")
-    return F.concat(sign, part(milli / 3600000, 2), F.lit(":"), part(F.pmod(milli, F.lit(3600000)) / 60000, 2), F.lit(":"), part(F.pmod(milli, F.lit(60000)) / 1000, 2), F.lit("."), part(F.pmod(milli, F.lit(1000)), 3))
+    whole, minutes, seconds = part(ticks / (3600 * unit), 2), F.pmod(ticks, F.lit(3600 * unit)), F.pmod(ticks, F.lit(60 * unit))
+    return F.concat(sign, whole, F.lit(":"), part(minutes / (60 * unit), 2), F.lit(":"), part(seconds / unit, 2), F.lit("."), part(F.pmod(ticks, F.lit(unit)), places))
 
 
 def pixel_centre(v: Column) -> Column:
@@ -82,24 +84,113 @@ def pixel_centre(v: Column) -> Column:
 
 
 def parse_regions(lines: DataFrame) -> DataFrame:
-    """lines plus type, cx, cy, w, h, color, line_width of boxes and points; other lines are left out."""
+    """lines plus type, cx, cy, w, h, color, line_width, dash_list of boxes and points; other lines are left out.
+
+    White space between the parts of a line is free, as is the mark before a colour; every region's dash list is one 0.
+    """
     line, num = F.col("line"), lambda p, k: F.regexp_extract("line", p, k).cast("double")
     box, point = line.rlike(BOX), line.rlike(SYMBOL)
     return lines.where(box | point).select(
         *lines.columns, F.when(box, "RECTANGLE").otherwise("POINT").alias("type"),
         F.when(box, num(BOX, 1)).otherwise(num(SYMBOL, 1)).alias("cx"), F.when(box, num(BOX, 2)).otherwise(num(SYMBOL, 2)).alias("cy"),
         F.when(box, num(BOX, 3)).alias("w"), F.when(box, num(BOX, 4)).alias("h"),
-        F.upper(F.regexp_extract("line", "color=(#[0-9A-Fa-f]{6})", 1)).alias("color"),
-        F.coalesce(F.expr(r"try_cast(regexp_extract(line, 'linewidth=([0-9]+)', 1) AS INT)"), F.lit(1)).alias("line_width"),
+        F.when(F.rlike("line", F.lit("color=#?[0-9A-Fa-f]{6}")), F.concat(F.lit("#"), F.upper(F.regexp_extract("line", "color=#?([0-9A-Fa-f]{6})", 1)))).otherwise("").alias("color"),
+        F.coalesce(F.expr(r"try_cast(regexp_extract(line, 'linewidth=([0-9]+)', 1) AS INT)"), F.lit(1)).alias("line_width"), F.array(F.lit(0)).alias("dash_list"),
+    )
+
+
+def region_lines(regions: DataFrame) -> DataFrame:
+    """regions (type, cx, cy, w, h, color, line_width) plus line, the text that parse_regions reads; other types have no line."""
+    pix = lambda c: F.concat(F.col(c).cast("double").cast("string"), F.lit("pix"))
+    pair = lambda a, b: F.concat(F.lit("["), pix(a), F.lit(", "), pix(b), F.lit("]"))
+    box = F.concat(F.lit("centerbox ["), pair("cx", "cy"), F.lit(", "), pair("w", "h"), F.lit("]"))
+    point = F.concat(F.lit("symbol ["), pair("cx", "cy"), F.lit(", .]"))
+    style = F.concat_ws(", ", F.concat(F.lit("color="), F.nullif("color", F.lit(""))), F.concat(F.lit("linewidth="), F.col("line_width").cast("string")))
+    shape = F.when(F.col("type") == "RECTANGLE", box).when(F.col("type") == "POINT", point)
+    return regions.withColumn("line", F.when(style == "", shape).otherwise(F.concat(shape, F.lit(" "), style)))
+
+
+def write_regions(regions: DataFrame, path: str) -> None:
+    """Writes one file, as the format has a first line: the regions of one export, in the order of region_id."""
+    lines = region_lines(regions).where("line IS NOT NULL").select("region_id", "line")
+    head = regions.sparkSession.createDataFrame([(-1, "#CRTFv0")], "region_id long, line string")
+    head.unionByName(lines).coalesce(1).sortWithinPartitions("region_id").select("line").write.text(path)
+
+
+def is_box(corners: Column, tolerance: float = 1e-8) -> Column:
+    """Whether a closed ring of points (array of struct x, y; the last one repeats the first) is the box of its bounds."""
+    x, y = F.transform(corners, lambda p: p["x"]), F.transform(corners, lambda p: p["y"])
+    near = lambda a, b: F.abs(a - b) <= tolerance
+    lo_x, hi_x, lo_y, hi_y = F.array_min(x), F.array_max(x), F.array_min(y), F.array_max(y)
+    at = lambda p, cx, cy: near(p["x"], cx) & near(p["y"], cy)
+    has = lambda cx, cy: F.exists(corners, lambda p: at(p, cx, cy))
+    every = has(lo_x, lo_y) & has(hi_x, lo_y) & has(hi_x, hi_y) & has(lo_x, hi_y)
+    # Neighbours share a coordinate, so the ring does not cross itself.
+    step = F.forall(F.sequence(F.lit(0), F.lit(3)), lambda i: near(F.get(x, i), F.get(x, i + 1)) | near(F.get(y, i), F.get(y, i + 1)))
+    closed = at(F.get(corners, F.lit(4)), F.get(x, F.lit(0)), F.get(y, F.lit(0)))
+    area = ((hi_x - lo_x) > tolerance) & ((hi_y - lo_y) > tolerance)
+    return F.coalesce((F.size(corners) == 5) & closed & every & step & area, F.lit(False))
+
+
+def chunk_plan(requests: DataFrame, axes: int = 5) -> DataFrame:
+    """requests (id, shape, chunks, index) -> a row a chunk that the request meets: chunk_id, coords, chunk_slice, out_slice.
+
+    shape and chunks: arrays of an entry an axis, at most `axes`; index: array of struct<start, stop, scalar>. A scalar takes
+    one place; a slice is cut at the axis's size, its start and stop being the whole axis where NULL. Empty slices give no
+    rows. Slices are half-open (start, stop). The chunks of an axis are made by one explode each.
+    """
+    whole = "struct<chunk:long,start:long,stop:long,out_start:long,out_stop:long>"
+    df = requests.withColumn("parts", F.array().cast(f"array<{whole}>"))
+
+    def option(k: Column, lo: Column, hi: Column, out: Column) -> Column:
+        return F.struct(k.alias("chunk"), lo.alias("start"), hi.alias("stop"), out.alias("out_start"), (out + hi - lo).alias("out_stop")).cast(whole)
+
+    def cut(c: Column, n: Column, start: Column, stop: Column):
+        def of_chunk(k: Column) -> Column:
+            lo, hi = F.greatest(start, k * c), F.least(stop, F.least((k + 1) * c, n))
+            return option(k, lo - k * c, hi - k * c, lo - start)
+
+        return of_chunk
+
+    for i in range(axes):
+        at, c, n = F.get("index", F.lit(i)), F.get("chunks", F.lit(i)).cast("long"), F.get("shape", F.lit(i)).cast("long")
+        start, stop = F.coalesce(at["start"], F.lit(0)).cast("long"), F.least(F.coalesce(at["stop"].cast("long"), n), n)
+        one = F.array(option(F.floor(start / c), start % c, start % c + 1, F.lit(0).cast("long")))
+
+        many = F.when(stop > start, F.transform(F.sequence(F.floor(start / c), F.floor((stop - 1) / c)), cut(c, n, start, stop))).otherwise(F.array().cast(f"array<{whole}>"))
+        none = F.array(F.lit(None).cast(whole))
+        df = df.withColumn("_o", F.explode(F.when(F.size("shape") <= i, none).when(at["scalar"], one).otherwise(many)))
+        df = df.withColumn("parts", F.when(F.col("_o").isNull(), F.col("parts")).otherwise(F.concat("parts", F.array("_o")))).drop("_o")
+    slices = lambda a, z: F.transform("parts", lambda p: F.struct(p[a].alias("start"), p[z].alias("stop")))
+    return df.select(
+        "id", F.array_join(F.transform("parts", lambda p: p["chunk"].cast("string")), ".").alias("chunk_id"), F.col("parts.chunk").alias("coords"),
+        slices("start", "stop").alias("chunk_slice"), slices("out_start", "out_stop").alias("out_slice"),
     )
 
 
-def chunk_plan(slices: DataFrame) -> DataFrame:
-    """slices (id, start, stop, chunk): the chunks that meet [start, stop), where in the chunk and where in the result."""
-    df = slices.where("stop > start").withColumn("k", F.explode(F.sequence(F.floor(F.col("start") / F.col("chunk")), F.floor((F.col("stop") - 1) / F.col("chunk")))))
-    at = F.col("k") * F.col("chunk")
-    lo, hi = F.greatest(F.col("start") - at, F.lit(0)), F.least(F.col("stop") - at, F.col("chunk"))
-    return df.select("id", F.col("k").alias("chunk_no"), lo.alias("chunk_from"), hi.alias("chunk_to"), (at + lo - F.col("start")).alias("out_from"), (at + hi - F.col("start")).alias("out_to"))
+def live_regions(commands: DataFrame, key: list[str], order: list[str], removal: Column) -> DataFrame:
+    """The last command of each region that is not a removal; a region that is set again after one is live again."""
+    return latest(commands.withColumn("_gone", removal), key, order).where("NOT _gone").drop("_gone")
+
+
+def catalog_page(table: DataFrame, filters: list[tuple], columns: list[str], sort: str | None = None, descending: bool = False, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Rows that meet every filter (column, operator, value[, value]), their columns, sorted (ties by the first column), one page.
+
+    Operators: ==, !=, <, >, <=, >=, range_open (a < x < b), range_closed, contains (text, upper and lower case alike).
+    """
+    tests = {
+        "==": lambda c, a: c == a, "!=": lambda c, a: c != a, "<": lambda c, a: c < a, ">": lambda c, a: c > a, "<=": lambda c, a: c <= a,
+        ">=": lambda c, a: c >= a, "range_open": lambda c, a, b: (c > a) & (c < b), "range_closed": lambda c, a, b: c.between(a, b),
+        "contains": lambda c, a: F.contains(F.lower(c.cast("string")), F.lit(a.lower())),
+    }
+    for column, operator, *values in filters:
+        table = table.where(tests[operator](F.col(column), *values))
+    out = table.select(*columns)
+    if sort:
+        out = out.orderBy(F.desc(sort) if descending else F.asc(sort), columns[0])
+    if offset:
+        out = out.offset(offset)
+    return out if limit is None else out.limit(limit)
 
 
 def latest(commands: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -4,28 +4,41 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import finite, micro, r6
+from ..functions.expr import finite
 from .planes import block_mean
 
 
-def contour_crossings(px: DataFrame, levels: list[float], planes: list[str]) -> DataFrame:
+def contour_crossings(px: DataFrame, levels: list[float], planes: list[str], smooth: int = 1, band: int = 256) -> DataFrame:
     """Where the line between two neighbouring pixels' centres crosses a level, by linear interpolation.
 
-    An edge goes from (y, x) to its neighbour along `axis`. Each pixel is sent to its (up to) four edges, which one
-    aggregation pairs; an edge with a missing or non-finite end has no crossing.
+    An edge goes from (y, x) to its neighbour along `axis`; an edge with a missing or non-finite end has no crossing.
+    smooth: the contours are those of the means of smooth x smooth blocks, y and x being the block's; at_y and at_x are
+    places in the plane. Pixels are shuffled once, in squares of `band`; those at a square's lower edges go to the square
+    before it, too. Inside a square two windows, by row and by column, find the neighbours.
     """
-    y, x, v = F.col("y"), F.col("x"), finite(F.col("v"))
-    end = lambda axis, dy, dx, side: F.struct(F.lit(axis).alias("axis"), (y - dy).alias("ey"), (x - dx).alias("ex"), F.lit(side).alias("side"))
-    ends = px.where(v.isNotNull()).select(*planes, "v", F.explode(F.array(end("x", 0, 0, 0), end("x", 0, 1, 1), end("y", 0, 0, 0), end("y", 1, 0, 1))).alias("e"))
-    at = lambda side: F.max(F.when(F.col("e.side") == side, F.col("v")))
-    edges = ends.groupBy(*planes, F.col("e.axis").alias("axis"), F.col("e.ey").alias("y"), F.col("e.ex").alias("x")).agg(at(0).alias("a"), at(1).alias("b"))
+    if smooth > 1:
+        px = block_mean(px, smooth, planes)
+    y, x, tile = F.col("y"), F.col("x"), lambda c: F.floor(c / band).cast("int")
+    own = F.struct(tile(y).alias("ty"), tile(x).alias("tx"))
+    left = F.when((x % band == 0) & (x > 0), F.struct(tile(y).alias("ty"), (tile(x) - 1).alias("tx")))
+    above = F.when((y % band == 0) & (y > 0), F.struct((tile(y) - 1).alias("ty"), tile(x).alias("tx")))
+    dealt = px.select(*planes, "y", "x", finite(F.col("v")).alias("v"), F.explode(F.array_compact(F.array(own, left, above))).alias("s"))
+    key = [*planes, "ty", "tx"]
+    dealt = dealt.select(*planes, "s.ty", "s.tx", "y", "x", "v").repartition(*key)
+    row, column = Window.partitionBy(*key, "y").orderBy("x"), Window.partitionBy(*key, "x").orderBy("y")
+    after = lambda w, c: F.when(F.lead(c).over(w) == F.col(c) + 1, F.lead("v").over(w))
+    near = dealt.withColumn("bx", after(row, "x")).withColumn("by", after(column, "y"))
+    # What came from the next square has its edges there.
+    near = near.where((F.col("ty") == tile(y)) & (F.col("tx") == tile(x)))
+    ends = F.explode(F.array(F.struct(F.lit("x").alias("axis"), F.col("bx").alias("b")), F.struct(F.lit("y").alias("axis"), F.col("by").alias("b"))))
+    edges = near.select(*planes, "y", "x", F.col("v").alias("a"), ends.alias("e")).select(*planes, "y", "x", "a", "e.axis", "e.b")
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL").withColumn("level", F.explode(F.array(*map(F.lit, levels))))
     edges = edges.where((F.col("a") < F.col("level")) != (F.col("b") < F.col("level")))
     t = (F.col("level") - F.col("a")) / (F.col("b") - F.col("a"))
-    along = lambda axis: r6(F.col(axis) + F.when(F.col("axis") == axis, t).otherwise(0.0))
+    along = lambda axis: (F.col(axis) + F.when(F.col("axis") == axis, t).otherwise(0.0)) * smooth + (smooth - 1) / 2
     return edges.select(*planes, "level", "axis", "y", "x", along("y").alias("at_y"), along("x").alias("at_x"))
 
 
@@ -39,7 +52,7 @@ def pv_cut(px: DataFrame, start: tuple[float, float], stop: tuple[float, float],
     dx, dy, f = F.col("x") - start[0], F.col("y") - start[1], finite(F.col("v"))
     along, off = dx * ux + dy * uy, F.abs(dy * ux - dx * uy)
     df = px.where((along >= 0) & (along < length) & (off <= width / 2)).groupBy("channel", F.floor(along).cast("int").alias("step"))
-    return df.agg(F.count(f).alias("n"), (F.sum(micro(f)) / F.count(f) / 1e6).alias("v"))
+    return df.agg(F.count(f).alias("n"), F.avg(f).alias("v"))
 
 
 def vectors(iqu: DataFrame, factor: int, planes: list[str], threshold: float, error: float = 0.0) -> DataFrame:
@@ -51,18 +64,17 @@ def vectors(iqu: DataFrame, factor: int, planes: list[str], threshold: float, er
     b = block_mean(iqu, factor, ["stokes", *planes]).groupBy(*planes, "y", "x").agg(at(0).alias("q"), at(1).alias("u"), at(2).alias("i"))
     b = b.where(f"q IS NOT NULL AND u IS NOT NULL AND i >= {threshold}")
     q, u = F.col("q"), F.col("u")
-    return b.select(*planes, "y", "x", r6(F.sqrt(F.greatest(F.lit(0.0), q * q + u * u - error * error))).alias("intensity"), r6(F.degrees(F.atan2(u, q) * 0.5)).alias("angle"))
+    return b.select(*planes, "y", "x", F.sqrt(F.greatest(F.lit(0.0), q * q + u * u - error * error)).alias("intensity"), F.degrees(F.atan2(u, q) * 0.5).alias("angle"))
 
 
 def source_estimate(px: DataFrame, inside: Column, by: list[str]) -> DataFrame:
     """One Gaussian a group from the moments of its positive pixels: flux, centre, and widths at half maximum along x and y."""
-    w = micro(finite(F.col("v")))
-    df = px.where(inside).withColumn("w", w).where("w > 0")
-    x, y, weight = F.col("x").cast("long"), F.col("y").cast("long"), F.col("w")
+    df = px.where(inside).withColumn("w", finite(F.col("v"))).where("w > 0")
+    x, y, weight = F.col("x").cast("double"), F.col("y").cast("double"), F.col("w")
     s = df.groupBy(*by).agg(F.sum(weight).alias("s"), F.sum(weight * x).alias("sx"), F.sum(weight * y).alias("sy"), F.sum(weight * x * x).alias("sxx"), F.sum(weight * y * y).alias("syy"))
     mean = lambda c: F.col(c) / F.col("s")
-    wide = lambda a: r6(2 * math.sqrt(2 * math.log(2)) * F.sqrt(F.greatest(F.lit(0.0), mean(f"s{a}{a}") - mean(f"s{a}") * mean(f"s{a}"))))
-    return s.select(*by, (F.col("s") / 1e6).alias("flux"), r6(mean("sx")).alias("x"), r6(mean("sy")).alias("y"), wide("x").alias("fwhm_x"), wide("y").alias("fwhm_y"))
+    wide = lambda a: 2 * math.sqrt(2 * math.log(2)) * F.sqrt(F.greatest(F.lit(0.0), mean(f"s{a}{a}") - mean(f"s{a}") * mean(f"s{a}")))
+    return s.select(*by, F.col("s").alias("flux"), mean("sx").alias("x"), mean("sy").alias("y"), wide("x").alias("fwhm_x"), wide("y").alias("fwhm_y"))
 
 
 def frames(requests: DataFrame) -> DataFrame:
@@ -73,7 +85,14 @@ def frames(requests: DataFrame) -> DataFrame:
 
 
 def tile_payload(filled: DataFrame, planes: list[str]) -> DataFrame:
-    """One row a tile: its pixels row by row as millionths (NULL where none is known), for a client to decode."""
-    cell = F.struct("dy", "dx", micro(finite(F.col("v"))).alias("m"))
+    """One row a tile: its samples row by row as 32-bit floats (NULL where none is known), without compression."""
+    cell = F.struct("dy", "dx", finite(F.col("v")).cast("float").alias("m"))
     return filled.groupBy(*planes, "ty", "tx").agg(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["m"]).alias("payload"))
 
+
+
+def polarisation(q: Column, u: Column, v: Column, i: Column) -> dict[str, Column]:
+    """Linear and total polarised intensity, their fractions of I, and the angle in degrees; a fraction of I = 0 is NULL."""
+    linear, total = F.sqrt(q * q + u * u), F.sqrt(q * q + u * u + v * v)
+    part = lambda p: F.when(i != 0, p / i)
+    return {"plinear": linear, "ptotal": total, "pflinear": part(linear), "pftotal": part(total), "pangle": F.degrees(F.atan2(u, q) * 0.5)}

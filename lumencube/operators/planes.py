@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import finite, micro
+from ..functions.expr import finite
 
 
 def slab(px: DataFrame, **ranges: tuple[int, int] | int) -> DataFrame:
@@ -19,20 +19,18 @@ def block_mean(px: DataFrame, factor: int, planes: list[str]) -> DataFrame:
     """Mean of the finite pixels of each factor x factor block; edge blocks may be partial; none finite: NULL."""
     key = [*planes, F.floor(F.col("y") / factor).cast("int").alias("y"), F.floor(F.col("x") / factor).cast("int").alias("x")]
     f = finite(F.col("v"))
-    return px.groupBy(*key).agg(F.sum(micro(f)).alias("s"), F.count(f).alias("n")).select(
-        *planes, "y", "x", F.when(F.col("n") > 0, F.col("s") / F.col("n") / 1e6).alias("v")
-    )
+    return px.groupBy(*key).agg(F.avg(f).alias("v")).select(*planes, "y", "x", "v")
 
 
 def pyramid(px: DataFrame, levels: int, planes: list[str]) -> DataFrame:
     """block_mean for factors 1, 2, 4 ... in one pass: sums and counts of a level are made from the level below."""
     f = finite(F.col("v"))
-    at = px.groupBy(*planes, "y", "x").agg(F.sum(micro(f)).alias("s"), F.count(f).alias("n"))
+    at = px.groupBy(*planes, "y", "x").agg(F.sum(f).alias("s"), F.count(f).alias("n"))
     out = None
     for k in range(levels):
         if k:
             at = at.groupBy(*planes, F.shiftright("y", 1).alias("y"), F.shiftright("x", 1).alias("x")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-        level = at.select(F.lit(1 << k).alias("mip"), *planes, "y", "x", F.when(F.col("n") > 0, F.col("s") / F.col("n") / 1e6).alias("v"))
+        level = at.select(F.lit(1 << k).alias("mip"), *planes, "y", "x", F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("v"))
         out = level if out is None else out.unionByName(level)
     return out
 
@@ -61,8 +59,7 @@ def nan_fill(cut: DataFrame, planes: list[str]) -> DataFrame:
     """NaN pixels get the mean of what is not NaN in their 4 x 4 block; a block of NaN alone stays NULL."""
     w = Window.partitionBy(*planes, "ty", "tx", F.floor(F.col("dy") / 4), F.floor(F.col("dx") / 4))
     good = F.when(~F.isnan("v"), F.col("v"))
-    mean = F.sum(micro(good)).over(w) / F.count(good).over(w) / 1e6
-    return cut.select(*planes, "ty", "tx", "dy", "dx", F.coalesce(good, mean).alias("v"))
+    return cut.select(*planes, "ty", "tx", "dy", "dx", F.coalesce(good, F.avg(good).over(w)).alias("v"))
 
 
 def bounds(px: DataFrame, planes: list[str]) -> DataFrame:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+from time import perf_counter
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import finite, micro, r6
+from ..functions.expr import finite
 
 
 def nine(f: Column, beam: float = 1.0) -> list[Column]:
     """Sum, flux density, mean, RMS, sigma, sum of squares, min, max, extremum of finite values; none: NULL."""
     lo, hi = F.min(f), F.max(f)
     return [
-        (F.sum(micro(f)) / 1e6).alias("sum"), r6(F.sum(micro(f)) / 1e6 / beam).alias("flux_density"), r6(F.avg(f)).alias("mean"),
-        r6(F.sqrt(F.avg(f * f))).alias("rms"), r6(F.stddev_pop(f)).alias("sigma"), r6(F.sum(f * f)).alias("sum_sq"),
+        F.sum(f).alias("sum"), (F.sum(f) / beam).alias("flux_density"), F.avg(f).alias("mean"),
+        F.sqrt(F.avg(f * f)).alias("rms"), F.stddev_pop(f).alias("sigma"), F.sum(f * f).alias("sum_sq"),
         lo.alias("min"), hi.alias("max"), F.when(F.abs(hi) >= F.abs(lo), hi).otherwise(lo).alias("extrema"),
     ]
 
@@ -38,31 +41,58 @@ def progressive(px: DataFrame, inside: Column, step: int) -> DataFrame:
     """What a client holds after each slab of `step` channels: channels done, their pixels, sum and mean so far."""
     f = finite(F.col("v"))
     each = px.where(inside).groupBy(F.floor(F.col("channel") / step).cast("int").alias("slab")).agg(
-        F.countDistinct("channel").alias("c"), F.sum(micro(f)).alias("s"), F.count(f).alias("n")
+        F.countDistinct("channel").alias("c"), F.sum(f).alias("s"), F.count(f).alias("n")
     )
     w = Window.orderBy("slab")  # one row a slab
     return each.select(
-        "slab", F.sum("c").over(w).alias("channels"), F.sum("n").over(w).alias("n"), (F.sum("s").over(w) / 1e6).alias("sum"),
-        r6(F.sum("s").over(w) / F.sum("n").over(w) / 1e6).alias("mean"),
+        "slab", F.sum("c").over(w).alias("channels"), F.sum("n").over(w).alias("n"), F.sum("s").over(w).alias("sum"),
+        (F.sum("s").over(w) / F.sum("n").over(w)).alias("mean"),
     )
 
 
-def moments(px: DataFrame, crval: float = 1.0e9, cdelt: float = 1.0e6, crpix: float = 1.0) -> DataFrame:
-    """The 13 moments of each (y, x) over the channels with finite values, with c the channel's coordinate in MHz."""
+def adaptive(read: Callable[[int, int], DataFrame], channels: int, target_ms: float = 1000.0, first: int = 10) -> Iterator[tuple[int, int, list[Row], float]]:
+    """Runs a spectrum slab by slab: (from, to, rows, ms) of each, the next slab's size scaled by target over time taken.
+
+    read(from, to): the statistics of these channels, a row a channel; a reader that prunes by channel makes a slab cost
+    its own bytes alone. The driver holds one slab's rows.
+    """
+    at, size = 0, max(1, min(first, channels))
+    while at < channels:
+        to, began = min(at + size, channels), perf_counter()
+        rows = read(at, to).collect()
+        took = max(1e-3, (perf_counter() - began) * 1000)
+        yield at, to, rows, took
+        at, size = to, int(max(1, min((to - at) * target_ms / took, channels)))
+
+
+def moments(
+    px: DataFrame, crval: float = 1.0e9, cdelt: float = 1.0e6, crpix: float = 1.0, channels: tuple[int, int] | None = None,
+    values: tuple[float, float] | None = None, planes: tuple[str, ...] = (),
+) -> DataFrame:
+    """The 13 moments of each (y, x), and of each of `planes`, over the channels with finite values.
+
+    c is a channel's coordinate in MHz; channels: a half-open range; values: only pixels inside this closed range count.
+    Weighted coordinate and dispersion are NULL where the values add up to 0, dispersion also where its square is negative.
+    The median holds all values of a (y, x) at once: as many as there are channels.
+    """
+    if channels:
+        px = px.where((F.col("channel") >= channels[0]) & (F.col("channel") < channels[1]))
     px = px.withColumn("v", finite(F.col("v"))).where("v is not null")
-    px = px.withColumn("c", (F.lit(crval) + (F.col("channel") + 1 - crpix) * cdelt) / 1e6)
-    at = Window.partitionBy("y", "x")
-    run = F.sum(micro(F.col("v"))).over(at.orderBy("channel"))
-    px = px.withColumns({"dev": F.abs(F.col("v") - F.avg("v").over(at)), "half": run * 2 >= F.sum(micro(F.col("v"))).over(at)})
-    v, c = F.col("v"), F.col("c")
-    total = F.sum(micro(v)) / 1e6
-    ok = F.abs(total) > 1e-3
-    m1 = F.sum(v * c) / F.sum(v)
-    return px.groupBy("y", "x").agg(
-        r6(F.avg(v)).alias("mean"), (total * abs(cdelt) / 1e6).alias("integrated"), F.when(ok, F.round(m1, 2)).alias("weighted_coord"),
-        F.when(ok & (F.sum(v * (c - 1000) * (c - 1000)) / F.sum(v) - (m1 - 1000) * (m1 - 1000) > 1e-6),
-               F.round(F.sqrt(F.sum(v * (c - 1000) * (c - 1000)) / F.sum(v) - (m1 - 1000) * (m1 - 1000)), 2)).alias("dispersion"),
-        r6(F.median(v)).alias("median"), F.min(F.when(F.col("half"), c)).alias("median_coord"), r6(F.stddev_pop(v)).alias("std"),
-        r6(F.sqrt(F.avg(v * v))).alias("rms"), r6(F.avg("dev")).alias("abs_dev"), F.max(v).alias("max"), F.max_by(c, F.struct(v, -F.col("channel"))).alias("max_coord"),
+    if values:
+        px = px.where(F.col("v").between(*values))
+    first = (crval + (1 - crpix) * cdelt) / 1e6  # sums of squares are taken from the first channel's coordinate on
+    px = px.withColumn("d", F.col("channel") * (cdelt / 1e6)).withColumn("c", F.lit(first) + F.col("d"))
+    key = [*planes, "y", "x"]
+    at = Window.partitionBy(*key)
+    run = F.sum("v").over(at.orderBy("channel"))
+    px = px.withColumns({"dev": F.abs(F.col("v") - F.avg("v").over(at)), "half": run * 2 >= F.sum("v").over(at)})
+    v, c, d = F.col("v"), F.col("c"), F.col("d")
+    total = F.sum(v)
+    m1 = F.when(total != 0, F.sum(v * d) / total)
+    square = F.when(total != 0, F.sum(v * d * d) / total) - m1 * m1
+    return px.groupBy(*key).agg(
+        F.avg(v).alias("mean"), (total * abs(cdelt) / 1e6).alias("integrated"), (m1 + first).alias("weighted_coord"), F.when(square >= 0, F.sqrt(square)).alias("dispersion"),
+        F.median(v).alias("median"), F.min(F.when(F.col("half"), c)).alias("median_coord"), F.stddev_pop(v).alias("std"),
+        F.sqrt(F.avg(v * v)).alias("rms"), F.avg("dev").alias("abs_dev"), F.max(v).alias("max"), F.max_by(c, F.struct(v, -F.col("channel"))).alias("max_coord"),
         F.min(v).alias("min"), F.min_by(c, F.struct(v, F.col("channel"))).alias("min_coord"),
     )

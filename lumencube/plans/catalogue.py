@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import beam_area, finite, in_polygon, in_rectangle, layer_to_mip, micro, mip_to_layer, r6, tile_id, tile_parts
+from ..functions.expr import beam_area, finite, in_polygon, in_rectangle, layer_to_mip, mip_to_layer, tile_id, tile_parts
 from ..operators import metadata as M
 from ..operators import planes as P
 from ..operators import regions as R
@@ -48,11 +48,17 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    """Results are compared with SQL, whose sums add in another order: to the millionth, here and in the SQL alone."""
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
 def _nulls(df: DataFrame, c: str = "v") -> DataFrame:
     return df.withColumn(c, F.when(~F.isnan(c), F.col(c)))
 
 
-_NINE = """count(v) AS n, sum(round(v * 1e6)::BIGINT) / 1e6 AS sum, round(sum(round(v * 1e6)::BIGINT) / 1e6 / {beam}, 6) AS flux_density,
+_STATS = ("sum", "flux_density", "mean", "rms", "sigma", "sum_sq")
+_NINE = """count(v) AS n, round(sum(v), 6) AS sum, round(sum(v) / {beam}, 6) AS flux_density,
 round(avg(v), 6) AS mean, round(sqrt(avg(v * v)), 6) AS rms, round(stddev_pop(v), 6) AS sigma, round(sum(v * v), 6) AS sum_sq,
 min(v) AS min, max(v) AS max, CASE WHEN abs(max(v)) >= abs(min(v)) THEN max(v) ELSE min(v) END AS extrema"""
 
@@ -81,10 +87,10 @@ def spatial_profiles(spark, d):
     return along_x.unionByName(P.slab(px, x=21).select(F.lit("y").alias("coordinate"), F.col("y").alias("pos"), "v"))
 
 
-@query(_PX + "SELECT x // 2 AS pos, CASE WHEN count(v) > 0 THEN sum(round(v * 1e6)::BIGINT) / count(v) / 1e6 END AS v FROM px WHERE channel = 2 AND y // 2 = 8 GROUP BY 1")
+@query(_PX + "SELECT x // 2 AS pos, round(avg(v), 6) AS v FROM px WHERE channel = 2 AND y // 2 = 8 GROUP BY 1")
 def spatial_profile_mip(spark, d):
     px = P.slab(cubes.emb3d_nan(spark, d, (2, 3)), channel=2, y=(16, 18))
-    return P.block_mean(px, 2, ["channel"]).select(F.col("x").alias("pos"), "v")
+    return rounded(P.block_mean(px, 2, ["channel"]).select(F.col("x").alias("pos"), "v"), "v")
 
 
 @query("SELECT event_id, trunc(value)::INTEGER AS x, trunc(value * 3 - 40)::INTEGER AS y, (trunc(value) >= 0 AND trunc(value) < 64 AND trunc(value * 3 - 40) >= 0 AND trunc(value * 3 - 40) < 50) AS inside FROM events")
@@ -98,28 +104,31 @@ k AS (SELECT *, unnest(generate_series(start // chunk, (stop - 1) // chunk)) AS
 SELECT id, k AS chunk_no, greatest(start - k * chunk, 0) AS chunk_from, least(stop - k * chunk, chunk) AS chunk_to,
 k * chunk + greatest(start - k * chunk, 0) - start AS out_from, k * chunk + least(stop - k * chunk, chunk) - start AS out_to FROM k""")
 def chunk_plan(spark, d):
-    s = _table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 97).alias("start"), (F.col("l_partkey") % 97 + F.col("l_suppkey") % 41).alias("stop"), F.lit(16).cast("long").alias("chunk"))
-    return M.chunk_plan(s)
+    s = _table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 97).alias("start"), (F.col("l_partkey") % 97 + F.col("l_suppkey") % 41).alias("stop"), F.lit(16).alias("chunk"))
+    ends = F.struct("start", "stop", F.lit(False).alias("scalar"))
+    p = M.chunk_plan(s.select("id", F.array(F.lit(200)).alias("shape"), F.array("chunk").alias("chunks"), F.array(ends).alias("index")), 1)
+    at = lambda c, e: F.get(c, F.lit(0))[e]
+    return p.select("id", F.get("coords", F.lit(0)).alias("chunk_no"), at("chunk_slice", "start").alias("chunk_from"), at("chunk_slice", "stop").alias("chunk_to"), at("out_slice", "start").alias("out_from"), at("out_slice", "stop").alias("out_to"))
 
 
 # Downsampling and tiles
 def _mip_sql(f: int, table: str = "px", by: str = "channel") -> str:
-    return _PX + f"SELECT {by}, y // {f} AS y, x // {f} AS x, CASE WHEN count(v) > 0 THEN sum(round(v * 1e6)::BIGINT) / count(v) / 1e6 END AS v FROM {table} GROUP BY ALL"
+    return _PX + f"SELECT {by}, y // {f} AS y, x // {f} AS x, round(avg(v), 6) AS v FROM {table} GROUP BY ALL"
 
 
 @query(_mip_sql(2))
 def mip_plane_2(spark, d):
-    return P.block_mean(cubes.emb3d_nan(spark, d), 2, ["channel"])
+    return rounded(P.block_mean(cubes.emb3d_nan(spark, d), 2, ["channel"]), "v")
 
 
 @query(_mip_sql(8, "li", "stokes, channel"))
 def mip_plane_8_sparse(spark, d):
-    return P.block_mean(cubes.li4d(spark, d), 8, ["stokes", "channel"])
+    return rounded(P.block_mean(cubes.li4d(spark, d), 8, ["stokes", "channel"]), "v")
 
 
-@query(_PX + " UNION ALL ".join(f"SELECT {f} AS mip, channel, y // {f} AS y, x // {f} AS x, CASE WHEN count(v) > 0 THEN sum(round(v * 1e6)::BIGINT) / count(v) / 1e6 END AS v FROM px GROUP BY ALL" for f in (1, 2, 4, 8)))
+@query(_PX + " UNION ALL ".join(f"SELECT {f} AS mip, channel, y // {f} AS y, x // {f} AS x, round(avg(v), 6) AS v FROM px GROUP BY ALL" for f in (1, 2, 4, 8)))
 def mip_pyramid(spark, d):
-    return P.pyramid(cubes.emb3d_nan(spark, d), 4, ["channel"])
+    return rounded(P.pyramid(cubes.emb3d_nan(spark, d), 4, ["channel"]), "v")
 
 
 @query("""WITH s AS (SELECT p_partkey, (p_partkey % 5)::INTEGER AS layer, (300 + p_partkey % 7000)::INTEGER AS h, (200 + p_partkey * 7 % 9000)::INTEGER AS w FROM part)
@@ -157,10 +166,10 @@ def nan_rle(spark, d):
 
 
 @query(_PX + """, t AS (SELECT channel, y // 16 AS ty, x // 16 AS tx, y % 16 AS dy, x % 16 AS dx, v FROM px)
-SELECT channel, ty, tx, dy, dx, coalesce(v, sum(round(v * 1e6)::BIGINT) OVER w / count(v) OVER w / 1e6) AS v FROM t
+SELECT channel, ty, tx, dy, dx, round(coalesce(v, avg(v) OVER w), 6) AS v FROM t
 WINDOW w AS (PARTITION BY channel, ty, tx, dy // 4, dx // 4)""")
 def nan_fill_4x4(spark, d):
-    return P.nan_fill(P.tiles(cubes.emb3d_nan(spark, d), 16, ["channel"]), ["channel"])
+    return rounded(P.nan_fill(P.tiles(cubes.emb3d_nan(spark, d), 16, ["channel"]), ["channel"]), "v")
 
 
 # Histograms
@@ -194,7 +203,7 @@ sum(n * (lo + (bin + 0.5) * ((hi - lo) / bins)) * (lo + (bin + 0.5) * ((hi - lo)
 SELECT channel, round(s / n, 6) AS mean, round(sqrt(greatest(0, q / n - (s / n) * (s / n))), 6) AS sigma FROM s""")
 def histogram_mean_sigma(spark, d):
     m = P.histogram_moments(P.histogram(cubes.emb3d_nan(spark, d), ["channel"]), ["channel"])
-    return m.select("channel", r6(F.col("mean")).alias("mean"), r6(F.col("sigma")).alias("sigma"))
+    return rounded(m, "mean", "sigma")
 
 
 # Regions
@@ -227,18 +236,18 @@ def region_mask_polygon(spark, d):
 
 @query(_PX + "SELECT channel, " + _NINE.format(beam=1.0) + " FROM px WHERE " + _INSIDE + " GROUP BY channel")
 def region_spectrum_9stats(spark, d):
-    return R.region_stats(cubes.emb3d_nan(spark, d), _inside() & F.col("y").between(5, 31), ["channel"])
+    return rounded(R.region_stats(cubes.emb3d_nan(spark, d), _inside() & F.col("y").between(5, 31), ["channel"]), *_STATS)
 
 
 @query(_PX + "SELECT stokes, channel, " + _NINE.format(beam=repr(BEAM)) + " FROM li WHERE " + _INSIDE + " GROUP BY ALL")
 def region_stat_flux(spark, d):
-    return R.region_stats(cubes.li4d(spark, d), _inside(), ["stokes", "channel"], BEAM)
+    return rounded(R.region_stats(cubes.li4d(spark, d), _inside(), ["stokes", "channel"], BEAM), *_STATS)
 
 
-@query(_PX + "SELECT stokes, channel, count(v) AS n, sum(round(v * 1e6)::BIGINT) / 1e6 AS sum, min(v) AS min, max(v) AS max FROM li GROUP BY ROLLUP(stokes, channel)")
+@query(_PX + "SELECT stokes, channel, count(v) AS n, round(sum(v), 6) AS sum, min(v) AS min, max(v) AS max FROM li GROUP BY ROLLUP(stokes, channel)")
 def stats_rollup(spark, d):
     f = finite(F.col("v"))
-    return cubes.li4d(spark, d).rollup("stokes", "channel").agg(F.count(f).alias("n"), (F.sum(micro(f)) / 1e6).alias("sum"), F.min(f).alias("min"), F.max(f).alias("max"))
+    return cubes.li4d(spark, d).rollup("stokes", "channel").agg(F.count(f).alias("n"), F.round(F.sum(f), 6).alias("sum"), F.min(f).alias("min"), F.max(f).alias("max"))
 
 
 @query(_PX + """SELECT channel, count(v) AS num_pixels, count(*) - count(v) AS nan_count, min(x) AS blc_x, min(y) AS blc_y, max(x) AS trc_x, max(y) AS trc_y,
@@ -254,27 +263,27 @@ def stats_full(spark, d):
     )
 
 
-@query(_PX + ", e2 AS (SELECT channel // 3 AS slab, count(DISTINCT channel) AS c, sum(round(v * 1e6)::BIGINT) AS s, count(v) AS n FROM px WHERE " + _INSIDE + """ GROUP BY 1)
-SELECT slab, (sum(c) OVER w)::BIGINT AS channels, (sum(n) OVER w)::BIGINT AS n, sum(s) OVER w / 1e6 AS sum, round(sum(s) OVER w / sum(n) OVER w / 1e6, 6) AS mean FROM e2 WINDOW w AS (ORDER BY slab)""")
+@query(_PX + ", e2 AS (SELECT channel // 3 AS slab, count(DISTINCT channel) AS c, sum(v) AS s, count(v) AS n FROM px WHERE " + _INSIDE + """ GROUP BY 1)
+SELECT slab, (sum(c) OVER w)::BIGINT AS channels, (sum(n) OVER w)::BIGINT AS n, round(sum(s) OVER w, 6) AS sum, round(sum(s) OVER w / sum(n) OVER w, 6) AS mean FROM e2 WINDOW w AS (ORDER BY slab)""")
 def progressive_spectrum(spark, d):
-    return R.progressive(cubes.emb3d_nan(spark, d), _inside(), 3)
+    return rounded(R.progressive(cubes.emb3d_nan(spark, d), _inside(), 3), "sum", "mean")
 
 
 @query(_PX + """, c AS (SELECT *, (1.0e9 + channel * 1.0e6) / 1e6 AS c, avg(v) OVER (PARTITION BY y, x) AS m FROM px WHERE v IS NOT NULL)
-SELECT y, x, round(avg(v), 6) AS mean, sum(round(v * 1e6)::BIGINT) / 1e6 AS integrated, round(median(v), 6) AS median, round(stddev_pop(v), 6) AS std, round(sqrt(avg(v * v)), 6) AS rms,
+SELECT y, x, round(avg(v), 6) AS mean, round(sum(v), 6) AS integrated, round(median(v), 6) AS median, round(stddev_pop(v), 6) AS std, round(sqrt(avg(v * v)), 6) AS rms,
 round(avg(abs(v - m)), 6) AS abs_dev, max(v) AS max, arg_max(c, (v, -channel)) AS max_coord, min(v) AS min, arg_min(c, (v, channel)) AS min_coord FROM c GROUP BY ALL""")
 def moments_plain(spark, d):
-    return R.moments(cubes.emb3d_nan(spark, d)).drop("weighted_coord", "dispersion", "median_coord")
+    m = R.moments(cubes.emb3d_nan(spark, d)).drop("weighted_coord", "dispersion", "median_coord")
+    return rounded(m, "mean", "integrated", "median", "std", "rms", "abs_dev")
 
 
 @query(_PX + """, c AS (SELECT y, x, channel, v + 1 AS v, (1.0e9 + channel * 1.0e6) / 1e6 AS c FROM px WHERE v IS NOT NULL),
-r AS (SELECT *, sum(round(v * 1e6)::BIGINT) OVER (PARTITION BY y, x ORDER BY channel) * 2 >= sum(round(v * 1e6)::BIGINT) OVER (PARTITION BY y, x) AS half FROM c)
-SELECT y, x, round(sum(v * c) / sum(v), 2) AS weighted_coord,
-CASE WHEN sum(v * (c - 1000) * (c - 1000)) / sum(v) - (sum(v * c) / sum(v) - 1000) * (sum(v * c) / sum(v) - 1000) > 1e-6 THEN round(sqrt(sum(v * (c - 1000) * (c - 1000)) / sum(v) - (sum(v * c) / sum(v) - 1000) * (sum(v * c) / sum(v) - 1000)), 2) END AS dispersion,
-min(c) FILTER (half) AS median_coord FROM r GROUP BY ALL""")
+r AS (SELECT *, sum(v) OVER (PARTITION BY y, x ORDER BY channel) * 2 >= sum(v) OVER (PARTITION BY y, x) AS half FROM c),
+s AS (SELECT y, x, sum(v * (c - 1000)) / sum(v) AS m, sum(v * (c - 1000) * (c - 1000)) / sum(v) AS q, min(c) FILTER (half) AS median_coord FROM r GROUP BY ALL)
+SELECT y, x, round(1000 + m, 4) AS weighted_coord, CASE WHEN q - m * m >= 0 THEN round(sqrt(q - m * m), 4) END AS dispersion, median_coord FROM s""")
 def moments_weighted(spark, d):
     px = cubes.emb3d_nan(spark, d).withColumn("v", F.col("v") + 1)
-    return R.moments(px).select("y", "x", "weighted_coord", "dispersion", "median_coord")
+    return rounded(R.moments(px).select("y", "x", "weighted_coord", "dispersion", "median_coord"), "weighted_coord", "dispersion", places=4)
 
 
 @query(_PX + """, s AS (SELECT channel, y, x, max(v) FILTER (stokes = 0) AS q, max(v) FILTER (stokes = 1) AS u, max(v) FILTER (stokes = 2) AS i FROM li GROUP BY ALL)
@@ -283,7 +292,7 @@ def stokes_derived(spark, d):
     at = lambda k: F.max(F.when(F.col("stokes") == k, F.col("v")))
     s = cubes.li4d(spark, d).groupBy("channel", "y", "x").agg(at(0).alias("q"), at(1).alias("u"), at(2).alias("i")).where("q IS NOT NULL AND u IS NOT NULL")
     p = F.sqrt(F.col("q") * F.col("q") + F.col("u") * F.col("u"))
-    return s.select("channel", "y", "x", r6(p).alias("plinear"), r6(p / F.col("i")).alias("pflinear"), r6(F.degrees(F.atan2("u", "q") * 0.5)).alias("pangle"))
+    return rounded(s.select("channel", "y", "x", p.alias("plinear"), (p / F.col("i")).alias("pflinear"), F.degrees(F.atan2("u", "q") * 0.5).alias("pangle")), "plinear", "pflinear", "pangle")
 
 
 @query("SELECT p_partkey, p_retailprice, p_brand FROM part WHERE p_retailprice >= 920 AND p_retailprice < 990 AND contains(p_brand, '3') ORDER BY p_retailprice DESC, p_partkey LIMIT 50 OFFSET 20")
@@ -336,7 +345,7 @@ def crtf_parse(spark, d):
     box = F.concat(F.lit("centerbox [["), x, F.lit(".0pix, "), y, F.lit(".5pix], ["), c("CAST(l_quantity AS INT)"), F.lit(".0pix, 6.0pix]] coord=J2000, color=#2ee6d6, linewidth="), c("l_linenumber"))
     k = F.col("l_linenumber") % 3
     lines = _table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"), F.when(k == 0, symbol).when(k == 1, box).otherwise("# note").alias("line"))
-    return M.parse_regions(lines)
+    return M.parse_regions(lines).drop("dash_list")
 
 
 _NAMES = "CASE p_partkey % 9 WHEN 0 THEN '.fits' WHEN 1 THEN '.FIT' WHEN 2 THEN '.zarr' WHEN 3 THEN '.h5' WHEN 4 THEN '.crtf' WHEN 5 THEN '.reg' WHEN 6 THEN '.txt' WHEN 7 THEN '.hdf5' ELSE '' END"

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import r6
 from ..operators import metadata as M
 from ..operators import overlays as O
 from ..operators import planes as P
 from ..sources import cubes, fits, zarr
 from ..sources.store import scratch
 from ..streaming import streams as S
-from .catalogue import _INSIDE, _PX, _inside, _nulls, _table, query
+from .catalogue import _INSIDE, _PX, _inside, _nulls, _table, query, rounded
 
 
 # Files: cubes that Spark writes in the format, read again
@@ -29,7 +28,7 @@ def _planes(spark: SparkSession, d: str) -> str:
 
 @query(_PX + "SELECT channel, y, x, v FROM px WHERE channel >= 1 AND channel < 8 AND y >= 5 AND y < 30")
 def fits_slab(spark, d):
-    px = fits.pixels(spark, _planes(spark, d)).where("channel >= 1 AND channel < 8 AND y >= 5 AND y < 30")
+    px = fits.pixels(spark, _planes(spark, d), channel=(1, 8), y=(5, 30))
     return _nulls(px.select("channel", "y", "x", "v"))
 
 
@@ -57,30 +56,30 @@ UNION ALL SELECT a.channel, 'y', a.y, a.x, a.v, b.v FROM px a JOIN px b ON a.cha
 SELECT channel, level, axis, y, x, round(y + CASE WHEN axis = 'y' THEN (level - a) / (b - a) ELSE 0 END, 6) AS at_y, round(x + CASE WHEN axis = 'x' THEN (level - a) / (b - a) ELSE 0 END, 6) AS at_x
 FROM edges, (VALUES (-0.1::DOUBLE), (0.15::DOUBLE)) AS l(level) WHERE a IS NOT NULL AND b IS NOT NULL AND (a < level) <> (b < level)""")
 def contours(spark, d):
-    return O.contour_crossings(cubes.emb3d_nan(spark, d), [-0.1, 0.15], ["channel"])
+    return rounded(O.contour_crossings(cubes.emb3d_nan(spark, d), [-0.1, 0.15], ["channel"]), "at_y", "at_x")
 
 
 _L = "sqrt(49.0 * 49.0 + 31.0 * 31.0)"
 
 
 @query(_PX + f""", c AS (SELECT channel, v, (x - 5.0) * (49.0 / {_L}) + (y - 7.0) * (31.0 / {_L}) AS along, abs((y - 7.0) * (49.0 / {_L}) - (x - 5.0) * (31.0 / {_L})) AS off FROM px)
-SELECT channel, floor(along)::INTEGER AS step, count(v) AS n, CASE WHEN count(v) > 0 THEN sum(round(v * 1e6)::BIGINT) / count(v) / 1e6 END AS v FROM c WHERE along >= 0 AND along < {_L} AND off <= 1.45 GROUP BY ALL""")
+SELECT channel, floor(along)::INTEGER AS step, count(v) AS n, round(avg(v), 6) AS v FROM c WHERE along >= 0 AND along < {_L} AND off <= 1.45 GROUP BY ALL""")
 def pv_image(spark, d):
-    return O.pv_cut(cubes.emb3d_nan(spark, d), (5.0, 7.0), (54.0, 38.0), 2.9)
+    return rounded(O.pv_cut(cubes.emb3d_nan(spark, d), (5.0, 7.0), (54.0, 38.0), 2.9), "v")
 
 
-@query(_PX + """, m AS (SELECT stokes, channel, y // 8 AS y, x // 8 AS x, sum(round(v * 1e6)::BIGINT) / count(v) / 1e6 AS v FROM li GROUP BY ALL),
+@query(_PX + """, m AS (SELECT stokes, channel, y // 8 AS y, x // 8 AS x, avg(v) AS v FROM li GROUP BY ALL),
 s AS (SELECT channel, y, x, max(v) FILTER (stokes = 0) AS q, max(v) FILTER (stokes = 1) AS u, max(v) FILTER (stokes = 2) AS i FROM m GROUP BY ALL)
 SELECT channel, y, x, round(sqrt(greatest(0, q * q + u * u - 2.5 * 2.5)), 6) AS intensity, round(degrees(atan2(u, q) * 0.5), 6) AS angle FROM s WHERE q IS NOT NULL AND u IS NOT NULL AND i >= 20.0""")
 def vector_overlay(spark, d):
-    return O.vectors(cubes.li4d(spark, d), 8, ["channel"], 20.0, 2.5)
+    return rounded(O.vectors(cubes.li4d(spark, d), 8, ["channel"], 20.0, 2.5), "intensity", "angle")
 
 
-@query(_PX + """, w AS (SELECT channel, x::BIGINT AS x, y::BIGINT AS y, round(v * 1e6)::BIGINT AS w FROM px WHERE v IS NOT NULL AND round(v * 1e6) > 0 AND """ + _INSIDE + """),
+@query(_PX + """, w AS (SELECT channel, x, y, v AS w FROM px WHERE v > 0 AND """ + _INSIDE + """),
 s AS (SELECT channel, sum(w) AS s, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * x * x) / sum(w) AS mxx, sum(w * y * y) / sum(w) AS myy FROM w GROUP BY channel)
-SELECT channel, s / 1e6 AS flux, round(mx, 6) AS x, round(my, 6) AS y, round(2 * sqrt(2 * ln(2)) * sqrt(greatest(0, mxx - mx * mx)), 6) AS fwhm_x, round(2 * sqrt(2 * ln(2)) * sqrt(greatest(0, myy - my * my)), 6) AS fwhm_y FROM s""")
+SELECT channel, round(s, 6) AS flux, round(mx, 6) AS x, round(my, 6) AS y, round(2 * sqrt(2 * ln(2)) * sqrt(greatest(0, mxx - mx * mx)), 6) AS fwhm_x, round(2 * sqrt(2 * ln(2)) * sqrt(greatest(0, myy - my * my)), 6) AS fwhm_y FROM s""")
 def gaussian_estimate(spark, d):
-    return O.source_estimate(cubes.emb3d_nan(spark, d), _inside(), ["channel"])
+    return rounded(O.source_estimate(cubes.emb3d_nan(spark, d), _inside(), ["channel"]), "flux", "x", "y", "fwhm_x", "fwhm_y")
 
 
 @query("""SELECT p_partkey AS id, step, 3 + (((p_partkey % 40 + step * (p_partkey % 5 - 2)) % 40 + 40) % 40) AS channel FROM part, LATERAL (SELECT unnest(range(1 + p_partkey % 6))::INTEGER AS step)""")
@@ -90,11 +89,11 @@ def animation_frames(spark, d):
 
 
 @query(_PX + """, t AS (SELECT channel, y // 16 AS ty, x // 16 AS tx, y % 16 AS dy, x % 16 AS dx, v FROM px),
-f AS (SELECT channel, ty, tx, dy, dx, coalesce(v, sum(round(v * 1e6)::BIGINT) OVER w / count(v) OVER w / 1e6) AS v FROM t WINDOW w AS (PARTITION BY channel, ty, tx, dy // 4, dx // 4))
-SELECT channel, ty, tx, count(*) AS pixels, md5(string_agg(round(v * 1e6)::BIGINT::VARCHAR, ',' ORDER BY dy, dx)) AS payload_md5 FROM f GROUP BY ALL""")
+f AS (SELECT channel, ty, tx, dy, dx, coalesce(v, avg(v) OVER w) AS v FROM t WINDOW w AS (PARTITION BY channel, ty, tx, dy // 4, dx // 4))
+SELECT channel, ty, tx, count(*) AS pixels, md5(string_agg(round(v::FLOAT::DOUBLE * 1e4)::BIGINT::VARCHAR, ',' ORDER BY dy, dx)) AS payload_md5 FROM f GROUP BY ALL""")
 def tile_payloads(spark, d):
     t = O.tile_payload(P.nan_fill(P.tiles(cubes.emb3d_nan(spark, d), 16, ["channel"]), ["channel"]), ["channel"])
-    text = F.concat_ws(",", F.col("payload").cast("array<string>"))
+    text = F.concat_ws(",", F.transform("payload", lambda v: F.round(v.cast("double") * 1e4).cast("long").cast("string")))
     return t.select("channel", "ty", "tx", F.size("payload").cast("long").alias("pixels"), F.md5(F.encode(text, "UTF-8")).alias("payload_md5"))
 
 
@@ -112,7 +111,7 @@ def header_beam(spark, d):
     p = F.col("p_partkey")
     beam = M.beam_record(F.when(p % 3 != 0, 0.001 + p % 7 * 0.0005), 0.001 + p % 5 * 0.0002, (p % 180).cast("double"))
     df = _table(spark, d, "part").select("p_partkey", beam.alias("b")).where("b IS NOT NULL")
-    return df.select("p_partkey", r6(F.col("b.major")).alias("major"), r6(F.col("b.minor")).alias("minor"), "b.angle", "b.channel")
+    return rounded(df.select("p_partkey", "b.major", "b.minor", "b.angle", "b.channel"), "major", "minor")
 
 
 @query("""WITH a AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'RA---SIN' WHEN 1 THEN 'DEC--SIN' WHEN 2 THEN 'FREQ-LSR' WHEN 3 THEN 'stokes' WHEN 4 THEN 'GLAT-CAR' ELSE 'OFFSET' END AS ctype FROM part)
@@ -141,32 +140,45 @@ def point_rounding(spark, d):
 # Streams
 @query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
 def stream_cursor_latest(spark, d):
-    e = S.files(spark, f"{d}/events.parquet").select("user_id", "event_type", "event_id", "value", "ts")
-    return S.land(S.latest(e, ["user_id", "event_type"], ["ts", "event_id"]), "complete").drop("ts", "batch")
+    e = S.replay(_table(spark, d, "events").select("user_id", "event_type", "event_id", "value", "ts"), "ts")
+    seen = S.land(S.latest(e, ["user_id", "event_type"], ["ts", "event_id"]), "update")  # a batch writes the keys that it changes
+    return S.latest(seen, ["user_id", "event_type"], ["batch"]).drop("ts", "batch")
 
 
-@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, sum(round(value * 1e6)::BIGINT) / 1e6 AS total FROM events GROUP BY ALL")
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL")
 def stream_hourly(spark, d):
-    return S.land(S.windows(S.files(spark, f"{d}/events.parquet"), "1 hour"), "complete").drop("batch")
+    """Windows that the watermark has closed: each is written once, and its state goes."""
+    return rounded(S.land(S.windows(S.replay(_table(spark, d, "events"), "ts"), "1 hour"), "append").drop("batch"), "total")
 
 
 @query("""WITH f AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER w + INTERVAL 30 MINUTE, true)::INTEGER AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM f)
-SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM s GROUP BY user_id, k""")
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def stream_sessions(spark, d):
-    return S.land(S.sessions(S.files(spark, f"{d}/events.parquet"), "30 minutes"), "complete").drop("batch")
+    """Sessions that the watermark has closed."""
+    return S.land(S.sessions(S.replay(_table(spark, d, "events"), "ts"), "30 minutes"), "append").drop("batch")
 
 
-@query(_PX + "SELECT channel, count(v) AS n, sum(round(v * 1e6)::BIGINT) / 1e6 AS sum, min(v) AS min, max(v) AS max FROM px WHERE " + _INSIDE + " GROUP BY channel")
+@query(_PX + "SELECT channel, count(v) AS n, round(sum(v), 6) AS sum, min(v) AS min, max(v) AS max FROM px WHERE " + _INSIDE + " GROUP BY channel")
 def stream_progressive_spectrum(spark, d):
-    px = cubes.emb3d_nan_pixels(S.files(spark, f"{d}/embeddings.parquet"))
-    return S.land(S.progressive_channels(px, _inside()), "complete").drop("batch")
+    px = cubes.emb3d_nan_pixels(S.replay(_table(spark, d, "embeddings"), "vec_id"))
+    seen = S.land(S.progressive_channels(px, _inside()), "update")
+    return rounded(S.latest(seen, ["channel"], ["batch"]).drop("batch"), "sum")
 
 
 @query("""WITH f AS (SELECT user_id, event_type, min(ts) AS first_ts, arg_min(event_id, (ts, event_id)) AS first_id FROM events GROUP BY ALL)
 SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY first_ts, first_id) AS region_id FROM f""")
 def stream_region_ids(spark, d):
-    seen = S.land(S.first_seen(S.files(spark, f"{d}/events.parquet")), "update")
+    seen = S.land(S.first_seen(S.replay(_table(spark, d, "events"), "ts")), "update")
     last = S.latest(seen, ["user_id", "event_type"], ["batch"])
     ordered = last.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("at", "event_id", "event_type"))).alias("r"))  # an entry a type
     return ordered.select("user_id", F.posexplode("r").alias("k", "e")).select("user_id", "e.event_type", (F.col("k") + 1).cast("long").alias("region_id"))
+
+
+@query("""WITH l AS (SELECT user_id, event_id % 7 AS region_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL)
+SELECT user_id, region_id, event_type, value, event_id FROM l WHERE event_type <> 'error'""")
+def stream_regions_live(spark, d):
+    """Regions that no removal ended, from the changes that every batch writes; events of one type stand for removals."""
+    e = _table(spark, d, "events").select("user_id", (F.col("event_id") % 7).alias("region_id"), "event_type", "value", "event_id", "ts")
+    seen = S.land(S.latest(S.replay(e, "ts"), ["user_id", "region_id"], ["ts", "event_id"]), "update")
+    return M.live_regions(seen, ["user_id", "region_id"], ["batch"], F.col("event_type") == "error").drop("ts", "batch")

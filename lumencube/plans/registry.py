@@ -1,6 +1,6 @@
 """All queries of the cube engine by name."""
 
-from . import extras
+from . import extras, more
 from .catalogue import CATALOGUE
 
-__all__ = ["CATALOGUE", "extras"]
+__all__ = ["CATALOGUE", "extras", "more"]

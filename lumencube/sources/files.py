@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,18 +12,50 @@ from ..operators.metadata import file_type, parse_regions
 from .store import locate
 
 
-def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """path, bytes, modified of all files below a folder, empty ones too; contents are not read.
+FILES = "path string, bytes long, modified timestamp"
 
-    Spark's own file sources pass over empty files, so the store is asked. A folder that can't be read gives no rows.
-    """
+
+def _found(folder: str, recursive: bool) -> list[pafs.FileInfo]:
+    fs, inside = locate(folder)
+    try:
+        return fs.get_file_info(pafs.FileSelector(inside, recursive=recursive))
+    except OSError:
+        return []
+
+
+def is_accessible(folder: str) -> bool:
+    """Whether a path is a folder that can be listed; False on any error of the store."""
     fs, inside = locate(folder)
     try:
-        found = fs.get_file_info(pafs.FileSelector(inside, recursive=True))
+        fs.get_file_info(pafs.FileSelector(inside))
+        return True
     except OSError:
-        found = []
-    rows = [(i.path, i.size, i.mtime) for i in found if i.type == pafs.FileType.File]
-    return spark.createDataFrame(rows, "path string, bytes long, modified timestamp")
+        return False
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """path, bytes, modified of all files below a folder, empty ones too; contents are not read.
+
+    Spark's own file sources pass over empty files, so the store is asked: the driver lists the folder itself, tasks what
+    is below each of its sub-folders. A folder that can't be read gives no rows.
+    """
+    import pandas as pd
+
+    top = _found(folder, False)
+    here = spark.createDataFrame([(i.path, i.size, i.mtime) for i in top if i.type == pafs.FileType.File], FILES)
+    prefix = folder.removesuffix(locate(folder)[1])  # of a store's paths
+    below = [(prefix + i.path,) for i in top if i.type == pafs.FileType.Directory]
+    if not below:
+        return here
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path in b["folder"]:
+                rows = [(i.path, i.size, i.mtime) for i in _found(path, True) if i.type == pafs.FileType.File]
+                yield pd.DataFrame(rows, columns=["path", "bytes", "modified"])
+
+    folders = spark.createDataFrame(below, "folder string").repartition(min(len(below), 256))
+    return here.unionByName(folders.mapInPandas(walk, FILES))
 
 
 def entries(files: DataFrame) -> DataFrame:

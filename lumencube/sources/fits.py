@@ -1,21 +1,25 @@
-"""FITS images as tables: spark.read.format("fits") gives pixels, format("fits_header") the cards; write_planes is the sink.
+"""FITS images as tables: pixels() and cards(), also as the formats "fits" and "fits_header"; write_planes is the sink.
 
-Pixels: file, time, stokes, channel, y, x, v (double; BSCALE and BZERO applied, BLANK is NaN). Filters on time, stokes,
-channel and y choose the byte ranges that are read, so a plane or a slab of a large cube costs its own bytes alone.
-A partition is some rows of one file, at most `band_mb` (32) of them; a file larger than memory is read by many tasks.
+Pixels: file, time, stokes, channel, y, x, v (double; BSCALE and BZERO applied, BLANK is NaN). pixels() reads all headers
+in tasks into an index, a row an image; bands of rows are made from it by expressions and dealt to tasks by their bytes, so
+small files share a task and one larger than memory is read by many. Ranges of time, stokes, channel and y choose the bands,
+so a plane or a slab of a large cube costs its own bytes alone. The formats plan on the driver instead: for a few files.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as D
+from pyspark.sql import functions as F
 
-from .store import list_files, locate, write_file
+from .store import list_files, locate, scratch, write_file
 
 BLOCK, CARD = 2880, 80
 # The format's sample types (big-endian) and the start of an axis's type.
@@ -77,11 +81,35 @@ def data_bytes(values: dict[str, str]) -> int:
     return abs(int(values["BITPIX"])) // 8 * int(values.get("GCOUNT", 1)) * (int(values.get("PCOUNT", 0)) + count)
 
 
-def first_image(path: str) -> tuple[dict[str, str], int] | None:
-    """Header values and start of the data of a file's first image."""
+def images(path: str) -> list[tuple[int, dict[str, str], int]]:
+    """hdu, header values and start of the data of a file's images; tables and empty units are left out."""
     fs, inside = locate(path)
     with fs.open_input_file(inside) as f:
-        return next(((v, at) for _, v, at in headers(f) if data_bytes(v) and v.get("XTENSION") not in ("BINTABLE", "TABLE")), None)
+        return [(k, v, at) for k, (_, v, at) in enumerate(headers(f)) if data_bytes(v) and v.get("XTENSION") not in ("BINTABLE", "TABLE")]
+
+
+def first_image(path: str) -> tuple[dict[str, str], int] | None:
+    """Header values and start of the data of a file's first image."""
+    return next(((v, at) for _, v, at in images(path)), None)
+
+
+def axes_of(path: str, values: dict[str, str]) -> tuple[int, int, list[tuple[str | None, int]], dict[str, int]]:
+    """Width, height, (role, size) of the further axes, and the first place of each role. An axis without a known type takes a
+    role that is left; with more axes than time, stokes and channel there is no such cube."""
+    n = shape(values) + [1] * max(0, 2 - int(values["NAXIS"]))
+    roles = [next((r for k, r in ROLES.items() if values.get(f"CTYPE{i + 3}", "").upper().startswith(k)), None) for i in range(len(n) - 2)]
+    spare = [r for r in ("channel", "stokes", "time") if r not in roles]
+    roles = [r or (spare.pop(0) if spare and size > 1 else None) for r, size in zip(roles, n[2:], strict=True)]
+    if any(r is None and size > 1 for r, size in zip(roles, n[2:], strict=True)) or len({r for r in roles if r}) < sum(r is not None for r in roles):
+        raise ValueError(f"{path}: more axes than time, stokes and channel")
+    return n[0], n[1], list(zip(roles, n[2:], strict=True)), {r: int(values.get(f"FIRST{r[:3].upper()}", 0)) for r in ("channel", "stokes", "time")}
+
+
+def samples(raw: np.ndarray, bitpix: int, bscale: float | None, bzero: float | None, blank: float | None) -> np.ndarray:
+    v = raw.astype("f8")
+    if blank is not None and bitpix > 0:
+        v[raw == int(blank)] = np.nan
+    return v * (1.0 if bscale is None else bscale) + (bzero or 0.0)
 
 
 class _Reader(D.DataSourceReader):
@@ -126,19 +154,13 @@ class PixelReader(_Reader):
             if image is None:
                 continue
             values, start = image
-            n = shape(values) + [1] * max(0, 2 - int(values["NAXIS"]))
-            roles = [next((r for k, r in ROLES.items() if values.get(f"CTYPE{i + 3}", "").upper().startswith(k)), None) for i in range(len(n) - 2)]
-            spare = [r for r in ("channel", "stokes", "time") if r not in roles]
-            roles = [r or (spare.pop(0) if spare and size > 1 else None) for r, size in zip(roles, n[2:], strict=True)]
-            if any(r is None and size > 1 for r, size in zip(roles, n[2:], strict=True)) or len({r for r in roles if r}) < sum(r is not None for r in roles):
-                raise ValueError(f"{path}: more axes than time, stokes and channel")
-            width, height, sample = n[0], n[1], abs(int(values["BITPIX"])) // 8
-            base = {r: int(values.get(f"FIRST{r[:3].upper()}", 0)) for r in ("channel", "stokes", "time")}
+            width, height, further, base = axes_of(path, values)
+            sample = abs(int(values["BITPIX"])) // 8
             scale = [float(values[k]) if k in values else None for k in ("BSCALE", "BZERO", "BLANK")]
             rows, per_part, runs, held = self._cut("y", height), max(1, most // (width * sample)), [], 0
-            for plane in range(int(np.prod(n[2:], dtype=np.int64))):
+            for plane in range(math.prod(size for _, size in further)):
                 at, left = dict(base), plane
-                for role, size in zip(roles, n[2:], strict=True):
+                for role, size in further:
                     if role:
                         at[role] += left % size
                     left //= size
@@ -168,13 +190,10 @@ class PixelReader(_Reader):
                     n = min(some, k - r)
                     f.seek(offset + r * width * kind.itemsize)
                     raw = np.frombuffer(f.read(n * width * kind.itemsize), kind)
-                    v = raw.astype("f8")
-                    if blank is not None and int(bitpix) > 0:
-                        v[raw == int(blank)] = np.nan
-                    v = v * (1.0 if bscale is None else bscale) + (bzero or 0.0)
+                    v = samples(raw, int(bitpix), bscale, bzero, blank)
                     same = lambda value: pa.array(np.full(n * width, value, "i4"))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([path] * (n * width)), same(time), same(stokes), same(channel), pa.array(np.repeat(np.arange(y + r, y + r + n, dtype="i4"), width)),
+                        [pa.repeat(pa.scalar(path), n * width), same(time), same(stokes), same(channel), pa.array(np.repeat(np.arange(y + r, y + r + n, dtype="i4"), width)),
                          pa.array(np.tile(np.arange(width, dtype="i4"), n)), pa.array(v)],
                         ["file", "time", "stokes", "channel", "y", "x", "v"],
                     )
@@ -225,9 +244,78 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FitsHeaderSource)
 
 
-def pixels(spark: SparkSession, path: str) -> DataFrame:
-    register(spark)
-    return spark.read.format("fits").load(path)
+INDEX = "file string, hdu int, nth int, start long, width int, height int, bitpix int, bscale double, bzero double, blank double, planes long, " + ", ".join(
+    f"{r}_first int, {r}_step long, {r}_size int" for r in ("time", "stokes", "channel")
+)
+
+
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """A row an image of the files at a path, made by tasks that read headers alone: where its data starts, its shape and scale,
+    and of each role the first place, how many planes further the next one is, and the size."""
+    names = [f.split()[0] for f in INDEX.split(", ")]
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for file in b["file"]:
+                rows = []
+                for nth, (hdu, values, start) in enumerate(images(file)):
+                    width, height, further, base = axes_of(file, values)
+                    step, of = 1, {r: (first, 1, 1) for r, first in base.items()}
+                    for role, size in further:
+                        if role:
+                            of[role] = (base[role], step, size)
+                        step *= size
+                    scale = [float(values[k]) if k in values else None for k in ("BSCALE", "BZERO", "BLANK")]
+                    rows.append((file, hdu, nth, start, width, height, int(values["BITPIX"]), *scale, step, *(v for r in ("time", "stokes", "channel") for v in of[r])))
+                yield pd.DataFrame(rows, columns=names).astype({"bscale": float, "bzero": float, "blank": float})
+
+    files = list_files(path, (".fits", ".fit", ".fts"))
+    named = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, min(len(files), 512)))
+    table = scratch(spark, "fits-index")
+    named.mapInPandas(describe, INDEX).write.parquet(table)
+    return spark.read.schema(INDEX).parquet(table)
+
+
+def pixels(spark: SparkSession, path: str, nth: int = 0, band_mb: float = 32, **ranges: tuple[int, int]) -> DataFrame:
+    """file, time, stokes, channel, y, x, v of each file's nth image, inside half-open ranges of the named axes (not x).
+
+    Bands of at most band_mb are read; each task gets about as many bytes, of many small files or a part of a large one.
+    """
+    size, most = F.abs("bitpix") / 8, int(band_mb * (1 << 20))
+    df = index(spark, path).where(F.col("nth") == nth).withColumn("plane", F.explode(F.sequence(F.lit(0).cast("long"), F.col("planes") - 1)))
+    for role in ("time", "stokes", "channel"):
+        place = F.col(f"{role}_first") + F.floor(F.col("plane") / F.col(f"{role}_step")) % F.col(f"{role}_size")
+        df = df.withColumn(role, place.cast("int"))
+        if role in ranges:
+            df = df.where((F.col(role) >= ranges[role][0]) & (F.col(role) < ranges[role][1]))
+    lo, hi = ranges.get("y", (0, 1 << 30))
+    df = df.withColumns({"y_lo": F.greatest(F.lit(0), F.lit(lo)), "y_hi": F.least("height", F.lit(hi)), "step": F.greatest(F.lit(1), F.floor(most / (F.col("width") * size)).cast("int"))})
+    df = df.where("y_hi > y_lo").withColumn("y", F.explode(F.sequence("y_lo", F.col("y_hi") - 1, "step")))
+    bands = df.select(
+        "file", "bitpix", "bscale", "bzero", "blank", "width", "time", "stokes", "channel", "y", F.least(F.col("step"), F.col("y_hi") - F.col("y")).alias("rows"),
+        (F.col("start") + (F.col("plane") * F.col("height") + F.col("y")) * F.col("width") * size).cast("long").alias("at"),
+    )
+    total = bands.agg(F.sum(F.col("rows") * F.col("width") * F.abs("bitpix") / 8)).first()[0] or 0
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                kind, width = np.dtype(SAMPLES[r["bitpix"]]), r["width"]
+                fs, inside = locate(r["file"])
+                with fs.open_input_file(inside) as f:
+                    some = max(1, 250_000 // width)  # rows a batch
+                    for k in range(0, r["rows"], some):
+                        n = min(some, r["rows"] - k)
+                        f.seek(r["at"] + k * width * kind.itemsize)
+                        v = samples(np.frombuffer(f.read(n * width * kind.itemsize), kind), r["bitpix"], r["bscale"], r["bzero"], r["blank"])
+                        first = r["y"] + k
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.repeat(pa.scalar(r["file"]), n * width), *(pa.repeat(pa.scalar(r[c], pa.int32()), n * width) for c in ("time", "stokes", "channel")),
+                             pa.array(np.repeat(np.arange(first, first + n, dtype="i4"), width)), pa.array(np.tile(np.arange(width, dtype="i4"), n)), pa.array(v)],
+                            ["file", "time", "stokes", "channel", "y", "x", "v"],
+                        )
+
+    return bands.repartition(max(1, -(-int(total) // most))).mapInArrow(read, PIXELS)
 
 
 def cards(spark: SparkSession, path: str) -> DataFrame:

@@ -12,9 +12,14 @@ _OWN_ROOT: list[str] = []
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder named in spark.checkpoint.dir; in an own folder only where that is unset, as in tests."""
+    """A new path in the shared folder named in spark.checkpoint.dir; in an own folder only where that is unset, as in tests.
+
+    On a cluster that is an error: other machines would not see the files.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN_ROOT:
             _OWN_ROOT.append(tempfile.mkdtemp(prefix="spark-cubes-"))
         root = _OWN_ROOT[0]
