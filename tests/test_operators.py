@@ -74,7 +74,8 @@ def test_faint_and_bright_cubes_keep_their_values(spark, scale):
     assert close(s.rms, math.sqrt(sum(v * v for v in good) / 7)) and close(s.sigma, math.sqrt(sum((v - sum(good) / 7) ** 2 for v in good) / 7))
     means = {(r.channel, r.y, r.x): r.v for r in P.block_mean(px, 2, ["channel"]).collect()}
     assert close(means[0, 0, 0], 3.5 * scale) and close(means[0, 0, 1], 20 / 3 * scale) and close(means[1, 0, 0], 7.0 * scale)
-    assert {(r.y, r.x): r.v for r in P.pyramid(px, 2, ["channel"]).where("mip = 2 and channel = 0").collect()} == {(0, 0): means[0, 0, 0], (0, 1): means[0, 0, 1]}
+    second = {(r.y, r.x): r.v for r in P.pyramid(px, 2, ["channel"]).where("mip = 2 and channel = 0").collect()}
+    assert len(second) == 2 and all(close(v, means[0, y, x]) for (y, x), v in second.items())
     filled = {(r.dy, r.dx): r.v for r in P.nan_fill(P.tiles(px.where("channel = 0"), 8, ["channel"]), ["channel"]).collect()}
     assert close(filled[0, 2], sum(good) / 7) and close(filled[1, 3], 9.0 * scale)
     m = {(r.y, r.x): r for r in R.moments(px).collect()}
@@ -185,6 +186,7 @@ def test_blocks_prune_and_come_back(spark, tmp_path):
     assert {tuple(r) for r in back.where("NOT isnan(v)").collect()} == set(rows) and back.count() == 3 * 21 * 30
     some = blocks.read(spark, path, ["channel"], (9.0, 0.0, 15.5, 7.0), 8).where("channel = 1")
     assert some.count() == 8 * 8 and some.where("x BETWEEN 8 AND 15 AND y < 8").count() == 64
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThanOrEqual(bx,1)" in plan and "EqualTo(channel,1)" in plan
 

@@ -6,6 +6,7 @@ import os
 import numpy as np
 import pytest
 
+from lumencube.operators import headers as H
 from lumencube.sources import cubes, files, fits, zarr
 from lumencube.sources.store import write_file
 from lumencube.streaming import streams as S
@@ -116,3 +117,80 @@ def test_state_over_many_batches(spark, tmp_path):
     assert seen.select("batch").distinct().count() == 4 and last.count() == want
     wrong = last.join(e.selectExpr("user_id", "event_type", "unix_micros(CAST(ts AS TIMESTAMP)) AS t"), ["user_id", "event_type"]).where("t < at").count()
     assert wrong == 0
+
+
+def zarr_group(path, nested=False, new=True):
+    """A small cube with coordinates, directions and a beam: 1 time, 4 frequencies, 1 polarisation, 5 x 6 places."""
+    def array(name, data, attributes=None, chunks=None, names=None):
+        data = np.asarray(data)
+        meta = {"zarr_format": 2, "shape": data.shape, "chunks": chunks or data.shape, "dtype": data.dtype.str, "order": "C", "compressor": None, "filters": None, "fill_value": 0}
+        if nested:
+            meta["dimension_separator"] = "/"
+        write_file(f"{path}/{name}/.zarray", json.dumps(meta).encode())
+        write_file(f"{path}/{name}/.zattrs", json.dumps((attributes or {}) | ({"_ARRAY_DIMENSIONS": names} if names else {})).encode())
+        step = chunks or data.shape
+        for at in np.ndindex(*(-(-n // c) for n, c in zip(data.shape, step))):
+            piece = np.zeros(step, data.dtype)
+            own = data[tuple(slice(a * c, a * c + c) for a, c in zip(at, step))]
+            piece[tuple(slice(0, n) for n in own.shape)] = own
+            write_file(f"{path}/{name}/{('/' if nested else '.').join(map(str, at))}", piece.tobytes())
+
+    way = {"reference": {"attrs": {"frame": "fk5", "equinox": "J2000.0"}, "data": [1.0, -0.5]}, "projection": "SIN"}
+    way |= {"latpole": {"data": 0.1}, "lonpole": {"data": np.pi}, "pc": {"_value": [[1.0, 0.0], [0.0, 1.0]]}} if new else {"latpole": {"value": 0.1}, "lonpole": {"value": np.pi}, "pc": [[1.0, 0.0], [0.0, 1.0]]}
+    data = np.arange(4 * 5 * 6, dtype="<f4").reshape(1, 4, 1, 5, 6)
+    sky = {"units": ["Jy/beam"], "obsdate": {"data": 59000.5, "attrs": {"format": "MJD", "scale": "utc"}}, "telescope": {"name": "DISH"}}
+    array("SKY", data, sky | ({} if new else {"direction_info": way, "user": {"bmaj": 0.002, "bmin": 0.001, "bpa": 30.0}}), (1, 2, 1, 3, 4), ["time", "frequency", "polarization", "l", "m"])
+    ref = {"data": 1.4e9, "attrs": {"units": ["Hz"], "observer": "lsrk"}}
+    array("frequency", 1.4e9 + 1e6 * np.arange(4.0), {"reference_value": ref, "rest_frequency": {"data": 1.42e9}})
+    array("l", (np.arange(5.0) - 2) * -1e-5)
+    array("m", (np.arange(6.0) - 3) * 1e-5)
+    array("polarization", np.array([1]))
+    array("time", np.array([59000.5]), {"units": ["d"]})
+    if new:
+        array("BEAM", np.deg2rad([[[[0.002, 0.001, 30.0]]]]))
+    write_file(f"{path}/.zattrs", json.dumps({"direction": way} if new else {}).encode())
+    return data
+
+
+@pytest.mark.parametrize("nested, new", [(False, True), (True, False)])
+def test_zarr_headers_and_nested_chunks(spark, tmp_path, nested, new):
+    path = str(tmp_path / "c.zarr")
+    data = zarr_group(path, nested, new)
+    got = {(r.channel, r.x, r.y): r.v for r in zarr.pixels(spark, path).collect()}
+    assert got == {(c, l, m): v for (_, c, _, l, m), v in np.ndenumerate(data)}
+    assert zarr.pixels(spark, path, channel=(2, 3), x=(1, 4)).count() == 3 * 6
+    h = zarr.header(path)
+    assert (h["NAXIS1"], h["NAXIS2"], h["NAXIS4"], h["CTYPE1"], h["BITPIX"], h["RADESYS"]) == (5, 6, 4, "RA---SIN", -32, "FK5")
+    assert (h["CRPIX1"], h["CRPIX2"], h["CDELT4"], h["BUNIT"], h["SPECSYS"], h["TELESCOP"]) == (3.0, 4.0, 1e6, "Jy/beam", "LSRK", "DISH")
+    assert np.isclose(h["BMAJ"], 0.002) and np.isclose(h["BPA"], 30) and np.isclose(h["CRVAL2"], np.rad2deg(-0.5)) and np.isclose(h["PIX_AREA"], np.rad2deg(1e-5) ** 2)
+    info = H.file_info_extended(zarr.headers(spark, [path])).first()
+    entries = {e.name: e.value for e in info.entries}
+    assert (info.width, info.height, info.depth, info.spectral_axis) == (5, 6, 4, 4) and entries["Frequency range"] == "[1.4000, 1.4030] (GHz)"
+    assert entries["Restoring beam"] == '7.2" X 3.6", 30.0 deg' and entries["Celestial frame"] == "FK5, J2000.0" and entries["Shape"].endswith("(RA, DEC, STOKES, FREQ, TIME)")
+    assert not zarr.is_casa(path)
+
+
+def test_all_images_of_a_file(spark, tmp_path):
+    one, two = np.arange(6, dtype=">f4").reshape(2, 3), np.arange(8, dtype=">i2").reshape(2, 2, 2)
+    sky = {"CTYPE1": "RA---TAN", "CTYPE2": "DEC--TAN", "CRVAL1": 10.5, "CRVAL2": 0.0, "CRPIX1": 1, "CRPIX2": 1, "CDELT1": -0.001, "CDELT2": 0.001}
+    parts = header(SIMPLE=True, BITPIX=-32, NAXIS=2, NAXIS1=3, NAXIS2=2, **sky) + block(one)
+    parts += header(XTENSION="BINTABLE", BITPIX=8, NAXIS=2, NAXIS1=4, NAXIS2=3, PCOUNT=0, GCOUNT=1, TFIELDS=0) + block(np.zeros(12, "u1"))
+    parts += header(XTENSION="IMAGE", BITPIX=16, NAXIS=3, NAXIS1=2, NAXIS2=2, NAXIS3=2, EXTNAME="SECOND", CTYPE1="X", CTYPE2="Y", CTYPE3="FREQ") + block(two)
+    (tmp_path / "m.fits").write_bytes(parts)
+    path = str(tmp_path)
+    assert {(r.y, r.x): r.v for r in fits.pixels(spark, path).collect()} == dict(np.ndenumerate(one))
+    assert {(r.channel, r.y, r.x): r.v for r in fits.pixels(spark, path, nth=1, channel=(1, 2)).collect()} == {(1, y, x): v for (c, y, x), v in np.ndenumerate(two) if c == 1}
+    assert fits.pixels(spark, path, nth=1, y=(5, 9)).count() == 0 and fits.pixels(spark, str(tmp_path), nth=7).count() == 0
+    info = H.file_info_extended(H.header_maps(fits.cards(spark, path))).orderBy("hdu").collect()
+    assert [(r.hdu, r.dimensions, r.width, r.height, r.depth) for r in info] == [(0, 2, 3, 2, 1), (2, 3, 2, 2, 2)]
+    first, second = ({e.name: e.value for e in r.entries} for r in info)
+    assert first["Image reference coords"] == "[00:42:00.0000, +00:00:00.0000]" and first["RA range"] == "[00:41:59.520, 00:42:00.000]" and first["DEC range"] == "[+00:00:00.000, +00:00:03.600]"
+    assert second["Extension name"] == "SECOND" and second["Data type"] == "int" and "RA range" not in second
+
+
+def test_listings_below_sub_folders(spark, tmp_path):
+    for name in ("a/b/x.fits", "a/y.txt", "c/z.reg", "top.fits"):
+        write_file(f"{tmp_path}/{name}", b"12")
+    got = {r.path.removeprefix(f"{tmp_path}/"): r.bytes for r in files.listing(spark, str(tmp_path)).collect()}
+    assert got == {"a/b/x.fits": 2, "a/y.txt": 2, "c/z.reg": 2, "top.fits": 2}
+    assert files.is_accessible(str(tmp_path)) and not files.is_accessible(f"{tmp_path}/none")
