@@ -109,8 +109,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     every = every.unionByName(rows.select(F.col("e1").alias("d1"), F.col("e2").alias("d2"), F.col("edited_wide").alias("wide"), F.lit(0).alias("own")))
     groups = every.groupBy("d1", "d2").agg(F.sum("own").alias("rows"), F.min("wide").alias("lo"), F.max("wide").alias("hi"))
     groups = materialise(groups.where("rows > 1 or lo <> hi"), "groups")
-    # Only rows that share a digest bring their forms along.
-    shared = rows.join(groups.where("rows > 1").select("d1", "d2"), ["d1", "d2"], "left_semi").select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"))
+    # Only rows that share a digest bring their forms along. Their keys are written first, so that Spark knows the size of
+    # the join's side: texts are shuffled only where it is too large to broadcast.
+    shared = rows.join(groups.where("rows > 1").select("d1", "d2"), ["d1", "d2"], "left_semi")
+    shared = materialise(shared.select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h")).distinct(), "shared")
     forms = docs.withColumn("h", F.xxhash64("text")).join(shared, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_h")), "left_semi")
     forms = forms.select(canonical(F.col("text")).alias("form"))
     d1, d2 = digest(F.col("form"))
