@@ -5,9 +5,9 @@ size and 128-bit signature are one class, once their bytes have been compared. T
 half of a sketch goes into the inverted lists (the prefix filter; rarity over all documents): texts whose likeness is a
 common passage don't meet. Members of short lists are paired. In long lists (large families of copies) sets that can't
 reach the threshold with any member are left out (exact bound: hashes that no other member has), then every member is
-compared with the one that is most like the rest; only members that this leaves in different components, and that the
-same bound allows for the pair, are paired. So a family of n copies costs about n comparisons, and no link between
-components is lost.
+compared with the one that is most like the rest; members that this leaves in different components are joined by the
+rarest hashes of their full sets (prefix and positional filters, exact). So a family of n copies costs about n
+comparisons, and no link between components is lost.
 Of a pair, the union sketch estimates the similarity; unless it is far too low, both full sets are compared.
 
 How often a pair at 0.85 shares less than half of 48 retained values: a binomial tail of about 1e-9.
@@ -144,6 +144,25 @@ def reachable(n_a: str, own_a: str, n_b: str, own_b: str) -> Column:
     return 100 * F.least(n_a - own_a, n_b - own_b) >= PERCENT * F.greatest(n_a + own_b, n_b + own_a)
 
 
+def by_prefix(hashes: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (rep, n, rep_l) with different labels whose full sets may meet the threshold.
+
+    hashes: (h, rep, c), those that several members have, c being how many. A set's hashes are ordered by c, its own ones
+    first; two sets over the threshold share one of the first n - o + 1 (o: the least overlap), and enough hashes must be
+    left from it on in both (position). So texts that are alike, but less than the threshold, meet only where what tells
+    them apart is shared.
+    """
+    mine = Window.partitionBy("rep")
+    each = hashes.join(members, "rep")
+    each = each.withColumn("at", F.row_number().over(mine.orderBy("c", "h")) - 1 + F.col("n") - F.count("*").over(mine))
+    each = each.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100)).select("h", "rep", "n", "rep_l", "at")
+    x, y = (each.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "rep_l", "at")]) for s in ("x", "y"))
+    both = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    fit = 100 * both >= PERCENT * (F.col("n_x") + F.col("n_y") - both)
+    pair = x.join(y, "h").where((F.col("rep_x") < F.col("rep_y")) & (F.col("rep_l_x") != F.col("rep_l_y")) & fit)
+    return pair.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): of every node of an edge (a, b), the smallest node that it reaches. Labels spread and are then
     replaced by their own labels, so the number of rounds is about the logarithm of the longest path."""
@@ -186,14 +205,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = whole_sets(some).join(wanted, ["rep", *key], "left_semi").dropDuplicates(["rep"])
     sets = materialise(sets.select("rep", "s"), "sets")
 
-    def paired(members: DataFrame, *more) -> DataFrame:
+    def paired(members: DataFrame) -> DataFrame:
         """Pairs of members of one list whose sizes allow the threshold."""
         x = members.select("v", *[F.col(c).alias(f"{c}_x") for c in members.columns if c != "v"])
         y = members.select("v", *[F.col(c).alias(f"{c}_y") for c in members.columns if c != "v"])
         fit = (F.col("n_x") * 100 >= F.col("n_y") * PERCENT) & (F.col("n_y") * 100 >= F.col("n_x") * PERCENT)
         xy = x.join(y, "v").where(F.col("rep_x") < F.col("rep_y")).where(fit)
-        for m in more:
-            xy = xy.where(m)
         return xy.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
 
     light = paired(lists.where(F.col("count") <= SHORT).select("v", "rep", "n"))
@@ -219,12 +236,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = materialise(verify(light.unionByName(star).distinct(), sets), "links")
     labels = components(edges)
     named_by = lambda d, c: d.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_l")), c, "left").withColumn(f"{c}_l", F.coalesce(f"{c}_l", c))
-    members = named_by(heavy.select("v", "rep", "n", "own"), "rep")
+    members = named_by(heavy.select("v", "rep", "n"), "rep")
     mixed = members.groupBy("v").agg(F.min("rep_l").alias("lo"), F.max("rep_l").alias("hi")).where("lo <> hi").select("v")
-    members = materialise(members.join(mixed, "v"), "mixed")
-    members = members.join(members.groupBy("rep").agg(F.collect_set("v").alias("lists")), "rep")  # at most K values
-    first = F.array_min(F.array_intersect("lists_x", "lists_y")) == F.col("v")  # a pair is made in one list alone
-    rest = paired(members, F.col("rep_l_x") != F.col("rep_l_y"), reachable("n_x", "own_x", "n_y", "own_y"), first)
+    members = materialise(members.join(mixed, "v").select("rep", "n", "rep_l").distinct(), "mixed")
+    rest = by_prefix(sets.join(members, "rep").mapInPandas(hashes, "h long, rep long").join(once.where("c > 1").select("h", "c"), "h"), members)
     more = materialise(verify(rest, sets), "links")
     if not more.isEmpty():
         joined = named_by(named_by(more, "a"), "b").select(F.col("a_l").alias("a"), F.col("b_l").alias("b"))
