@@ -97,7 +97,8 @@ def one_row_an_id(feats: DataFrame) -> DataFrame:
 def unlike(docs: DataFrame, named: DataFrame, classes: DataFrame) -> DataFrame:
     """(s1, s2, n) of the classes with several members whose sets are not the same bytes; normally none."""
     several = classes.where("members > 1").select("s1", "s2", "n")
-    members = named.join(several, ["s1", "s2", "n"], "left_semi").select("doc_id").distinct()
+    # Written first, so that Spark knows the size of the join's side: texts move only where it is too large to broadcast.
+    members = materialise(named.join(several, ["s1", "s2", "n"], "left_semi").select("doc_id").distinct(), "members")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id", "left_semi")
     sets = whole_sets(rows).join(several, ["s1", "s2", "n"], "left_semi")
     return sets.groupBy("s1", "s2", "n").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("s1", "s2", "n")
@@ -200,7 +201,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = materialise(inverted_lists(classes), "lists")
     size = lists.groupBy("v").count().where("count > 1")
     lists = materialise(lists.join(size, "v"), "lists")
-    wanted = lists.select("rep").distinct().join(classes.select("rep", *key), "rep")
+    wanted = materialise(lists.select("rep").distinct().join(classes.select("rep", *key), "rep"), "wanted")
     some = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.select("rep"), "rep", "left_semi")
     sets = whole_sets(some).join(wanted, ["rep", *key], "left_semi").dropDuplicates(["rep"])
     sets = materialise(sets.select("rep", "s"), "sets")
