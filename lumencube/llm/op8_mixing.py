@@ -12,12 +12,14 @@ among the documents of one block, so no window holds more than a thousandth of a
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-STEPS = 20
+PARTS = 1024
 
 
 def _hash(*parts: str) -> Column:
@@ -26,39 +28,44 @@ def _hash(*parts: str) -> Column:
     return F.conv(F.substring(F.md5(joined.cast("binary")), 1, 12), 16, 10).cast("long")
 
 
-def source_weights(sizes: DataFrame, max_repeats: float, entropy: float | None, budget_ratio: float) -> DataFrame:
-    """sizes: (source, tokens, documents), a row a source. Adds exponent, weight, budget, copies and rest (of the last copy).
+def exponent(logs: DataFrame, total: int, max_repeats: float, entropy: float | None, budget_ratio: float) -> tuple[float, float]:
+    """The exponent a, and the sum of the powers p^a; logs: (l, tokens), a row a source, l being the logarithm of its share.
 
-    All sources meet in one row, as an array: their number is taken to be bounded, like that of a mixing table.
+    Bisection needs 20 evaluations over all sources. One aggregation evaluates the 1025 exponents that ten halvings choose
+    from, and a second one those of the next ten; only these figures come to the driver, where the halving goes on.
     """
-    one = sizes.agg(F.sort_array(F.collect_list(F.struct("source", "tokens", "documents"))).alias("s"), F.sum("tokens").alias("total"))
-    one = one.withColumn("logs", F.transform("s", lambda x: F.ln(x["tokens"] / F.col("total"))))
+    def halved(low: float, step: float) -> tuple[int, list]:
+        """The first of the exponents low + i * step at which the mix is good (with an entropy: no longer good), and the figures."""
+        each = logs.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(PARTS)))).withColumn("a", F.lit(low) + F.col("i") * F.lit(step))
+        power = F.exp(F.col("l") * F.col("a"))
+        sums = each.groupBy("i", "a").agg(F.sum(power).alias("s"), F.max(power / F.col("tokens")).alias("most"), F.sum(power * F.col("l")).alias("pl"))
+        if entropy is not None:
+            passed = F.ln("s") - F.col("a") * F.col("pl") / F.col("s") < entropy
+        else:
+            passed = F.col("most") / F.col("s") * budget_ratio * total <= max_repeats
+        figures = sums.select("i", "a", "s", passed.alias("passed")).orderBy("i").collect()
+        return bisect_left(figures, True, key=lambda r: r["passed"]), figures
+
+    fine = 1.0 / PARTS**2
+    i, figures = halved(0.0, 1.0 / PARTS)
+    if not figures:
+        return 0.0, 1.0
+    if i == 0:  # even shares: the most even mix that there is
+        return figures[0]["a"], figures[0]["s"]
+    j, figures = halved(figures[min(i, PARTS) - 1]["a"], fine)
+    best = figures[min(j, PARTS) - (entropy is not None)]
+    return best["a"], best["s"]
 
-    def mix(a: Column) -> Column:
-        powers = F.transform("logs", lambda x: F.exp(x * a))
-        total = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
-        return F.transform(powers, lambda x: x / total)
 
-    def good(a: Column) -> Column:
-        if entropy is not None:
-            h = F.aggregate(F.transform(mix(a), lambda w: F.when(w > 0, -w * F.ln(w)).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
-            return h >= entropy
-        repeats = F.zip_with(mix(a), "s", lambda w, x: w * budget_ratio * F.col("total") / x["tokens"])
-        return F.array_max(repeats) <= max_repeats
-
-    # The grid is walked one power of two at a time. With an entropy, a grows while the mix is still even enough.
-    for k in range(1, STEPS + 1):
-        low = F.lit(0.0) if k == 1 else F.col("a")
-        tried = low + 2.0**-k
-        up = good(tried) if entropy is not None else ~good(tried)
-        one = one.withColumn("a", F.when(up, tried).otherwise(low))
-    a = F.col("a") if entropy is not None else F.when(good(F.lit(0.0)), 0.0).otherwise(F.col("a") + 2.0**-STEPS)
-    one = one.select("s", "total", "logs", a.alias("a")).withColumn("w", mix(F.col("a")))
-    row = one.select("total", "a", F.explode(F.arrays_zip("s", "w")).alias("x"))
-    row = row.select("total", F.col("a").alias("exponent"), "x.s.*", F.round("x.w", 9).alias("weight"))
-    row = row.withColumn("budget", F.floor(F.col("weight") * budget_ratio * F.col("total")))
+def source_weights(sizes: DataFrame, max_repeats: float, entropy: float | None, budget_ratio: float) -> DataFrame:
+    """sizes: (source, tokens, documents), a row a source. Adds exponent, weight, budget, copies and rest (of the last copy)."""
+    total = sizes.agg(F.sum("tokens")).first()[0] or 1
+    logs = materialise(sizes.withColumn("l", F.ln(F.col("tokens") / F.lit(float(total)))), "mix-sources")
+    a, s = exponent(logs, total, max_repeats, entropy, budget_ratio)
+    row = logs.withColumn("exponent", F.lit(a)).withColumn("weight", F.round(F.exp(F.col("l") * a) / F.lit(s), 9)).drop("l")
+    row = row.withColumn("budget", F.floor(F.col("weight") * budget_ratio * F.lit(float(total))))
     row = row.withColumn("copies", F.floor(F.col("budget") / F.col("tokens")))
-    return row.withColumn("rest", F.col("budget") - F.col("copies") * F.col("tokens")).drop("total")
+    return row.withColumn("rest", F.col("budget") - F.col("copies") * F.col("tokens"))
 
 
 def choose(docs: DataFrame, max_repeats: float = 4.0, entropy: float | None = None, budget_ratio: float = 1.0, block_docs: int = 64) -> DataFrame:
