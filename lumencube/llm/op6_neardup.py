@@ -94,14 +94,10 @@ def one_row_an_id(feats: DataFrame) -> DataFrame:
     return out.select("doc_id", *[F.coalesce(f"m.{c}", c).alias(c) for c in ("n", "s1", "s2")], "sketch", own.alias("own"))
 
 
-def unlike(docs: DataFrame, named: DataFrame, classes: DataFrame) -> DataFrame:
-    """(s1, s2, n) of the classes with several members whose sets are not the same bytes; normally none."""
-    several = classes.where("members > 1").select("s1", "s2", "n")
-    # Written first, so that Spark knows the size of the join's side: texts move only where it is too large to broadcast.
-    members = materialise(named.join(several, ["s1", "s2", "n"], "left_semi").select("doc_id").distinct(), "members")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id", "left_semi")
-    sets = whole_sets(rows).join(several, ["s1", "s2", "n"], "left_semi")
-    return sets.groupBy("s1", "s2", "n").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("s1", "s2", "n")
+def unlike(sets: DataFrame) -> DataFrame:
+    """(s1, s2, n) of the classes with members whose sets are not the same bytes; normally none. sets: rows of whole_sets()."""
+    both = sets.groupBy("s1", "s2", "n").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))  # first inside each task
+    return both.where("lo <> hi").select("s1", "s2", "n")
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
@@ -192,18 +188,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = feats.where("own and n > 0 and doc_id is not null")
     classes = named.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "sketch")).alias("m"), F.count("*").alias("members"))
     classes = materialise(classes.select("s1", "s2", "n", F.col("m.doc_id").alias("rep"), F.col("m.sketch").alias("sketch"), "members"), "classes")
-    # Members of a class that bytes tell apart are classes of their own.
-    apart = materialise(unlike(docs, named, classes), "apart")
     key = ["s1", "s2", "n"]
-    single = named.join(apart, key, "left_semi").groupBy("doc_id", *key).agg(F.first("sketch").alias("sketch"))
-    classes = classes.join(apart, key, "left_anti").select(*key, "rep", "sketch").unionByName(single.select(*key, F.col("doc_id").alias("rep"), "sketch"))
-
-    lists = materialise(inverted_lists(classes), "lists")
-    size = lists.groupBy("v").count().where("count > 1")
-    lists = materialise(lists.join(size, "v"), "lists")
-    wanted = materialise(lists.select("rep").distinct().join(classes.select("rep", *key), "rep"), "wanted")
-    some = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.select("rep"), "rep", "left_semi")
-    sets = whole_sets(some).join(wanted, ["rep", *key], "left_semi").dropDuplicates(["rep"])
+
+    def listed(classes: DataFrame) -> DataFrame:
+        lists = materialise(inverted_lists(classes), "lists")
+        return materialise(lists.join(lists.groupBy("v").count().where("count > 1"), "v"), "lists")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return whole_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"))
+
+    lists = listed(classes)
+    # One more reading of texts: of those in the lists, and of those that share a class, which is confirmed on the full sets.
+    sharing = named.join(classes.where("members > 1").select(*key), key, "left_semi").select("doc_id")
+    sets = materialise(sets_of(lists.select(F.col("rep").alias("doc_id")).unionByName(sharing).distinct()), "sets")
+    apart = materialise(unlike(sets), "apart")
+    if not apart.isEmpty():
+        # Members that bytes tell apart are classes of their own; their sets are there, those of new list members may not be.
+        single = named.join(apart, key, "left_semi").groupBy("doc_id", *key).agg(F.first("sketch").alias("sketch"))
+        single = single.select(*key, F.col("doc_id").alias("rep"), "sketch")
+        classes = materialise(classes.join(apart, key, "left_anti").select(*key, "rep", "sketch").unionByName(single), "classes")
+        lists = listed(classes)
+        more = lists.select(F.col("rep").alias("doc_id")).distinct().join(sets.select("doc_id"), "doc_id", "left_anti")
+        sets = materialise(sets.unionByName(sets_of(more)), "sets")
+    wanted = lists.select("rep").distinct().join(classes.select("rep", *key), "rep")
+    sets = sets.withColumnRenamed("doc_id", "rep").join(wanted, ["rep", *key], "left_semi").dropDuplicates(["rep"])
     sets = materialise(sets.select("rep", "s"), "sets")
 
     def paired(members: DataFrame) -> DataFrame:
