@@ -84,10 +84,11 @@ def with_columns(docs: DataFrame, compute: Callable, added: T.StructType, drop:
 
     def run(batches):
         kinds = [to_arrow_type(f.dataType) for f in added.fields]
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):  # a part's texts and results at a time
+                b = whole.slice(k, 256)
                 got = compute(b.column("text").to_pylist())
-                new = [pa.array(c, k) for c, k in zip(got, kinds, strict=True)]
+                new = [pa.array(c, kind) for c, kind in zip(got, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *new], names=schema.names)
 
     return docs.mapInArrow(run, schema)
