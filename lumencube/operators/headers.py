@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,15 @@ from .metadata import STOKES, radio_velocity, sexagesimal
 
 
 def header_maps(cards: DataFrame) -> DataFrame:
-    """file, hdu, header of cards (file, hdu, card, key, value); of a key that repeats the first card counts."""
+    """file, hdu, header of cards (file, hdu, card, key, value); of a key that repeats the first card counts.
+
+    The map is made by the aggregation itself, so that a filter that Spark pushes below later steps doesn't make it anew.
+    """
     some = cards.where("value IS NOT NULL AND key IS NOT NULL")
-    first = some.groupBy("file", "hdu", "key").agg(F.min_by("value", "card").alias("value"))
-    return first.groupBy("file", "hdu").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("header"))  # an HDU's cards
+    every = F.array_sort(F.collect_list(F.struct("key", "card", "value")))  # an HDU's cards
+    new = lambda c: F.filter(c, lambda e, i: (i == 0) | (F.get(c, i - 1)["key"] != e["key"]))
+    header = F.map_from_entries(let({"c": every}, lambda v: F.transform(new(v["c"]), lambda e: F.struct(e["key"], e["value"]))))
+    return some.groupBy("file", "hdu").agg(header.alias("header"))
 
 
 def text(key: str | Column) -> Column:
@@ -44,18 +51,116 @@ def is_whole(value: Column) -> Column:
     return F.coalesce(value.rlike(r"^[+-]?[0-9]+$"), F.lit(False))
 
 
-def sky(x: Column, y: Column, ra0: Column, dec0: Column, projection: Column) -> tuple[Column, Column]:
-    """Right ascension and declination (degrees) of a place x, y (degrees) on the plane that touches the sphere at ra0, dec0.
+# Projection codes by the native latitude of their reference point (FITS world coordinates, paper II).
+ZENITHAL, CYLINDRICAL = ("TAN", "SIN", "ARC", "ZEA", "STG"), ("CAR", "CEA", "MER", "SFL", "AIT")
+
+
+def let(values: dict[str, Column] | Column, then: Callable[[Column], Column]) -> Column:
+    """then(values), where each value is computed once: an expression that uses a part often doesn't grow with that."""
+    row = F.struct(*[v.alias(k) for k, v in values.items()]) if isinstance(values, dict) else values
+    return F.get(F.transform(F.array(row), then), F.lit(0))
+
+
+def plane_matrix(c: Column) -> dict[str, Column]:
+    """Degrees on the plane of projection a pixel: of the CD matrix, else CDELT with the PC matrix, else CDELT turned by the
+    latitude axis's CROTA. c: struct of the cards."""
+    two = [(a, b) for a in ("ra", "dec") for b in ("ra", "dec")]
+    has = lambda m: F.coalesce(*[c[f"{m}_{a}_{b}"] for a, b in two]).isNotNull()
+    step = {a: F.coalesce(c[f"step_{a}"], F.lit(1.0)) for a in ("ra", "dec")}
+    rho = F.radians(F.coalesce(c["crota"], F.lit(0.0)))
+    turned = {("ra", "ra"): step["ra"] * F.cos(rho), ("ra", "dec"): -step["dec"] * F.sin(rho), ("dec", "ra"): step["ra"] * F.sin(rho), ("dec", "dec"): step["dec"] * F.cos(rho)}
+    pc = lambda a, b: step[a] * F.coalesce(c[f"pc_{a}_{b}"], F.lit(float(a == b)))
+    return {f"m_{a}_{b}": F.when(has("cd"), F.coalesce(c[f"cd_{a}_{b}"], F.lit(0.0))).when(has("pc"), pc(a, b)).otherwise(turned[a, b]) for a, b in two}
+
 
-    TAN and SIN; other projections count as linear.
+def native(p: Column, projection: Column) -> Column:
+    """Native longitude phi and latitude theta (radians) of a place x, y (radians) on the plane of projection; NULL or NaN off it."""
+    x, y, r, z, half = p["x"], p["y"], p["r"], p["z"], F.pi() / 2
+    theta = {
+        "TAN": F.atan2(F.lit(1.0), r), "SIN": F.acos(r), "ARC": half - r, "ZEA": half - 2 * F.asin(r / 2), "STG": half - 2 * F.atan(r / 2),
+        "CAR": y, "SFL": y, "CEA": F.asin(y), "MER": 2 * F.atan(F.exp(y)) - half, "AIT": F.asin(y * z),
+    }
+    phi = {"CAR": x, "CEA": x, "MER": x, "SFL": x / F.nullif(F.cos(y), F.lit(0.0)), "AIT": 2 * F.atan2(z * x / 2, 2 * z * z - 1)}
+    around = F.when(r == 0, 0.0).otherwise(F.atan2(x, -y))
+    pick = lambda of: F.coalesce(*[F.when(projection == k, v) for k, v in of.items()])
+    return F.struct(pick(phi | dict.fromkeys(ZENITHAL, around)).alias("phi"), pick(theta).alias("theta"))
+
+
+def with_pole(h: Column, then: Callable[[Column], Column]) -> Column:
+    """then(a struct of phi_p, ra_p, dec_p): native longitude of the celestial pole, and right ascension and declination of the
+    native pole, in radians. h: struct of projection and ra0, dec0, lonpole, latpole (degrees, NULL where the header has none).
     """
-    xi, eta, d0 = F.radians(x), F.radians(y), F.radians(dec0)
-    zeta = F.when(projection == "SIN", F.sqrt(1 - xi * xi - eta * eta)).otherwise(F.lit(1.0))
-    depth = zeta * F.cos(d0) - eta * F.sin(d0)
-    bent = projection.isin("TAN", "SIN")
-    ra = F.when(bent, ra0 + F.degrees(F.atan2(xi, depth))).otherwise(ra0 + x)
-    dec = F.when(bent, F.degrees(F.atan2(eta * F.cos(d0) + zeta * F.sin(d0), F.sqrt(xi * xi + depth * depth)))).otherwise(dec0 + y)
-    return ra, dec
+    zenithal = h["projection"].isin(*ZENITHAL)
+    default = F.when(h["dec0"] >= F.when(zenithal, 90.0).otherwise(0.0), 0.0).otherwise(180.0)
+    start = {"zenithal": zenithal, "phi_p": F.radians(F.coalesce(h["lonpole"], default)), "d0": F.radians(h["dec0"]), "a0": F.radians(h["ra0"]), "wanted": F.radians(F.coalesce(h["latpole"], F.lit(90.0)))}
+
+    # For a reference point on the native equator two native poles fit; the one on the sphere counts, or the one nearer LATPOLE.
+    def two(q: Column) -> Column:
+        level = F.abs(F.cos(q["phi_p"]))
+        middle = F.when(F.cos(q["phi_p"]) >= 0, F.lit(0.0)).otherwise(F.pi())
+        return let({"ratio": F.sin(q["d0"]) / F.greatest(level, F.lit(1e-300)), "middle": middle, "level": level}, lambda r: both(q, r))
+
+    def both(q: Column, r: Column) -> Column:
+        away = F.when(F.abs(r["ratio"]) <= 1 + 1e-10, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r["ratio"]))))  # none: such a pole doesn't exist
+        return let({"up": r["middle"] + away, "down": r["middle"] - away}, lambda u: chosen(q, r, u))
+
+    def chosen(q: Column, r: Column, u: Column) -> Column:
+        turned = lambda v: F.when(v > F.pi() + 1e-12, v - 2 * F.pi()).when(v < -F.pi() - 1e-12, v + 2 * F.pi()).otherwise(v)
+        valid = lambda v: F.abs(v) <= F.pi() / 2 + 1e-10
+        near = lambda v: F.abs(q["wanted"] - v)
+        either = let({"up": turned(u["up"]), "down": turned(u["down"])}, lambda t: F.when(valid(t["up"]) & (~valid(t["down"]) | (near(t["up"]) < near(t["down"]))), t["up"]).when(valid(t["down"]), t["down"]))
+        found = F.when(q["zenithal"], q["d0"]).when((r["level"] < 1e-12) & (F.abs(q["d0"]) < 1e-12), q["wanted"]).otherwise(either)
+        return let({"dec_p": found}, lambda e: placed(q, e["dec_p"]))
+
+    def placed(q: Column, dec_p: Column) -> Column:
+        pole, d0 = F.abs(dec_p) > F.pi() / 2 - 1e-10, q["d0"]
+        side = F.atan2(F.sin(q["phi_p"]) / F.cos(d0), -F.sin(dec_p) * F.sin(d0) / (F.cos(dec_p) * F.cos(d0)))
+        ra_p = (
+            F.when(q["zenithal"] | (F.abs(d0) > F.pi() / 2 - 1e-10), q["a0"]).when(pole & (dec_p > 0), q["a0"] + q["phi_p"] - F.pi())
+            .when(pole, q["a0"] - q["phi_p"]).otherwise(q["a0"] - side)
+        )
+        return let({"phi_p": q["phi_p"], "dec_p": dec_p, "ra_p": ra_p}, then)
+
+    return let(start, two)
+
+
+def celestial(n: Column, pole: Column) -> Column:
+    """ra and dec (degrees) of native coordinates phi, theta."""
+    turn, theta, dec_p = n["phi"] - pole["phi_p"], n["theta"], pole["dec_p"]
+    parts = {
+        "north": F.sin(theta) * F.sin(dec_p) + F.cos(theta) * F.cos(dec_p) * F.cos(turn), "aside": -F.cos(theta) * F.sin(turn),
+        "to_pole": F.sin(theta) * F.cos(dec_p) - F.cos(theta) * F.sin(dec_p) * F.cos(turn),
+    }
+    level = lambda v: F.sqrt(v["to_pole"] * v["to_pole"] + v["aside"] * v["aside"])
+    return let(parts, lambda v: F.struct(F.degrees(pole["ra_p"] + F.atan2(v["aside"], v["to_pole"])).alias("ra"), F.degrees(F.atan2(v["north"], level(v))).alias("dec")))
+
+
+def sky(df: DataFrame, places: Column) -> DataFrame:
+    """df plus sky, an array of struct<ra, dec> (degrees) of places, an array of struct<x, y> (1-based pixels).
+
+    df: axis_values() of with_axes(). A projection that isn't known gives NULL, as does a pole that doesn't exist; none at
+    all counts as linear.
+    """
+    at = lambda a: F.col(f"axis_{a}").cast("string")
+    cards = {f"{n.lower()}_{a}_{b}": number(F.concat(F.lit(n), at(a), F.lit("_"), at(b))) for n in ("PC", "CD") for a in ("ra", "dec") for b in ("ra", "dec")}
+    cards |= {"lonpole": number("LONPOLE"), "latpole": number("LATPOLE"), "crota": number(F.concat(F.lit("CROTA"), at("dec"))), "projection": F.regexp_extract("t_ra_CTYPE", "-([A-Z]+)$", 1)}
+    cards |= {f"{k}_{a}": F.col(f"n_{a}_{c}") for a in ("ra", "dec") for k, c in (("step", "CDELT"), ("middle", "CRPIX"))} | {"ra0": F.col("n_ra_CRVAL"), "dec0": F.col("n_dec_CRVAL")}
+    kept = ("projection", "ra0", "dec0", "lonpole", "latpole", "middle_ra", "middle_dec")
+
+    def of_header(h: Column) -> Column:
+        plane = lambda p, a: h[f"m_{a}_ra"] * (p["x"] - h["middle_ra"]) + h[f"m_{a}_dec"] * (p["y"] - h["middle_dec"])
+        on_plane = F.transform(places, lambda p: F.struct(plane(p, "ra").alias("x"), plane(p, "dec").alias("y")))
+        linear = F.transform(on_plane, lambda p: F.struct((h["ra0"] + p["x"]).alias("ra"), (h["dec0"] + p["y"]).alias("dec")))
+
+        def measured(p: Column, pole: Column) -> Column:
+            x, y = F.radians(p["x"]), F.radians(p["y"])
+            polar = {"x": x, "y": y, "r": F.sqrt(x * x + y * y), "z": F.sqrt(1 - x * x / 16 - y * y / 4)}
+            return let(polar, lambda q: let(native(q, h["projection"]), lambda n: celestial(n, pole)))
+
+        bent = with_pole(h, lambda pole: F.transform(on_plane, lambda p: measured(p, pole)))
+        return F.when(h["projection"] == "", linear).when(h["projection"].isin(*ZENITHAL, *CYLINDRICAL), bent)
+
+    return df.withColumn("sky", let(cards, lambda c: let({k: c[k] for k in kept} | plane_matrix(c), of_header)))
 
 
 # What is read from an axis, and of which axes; each a column, so that later steps refer to it by name.
@@ -71,18 +176,12 @@ def axis_values(headers: DataFrame) -> DataFrame:
 
 def spans(df: DataFrame) -> DataFrame:
     """axis_values plus ras and decs (degrees of the four corners' centres), low and high (ends of the spectral axis)."""
-    place = lambda axis, at: (at + 1 - F.col(f"n_{axis}_CRPIX")) * F.col(f"n_{axis}_CDELT")
-    df = df.withColumns({f"{axis}_{side}": place(axis, at) for axis in ("ra", "dec") for side, at in (("lo", F.lit(0.0)), ("hi", F.col(f"n_{axis}_NAXIS") - 1))})
-    df = df.withColumn("projection", F.regexp_extract("t_ra_CTYPE", "-([A-Z]+)$", 1))
-    corners = {
-        f"{x}_{y}": sky(F.col(f"ra_{x}"), F.col(f"dec_{y}"), F.col("n_ra_CRVAL"), F.col("n_dec_CRVAL"), F.col("projection")) for x in ("lo", "hi") for y in ("lo", "hi")
-    }
-    df = df.withColumns({f"{k}_{at}": c for at, pair in corners.items() for k, c in zip(("a", "d"), pair, strict=True)})
+    ends = {a: (F.lit(1.0), F.col(f"n_{a}_NAXIS")) for a in ("ra", "dec")}
+    df = sky(df, F.array(*[F.struct(x.alias("x"), y.alias("y")) for x in ends["ra"] for y in ends["dec"]]))
     first = lambda k, d: F.coalesce(F.col(f"n_freq_{k}"), F.lit(float(d)))
     end = lambda p: first("CRVAL", 0) + (p - first("CRPIX", 1)) * first("CDELT", 1)
     df = df.withColumns({"f_first": end(F.lit(1.0)), "f_last": end(F.col("n_freq_NAXIS"))})
-    decs = F.array_sort(F.array(*[f"d_{at}" for at in corners]))
-    return df.withColumns({"ras": F.array(*[sexagesimal(F.col(f"a_{at}"), True) for at in corners]), "decs": decs, "low": F.least("f_first", "f_last"), "high": F.greatest("f_first", "f_last")})
+    return df.withColumns({"ras": F.transform("sky", lambda p: sexagesimal(p["ra"], True)), "decs": F.array_sort("sky.dec"), "low": F.least("f_first", "f_last"), "high": F.greatest("f_first", "f_last")})
 
 
 def computed_entries() -> Column:

@@ -1,6 +1,6 @@
 """All queries of the cube engine by name."""
 
-from . import extras, more
+from . import extras, images, more
 from .catalogue import CATALOGUE
 
-__all__ = ["CATALOGUE", "extras", "more"]
+__all__ = ["CATALOGUE", "extras", "images", "more"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.metadata import file_type, parse_regions
 from .store import locate
+from .zarr import is_casa, is_zarr
 
 
 FILES = "path string, bytes long, modified timestamp"
@@ -33,6 +34,21 @@ def is_accessible(folder: str) -> bool:
         return False
 
 
+def folder_kinds(folders: DataFrame) -> DataFrame:
+    """folders (file, ...) plus accessible, zarr, casa: whether each can be listed and which kind of image it is; asked by tasks."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*folders.schema.fields, *(T.StructField(c, T.BooleanType()) for c in ("accessible", "zarr", "casa"))])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths = b.column("file").to_pylist()
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([f(p) for p in paths], pa.bool_()) for f in (is_accessible, is_zarr, is_casa))], names=schema.names)
+
+    return folders.mapInArrow(ask, schema)
+
+
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """path, bytes, modified of all files below a folder, empty ones too; contents are not read.
 

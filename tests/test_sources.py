@@ -2,12 +2,16 @@
 
 import json
 import os
+import re
+import struct
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumencube.operators import headers as H
-from lumencube.sources import cubes, files, fits, zarr
+from lumencube.sources import codecs, cubes, files, fits, zarr
 from lumencube.sources.store import write_file
 from lumencube.streaming import streams as S
 
@@ -64,7 +68,10 @@ def test_cards():
     assert fits.parse_card("HISTORY was made".ljust(80)) == ("HISTORY", None, None, "was made")
 
 
-@pytest.mark.parametrize("codec", [None, "zlib", "zstd"])
+BLOSC = [{"id": "blosc", "cname": c, "shuffle": k, "blocksize": b} for c in ("lz4", "snappy", "zlib", "zstd") for k, b in ((0, 0), (1, 0), (2, 1200), (-1, 4000))]
+
+
+@pytest.mark.parametrize("codec", [None, "zlib", "zstd", "lz4", {"id": "blosc", "cname": "lz4", "shuffle": 1, "clevel": 5, "blocksize": 0}, {"id": "blosc", "cname": "zstd", "shuffle": 2, "blocksize": 1000}])
 def test_zarr_round_trip_and_pruning(spark, tmp_path, codec):
     px = cubes.emb3d(spark, SF).selectExpr("0 AS time", "0 AS stokes", "channel", "y", "x", "v")
     path = str(tmp_path / "a.zarr")
@@ -73,20 +80,96 @@ def test_zarr_round_trip_and_pruning(spark, tmp_path, codec):
     back = zarr.pixels(spark, path)
     assert back.count() == 10 * 50 * 64
     assert back.where("not isnan(v)").select(*px.columns).exceptAll(px.selectExpr(*[f"CAST({c} AS INT) {c}" for c in px.columns if c != "v"], "v").select(*px.columns)).count() == 0
-    os.remove(f"{path}/SKY/0.0.0.0.0")  # a lost chunk gives no pixels; one outside the range is not opened
+    os.remove(f"{path}/SKY/0.0.0.0.0")  # a chunk that isn't there has the fill value; one outside the range is not opened
     open(f"{path}/SKY/0.1.0.0.0", "wb").write(b"broken")
     assert zarr.pixels(spark, path, channel=(6, 8), y=(19, 21)).count() == 2 * 2 * 64
-    assert zarr.pixels(spark, path, channel=(0, 3)).count() == 3 * 30 * 64
+    some = zarr.pixels(spark, path, channel=(0, 3))
+    assert some.count() == 3 * 50 * 64 and some.where("isnan(v)").count() == some.where("y < 20").count() == 3 * 20 * 64
+    assert zarr.pixels(spark, path, channel=(2, 3), y=(18, 22), x=(60, 64)).groupBy("y").count().count() == 4
     assert zarr.pixels(spark, path, channel=(3, 3)).count() == 0
 
 
 def test_other_codecs_are_refused(tmp_path):
-    meta = {"shape": [1], "chunks": [1], "dtype": "<f4", "compressor": {"id": "blosc"}}
+    meta = {"shape": [1], "chunks": [1], "dtype": "<f4", "compressor": {"id": "pcodec"}}
     write_file(f"{tmp_path}/b.zarr/SKY/.zarray", json.dumps(meta).encode())
-    with pytest.raises(ValueError, match="blosc"):
+    with pytest.raises(ValueError, match="pcodec"):
         zarr.describe(f"{tmp_path}/b.zarr")
 
 
+@pytest.mark.parametrize("config", BLOSC + [{"id": c} for c in ("lz4", "zlib", "gzip", "zstd", "bz2", "lzma")], ids=str)
+@pytest.mark.parametrize("width", [1, 4, 8])
+def test_codecs_give_back_what_they_take(config, width):
+    rng = np.random.default_rng(1)
+    smooth = np.cumsum(rng.integers(0, 3, 3001)).astype("<i8").tobytes()
+    for raw in (b"", b"abc", smooth, smooth[:4096], smooth[: 4096 * width], rng.bytes(5000), bytes(70_000)):
+        assert codecs.plain(codecs.packed(raw, config, width), config) == raw
+
+
+def test_blosc_containers_made_by_hand():
+    """Blocks that are split or not, plain and compressed streams, a shorter last block, shuffles, all by other means than the writer."""
+    values = np.arange(300, dtype="<i4") * 70_001
+    raw = values.tobytes()
+    lz4 = lambda b: pa.Codec("lz4_raw").compress(b).to_pybytes()
+    whole = lambda parts: b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+    def container(flags, block, blocks):
+        starts, at = [], 16 + 4 * len(blocks)
+        for b in blocks:
+            starts.append(at)
+            at += len(b)
+        return struct.pack("<BBBBIII", 2, 1, flags, 4, len(raw), block, at) + struct.pack(f"<{len(starts)}I", *starts) + b"".join(blocks)
+
+    bytes_of = lambda v: [bytes(v.tobytes()[k::4]) for k in range(4)]
+    planes = bytes_of(values)
+    assert codecs.blosc_plain(container(1 | 1 << 5, 1200, [whole([lz4(planes[0]), lz4(planes[1]), planes[2], lz4(planes[3])])])) == raw  # split, one stream plain
+    assert codecs.blosc_plain(container(1 | 16 | 3 << 5, 1200, [whole([zlib.compress(b"".join(planes))])])) == raw  # never split
+    a, b = values[:160], values[160:]
+    assert codecs.blosc_plain(container(1 | 1 << 5, 640, [whole([lz4(p) for p in bytes_of(a)]) if 160 >= 128 else b"", whole([lz4(b"".join(bytes_of(b)))])])) == raw  # the last block is whole
+    bits = lambda v: np.array([[x >> k & 1 for x in v.astype("<u4")] for k in range(32)], np.uint8)
+    packed = lambda v: b"".join(sum(int(r[8 * j + i]) << i for i in range(8)).to_bytes(1, "little") for r in bits(v) for j in range(len(v) // 8))
+    half = values[:160]
+    rest = values[160:]  # 140 values don't come in eights: as they are
+    assert codecs.blosc_plain(container(4 | 16 | 1 << 5, 640, [whole([lz4(packed(half))]), whole([lz4(rest.tobytes())])])) == raw
+    assert codecs.blosc_plain(struct.pack("<BBBBIII", 2, 1, 2 | 1, 4, len(raw), 1200, 16 + len(raw)) + raw) == raw
+    for broken in (b"", struct.pack("<BBBBIII", 5, 1, 0, 4, 4, 4, 20) + bytes(8), container(1 | 1 << 5, 1200, [b""])[:18]):
+        with pytest.raises((ValueError, struct.error)):
+            codecs.blosc_plain(broken)
+
+
+def test_blosclz_streams_made_by_hand():
+    assert codecs.blosclz_plain(bytes([3]) + b"abcd" + bytes([1 << 5, 3]), 7) == b"abcdabc"  # three bytes from four back
+    assert codecs.blosclz_plain(bytes([0]) + b"x" + bytes([7 << 5, 255, 10, 0]), 1 + 9 + 265) == b"x" * 275  # a long run
+    far = bytes(range(256)) * 40
+    literals = b"".join(bytes([31]) + far[k : k + 32] for k in range(0, len(far), 32))
+    back = len(far) - 1 - 0x1FFF  # to the very first byte
+    stream = literals + bytes([(2 << 5) | 31, 255, back >> 8, back & 255]) + bytes([1]) + b"yz"
+    assert codecs.blosclz_plain(stream, len(far) + 6) == far + far[:4] + b"yz"
+    with pytest.raises(ValueError, match="before the block"):
+        codecs.blosclz_plain(bytes([0]) + b"x" + bytes([1 << 5, 9]), 4)
+
+
+def test_zarr_cards_and_sparse_chunks(spark, tmp_path):
+    px = cubes.emb3d(spark, SF).where("channel = 0 AND y < 20").selectExpr("0 AS time", "0 AS stokes", "channel", "y", "x", "v")
+    path, cards = str(tmp_path / "s.zarr"), {"CTYPE1": "RA---TAN", "CRVAL1": 187.25, "CRVAL2": -12.5, "CDELT1": -0.001, "CDELT2": 0.001, "CRPIX1": 33.0, "CRPIX2": 20.5, "PC1_1": 0.8, "PC1_2": -0.6, "PC2_1": 0.6, "PC2_2": 0.8}
+    cards |= {"CRVAL4": 1.4e9, "CDELT4": 5e5, "RESTFRQ": 1.42e9, "SPECSYS": "BARYCENT", "BUNIT": "Jy/beam", "RADESYS": "ICRS", "BMAJ": 0.004, "BMIN": 0.002, "BPA": 15.0, "MJD-OBS": 59000.75, "TIMESYS": "UTC", "TELESCOP": "DISH"}
+    zarr.write(px, path, {"time": 1, "channel": 1, "stokes": 1, "y": 50, "x": 64}, {"time": 1, "channel": 1, "stokes": 1, "y": 20, "x": 64}, cards=cards, sparse=True).collect()
+    assert [n for n in os.listdir(f"{path}/SKY") if n[0] != "."] == ["0.0.0.0.0"]
+    assert zarr.pixels(spark, path).count() == 50 * 64 and zarr.pixels(spark, path).where("not isnan(v)").count() == 20 * 64
+    got = zarr.headers(spark.createDataFrame([(path,)], "file string")).first().header
+    for k, v in cards.items():
+        if k != "CDELT4":  # one channel has no step
+            assert got[k] == v if isinstance(v, str) else np.isclose(float(got[k]), v, rtol=1e-12), k
+    assert got["DATE-OBS"] == "2020-05-31T18:00:00.000" and np.isclose(float(got["PIX_AREA"]), 1e-6) and got["NAXIS4"] == "1"
+
+
+def test_zarr_header_of_one_pixel_axes(spark, tmp_path):
+    path = str(tmp_path / "o.zarr")
+    zarr.write_attributes(path, {"x": 1, "y": 4, "stokes": 1, "channel": 1, "time": 1}, {"CDELT1": -0.01, "CDELT2": 0.01, "CRPIX2": 9.0, "BUNIT": "K"})
+    write_file(f"{path}/SKY/.zarray", json.dumps({"shape": [1, 1, 1, 1, 4], "chunks": [1] * 5, "dtype": "<f8", "compressor": None}).encode())
+    got = zarr.headers(spark.createDataFrame([(path,)], "file string")).first().header
+    assert np.isclose(float(got["CDELT1"]), 0.01) and np.isclose(float(got["CRPIX2"]), 9.0) and got["BITPIX"] == "-64" and "DATE-OBS" not in got and "BMAJ" not in got
+
+
 def test_region_files_and_listing(spark, tmp_path):
     (tmp_path / "a.crtf").write_text("#CRTFv0\ncenterbox [[10.0pix, 20.5pix], [4.0pix, 6.0pix]] color=#2ee6d6, linewidth=2\nellipse [[1pix, 2pix]]\n")
     (tmp_path / "b.crtf").write_text("#CRTFv0\nsymbol [[3.0pix, 7.0pix], .] color=#ff0000\nsymbol [[3.0pix, 7.0pix], .] color=#ff0000\n")
@@ -159,11 +242,13 @@ def test_zarr_headers_and_nested_chunks(spark, tmp_path, nested, new):
     got = {(r.channel, r.x, r.y): r.v for r in zarr.pixels(spark, path).collect()}
     assert got == {(c, l, m): v for (_, c, _, l, m), v in np.ndenumerate(data)}
     assert zarr.pixels(spark, path, channel=(2, 3), x=(1, 4)).count() == 3 * 6
-    h = zarr.header(path)
+    cubes_at = spark.createDataFrame([(path,)], "file string")
+    texts = zarr.headers(cubes_at).first().header
+    h = {k: (float(v) if re.fullmatch(r"[-+0-9.E]+", v) else v) for k, v in texts.items()}
     assert (h["NAXIS1"], h["NAXIS2"], h["NAXIS4"], h["CTYPE1"], h["BITPIX"], h["RADESYS"]) == (5, 6, 4, "RA---SIN", -32, "FK5")
     assert (h["CRPIX1"], h["CRPIX2"], h["CDELT4"], h["BUNIT"], h["SPECSYS"], h["TELESCOP"]) == (3.0, 4.0, 1e6, "Jy/beam", "LSRK", "DISH")
     assert np.isclose(h["BMAJ"], 0.002) and np.isclose(h["BPA"], 30) and np.isclose(h["CRVAL2"], np.rad2deg(-0.5)) and np.isclose(h["PIX_AREA"], np.rad2deg(1e-5) ** 2)
-    info = H.file_info_extended(zarr.headers(spark, [path])).first()
+    info = H.file_info_extended(zarr.headers(cubes_at)).first()
     entries = {e.name: e.value for e in info.entries}
     assert (info.width, info.height, info.depth, info.spectral_axis) == (5, 6, 4, 4) and entries["Frequency range"] == "[1.4000, 1.4030] (GHz)"
     assert entries["Restoring beam"] == '7.2" X 3.6", 30.0 deg' and entries["Celestial frame"] == "FK5, J2000.0" and entries["Shape"].endswith("(RA, DEC, STOKES, FREQ, TIME)")
