@@ -15,9 +15,10 @@ import numpy as np
 
 
 class Tree:
-    def __init__(self, vectors: np.ndarray, top: float, page_rows: int = 64, fanout: int = 16):
-        """vectors: n x dim, as floats where all inner products are exact below 2^53, else as 64-bit integers; top: M."""
-        self.top = top
+    def __init__(self, vectors: np.ndarray, top: float, page_rows: int = 64, fanout: int = 16, wide: bool = False):
+        """vectors: n x dim, as floats where all inner products are exact below 2^53, else as 64-bit integers; top: M.
+        wide: products with queries may be no 64-bit numbers, so Python's are used."""
+        self.top, self.wide = top, wide
         lift = np.sqrt(np.maximum(0.0, top - (vectors.astype(np.float64) ** 2).sum(1)))
         # Breadth first, so that a node's children are consecutive: routing object, parent distance, radius, range, leaf.
         self.pivot, self.parent, self.radius, self.lo, self.hi, self.leaf = [0], [0.0], [0.0], [0], [0], [False]
@@ -51,7 +52,7 @@ class Tree:
 
     def _apart(self, vectors: np.ndarray, lift: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Distances between lifted vectors."""
-        dots = (vectors[a] @ vectors[b].T).astype(np.float64)
+        dots = vectors[a].astype(np.float64) @ vectors[b].T.astype(np.float64)  # bounds allow for their rounding
         return np.sqrt(np.maximum(0.0, 2 * (self.top - dots - lift[a][:, None] * lift[b])))
 
     def _split(self, vectors: np.ndarray, lift: np.ndarray, members: np.ndarray, d: np.ndarray, parts: int) -> list[tuple[np.ndarray, int]]:
@@ -79,7 +80,8 @@ class Tree:
         best: list[tuple[int, int]] = []  # a heap of (score, -id)
         bound = reach(least)
         self.visited, self.products = 0, 1
-        d = reach(float(q @ self.pivots[0])) - slack
+        far = q.astype(np.float64)
+        d = reach(float(far @ self.pivots[0].astype(np.float64))) - slack
         queue = [(max(0.0, d - self.radius[0]), 0, d)]
         while queue:
             low, node, d = heapq.heappop(queue)
@@ -90,7 +92,7 @@ class Tree:
             if self.leaf[node]:
                 # |d(q, p) - d(x, p)| <= d(q, x): entries that this rules out get no product.
                 inside = self.lo[node] + np.flatnonzero(np.abs(d - self.away[some]) <= bound)
-                scores = self.vectors[inside] @ q
+                scores = self.vectors[inside].astype(object) @ q.astype(object) if self.wide else self.vectors[inside] @ q
                 self.products += len(inside)
                 good = np.flatnonzero(scores >= least)
                 for i in good[np.argsort(-scores[good], kind="stable")]:
@@ -108,7 +110,7 @@ class Tree:
                         bound = reach(least)
             else:
                 children = self.lo[node] + np.flatnonzero(np.abs(d - self.parent[some]) - self.radius[some] <= bound)
-                dots = (self.pivots[children] @ q).astype(np.float64)
+                dots = self.pivots[children].astype(np.float64) @ far
                 self.products += len(children)
                 away = np.sqrt(np.maximum(0.0, norm + self.top - 2.0 * dots))
                 for c, a in zip(children.tolist(), away.tolist(), strict=True):

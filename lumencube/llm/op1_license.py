@@ -4,11 +4,12 @@ Two answers a document. The base answer counts the places where the words of fou
 other. The wider answer is an exact set-similarity join between text blocks and templates. A block is any run of
 consecutive words as long as the template and a quarter more; it matches when it holds at least `threshold` of the
 template's distinct words. Words are ordered by the number of documents that hold them, rarest first. A block can only
-match if it holds one of the first |T| - o + 1 words of the template (o: the overlap that is needed; prefix), so the join
-is by these words' places. Around such a place there must be o words of the template (length) that come no earlier in the
-order than this one (position; a block is found from the rarest word that it shares). What passes is verified: every
-block that holds the place is looked at.
-Of templates that match the same words, the one with the larger containment, then with more words, gives its label.
+match if its rarest word of the template is among the first |T| - o + 1 of them (o: the overlap that is needed; prefix and
+position: so many words of the template come no earlier in the order), and if it holds o words of the template in all
+(length). What passes is verified: for every word of the template in the text, the distinct words of the block that begins
+there, all at once by adding up where each word counts, so that the work is linear in the words. Of blocks that overlap
+the best stands for them. Of templates that match the same words, the one with the larger containment, then with more
+words, gives its label.
 
 The texts are read once, by one helper that turns a text into the places of template words; it passes over texts that
 hold too few different words of every template. Templates are constants of this module (or an argument), so what is
@@ -20,9 +21,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, table
 
@@ -94,17 +97,75 @@ class Templates:
         self.need = [math.ceil(threshold * len(t) - 1e-9) for t in self.tokens]
         self.span = [math.ceil(1.25 * len(t)) for t in lists]
 
-    def prefixes(self, holding: dict[int, int]) -> list[tuple]:
-        """(token, template, label, size, need, span, own) of every template's first words; own: the words from it on.
 
-        A block is found from the rarest word that it shares, so words before that one are not looked for.
-        """
-        out = []
-        for t, tokens in enumerate(self.tokens):
+class Blocks:
+    """Finds matching blocks in the places of template words, and which of them give their labels."""
+
+    def __init__(self, templates: Templates, holding: dict[int, int]):
+        self.templates = templates
+        n = len(templates.words)
+        self.masks = [sum(1 << k for k in t) for t in templates.tokens]
+        self.own, self.prefix = np.zeros((len(templates.tokens), n), bool), np.zeros((len(templates.tokens), n), bool)
+        for t, tokens in enumerate(templates.tokens):
             ranked = sorted(tokens, key=lambda k: (holding.get(k, 0), k))
-            for at, token in enumerate(ranked[: len(ranked) - self.need[t] + 1]):
-                out.append((token, t, self.labels[t], len(tokens), self.need[t], self.span[t], ranked[at:]))
-        return out
+            self.own[t, tokens] = True
+            self.prefix[t, ranked[: len(ranked) - templates.need[t] + 1]] = True
+
+    def of(self, places: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """(template, first, last, overlap), an int64 row a block; places ascend."""
+        held, out = sum(1 << int(k) for k in np.unique(tokens)), []
+        for t, (mask, need, span) in enumerate(zip(self.masks, self.templates.need, self.templates.span, strict=True)):
+            if (held & mask).bit_count() >= need:
+                some = self.own[t, tokens]
+                out += [(t, *b) for b in self._of_template(places[some], tokens[some], self.prefix[t], need, span)]
+        return np.array(out, np.int64).reshape(-1, 4)
+
+    @staticmethod
+    def _of_template(p: np.ndarray, k: np.ndarray, prefix: np.ndarray, need: int, span: int) -> list[tuple[int, int, int]]:
+        n, at = len(p), np.arange(len(p))
+        end = np.searchsorted(p, p + span)  # of the block that begins at each word
+        rare = np.concatenate([[0], np.cumsum(prefix[k])])
+        may = (end - at >= need) & (rare[end] > rare[at])
+        if not may.any():
+            return []
+        by_word = np.argsort(k, kind="stable")
+        before = np.full(n, -1)  # the same word's last place
+        again = k[by_word[1:]] == k[by_word[:-1]]
+        before[by_word[1:][again]] = by_word[:-1][again]
+        # A word is new in the blocks that begin after its last place, and not so early that they end before it.
+        first = np.maximum(before + 1, np.searchsorted(p, p - span, "right"))
+        overlap = np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(at + 1, minlength=n + 1))[:n]
+        good = np.flatnonzero(may & (overlap >= need))
+        places, free, out = p[good], np.ones(len(good), bool), []
+        for i in np.lexsort((places, -overlap[good])).tolist():
+            if free[i]:
+                free[np.searchsorted(places, places[i] - span, "right") : np.searchsorted(places, places[i] + span)] = False
+                j = good[i]
+                out.append((int(p[j]), int(p[end[j] - 1]), int(overlap[j])))
+        return sorted(out)
+
+    def winners(self, blocks: np.ndarray) -> tuple[list[str], float]:
+        """Labels of the blocks that no better one of another label covers (by half of their words' extent or more), and the best containment.
+
+        A better block that covers half of another begins at most a block's length before it; and as blocks of one template
+        don't overlap, there are only some of each template to compare with.
+        """
+        if not len(blocks):
+            return [], 0.0
+        label = np.unique([self.templates.labels[t] for t in blocks[:, 0]], return_inverse=True)
+        merit = blocks[:, 3] / np.array([len(self.templates.tokens[t]) for t in blocks[:, 0]])
+        order = np.argsort(blocks[:, 1], kind="stable")
+        first, last, name, merit, overlap = blocks[order, 1], blocks[order, 2], label[1][order], merit[order], blocks[order, 3]
+        lo, hi = np.searchsorted(first, first - max(self.templates.span)), np.searchsorted(first, last, "right")
+        out = set()
+        for i in range(len(order)):
+            if name[i] not in out:
+                by = slice(lo[i], hi[i])
+                common = np.minimum(last[i], last[by]) - np.maximum(first[i], first[by]) + 1
+                better = (merit[by] > merit[i]) | ((merit[by] == merit[i]) & (overlap[by] > overlap[i]))
+                if not ((name[by] != name[i]) & better & (2 * common >= last[i] - first[i] + 1)).any():
+                    out.add(name[i])
+        return [str(label[0][k]) for k in sorted(out)], float(merit.max())
 
 
 def scan(docs: DataFrame, templates: Templates) -> DataFrame:
@@ -149,50 +210,30 @@ def scan(docs: DataFrame, templates: Templates) -> DataFrame:
     return docs.select("doc_id", "text").withColumn("id", F.monotonically_increasing_id()).mapInArrow(run, schema)
 
 
+def blocks_of(scanned: DataFrame, templates: Templates) -> Blocks:
+    """scanned: rows of scan(), materialised. The counts brought to the driver are as many as the templates have words."""
+    holding = scanned.where("holding IS NOT NULL").select(F.posexplode("holding").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n"))
+    return Blocks(templates, {r["k"]: r["n"] for r in holding.collect()})
+
+
+def _hits(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for places, tokens in zip(batch.column("places"), batch.column("tokens"), strict=True):
+        yield places.values.to_numpy().astype(np.int64), tokens.values.to_numpy()
+
+
 def template_join(scanned: DataFrame, templates: Templates) -> DataFrame:
-    """(id, template, label, first, last, overlap, containment) of the best block around every place that meets the threshold.
+    """(id, template, label, first, last, overlap, containment): a row a block that meets the threshold and that no better block of its template overlaps."""
+    blocks = blocks_of(scanned, templates)
 
-    scanned: rows of scan(), materialised. The counts brought to the driver are as many as the templates have words.
-    """
-    spark = scanned.sparkSession
-    holding = scanned.where("holding IS NOT NULL").select(F.posexplode("holding").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n"))
-    prefixes = templates.prefixes({r["k"]: r["n"] for r in holding.collect()})
-    schema = "token int, template int, label string, size int, need int, span int, own array<int>"
-    prefixes = F.broadcast(spark.createDataFrame(prefixes, schema))
-    hits = scanned.where(F.size("places") > 0).select("id", F.arrays_zip("places", "tokens").alias("hits"))
-    pair = hits.withColumn("hit", F.explode("hits")).withColumn("token", F.col("hit.tokens")).join(prefixes, "token")
-    at = F.col("hit.places")
-    # Template words in the blocks that hold the place.
-    near = F.filter("hits", lambda h: (h["places"] > at - F.col("span")) & (h["places"] < at + F.col("span")) & F.array_contains("own", h["tokens"]))
-    pair = pair.withColumn("near", near).where(F.size(F.array_distinct("near.tokens")) >= F.col("need"))
-
-    def block(h):  # the block that begins with this word, if it holds the place
-        inside = F.filter("near", lambda g: (g["places"] >= h["places"]) & (g["places"] < h["places"] + F.col("span")))
-        n = F.size(F.array_distinct(F.transform(inside, lambda g: g["tokens"])))
-        last = F.array_max(F.transform(inside, lambda g: g["places"]))
-        return F.struct(n.alias("overlap"), (-h["places"]).alias("before"), last.alias("last"))
-
-    begins = F.filter("near", lambda h: (h["places"] <= at))
-    best = F.array_max(F.transform(begins, block))
-    pair = pair.withColumn("best", best).where(F.col("best.overlap") >= F.col("need"))
-    return pair.select(
-        "id", "template", "label", (-F.col("best.before")).alias("first"), F.col("best.last").alias("last"), F.col("best.overlap").alias("overlap"),
-        (F.col("best.overlap") / F.col("size")).alias("containment"),
-    ).distinct()
-
-
-def winners(found: DataFrame) -> DataFrame:
-    """(id, labels, best): matches that no better one of another label covers (by half of their words' extent or more)."""
-    each = found.groupBy("id", "template", "label", "first", "last").agg(F.max(F.struct("containment", "overlap")).alias("merit"))
-    every = each.groupBy("id").agg(F.collect_set(F.struct("merit", "label", "first", "last")).alias("m"))  # a place a template word at most
-
-    def beaten(x, by):
-        common = F.least(x["last"], by["last"]) - F.greatest(x["first"], by["first"]) + 1
-        return (by["label"] != x["label"]) & (by["merit"] > x["merit"]) & (2 * common >= x["last"] - x["first"] + 1)
-
-    best = F.filter("m", lambda x: ~F.exists("m", lambda by: beaten(x, by)))
-    every = every.withColumn("w", best)
-    return every.select("id", F.array_distinct("w.label").alias("found"), F.array_max(F.transform("m", lambda x: x["merit"]["containment"])).alias("best"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, (places, tokens) in zip(b.column("id").to_pylist(), _hits(b), strict=True):
+                if len(places) and len(found := blocks.of(places, tokens)):
+                    t, sizes = found[:, 0], np.array([len(x) for x in templates.tokens])
+                    columns = [pa.array([key] * len(t)), pa.array(t.astype(np.int32)), pa.array([templates.labels[k] for k in t]), *(pa.array(found[:, k]) for k in (1, 2, 3)), pa.array(found[:, 3] / sizes[t])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "template", "label", "first", "last", "overlap", "containment"])
+
+    return scanned.select("id", "places", "tokens").mapInArrow(run, "id long, template int, label string, first long, last long, overlap long, containment double")
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.85) -> DataFrame:
@@ -203,15 +244,24 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """
     made = Templates(templates, threshold)
     scanned = materialise(scan(docs, made), "license-scan")
-    both = scanned.drop("places", "tokens", "holding").join(winners(template_join(scanned, made)), "id", "left")
-    labels = F.array_union("base", F.coalesce("found", F.array().cast("array<string>")))
+    blocks, kept = blocks_of(scanned, made), ("doc_id", "n_words", "starts", "base")
+    schema = T.StructType([*(scanned.schema[c] for c in kept), T.StructField("found", T.ArrayType(T.StringType())), T.StructField("best", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [blocks.winners(blocks.of(p, k)) if len(p) else ([], 0.0) for p, k in _hits(b)]
+            new = [pa.array([f for f, _ in found], pa.list_(pa.string())), pa.array([s for _, s in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *new], names=schema.names)
+
+    both = scanned.select(*kept, "places", "tokens").mapInArrow(run, schema)
+    labels = F.array_union("base", "found")
     join = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     has = F.size("starts") > 0
     return both.select(
         "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"),
         F.when(has, F.array_min("starts")).alias("first_word"), F.when(has, F.array_max("starts")).alias("last_word"),
         join(F.col("base")).alias("base_labels"), join(labels).alias("labels"),
-        F.greatest(F.coalesce("best", F.lit(0.0)), F.when(has, 1.0).otherwise(0.0)).alias("score"),
+        F.greatest("best", F.when(has, 1.0).otherwise(0.0)).alias("score"),
     )
 
 

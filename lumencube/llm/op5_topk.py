@@ -24,20 +24,17 @@ from .mtree import Tree
 
 BLOCK = "block long, qids binary, q binary, least binary"
 FOUND = "query_id long, vec_id long, score long"
-LARGEST = 2.0**62
 
 
 def integer_vectors(rows: DataFrame) -> DataFrame:
     """(vec_id, v array<bigint>): floor(256 x) of each component as double; rows with null or non-finite parts are left out.
 
-    So are vectors whose squared norm is 2^62 or more: their products would not fit a 64-bit score.
+    A component whose integer form is no 64-bit number (2^55 or more) raises an error.
     """
     x = F.col("embedding")
     ok = x.isNotNull() & F.col("vec_id").isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    scaled = F.transform(x, lambda e: e.cast("double") * 256)
-    small = F.aggregate(scaled, F.lit(0.0), lambda s, e: s + e * e) < LARGEST
-    # floor of a double is a bigint only where it fits, so large vectors go first.
-    return rows.where(F.coalesce(ok & small, F.lit(False))).select("vec_id", F.transform(scaled, lambda e: F.floor(e)).alias("v"))
+    whole = lambda e: F.when(F.abs(e) < 2.0**63, F.floor(e)).otherwise(F.raise_error(F.lit("256 times a component is no 64-bit number")).cast("long"))
+    return rows.where(F.coalesce(ok, F.lit(False))).select("vec_id", F.transform(F.transform(x, lambda e: e.cast("double") * 256), whole).alias("v"))
 
 
 def smallest_ids(vectors: DataFrame, most: int) -> DataFrame:
@@ -57,13 +54,19 @@ def dealt(near: DataFrame, most: int) -> DataFrame:
 
 
 class Space:
-    """What all tasks share: the length of vectors, M, the routing vectors, and whether float products are exact."""
+    """What all tasks share: the length of vectors, M, the routing vectors, and how products are made.
 
-    def __init__(self, dim: int, top: float, routes: list[list[int]]):
-        self.dim, self.top = dim, top
-        self.kind = np.float64 if top < 2.0**53 else np.int64
+    They are exact: as floats below 2^53, as 64-bit integers below 2^63, else as Python's integers. top and q_top: the
+    largest squared norms of entries and of queries, as doubles; no product is above the root of their product.
+    """
+
+    def __init__(self, dim: int, top: float, q_top: float, routes: list[list[int]]):
+        self.dim, self.top = dim, max(top, q_top)
+        most = np.sqrt(top) * np.sqrt(q_top) * (1 + 1e-9)
+        self.kind = np.float64 if self.top * (1 + 1e-9) < 2.0**53 else np.int64
+        self.wide = most >= 2.0**63
         self.routes = self.matrix(routes)
-        self.lift = np.sqrt(np.maximum(0.0, top - (self.routes.astype(np.float64) ** 2).sum(1)))
+        self.lift = np.sqrt(np.maximum(0.0, self.top - (self.routes.astype(np.float64) ** 2).sum(1)))
 
     def matrix(self, column) -> np.ndarray:
         out = np.zeros((len(column), self.dim), self.kind)
@@ -75,7 +78,7 @@ class Space:
         """Distances of entries, or of queries (whose lifted coordinate is 0), to the routing vectors."""
         norm = (x.astype(np.float64) ** 2).sum(1)
         lift = np.zeros(len(x)) if query else np.sqrt(np.maximum(0.0, self.top - norm))
-        dots = (x @ self.routes.T).astype(np.float64)
+        dots = x.astype(np.float64) @ self.routes.T.astype(np.float64)
         return np.sqrt(np.maximum(0.0, (norm + lift**2)[:, None] + self.top - 2 * (dots + lift[:, None] * self.lift)))
 
 
@@ -93,7 +96,7 @@ def build_trees(entries: DataFrame, space: Space, shard_rows: int, page_rows: in
 
     def build(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("distance", kind="stable")
-        tree = Tree(space.matrix(b["v"]), space.top, page_rows)
+        tree = Tree(space.matrix(b["v"]), space.top, page_rows, wide=space.wide)
         content = pickle.dumps((tree, [np.asarray(i).tolist() for i in b["ids"]]))
         return pd.DataFrame({"route": [key[0]], "salt": [key[1]], "tree": [content]})
 
@@ -104,8 +107,8 @@ def build_trees(entries: DataFrame, space: Space, shard_rows: int, page_rows: in
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, page_rows: int = 256, block: int = 256, most_routes: int = 256, shard_rows: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best other vectors, ties to the smaller vec_id.
 
-    vectors and queries: (vec_id, embedding); a query's own vec_id is no candidate. Rows with null or non-finite parts, or
-    with squared norms of 2^62 or more, take no part. Vectors that are shorter than the longest count as padded with zeros,
+    vectors and queries: (vec_id, embedding); a query's own vec_id is no candidate. Rows with null or non-finite parts take
+    no part; a score that is no 64-bit number raises an error. Vectors that are shorter than the longest count as padded with zeros,
     empty ones as zeros. Repeated rows count once. An empty table gives no rows; with fewer than k others, a query has
     fewer rows. most_routes bounds the routing vectors, and so what each task gets of them; shard_rows is about the size
     of a tree (by default a fortieth of the entries, at least 256 and at most 8192).
@@ -113,14 +116,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, page_rows: int =
     spark = vectors.sparkSession
     entries = materialise(smallest_ids(integer_vectors(vectors).distinct(), k + 1), "entries")
     asked = materialise(integer_vectors(queries).distinct(), "asked")
-    norm = F.aggregate("v", F.lit(0).cast("long"), lambda s, e: s + e * e)
+    norm = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
     measures = [F.count("*"), F.max(norm), F.max(F.size("v"))]
     (n, top, dim), (asks, q_top, q_dim) = entries.agg(*measures).first(), asked.agg(*measures).first()
     if not n or not asks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     want = int(min(most_routes, max(1, round(np.sqrt(n / 8)))))
     sample = entries.orderBy(F.xxhash64("v"), "v").limit(want).select("v").collect()
-    space = Space(max(dim, q_dim, 1), float(max(top, q_top)), [r["v"] for r in sample])
+    space = Space(max(dim, q_dim, 1), top, q_top, [r["v"] for r in sample])
     trees, covers = build_trees(entries, space, shard_rows or int(min(8192, max(256, n // 40))), page_rows)
     radius = np.full(want, -np.inf)
     for r in covers.collect():  # at most most_routes rows
@@ -154,26 +157,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, page_rows: int =
         """FOUND rows of the trees that the blocks' queries need; nearest: of the first tree of each query's nearest route."""
 
         def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for r in b.itertuples():
-                    _, q, least = unpack(r)
-                    hit = np.flatnonzero(wanted(q, least, nearest).any(0))
-                    yield pd.DataFrame({"route": hit.astype(np.int32), "block": r.block, "qids": r.qids, "q": r.q, "least": r.least})
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for r in b.itertuples():
                     qids, q, least = unpack(r)
-                    tree, ids = pickle.loads(r.tree)
-                    out = []
-                    for i in np.flatnonzero(wanted(q, least, nearest)[:, r.route]):
-                        own = int(qids[i])
-                        out += [(own, x, s) for s, x in tree.search(q[i], k, ids, own, float(least[i]))]
-                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype(np.int64)
-
-        pairs = asking.mapInPandas(route, "route int, " + BLOCK)
-        pairs = pairs.join(trees.where("salt = 0") if nearest else trees, "route")
-        return pairs.select("route", "block", "qids", "q", "least", "tree").mapInPandas(run, FOUND)
+                    need = wanted(q, least, nearest)
+                    for k in np.flatnonzero(need.any(0)):  # the queries that want this route alone
+                        some = need[:, k]
+                        yield pd.DataFrame({"route": np.int32([k]), "block": [r.block], "qids": [qids[some].tobytes()], "q": [q[some].tobytes()], "least": [least[some].tobytes()]})
+
+        def run(key: tuple, asked_here: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for t in held["tree"]:
+                tree, ids = pickle.loads(t)
+                for r in asked_here.itertuples():
+                    for own, q, least in zip(*unpack(r), strict=True):
+                        out += [(int(own), x, s) for s, x in tree.search(q, k, ids, int(own), float(least))]
+            if any(abs(s) >= 1 << 63 for _, _, s in out):
+                raise ArithmeticError("a score is no 64-bit number")
+            return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype(np.int64)
+
+        # A tree meets about 16 blocks at a time, so that it is copied for them once.
+        own, parts = trees.where("salt = 0") if nearest else trees, max(1, -(-asks // (16 * block)))
+        pairs = asking.mapInPandas(route, "route int, " + BLOCK).join(own.selectExpr("route", "salt AS of_salt"), "route")
+        pairs = pairs.select(F.col("route").alias("of_route"), "of_salt", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("of_part"), "block", "qids", "q", "least")
+        held = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        return pairs.groupBy("of_route", "of_salt", "of_part").cogroup(held.groupBy("route", "salt", "part")).applyInPandas(run, FOUND)
 
     def best(found: DataFrame) -> DataFrame:
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -1,7 +1,7 @@
 """Document fingerprints: a canonical exact digest, in DataFrame expressions alone.
 
-A text's canonical form has Unicode compatibility composition (NFKC, through the ICU library that Spark ships), lower
-case, and each run of white space as one space, none at the ends. Its digest is 128 bits: xxhash64 of the form under two
+A text's canonical form has Unicode compatibility composition (NFKC, through the ICU library that Spark ships), full case
+folding with composition after it, and each run of white space as one space, none at the ends. Its digest is 128 bits: xxhash64 of the form under two
 seeds. Texts are grouped by the digest; where a group has several rows the forms themselves are compared (their smallest
 and largest, which Spark takes first inside each task, so that a group of any size is small after it). Forms of edited
 texts, which are no rows of the table, are compared with a group's by SHA-256. If two forms differ under one digest, their
@@ -19,8 +19,10 @@ NULL_BUCKETS = -(1 << 60)  # rows without doc_id sort first; they are dealt into
 
 
 def canonical(text: Column) -> Column:
-    composed = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    return F.trim(F.regexp_replace(F.lower(composed), r"(?U)\s+", " "))
+    icu = lambda name, method, value: F.call_function("java_method", F.lit(f"com.ibm.icu.{name}"), F.lit(method), value, F.lit(True))
+    composed = icu("text.Normalizer", "compose", text)
+    folded = icu("text.Normalizer", "compose", icu("lang.UCharacter", "foldCase", composed))  # a folded text may be no composed one
+    return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
 
 
 def digest(form: Column) -> tuple[Column, Column]:

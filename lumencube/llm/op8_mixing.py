@@ -28,6 +28,10 @@ def _hash(*parts: str) -> Column:
     return F.conv(F.substring(F.md5(joined.cast("binary")), 1, 12), 16, 10).cast("long")
 
 
+def _as_id(key: str) -> Column:
+    return F.col(key).try_cast("long")
+
+
 def exponent(logs: DataFrame, total: int, max_repeats: float, entropy: float | None, budget_ratio: float) -> tuple[float, float]:
     """The exponent a, and the sum of the powers p^a; logs: (l, tokens), a row a source, l being the logarithm of its share.
 
@@ -68,15 +72,16 @@ def source_weights(sizes: DataFrame, max_repeats: float, entropy: float | None,
     return row.withColumn("rest", F.col("budget") - F.col("copies") * F.col("tokens"))
 
 
-def choose(docs: DataFrame, max_repeats: float = 4.0, entropy: float | None = None, budget_ratio: float = 1.0, block_docs: int = 64) -> DataFrame:
-    """Per document: doc_id, source, tokens, weight, exponent, block, times (how often the mix has it; 0: not at all).
+def dealt_by(doc_id: Column, text: Column) -> Column:
+    """What a document is dealt by: its id, or where it has none, a hash of its text."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("#"), F.xxhash64(F.coalesce(text, F.lit(""))).cast("string")))
 
-    Null sources form a source of their own, the empty name; texts without words count one token. Repeated rows are
-    dealt alike. The table of sources is broadcast only up to 10,000 of them; beyond that it is joined.
-    """
+
+def deal(docs: DataFrame, max_repeats: float = 4.0, entropy: float | None = None, budget_ratio: float = 1.0, block_docs: int = 64) -> DataFrame:
+    """choose(), plus key, by which documents are dealt: rows of one source and key are taken alike."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        "doc_id", F.coalesce("source", F.lit("")).alias("source"),
+        "doc_id", dealt_by(F.col("doc_id"), F.col("text")).alias("key"), F.coalesce("source", F.lit("")).alias("source"),
         F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))).cast("long").alias("tokens"),
     )
     rows = materialise(rows, "mix-rows")
@@ -87,7 +92,7 @@ def choose(docs: DataFrame, max_repeats: float = 4.0, entropy: float | None = No
 
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("documents") / block_docs))
     w = weights.select("source", "exponent", "weight", "copies", "rest", n_blocks.alias("n_blocks"))
-    rows = rows.join(small(w), "source").withColumn("block", _hash("#deal", "source", "doc_id") % F.col("n_blocks"))
+    rows = rows.join(small(w), "source").withColumn("block", _hash("#deal", "source", "key") % F.col("n_blocks"))
     blocks = rows.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"), F.first("rest").alias("rest"))
     blocks = blocks.withColumn("turn", _hash("#blocks", "source", "block"))
     blocks = materialise(blocks.withColumn("range", F.shiftright("turn", 38)), "mix-blocks")
@@ -110,16 +115,28 @@ def choose(docs: DataFrame, max_repeats: float = 4.0, entropy: float | None = No
     # Only the block in which a source's budget ends is looked at document by document.
     ends = blocks.where("state = 0").select("source", F.col("block").alias("end_block"), "left")
     inside = rows.join(small(ends), "source").where("block = end_block")
-    order = Window.partitionBy("source", "block").orderBy(_hash("#docs", "source", "doc_id"), "doc_id")
-    inside = inside.withColumn("part", (F.sum("tokens").over(order) <= F.col("left")).cast("int"))
-    cut = inside.select("doc_id", "source", "tokens", "weight", "exponent", "block", "copies", "part")
+    # Rows of one key are taken together, so that a key of any number of rows is one row of the window.
+    keys = inside.groupBy("source", "block", "key", "left").agg(F.sum("tokens").alias("key_tokens"))
+    order = Window.partitionBy("source", "block").orderBy(_hash("#docs", "source", "key"), _as_id("key"), "key")
+    keys = keys.withColumn("part", (F.sum("key_tokens").over(order) <= F.col("left")).cast("int")).select("source", "key", "part")
+    cut = inside.join(small(keys), ["source", "key"]).select("doc_id", "key", "source", "tokens", "weight", "exponent", "block", "copies", "part")
     taken = blocks.where("state <> 0").select("source", "block", F.greatest("state", F.lit(0)).alias("part"))
     whole = rows.join(taken, ["source", "block"]).select(*cut.columns)
     return whole.unionByName(cut).select(
-        "doc_id", "source", "tokens", "weight", "exponent", "block", (F.col("copies") + F.col("part")).alias("times")
+        "doc_id", "key", "source", "tokens", "weight", "exponent", "block", (F.col("copies") + F.col("part")).alias("times")
     )
 
 
+def choose(docs: DataFrame, max_repeats: float = 4.0, entropy: float | None = None, budget_ratio: float = 1.0, block_docs: int = 64) -> DataFrame:
+    """Per document: doc_id, source, tokens, weight, exponent, block, times (how often the mix has it; 0: not at all).
+
+    Null sources form a source of their own, the empty name; texts without words count one token. Rows that repeat an id,
+    and rows without one that repeat a text, are dealt alike. The table of sources is broadcast only up to 10,000 of them;
+    beyond that it is joined.
+    """
+    return deal(docs, max_repeats, entropy, budget_ratio, block_docs).drop("key")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return choose(table(spark, sf_dir, "documents"))
 

@@ -107,6 +107,33 @@ def test_license_base_places_equal_a_plain_search(spark, docs):
         assert r.base_labels == ",".join(sorted({label for _, label in hits}))
 
 
+def test_license_winners_equal_all_pairs():
+    rng = np.random.default_rng(11)
+    made = op1_license.Templates(op1_license.TEMPLATES, 0.85)
+    finder = op1_license.Blocks(made, {})
+    for _ in range(60):
+        words = []
+        for _ in range(rng.integers(1, 7)):
+            own = op1_license.TEMPLATES[rng.integers(0, len(op1_license.TEMPLATES))][1].split()
+            words += [w for w in own if rng.random() > 0.05] + ["x"] * int(rng.integers(0, 30))
+        hits = [(i, made.number[w.encode()]) for i, w in enumerate(words) if w.encode() in made.number]
+        blocks = finder.of(*(np.array(c, np.int64) for c in zip(*hits)))
+        rows = [(made.labels[t], k / len(made.tokens[t]), k, a, z) for t, a, z, k in blocks.tolist()]
+        beats = lambda y, x: y[0] != x[0] and y[1:3] > x[1:3] and 2 * (min(x[4], y[4]) - max(x[3], y[3]) + 1) >= x[4] - x[3] + 1
+        want = sorted({x[0] for x in rows if not any(beats(y, x) for y in rows)})
+        assert finder.winners(blocks) == (want, max((r[1] for r in rows), default=0.0))
+        for t in {b[0] for b in blocks.tolist()}:  # the blocks of a template lie apart, and the best is among them
+            starts = sorted(b[1] for b in blocks.tolist() if b[0] == t)
+            assert all(b - a >= made.span[t] for a, b in zip(starts, starts[1:]))
+
+
+def test_license_of_a_text_with_thousands_of_paragraphs(spark):
+    gpl, bsd = op1_license.TEMPLATES[2][1], op1_license.TEMPLATES[18][1]
+    df = spark.createDataFrame([(1, f"{gpl} x y {bsd} " * 3000), (2, "the of to " * 100_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in op1_license.license_scan(df).collect()}
+    assert got[1].labels == "bsd,gpl" and got[1].n_base == 3000 and got[1].score == 1.0 and got[2].labels == "" and got[2].n_words == 300_000
+
+
 def test_toxicity_learns_and_generalises():
     good = [f"the quiet river number {i} runs past the old mill and the green hill" for i in range(300)]
     bad = [g.replace("old", "stupid" if i % 2 else "idiotic") for i, g in enumerate(good)]
@@ -352,14 +379,55 @@ def test_tree_search_spares_pages_and_products():
 def test_top_k_of_ragged_empty_and_large_vectors(spark, scale):
     rng = np.random.default_rng(6)
     rows = [(i, [float(e) for e in np.floor(rng.normal(0, scale, rng.integers(0, 9)) * 256) / 256]) for i in range(200)]
-    rows += [(200, [1e30, 1.0]), (201, [float("inf")]), (202, None), (203, []), (2**60 + 1, rows[3][1]), (2**60 + 3, rows[3][1])]
+    rows += [(201, [float("inf")]), (202, None), (203, []), (2**60 + 1, rows[3][1]), (2**60 + 3, rows[3][1])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     got = op5_topk.search(v, v.where("vec_id % 20 = 3 or vec_id > 1000")).collect()
-    x = {i: [int(np.floor(e * 256)) for e in r] for i, r in rows if r is not None and i not in (200, 201)}
+    x = {i: [int(np.floor(e * 256)) for e in r] for i, r in rows if r is not None and i != 201}
     for q in [i for i in x if i % 20 == 3 or i > 1000]:
         want = sorted(((-sum(a * b for a, b in zip(x[q], y)), i) for i, y in x.items() if i != q))[:5]
         assert sorted((r["rank"], -r.score, r.vec_id) for r in got if r.query_id == q) == [(k + 1, s, i) for k, (s, i) in enumerate(want)]
-    assert not any(r.query_id in (200, 201, 202) or r.vec_id in (200, 201, 202) for r in got)
+    assert not any(r.query_id in (201, 202) or r.vec_id in (201, 202) for r in got)
+
+
+@pytest.mark.parametrize("large", [9e6, 3e8, 3e12])
+def test_top_k_of_vectors_with_large_norms(spark, large):
+    rng = np.random.default_rng(8)
+    rows = [(1, [large, 0.0]), (50, [1.0, 1.0]), (100, [3.0, 1.0])] + [(2 + i, (rng.normal(size=2) * 10.0 ** rng.integers(0, 7)).tolist()) for i in range(30)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = op5_topk.search(v, v.where("vec_id % 50 = 0")).collect()
+    x = {i: [int(np.floor(e * 256)) for e in r] for i, r in rows}
+    for q in (50, 100):
+        want = sorted((-sum(a * b for a, b in zip(x[q], y)), i) for i, y in x.items() if i != q)[:5]
+        assert sorted((r["rank"], -r.score, r.vec_id) for r in got if r.query_id == q) == [(k + 1, s, i) for k, (s, i) in enumerate(want)]
+        assert want[0][1] == 1
+
+
+def test_top_k_of_scores_that_are_no_longs(spark):
+    for rows in ([(0, [3e8]), (1, [2e8]), (2, [1.0])], [(0, [1.0]), (1, [1e30])]):
+        v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="no 64-bit number"):
+            op5_topk.search(v, v.where("vec_id % 50 = 0")).collect()
+
+
+def test_fingerprint_folds_case(spark):
+    pairs = [("Straße", "STRASSE"), ("οδοσ", "ΟΔΟΣ"), ("ΟΔΟΣ", "οδος"), ("ﬁn", "FIN"), ("ǰ", "J̌")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(t for p in pairs for t in p)], "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in op7_fingerprint.fingerprints(df).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(len(pairs))) and len(set(got.values())) == len(pairs) - 1
+
+
+def test_mixing_deals_rows_without_ids_by_their_texts(spark):
+    rows = [(None, f"text number {i} " * (1 + i % 7), "s") for i in range(600)] + [(None, "the same text", "s")] * 300 + [(i, "other words", "t") for i in range(50)] + [(7, "again", "t")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = op8_mixing.deal(df).collect()
+    assert len(got) == len(rows) and len({r.block for r in got if r.source == "s"}) > 8
+    assert len({r.times for r in got if r.key == "7"}) == 1 and len({(r.block, r.times) for r in got if r.source == "s" and r.tokens == 3 and r.key.startswith("#")}) >= 1
+    same_text = [k for k in {r.key for r in got} if sum(r.key == k for r in got) == 300]
+    assert len(same_text) == 1 and len({r.times for r in got if r.key == same_text[0]}) == 1
+    for s in ("s", "t"):
+        own = [r for r in got if r.source == s]
+        budget = int(own[0].weight * sum(r.tokens for r in got))
+        assert budget - 900 <= sum(r.tokens * r.times for r in own) <= budget + 1
 
 
 def test_near_duplicates(spark, db, docs, none):
@@ -456,7 +524,8 @@ def test_fingerprints(docs, none, spark):
     rows = sorted(((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in docs.collect()))
     out = op7_fingerprint.fingerprints(docs).collect()
     assert len(out) == len(rows) and op7_fingerprint.fingerprints(none).count() == 0
-    form = lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t).lower()).strip()
+    nfkc = lambda t: unicodedata.normalize("NFKC", t)
+    form = lambda t: re.sub(r"\s+", " ", nfkc(nfkc(t).casefold())).strip()
     by = {}
     for r in out:
         by.setdefault(-1 if r.doc_id is None else r.doc_id, r)
@@ -658,13 +727,37 @@ def test_pipeline_mixing_takes_null_and_repeated_ids(spark):
     rows = [(None if i % 5 == 0 else i % 70, f"{i} " + "w " * (i % 9), ["big", "big", "big", None, "small"][i * 7 % 11 % 5]) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     times = {}
-    for r in op8_mixing.choose(df, max_repeats=2.0).collect():
-        assert times.setdefault((r.source, r.doc_id), r.times) == r.times
+    for r in op8_mixing.deal(df, max_repeats=2.0).collect():
+        assert times.setdefault((r.source, r.key), r.times) == r.times
     got = c.mixing(spark, df, SF)
-    want = sorted(repr(r) for r in rows for _ in range(times[r[2] or "", r[0]]))
+    key = {tuple(r)[:3]: r.k for r in df.withColumn("k", op8_mixing.dealt_by(df.doc_id, df.text)).collect()}
+    want = sorted(repr(r) for r in rows for _ in range(times[r[2] or "", key[r]]))
     assert got.columns == df.columns and any("(None" in r for r in want) and sorted(repr(tuple(r)) for r in got.collect()) == want
 
 
+def test_pipeline_run_hands_over_and_deletes(spark, tmp_path):
+    """run() on a whole small table is its stages one after the other, each on what the one before gave."""
+    import os
+    import shutil
+
+    import corpus_pipeline as c
+
+    shutil.copytree(SF, tmp_path / "sf")
+    sf = str(tmp_path / "sf")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(os.listdir(root))
+    got = c.run(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert len(set(os.listdir(root)) - before) == 1  # the last stage's table alone is left
+    sizes = []
+    for _, stage in c.STAGES:
+        docs = op1_license.materialise(stage(spark, docs, sf), "held")
+        sizes.append(docs.count())
+    kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]  # which window a piece is in depends on the tasks
+    per_doc = lambda df: sorted(map(tuple, df.groupBy("doc_id").agg({"length": "sum"}).collect()))
+    assert set(kept) <= set(got.columns) and per_doc(got) == per_doc(docs) and sizes[0] > sizes[1]
+
+
 def test_pipeline_stages_on_odd_tables(spark, docs, none):
     import corpus_pipeline as c
 
