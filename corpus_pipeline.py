@@ -43,17 +43,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents as often as the mix of sources has them; at most twice the tokens of a source, rounded up by document.
 
-    Rows of one source and doc_id are dealt alike, rows without a doc_id like rows that share one: so source and doc_id
-    tell how often a row is taken, whatever its text.
+    Rows of one source and doc_id are dealt alike, whatever their text; rows without a doc_id are dealt by their text.
     """
-    times = op8_mixing.choose(docs, max_repeats=2.0).select(F.col("source").alias("_source"), F.col("doc_id").alias("_id"), "times")
-    times = materialise(times.where("times > 0").dropDuplicates(["_source", "_id"]), "mix-times")
-    own = F.coalesce("source", F.lit("")) == F.col("_source")
-    # Of the rows without a doc_id a source has one row in times.
-    named = docs.join(times, own & (F.col("doc_id") == F.col("_id")))
-    others = docs.where("doc_id is null").join(times.where("_id is null"), own)
-    taken = named.unionByName(others).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return taken.select(*docs.columns)
+    times = op8_mixing.deal(docs, max_repeats=2.0).select(F.col("source").alias("_source"), F.col("key").alias("_key"), "times")
+    times = materialise(times.where("times > 0").dropDuplicates(["_source", "_key"]), "mix-times")
+    own = (F.coalesce("source", F.lit("")) == F.col("_source")) & (op8_mixing.dealt_by(F.col("doc_id"), F.col("text")) == F.col("_key"))
+    return docs.join(times, own).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
