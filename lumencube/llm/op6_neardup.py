@@ -1,7 +1,7 @@
 """MinHash near-dedup: bottom-k sketches, inverted lists, union-sketch estimates, exact Jaccard, components.
 
 Each text's distinct word shingles are hashed by one 64-bit function; the `k` smallest hashes are its sketch. Sets of one
-size and 128-bit signature are one class, once their bytes have been compared. Two sets over the threshold (0.85) share far over half of their sketches, so only the rarest
+size and 128-bit signature are one class, once their full sets have been compared. Two sets over the threshold (0.85) share far over half of their sketches, so only the rarest
 half of a sketch goes into the inverted lists (the prefix filter; rarity over all documents): texts whose likeness is a
 common passage don't meet. Members of short lists are paired. In long lists (large families of copies) sets that can't
 reach the threshold with any member are left out (exact bound: hashes that no other member has), then every member is
@@ -15,10 +15,7 @@ How often a pair at 0.85 shares less than half of 48 retained values: a binomial
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,13 +71,13 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
-    """docs' columns but text, with n, s1, s2 and s, the whole set as bytes."""
+    """docs' columns but text, with n, s1, s2 and s, the whole set in order."""
 
     def compute(texts: list[str | None]) -> list[list]:
         sets = [shingle_set(t) for t in texts]
-        return [[len(x) for x in sets], *map(list, zip(*map(signature, sets), strict=True)), [x.tobytes() for x in sets]]
+        return [[len(x) for x in sets], *map(list, zip(*map(signature, sets), strict=True)), sets]
 
-    added = T.StructType().add("n", "long").add("s1", "long").add("s2", "long").add("s", "binary")
+    added = T.StructType().add("n", "long").add("s1", "long").add("s2", "long").add("s", T.ArrayType(T.LongType()))
     return with_columns(docs, compute, added, drop=("text",))
 
 
@@ -95,7 +92,7 @@ def one_row_an_id(feats: DataFrame) -> DataFrame:
 
 
 def unlike(sets: DataFrame) -> DataFrame:
-    """(s1, s2, n) of the classes with members whose sets are not the same bytes; normally none. sets: rows of whole_sets()."""
+    """(s1, s2, n) of the classes with members whose sets are not the same; normally none. sets: rows of whole_sets()."""
     both = sets.groupBy("s1", "s2", "n").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))  # first inside each task
     return both.where("lo <> hi").select("s1", "s2", "n")
 
@@ -114,25 +111,19 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold."""
-
-    def good(x: np.ndarray, y: np.ndarray) -> bool:
-        if K < min(len(x), len(y)):
-            u = np.union1d(x[:K], y[:K])[:K]
-            both = np.isin(u, x[:K]) & np.isin(u, y[:K])
-            if both.sum() < SHARE * K:
-                return False
-        same = len(np.intersect1d(x, y, assume_unique=True))
-        return 100 * same >= PERCENT * (len(x) + len(y) - same)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = [good(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) for x, y in zip(b["sa"], b["sb"], strict=True)]
-            yield b.loc[keep, ["a", "b"]]
+    """The pairs (a, b) whose full sets meet the threshold.
 
+    First the union's sketch (its k smallest hashes) tells how many of them both have; few rule a pair out.
+    """
+    x, y = F.col("sa"), F.col("sb")
+    near = [F.slice(c, 1, K) for c in (x, y)]
+    union = F.slice(F.array_sort(F.array_union(*near)), 1, K)
+    likely = (F.least(F.size(x), F.size(y)) <= K) | (F.size(F.array_intersect(union, F.array_intersect(*near))) >= SHARE * K)
+    same = F.size(F.array_intersect(x, y))
     full = pairs.join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     full = full.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
-    return full.mapInPandas(run, "a long, b long")
+    good = full.where(likely).withColumn("same", same).where(100 * F.col("same") >= PERCENT * (F.size(x) + F.size(y) - F.col("same")))
+    return good.select("a", "b")
 
 
 def reachable(n_a: str, own_a: str, n_b: str, own_b: str) -> Column:
@@ -203,7 +194,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = materialise(sets_of(lists.select(F.col("rep").alias("doc_id")).unionByName(sharing).distinct()), "sets")
     apart = materialise(unlike(sets), "apart")
     if not apart.isEmpty():
-        # Members that bytes tell apart are classes of their own; their sets are there, those of new list members may not be.
+        # Members that their sets tell apart are classes of their own; their sets are there, those of new list members may not be.
         single = named.join(apart, key, "left_semi").groupBy("doc_id", *key).agg(F.first("sketch").alias("sketch"))
         single = single.select(*key, F.col("doc_id").alias("rep"), "sketch")
         classes = materialise(classes.join(apart, key, "left_anti").select(*key, "rep", "sketch").unionByName(single), "classes")
@@ -228,12 +219,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heavy = lists.where(F.col("count") > SHORT).select("v", "rep", "n")
     inside = sets.join(heavy.select("rep").distinct(), "rep")
 
-    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples():
-                yield pd.DataFrame({"h": np.frombuffer(r.s, np.int64), "rep": r.rep})
-
-    once = inside.mapInPandas(hashes, "h long, rep long").groupBy("h").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
+    hashes = lambda df: df.select(F.explode("s").alias("h"), "rep")
+    once = hashes(inside).groupBy("h").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
     own = once.where("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
     heavy = heavy.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     heavy = materialise(heavy.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * PERCENT), "heavy")
@@ -248,7 +235,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = named_by(heavy.select("v", "rep", "n"), "rep")
     mixed = members.groupBy("v").agg(F.min("rep_l").alias("lo"), F.max("rep_l").alias("hi")).where("lo <> hi").select("v")
     members = materialise(members.join(mixed, "v").select("rep", "n", "rep_l").distinct(), "mixed")
-    rest = by_prefix(sets.join(members, "rep").mapInPandas(hashes, "h long, rep long").join(once.where("c > 1").select("h", "c"), "h"), members)
+    rest = by_prefix(hashes(sets.join(members, "rep")).join(once.where("c > 1").select("h", "c"), "h"), members)
     more = materialise(verify(rest, sets), "links")
     if not more.isEmpty():
         joined = named_by(named_by(more, "a"), "b").select(F.col("a_l").alias("a"), F.col("b_l").alias("b"))

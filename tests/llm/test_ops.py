@@ -501,8 +501,8 @@ def test_near_duplicates_of_form_letters(spark):
 
 
 def test_classes_that_only_the_signature_shares_are_told_apart(spark, monkeypatch):
-    rows = [(1, 1, 1, 5, b"a"), (2, 1, 1, 5, b"b"), (3, 9, 9, 6, b"c"), (4, 9, 9, 6, b"c")]
-    sets = spark.createDataFrame(rows, "doc_id long, s1 long, s2 long, n long, s binary")
+    rows = [(1, 1, 1, 5, [1]), (2, 1, 1, 5, [2]), (3, 9, 9, 6, [3]), (4, 9, 9, 6, [3])]
+    sets = spark.createDataFrame(rows, "doc_id long, s1 long, s2 long, n long, s array<long>")
     assert [tuple(r) for r in op6_neardup.unlike(sets).collect()] == [(1, 1, 5)]
     # With a signature that all sets of a size share, the result is the same.
     texts = ["a b c d e f g", "h i j k l m n", "a b c d e f g", "o p q r s t u v", "h i j k l m n"]
