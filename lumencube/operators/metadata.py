@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,10 +114,20 @@ def region_lines(regions: DataFrame) -> DataFrame:
 
 
 def write_regions(regions: DataFrame, path: str) -> None:
-    """Writes one file, as the format has a first line: the regions of one export, in the order of region_id."""
+    """Writes a folder of files, each with the format's first line: the regions in the order of region_id, over all files by name.
+
+    Ranges of ids are dealt to tasks by their number, so a small export is one file.
+    """
     lines = region_lines(regions).where("line IS NOT NULL").select("region_id", "line")
-    head = regions.sparkSession.createDataFrame([(-1, "#CRTFv0")], "region_id long, line string")
-    head.unionByName(lines).coalesce(1).sortWithinPartitions("region_id").select("line").write.text(path)
+    dealt = lines.repartitionByRange("region_id").sortWithinPartitions("region_id").select("line")
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, b in enumerate(batches):
+            if k == 0 and b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(["#CRTFv0"])], names=["line"])
+            yield b
+
+    dealt.mapInArrow(headed, "line string").write.text(path)
 
 
 def is_box(corners: Column, tolerance: float = 1e-8) -> Column:
@@ -137,34 +150,24 @@ def chunk_plan(requests: DataFrame, axes: int = 5) -> DataFrame:
 
     shape and chunks: arrays of an entry an axis, at most `axes`; index: array of struct<start, stop, scalar>. A scalar takes
     one place; a slice is cut at the axis's size, its start and stop being the whole axis where NULL. Empty slices give no
-    rows. Slices are half-open (start, stop). The chunks of an axis are made by one explode each.
+    rows. Slices are half-open (start, stop). Each axis is columns of plain numbers and one explode over its chunks' numbers;
+    arrays are made of them at the end.
     """
-    whole = "struct<chunk:long,start:long,stop:long,out_start:long,out_stop:long>"
-    df = requests.withColumn("parts", F.array().cast(f"array<{whole}>"))
-
-    def option(k: Column, lo: Column, hi: Column, out: Column) -> Column:
-        return F.struct(k.alias("chunk"), lo.alias("start"), hi.alias("stop"), out.alias("out_start"), (out + hi - lo).alias("out_stop")).cast(whole)
-
-    def cut(c: Column, n: Column, start: Column, stop: Column):
-        def of_chunk(k: Column) -> Column:
-            lo, hi = F.greatest(start, k * c), F.least(stop, F.least((k + 1) * c, n))
-            return option(k, lo - k * c, hi - k * c, lo - start)
-
-        return of_chunk
-
+    df, count = requests, F.size("shape")
     for i in range(axes):
-        at, c, n = F.get("index", F.lit(i)), F.get("chunks", F.lit(i)).cast("long"), F.get("shape", F.lit(i)).cast("long")
-        start, stop = F.coalesce(at["start"], F.lit(0)).cast("long"), F.least(F.coalesce(at["stop"].cast("long"), n), n)
-        one = F.array(option(F.floor(start / c), start % c, start % c + 1, F.lit(0).cast("long")))
-
-        many = F.when(stop > start, F.transform(F.sequence(F.floor(start / c), F.floor((stop - 1) / c)), cut(c, n, start, stop))).otherwise(F.array().cast(f"array<{whole}>"))
-        none = F.array(F.lit(None).cast(whole))
-        df = df.withColumn("_o", F.explode(F.when(F.size("shape") <= i, none).when(at["scalar"], one).otherwise(many)))
-        df = df.withColumn("parts", F.when(F.col("_o").isNull(), F.col("parts")).otherwise(F.concat("parts", F.array("_o")))).drop("_o")
-    slices = lambda a, z: F.transform("parts", lambda p: F.struct(p[a].alias("start"), p[z].alias("stop")))
+        at, n = F.get("index", F.lit(i)), F.get("shape", F.lit(i)).cast("long")
+        start = F.when(at["scalar"], at["start"].cast("long")).otherwise(F.coalesce(at["start"].cast("long"), F.lit(0)))
+        stop = F.when(at["scalar"], at["start"].cast("long") + 1).otherwise(F.least(F.coalesce(at["stop"].cast("long"), n), n))
+        df = df.withColumns({f"_a{i}": start, f"_z{i}": stop, f"_c{i}": F.get("chunks", F.lit(i)).cast("long")})
+        a, z, c = (F.col(f"_{k}{i}") for k in "azc")
+        numbers = F.when(z > a, F.sequence(F.floor(a / c), F.floor((z - 1) / c))).otherwise(F.array().cast("array<long>"))
+        df = df.withColumn(f"_k{i}", F.explode(F.when(count <= i, F.array(F.lit(None).cast("long"))).otherwise(numbers)))
+    own = lambda f: F.slice(F.array(*[f(*(F.col(f"_{k}{i}") for k in "kazc")) for i in range(axes)]), F.lit(1), count)
+    lo, hi = lambda k, a, c: F.greatest(a, k * c), lambda k, z, c: F.least(z, (k + 1) * c)
+    pair = lambda x, y: F.struct(x.alias("start"), y.alias("stop"))
     return df.select(
-        "id", F.array_join(F.transform("parts", lambda p: p["chunk"].cast("string")), ".").alias("chunk_id"), F.col("parts.chunk").alias("coords"),
-        slices("start", "stop").alias("chunk_slice"), slices("out_start", "out_stop").alias("out_slice"),
+        "id", F.concat_ws(".", *[F.col(f"_k{i}").cast("string") for i in range(axes)]).alias("chunk_id"), own(lambda k, a, z, c: k).alias("coords"),
+        own(lambda k, a, z, c: pair(lo(k, a, c) - k * c, hi(k, z, c) - k * c)).alias("chunk_slice"), own(lambda k, a, z, c: pair(lo(k, a, c) - a, hi(k, z, c) - a)).alias("out_slice"),
     )
 
 

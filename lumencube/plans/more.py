@@ -13,6 +13,7 @@ from ..operators import regions as R
 from ..operators import tiles as T
 from ..sources import blocks, cubes, files, fits
 from ..sources.store import scratch
+from ..streaming import slabs
 from .catalogue import _INSIDE, _NINE, _PX, _STATS, _inside, _table, query, rounded
 from .extras import _done
 
@@ -212,13 +213,12 @@ def region_is_box(spark, d):
 
 @query(_PX + ", s AS (SELECT channel, " + _NINE.format(beam=1.0) + " FROM px WHERE " + _INSIDE + " GROUP BY channel) SELECT * FROM s")
 def progressive_adaptive(spark, d):
-    """The region spectrum, run slab by slab with sizes by the time that each takes; its rows are those of one run."""
+    """The region spectrum, run slab by slab with sizes by the time that each takes, as a stream; its rows are those of one run."""
     def read(a: int, z: int) -> DataFrame:
         return R.region_stats(cubes.emb3d_nan(spark, d, (a, z)), _inside(), ["channel"])
 
     last = cubes.emb3d_nan(spark, d).agg(F.max("channel")).first()[0]
-    slabs = [rows for _, _, rows, _ in R.adaptive(read, 0 if last is None else last + 1)]
-    return rounded(spark.createDataFrame([r for rows in slabs for r in rows], read(0, 1).schema), *_STATS)  # a row a channel
+    return rounded(slabs.progressive(spark, 0 if last is None else last + 1, read, first=4).drop("first", "last", "batch"), *_STATS)
 
 
 @query(_PX + """, c AS (SELECT *, (1.0e9 + channel * 1.0e6) / 1e6 AS c, avg(v) OVER (PARTITION BY y, x) AS m FROM px WHERE v >= -0.2 AND v <= 0.25 AND channel >= 1 AND channel < 8)

@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.expr import finite
-from ..sources.store import scratch
+from ..sources.store import locate, scratch
 
 
 def files(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
@@ -25,16 +26,27 @@ def files(spark: SparkSession, path: str, per_batch: int | None = None) -> DataF
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern, since a stream takes a single file only by one
 
 
-def replay(table: DataFrame, by: str, parts: int = 4) -> DataFrame:
-    """A stream of a table's rows in the order of `by` (a number or a time): so many files, written one after the other, a batch each."""
+def replay(table: DataFrame, by: str, parts: int = 4, rows_per_file: int = 1_000_000) -> DataFrame:
+    """A stream of a table's rows in the order of `by` (a number or a time): so many ranges, written one after the other, a batch each.
+
+    A range is written by many tasks, all ranges in the same number of files (empty ones where a range has fewer), so that a
+    batch takes one range.
+    """
     spark, path = table.sparkSession, scratch(table.sparkSession, "replay")
     at = table.select(by).schema[0].dataType.typeName()
     key = F.unix_micros(event_time(F.col(by))) if at.startswith("timestamp") else F.col(by)
-    cuts = table.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 1000)).first()[0] or []
-    part = sum((F.coalesce(key > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    cuts, rows = table.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 1000), F.count("*")).first()
+    cuts, n = cuts or [], max(1, -(-rows // (parts * rows_per_file)))
+    fs, inside = locate(path)
     for k in range(parts):
-        table.where(part == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        low = key > cuts[k - 1] if k and cuts else F.lit(not k or not cuts)
+        high = key <= cuts[k] if k < parts - 1 and cuts else F.lit(True)
+        own = F.coalesce(low & high, F.lit(k == 0)) if cuts else F.lit(k == 0)  # rows without a key come first
+        table.where(own).repartition(n).write.mode("append").parquet(path)
+        names = [i.base_name for i in fs.get_file_info(pafs.FileSelector(inside)) if i.base_name.startswith("part-")]
+        for _ in range(n * (k + 1) - len(names)):
+            spark.createDataFrame([], table.schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", n).parquet(path)
 
 
 def land(stream: DataFrame, mode: str) -> DataFrame:

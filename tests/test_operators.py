@@ -191,19 +191,6 @@ def test_blocks_prune_and_come_back(spark, tmp_path):
     assert "PushedFilters" in plan and "GreaterThanOrEqual(bx,1)" in plan and "EqualTo(channel,1)" in plan
 
 
-def test_adaptive_slabs_cover_all_channels(spark):
-    px = cube(spark, [(c, 0, 0, float(c)) for c in range(23)])
-    asked = []
-
-    def read(a, z):
-        asked.append((a, z))
-        return R.region_stats(P.slab(px, channel=(a, z)), F.lit(True), ["channel"])
-
-    rows = [r for _, _, slab, _ in R.adaptive(read, 23, target_ms=1e6, first=4) for r in slab]
-    assert sorted(r.channel for r in rows) == list(range(23)) and asked == [(0, 4), (4, 23)]
-    assert [z - a for a, z, _, _ in R.adaptive(read, 3, target_ms=1e-9, first=1)] == [1, 1, 1]
-
-
 def test_live_regions_and_pages(spark):
     rows = [(1, 1, "set", 1), (1, 1, "remove", 2), (1, 2, "set", 3), (2, 1, "remove", 4), (2, 1, "set", 5)]
     df = spark.createDataFrame(rows, "session int, region int, what string, seq int")
