@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import fitting as G
 from ..operators import sketches as Z
 from ..sources import blocks, cubes, pyramid
 from ..sources.store import scratch
@@ -59,3 +60,24 @@ def session_machine(spark, d):
     commands = e.select(F.col("user_id").alias("session"), S.event_time(F.col("ts")).alias("ts"), F.col("event_id").alias("id"), kind.alias("kind"), (F.col("event_id") % 7).alias("key"), F.col("event_id").alias("value"))
     with sessions.keyed_state(spark):
         return S.land(sessions.summaries(commands, 720), "append").drop("batch")
+
+
+# Components: two sources that each channel of the cube gets
+def _planted(x: str, y: str, c: str) -> str:
+    one = lambda a, x0, y0, sx, sy, t: f"{a} * exp(-0.5 * (pow((({x} - {x0}) * cos({t}) + ({y} - {y0}) * sin({t})) / {sx}, 2) + pow((({y} - {y0}) * cos({t}) - ({x} - {x0}) * sin({t})) / {sy}, 2)))"
+    return one(6.0, f"(14 + {c} % 5)", f"(12 + {c} % 7)", 5.0, 2.0, 0.5235987755982988) + " + " + one(4.0, f"(45 - {c} % 6)", 34, 6.0, 3.0, -0.7853981633974483)
+
+
+@query(_PX + """, c AS (SELECT DISTINCT channel FROM px) SELECT channel, 0 AS component, 6::BIGINT AS amplitude, (14 + channel % 5)::BIGINT AS x, (12 + channel % 7)::BIGINT AS y, 5::BIGINT AS sigma_x, 2::BIGINT AS sigma_y, 2::BIGINT AS angle_15, 0::BIGINT AS background, true AS converged FROM c
+UNION ALL SELECT channel, 1, 4, (45 - channel % 6)::BIGINT, 34, 6, 3, -3, 0, true FROM c""")
+def gaussian_components(spark, d):
+    """Two components fitted to each channel, from guesses that are some pixels off; what was planted comes back as whole numbers."""
+    px = cubes.emb3d_nan(spark, d).withColumn("v", F.col("v") + F.expr(_planted("x", "y", "channel")))
+    made, path = blocks.to_blocks(px, ["channel"], 32), scratch(spark, "fit-blocks")
+    made.write.parquet(path)
+    stored, c = spark.read.schema(made.schema).parquet(path), F.col("channel")
+    guess = lambda a, x, y, sx, sy, t: F.struct(*[v.cast("double").alias(k) for k, v in zip(G.PARTS, (F.lit(a), x, y, F.lit(sx), F.lit(sy), F.lit(t)), strict=True)])
+    start = stored.select("channel").distinct().select("channel", F.array(guess(4.0, 15.5 + c % 5, 11.0 + c % 7, 4.0, 3.0, 0.2), guess(3.0, 43.0 - c % 6, F.lit(35.5), 4.0, 3.5, -0.4)).alias("components"), F.lit(0.1).alias("background"))
+    found = G.fit(stored, start, ["channel"])
+    whole = lambda name, unit=1.0: F.round(F.col(name) / unit).cast("long").alias(name)
+    return found.select("channel", "component", *[whole(k) for k in ("amplitude", "x", "y", "sigma_x", "sigma_y")], whole("angle", 15.0).alias("angle_15"), whole("background"), "converged")
