@@ -38,7 +38,8 @@ def requested_tiles(px: DataFrame, requests: DataFrame, height: int, width: int,
     """planes, code, height, width, runs, payload of every requested tile of every plane that has pixels in it.
 
     requests: (code), packed layer, y and x; a layer's factor comes from the size of the plane. Only pixels that lie in a
-    requested tile are averaged and shuffled; the list of codes is a client's view, a few hundred at most, and is broadcast.
+    requested tile are averaged. A client's list of codes is small, and Spark broadcasts it by its own threshold; a long one
+    is joined by a shuffle.
     payload: 32-bit little-endian samples row by row, NaN where none is known, edge tiles being smaller.
     """
     layer, ty, tx = tile_parts(F.col("code"))
@@ -48,7 +49,7 @@ def requested_tiles(px: DataFrame, requests: DataFrame, height: int, width: int,
     out = None
     for f in factors:
         at = lambda c, f=f: F.floor(F.col(c) / (f * tile)).cast("int")
-        some = F.broadcast(wanted.where(F.col("mip") == f).select("code", "ty", "tx"))
+        some = wanted.where(F.col("mip") == f).select("code", "ty", "tx")
         cut = px.withColumns({"ty": at("y"), "tx": at("x")}).join(some, ["ty", "tx"])
         small = block_mean(cut, f, ["code", *planes]) if f > 1 else cut.select("code", *planes, "y", "x", "v")
         out = small if out is None else out.unionByName(small)

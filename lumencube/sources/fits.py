@@ -154,7 +154,10 @@ class PixelReader(_Reader):
             if image is None:
                 continue
             values, start = image
-            width, height, further, base = axes_of(path, values)
+            try:
+                width, height, further, base = axes_of(path, values)
+            except ValueError:  # index() tells what it is
+                continue
             sample = abs(int(values["BITPIX"])) // 8
             scale = [float(values[k]) if k in values else None for k in ("BSCALE", "BZERO", "BLANK")]
             rows, per_part, runs, held = self._cut("y", height), max(1, most // (width * sample)), [], 0
@@ -246,28 +249,41 @@ def register(spark: SparkSession) -> None:
 
 INDEX = "file string, hdu int, nth int, start long, width int, height int, bitpix int, bscale double, bzero double, blank double, planes long, " + ", ".join(
     f"{r}_first int, {r}_step long, {r}_size int" for r in ("time", "stokes", "channel")
-)
+) + ", problem string"
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """A row an image of the files at a path, made by tasks that read headers alone: where its data starts, its shape and scale,
-    and of each role the first place, how many planes further the next one is, and the size."""
+    and of each role the first place, how many planes further the next one is, and the size.
+
+    An image that no cube can be made of, and a file whose headers can't be read, is a row with its problem, the rest being
+    NULL; other files aren't touched by it.
+    """
     names = [f.split()[0] for f in INDEX.split(", ")]
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for file in b["file"]:
-                rows = []
-                for nth, (hdu, values, start) in enumerate(images(file)):
-                    width, height, further, base = axes_of(file, values)
+                rows, odd = [], lambda text, *at, file=file: (file, *at, *[None] * (len(names) - 2 - len(at)), text)
+                try:
+                    found = images(file)
+                except (ValueError, KeyError, OSError) as problem:
+                    rows, found = [odd(repr(problem))], []
+                for nth, (hdu, values, start) in enumerate(found):
+                    try:
+                        width, height, further, base = axes_of(file, values)
+                    except (ValueError, KeyError) as problem:
+                        rows.append(odd(str(problem), hdu, nth))
+                        continue
                     step, of = 1, {r: (first, 1, 1) for r, first in base.items()}
                     for role, size in further:
                         if role:
                             of[role] = (base[role], step, size)
                         step *= size
                     scale = [float(values[k]) if k in values else None for k in ("BSCALE", "BZERO", "BLANK")]
-                    rows.append((file, hdu, nth, start, width, height, int(values["BITPIX"]), *scale, step, *(v for r in ("time", "stokes", "channel") for v in of[r])))
-                yield pd.DataFrame(rows, columns=names).astype({"bscale": float, "bzero": float, "blank": float})
+                    rows.append((file, hdu, nth, start, width, height, int(values["BITPIX"]), *scale, step, *(v for r in ("time", "stokes", "channel") for v in of[r]), None))
+                whole = {n: "Int64" for n, k in (f.split() for f in INDEX.split(", ")) if k in ("int", "long")}
+                yield pd.DataFrame(rows, columns=names).astype(whole | {"bscale": float, "bzero": float, "blank": float})
 
     files = list_files(path, (".fits", ".fit", ".fts"))
     named = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, min(len(files), 512)))
@@ -282,7 +298,7 @@ def pixels(spark: SparkSession, path: str, nth: int = 0, band_mb: float = 32, **
     Bands of at most band_mb are read; each task gets about as many bytes, of many small files or a part of a large one.
     """
     size, most = F.abs("bitpix") / 8, int(band_mb * (1 << 20))
-    df = index(spark, path).where(F.col("nth") == nth).withColumn("plane", F.explode(F.sequence(F.lit(0).cast("long"), F.col("planes") - 1)))
+    df = index(spark, path).where((F.col("nth") == nth) & F.col("problem").isNull()).withColumn("plane", F.explode(F.sequence(F.lit(0).cast("long"), F.col("planes") - 1)))
     for role in ("time", "stokes", "channel"):
         place = F.col(f"{role}_first") + F.floor(F.col("plane") / F.col(f"{role}_step")) % F.col(f"{role}_size")
         df = df.withColumn(role, place.cast("int"))

@@ -279,3 +279,15 @@ def test_listings_below_sub_folders(spark, tmp_path):
     got = {r.path.removeprefix(f"{tmp_path}/"): r.bytes for r in files.listing(spark, str(tmp_path)).collect()}
     assert got == {"a/b/x.fits": 2, "a/y.txt": 2, "c/z.reg": 2, "top.fits": 2}
     assert files.is_accessible(str(tmp_path)) and not files.is_accessible(f"{tmp_path}/none")
+
+
+def test_odd_files_are_listed_and_the_others_read(spark, tmp_path):
+    good = header(SIMPLE=True, BITPIX=-32, NAXIS=2, NAXIS1=3, NAXIS2=2) + block(np.arange(6, dtype=">f4"))
+    odd = header(SIMPLE=True, BITPIX=-32, NAXIS=6, NAXIS1=1, NAXIS2=1, NAXIS3=2, NAXIS4=2, NAXIS5=2, NAXIS6=2) + block(np.arange(16, dtype=">f4"))
+    (tmp_path / "good.fits").write_bytes(good)
+    (tmp_path / "odd.fits").write_bytes(odd)
+    (tmp_path / "text.fits").write_bytes(b"no card at all")
+    found = {r.file.rsplit("/", 1)[1]: r for r in fits.index(spark, str(tmp_path)).collect()}
+    assert found["good.fits"].problem is None and (found["good.fits"].width, found["good.fits"].height) == (3, 2)
+    assert "more axes" in found["odd.fits"].problem and found["odd.fits"].width is None
+    assert sorted(r.v for r in fits.pixels(spark, str(tmp_path)).collect()) == [0, 1, 2, 3, 4, 5]
