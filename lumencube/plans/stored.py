@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fitting as G
+from ..operators import overlays as O
 from ..operators import sketches as Z
+from ..operators.smoothing import gaussian
 from ..sources import blocks, cubes, pyramid
 from ..sources.store import scratch
 from ..streaming import sessions
@@ -81,3 +83,16 @@ def gaussian_components(spark, d):
     found = G.fit(stored, start, ["channel"])
     whole = lambda name, unit=1.0: F.round(F.col(name) / unit).cast("long").alias(name)
     return found.select("channel", "component", *[whole(k) for k in ("amplitude", "x", "y", "sigma_x", "sigma_y")], whole("angle", 15.0).alias("angle_15"), whole("background"), "converged")
+
+
+# Contours of smoothed planes
+@query(_PX + """, a AS (SELECT y, x FROM px WHERE channel = 0), o AS (SELECT dy, dx, exp(-0.5 * (dy * dy + dx * dx) / (0.8 * 0.8)) AS w FROM (SELECT unnest(range(-3, 4)) AS dy), (SELECT unnest(range(-3, 4)) AS dx)),
+s AS (SELECT px.channel, a.y, a.x, sum(px.v * w) / sum(w) AS v FROM a, o JOIN px ON px.y = a.y + o.dy AND px.x = a.x + o.dx WHERE px.v IS NOT NULL GROUP BY ALL),
+edges AS (SELECT a.channel, 'x' AS axis, a.y, a.x, a.v AS a, b.v AS b FROM s a JOIN s b ON a.channel = b.channel AND a.y = b.y AND b.x = a.x + 1
+UNION ALL SELECT a.channel, 'y', a.y, a.x, a.v, b.v FROM s a JOIN s b ON a.channel = b.channel AND a.x = b.x AND b.y = a.y + 1)
+SELECT channel, level, axis, y, x, round(y + CASE WHEN axis = 'y' THEN (level - a) / (b - a) ELSE 0 END, 5) AS at_y, round(x + CASE WHEN axis = 'x' THEN (level - a) / (b - a) ELSE 0 END, 5) AS at_x
+FROM edges, (VALUES (0.03::DOUBLE)) AS l(level) WHERE (a < level) <> (b < level)""")
+def contours_blurred(spark, d):
+    """Crossings of planes under a Gaussian kernel, smoothed block by block with margins from the blocks beside."""
+    smooth = gaussian(blocks.to_blocks(cubes.emb3d_nan(spark, d), ["channel"], 16), ["channel"], 0.8, 16)
+    return rounded(O.contour_crossings(blocks.pixels(smooth, ["channel"]), [0.03], ["channel"]), "at_y", "at_x", places=5)

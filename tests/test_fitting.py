@@ -1,8 +1,9 @@
-"""Gaussian components: derivatives, planted sources, groups that can't be fitted."""
+"""Gaussian components and smoothing against brute force."""
 
 import numpy as np
 
 from lumencube.operators import fitting as G
+from lumencube.operators.smoothing import gaussian
 from lumencube.sources import blocks
 
 
@@ -42,3 +43,24 @@ def test_planted_sources_come_back(spark):
             assert np.allclose([r.amplitude, r.x, r.y, r.sigma_x, r.sigma_y], g[:5], atol=0.03) and abs(r.angle - np.rad2deg(g[5])) < 1
     assert not got[9, 0].converged
     assert G.fit(made.where("false"), start, ["channel"]).count() == 0
+
+
+def test_smoothing_equals_a_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    cube = rng.normal(size=(2, 37, 43)).astype(np.float32)
+    cube[rng.random(cube.shape) < 0.3] = np.nan
+    cube[1, :20, :20] = np.nan
+    cube[0, 5, 5] = np.inf
+    px = spark.createDataFrame([(c, y, x, float(v)) for (c, y, x), v in np.ndenumerate(cube)], "channel int, y int, x int, v double")
+    for sigma, size, reach in ((1.0, 16, 3.0), (2.5, 8, 3.0), (0.4, 64, 2.0)):
+        r = int(np.ceil(reach * sigma))
+        k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+        wide = np.full((2, 37 + 2 * r, 43 + 2 * r), np.nan)
+        wide[:, r:-r, r:-r] = cube
+        got = {(p.channel, p.y, p.x): p.v for p in blocks.pixels(gaussian(blocks.to_blocks(px, ["channel"], size), ["channel"], sigma, size, reach), ["channel"]).collect()}
+        assert len(got) == cube.size
+        for (c, y, x), v in got.items():
+            part = wide[c, y : y + 2 * r + 1, x : x + 2 * r + 1].astype(float)
+            w = np.outer(k, k) * np.isfinite(part)
+            want = (np.where(np.isfinite(part), part, 0) * w).sum() / w.sum() if w.sum() > 1e-12 else np.nan
+            assert np.isclose(v, want, atol=1e-9, equal_nan=True)
