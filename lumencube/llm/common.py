@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -74,21 +77,37 @@ def first_ids(docs: DataFrame, salt: str, most: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id").distinct().orderBy(order, "doc_id").limit(most)
 
 
-def with_columns(docs: DataFrame, compute: Callable, added: T.StructType, drop: tuple[str, ...] = ()) -> DataFrame:
+def give_back() -> None:
+    """Returns memory that Python has freed to the system: workers live on between tasks, and share an executor with its JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def with_columns(docs: DataFrame, compute: Callable, added: T.StructType, drop: tuple[str, ...] = (), done: Callable[[], None] | None = None) -> DataFrame:
     """docs without the columns `drop`, plus the columns `added`, which compute(texts) gives as a list of arrays, batch by batch.
 
-    All other columns pass as Arrow arrays, so ids of any size stay as they are beside nulls.
+    All other columns pass as Arrow arrays, so ids of any size stay as they are beside nulls. done() is called when a task
+    ends, to drop what compute has kept.
     """
     names = [c for c in docs.columns if c not in drop]
     schema = T.StructType([*[f for f in docs.schema.fields if f.name in names], *added.fields])
 
     def run(batches):
         kinds = [to_arrow_type(f.dataType) for f in added.fields]
-        for whole in batches:
-            for k in range(0, whole.num_rows, 256):  # a part's texts and results at a time
-                b = whole.slice(k, 256)
-                got = compute(b.column("text").to_pylist())
-                new = [pa.array(c, kind) for c, kind in zip(got, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *new], names=schema.names)
+        try:
+            for whole in batches:
+                for k in range(0, whole.num_rows, 256):  # a part's texts and results at a time
+                    b = whole.slice(k, 256)
+                    got = compute(b.column("text").to_pylist())
+                    new = [pa.array(c, kind) for c, kind in zip(got, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *new], names=schema.names)
+                    b = got = new = None
+                whole = None
+        finally:
+            if done:
+                done()
+            give_back()
 
     return docs.mapInArrow(run, schema)

@@ -33,6 +33,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _forget() -> None:
+    _words.clear()
+
+
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text; of all words as one if there are fewer; empty without words."""
     import xxhash
@@ -40,7 +44,7 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.int64)
-    if len(_words) > 300_000:
+    if len(_words) > 100_000:
         _words.clear()
     for w in set(words).difference(_words):
         _words[w] = xxhash.xxh64_intdigest(w)
@@ -67,7 +71,7 @@ def features(docs: DataFrame) -> DataFrame:
         return [[len(x) for x in sets], *map(list, zip(*map(signature, sets), strict=True)), [x[:K] for x in sets]]
 
     added = T.StructType().add("n", "long").add("s1", "long").add("s2", "long").add("sketch", T.ArrayType(T.LongType()))
-    return with_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), compute, added, drop=("text",))
+    return with_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), compute, added, drop=("text",), done=lambda: _forget())
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -78,7 +82,7 @@ def whole_sets(docs: DataFrame) -> DataFrame:
         return [[len(x) for x in sets], *map(list, zip(*map(signature, sets), strict=True)), sets]
 
     added = T.StructType().add("n", "long").add("s1", "long").add("s2", "long").add("s", T.ArrayType(T.LongType()))
-    return with_columns(docs, compute, added, drop=("text",))
+    return with_columns(docs, compute, added, drop=("text",), done=lambda: _forget())
 
 
 def one_row_an_id(feats: DataFrame) -> DataFrame:
