@@ -9,7 +9,7 @@ its pointer has reached, so a line of n crossings takes log2(n) rounds, of as ma
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,13 +131,12 @@ def lines(blocks: DataFrame, planes: list[str], levels: list[float]) -> DataFram
     cut = F.when(F.col("next") != F.col("line"), F.col("next"))
     opened = rings.select(*key, "edge", cut.alias("to"), F.lit(0).cast("long").alias("least"), F.when(cut.isNull(), 0).otherwise(1).cast("long").alias("hops"), F.col("line").alias("first"))
     ranked = doubled(opened).select(*key, "edge", F.col("first").alias("line"), F.lit(True).alias("closed"), F.col("hops").alias("place"))
-    # An open line's last edge: found by following hops is not needed, as each step's line is that of its end.
-    tails = doubled_to_end(paths, nodes, key, kept)
+    tails = _to_ends(paths, nodes, key, kept)
     out = ranked.unionByName(tails.select(*key, "edge", "line", F.lit(False).alias("closed"), F.col("hops").alias("place")))
     return out.join(nodes.select(*key, "edge", "at_y", "at_x"), [*key, "edge"]).drop("edge")
 
 
-def doubled_to_end(paths: DataFrame, nodes: DataFrame, key: list[str], kept) -> DataFrame:
+def _to_ends(paths: DataFrame, nodes: DataFrame, key: list[str], kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """paths (key, edge, hops) plus line, the edge without a successor that each reaches."""
     state = kept(paths.join(nodes.select(*key, "edge", "next"), [*key, "edge"]).select(*key, "edge", "hops", F.coalesce("next", "edge").alias("line")))
     while True:

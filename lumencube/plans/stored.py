@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import fitting as G
 from ..operators import overlays as O
 from ..operators import sketches as Z
+from ..operators.lines import lines
 from ..operators.smoothing import gaussian
 from ..sources import blocks, cubes, pyramid
 from ..sources.store import scratch
@@ -96,3 +97,14 @@ def contours_blurred(spark, d):
     """Crossings of planes under a Gaussian kernel, smoothed block by block with margins from the blocks beside."""
     smooth = gaussian(blocks.to_blocks(cubes.emb3d_nan(spark, d), ["channel"], 16), ["channel"], 0.8, 16)
     return rounded(O.contour_crossings(blocks.pixels(smooth, ["channel"]), [0.03], ["channel"]), "at_y", "at_x", places=5)
+
+
+@query(_PX + ", f AS (SELECT channel, y, x, (" + _planted("x", "y", "channel") + """ + v * 0.001)::FLOAT AS v FROM pf),
+k AS (SELECT a.channel FROM f a JOIN f b ON a.channel = b.channel AND a.y = b.y AND b.x = a.x + 1 WHERE (a.v >= 2) <> (b.v >= 2) UNION ALL SELECT a.channel FROM f a JOIN f b ON a.channel = b.channel AND a.x = b.x AND b.y = a.y + 1 WHERE (a.v >= 2) <> (b.v >= 2))
+SELECT channel, 2.0::DOUBLE AS level, 2::BIGINT AS lines, 2::BIGINT AS closed, count(*) AS points FROM k GROUP BY channel""")
+def contour_lines(spark, d):
+    """The lines round two sources of each channel, chained across blocks: two closed ones that have all crossings."""
+    px = cubes.emb3d(spark, d).withColumn("v", F.col("v") * 0.001 + F.expr(_planted("x", "y", "channel")))
+    found = lines(blocks.to_blocks(px, ["channel"], 16), ["channel"], [2.0])
+    each = found.groupBy("channel", "level", "line", "closed").agg(F.count("*").alias("points"), F.countDistinct("place").alias("places"))
+    return each.groupBy("channel", "level").agg(F.count("*").alias("lines"), F.count_if("closed").alias("closed"), F.sum(F.least("points", "places")).alias("points"))
