@@ -122,6 +122,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int) -> DataFrame:
                 if len(out) > 5000:
                     yield batch(out)
                     out = []
+        encoder.forget()
         yield batch(out)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

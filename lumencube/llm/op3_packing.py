@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import give_back, materialise, table
 from .wordtable import chunks
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -73,7 +73,7 @@ class Tokens:
     _WHOLE = ("<|", "Σ", "\x1c", "\x1d", "\x1e", "\x1f")
     _kept: dict[str, Tokens] = {}
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.pieces, self.most = Pieces(Tokenizer.from_file(path)), most
@@ -85,6 +85,11 @@ class Tokens:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
+    def forget(self) -> None:
+        """Drops the ids of pieces and gives their memory back; called when a task ends."""
+        self.pieces.clear()
+        give_back()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) > self.most:
             self.pieces.clear()
@@ -183,6 +188,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, open_windows: i
                     yield rows_of(packer.out, [None] * len(packer.out))
                     packer.out = []
         yield rows_of(packer.out, [None] * len(packer.out))
+        encoder.forget()
         rest = [(doc, start, len(ids) // 4, 0, total, -1 - part, 0) for w in packer.open for doc, start, ids, total in w[1]]
         yield rows_of(rest, [p[2] for w in packer.open for p in w[1]])
 
