@@ -14,8 +14,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat a text share its fate; ids, nulls in other columns and columns of any other name pass as they are.
     """
-    own = {c: f"_own_{c}" for c in docs.columns if c in ("lang_pred", "score", "rejected")}  # names of the answer
-    found = op4_language.identify(docs.withColumnsRenamed(own), op4_language.learn(docs)).where("not rejected")
+    own = {c: f"_own_{c}" for c in docs.columns if c in op4_language.NEW}  # names of the answer
+    found = op4_language.identify_own(docs.withColumnsRenamed(own)).where("not rejected")
     return found.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 

@@ -6,18 +6,19 @@ distinct 4-grams (continuation counts). An n-gram's hash packs 16 bits of each c
 16 bits share the 8447 places that no 16-bit letter has. Probabilities and backoffs of all orders come from Spark's
 aggregations and joins of these counts; only the sorted arrays that they make are brought together and broadcast.
 A text goes to the language with the lowest cross-entropy for each character. It is rejected when that is far above what
-the language's own training texts have (calibrated on a bounded sample of them).
+the language's own training texts have (calibrated on all of them: each is scored in tasks, and Spark aggregates).
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,7 @@ from .wordtable import WordTable, chunks, codes_of
 ORDER = 4
 _RUN = re.compile(r"[^\W\d_]{1,40}")
 _SHIFT = np.uint64(16)
+NEW = ("lang_pred", "score", "rejected", "_entropies", "_letters")  # columns that identify() and identify_own() add, the last two for a while
 
 
 def runs(text: str) -> list[str]:
@@ -124,33 +126,70 @@ class Identifier:
             out[some] = -sums[:, :-1] / sums[:, -1:]
         return out, n
 
-    def distance(self, entropy: np.ndarray, n: np.ndarray, lang: np.ndarray) -> np.ndarray:
-        """How far a text is above its language's mean, in deviations; short texts may vary more."""
-        return (entropy - self.mean[lang]) * np.sqrt(np.minimum(n, 256)) / self.deviation[lang]
-
-    def calibrate(self, lang: np.ndarray, entropy: np.ndarray, n: np.ndarray) -> Identifier:
-        """lang, entropy, n: of each sample text its language's number, its cross-entropy in that language and its characters."""
-        for k in range(len(self.langs)):
-            mine = (lang == k) & (n > 0)
-            if mine.sum() >= 2:
-                e = entropy[mine]
-                self.mean[k] = np.median(e)
-                self.deviation[k] = max(0.05, float(np.sqrt(np.mean((e - self.mean[k]) ** 2 * np.minimum(n[mine], 256)))))
+    def rejects(self, reject_at: float) -> Column:
+        """Whether a row (lang_pred, _entropies, _letters) has no letters, or is above its language's mean by over reject_at deviations.
+
+        Short texts may vary more.
+        """
+        of = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), place(self.langs, "lang_pred"))
+        distance = (F.array_min("_entropies") - of(self.mean)) * F.sqrt(F.least("_letters", F.lit(256.0))) / of(self.deviation)
+        return (F.col("_letters") == 0) | (distance > reject_at)
+
+    def calibrate(self, own: DataFrame) -> Identifier:
+        """own (lang, e, n): of every training text its cross-entropy in its own language and its characters."""
+        for r in deviations(own).collect():  # a row a language
+            k = self.langs.index(r["lang"])
+            self.mean[k], self.deviation[k] = r["mean"], max(0.05, r["deviation"])
         return self
 
-    def predict(self, texts: list[str], reject_at: float) -> pd.DataFrame:
+    def predict(self, texts: list[str]) -> pd.DataFrame:
         entropy, n = self.entropies(texts)
         best = entropy.argmin(1) if self.langs else np.zeros(len(texts), int)
         gap = (entropy - entropy.min(1, keepdims=True)) * np.minimum(n, 512)[:, None]
         score = 1 / np.exp(-np.minimum(gap, 50)).sum(1)
-        far = self.distance(entropy[np.arange(len(texts)), best], n, best)
         none = n == 0
         return pd.DataFrame({
             "lang_pred": np.where(none, "und", np.array(self.langs, object)[best]), "score": np.where(none, 0.0, score),
-            "rejected": none | (far > reject_at),
+            "_entropies": list(entropy), "_letters": n,
         })
 
 
+def place(langs: list[str], column: str) -> Column:
+    """Where a language stands in langs, from 0; -1 if it isn't there."""
+    return F.array_position(F.array(*[F.lit(x) for x in langs]), F.col(column)).cast("int") - 1
+
+
+def medians(rows: DataFrame) -> DataFrame:
+    """(lang, e), e of 0 or more -> (lang, mean): each language's median over all rows, e being cut to whole 2^-32.
+
+    Counted in three rounds, by cells of 2^-8, 2^-20 and 2^-32, each inside the cells of the round before that hold the
+    middle ranks. So rows meet by cell, never by language, and a window ranks 2^12 counts (in the first round 2^8 for each
+    nat that a language's texts span) at most.
+    """
+    step = F.floor(F.col("e") * 2.0**32)
+    rows = rows.select("lang", step.alias("step"))
+    ranks = F.array_distinct(F.array(F.floor((F.col("c") - 1) / 2), F.floor(F.col("c") / 2)))
+    found = rows.groupBy("lang").agg(F.count("*").alias("c")).select("lang", F.lit(0).cast("long").alias("cell"), F.explode(ranks).alias("rank"))
+    levels = [F.lit(0).cast("long"), F.shiftright("step", 24), F.shiftright("step", 12), F.col("step")]
+    for whole, part in itertools.pairwise(levels):
+        found = F.broadcast(materialise(found, "middle").withColumnRenamed("cell", "whole"))  # one or two rows a language
+        counts = rows.select("lang", whole.alias("whole"), part.alias("cell")).join(found, ["lang", "whole"], "left_semi")
+        counts = counts.groupBy("lang", "whole", "cell").agg(F.count("*").alias("c"))
+        counts = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("lang", "whole").orderBy("cell")))
+        found = counts.join(found, ["lang", "whole"]).where("rank >= upto - c and rank < upto")
+        found = found.select("lang", "cell", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"))
+    return found.groupBy("lang").agg((F.avg("cell") / 2.0**32).alias("mean"))
+
+
+def deviations(own: DataFrame) -> DataFrame:
+    """own (lang, e, n) -> (lang, mean, deviation) of all rows with letters: the median of e, and the root of the mean square
+    of what e is off from it, weighted by the characters up to 256. Languages with a single row have none."""
+    own = own.where("n > 0")
+    square = F.pow(F.col("e") - F.col("mean"), 2.0) * F.least("n", F.lit(256.0))
+    both = own.join(F.broadcast(medians(own)), "lang").groupBy("lang", "mean").agg(F.sqrt(F.avg(square)).alias("deviation"), F.count("*").alias("c"))
+    return both.where("c > 1").drop("c")
+
+
 def gram_counts(rows: DataFrame) -> DataFrame:
     """(lang, gram, n) over all rows (text, lang); null texts and langs take no part."""
 
@@ -214,42 +253,52 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, contexts.select("lang", "k", "context", "bow", floor.alias("floor"))
 
 
-def learn(docs: DataFrame, sample: int = 2000) -> Identifier:
-    """Models from all rows of docs that have text and lang and are not held out.
+def models(docs: DataFrame) -> Identifier:
+    """Models from all rows of docs that have text and lang and are not held out, without calibration.
 
     All 4-grams are kept, so discounts and the counts of shorter n-grams are those of all rows; what is broadcast grows
-    with the number of distinct 4-grams. Calibration scores `sample` documents in tasks, an even share of each language
-    (100 at least), those with the smallest crc32 of doc_id; of rows that repeat a doc_id, the smallest text.
+    with the number of distinct 4-grams.
     """
-    rows = docs.where(~held_out(4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    rows = docs.where(~held_out(4, 2)).select("text", "lang")
     grams, contexts = (t.toPandas() for t in kneser_ney(materialise(gram_counts(rows), "grams")))
     made = {}
     for lang, g in grams.groupby("lang"):
         c = contexts[contexts["lang"] == lang]
         of = lambda t, key, v: {k: (x[key].to_numpy(), np.log(x[v].to_numpy())) for k, x in t.groupby("k")}
         made[lang] = LanguageModel(float(c["floor"].max()), of(g, "gram", "p"), of(c, "context", "bow"))
-    identifier = Identifier(made)
-    if not made:
-        return identifier
-    share = max(100, sample // len(made))
-    order = F.crc32(F.concat(F.lit("c"), F.col("doc_id").cast("string")).cast("binary"))
-    sizes = F.broadcast(rows.groupBy("lang").count())  # a row a language
-    # About four times as many as are wanted pass by their hash, so that a large language's rows don't meet to be ranked.
-    ids = rows.where("doc_id is not null").join(sizes, "lang").where(order.cast("double") * F.col("count") <= F.lit(4.0 * share * 2**32)).select("lang", "doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    ids = ids.withColumn("r", first).where(F.col("r") <= share).drop("r")
-    some = rows.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    return Identifier(made)
+
+
+def scored(docs: DataFrame, identifier: Identifier, drop: tuple[str, ...] = ()) -> DataFrame:
+    """docs without the columns `drop`, plus lang_pred, score, _entropies in all languages, _letters."""
+    new = T.StructType().add("lang_pred", "string").add("score", "double").add("_entropies", T.ArrayType(T.DoubleType())).add("_letters", "double")
     shared = docs.sparkSession.sparkContext.broadcast(identifier)
 
-    def entropies(texts: list[str]) -> list:
-        got = [shared.value.entropies(part) for part in chunks(texts)]
-        return [np.concatenate([e for e, _ in got]).tolist(), np.concatenate([n for _, n in got])]
+    def compute(texts: list[str | None]) -> list:
+        p = pd.concat([shared.value.predict(part) for part in chunks(texts)])
+        return [p[c] for c in new.names]
+
+    return with_columns(docs, compute, new, drop=(*NEW, *drop), done=lambda: shared.value.forget())
 
-    scored = with_columns(some, entropies, T.StructType().add("e", T.ArrayType(T.DoubleType())).add("n", "double"), drop=("text",), done=lambda: shared.value.forget())
-    place = F.array_position(F.array(*[F.lit(x) for x in identifier.langs]), F.col("lang")).cast("int")
-    got = scored.select(place.alias("k"), F.element_at("e", place).alias("e"), "n").collect()
-    k, e, n = (np.array([r[c] for r in got]) for c in ("k", "e", "n"))
-    return identifier.calibrate(k - 1, e, n)
+
+def own_entropies(rows: DataFrame, identifier: Identifier) -> DataFrame:
+    """Rows of scored() with doc_id and lang -> (lang, e, n) of those that are not held out, a row each, repeated ones too."""
+    rows = rows.where(~held_out(4, 2) & F.col("lang").isNotNull())
+    return rows.select("lang", F.get("_entropies", place(identifier.langs, "lang")).alias("e"), F.col("_letters").alias("n"))
+
+
+def learn(docs: DataFrame) -> Identifier:
+    """Models from all rows of docs that have text and lang and are not held out, calibrated on all of them."""
+    identifier = models(docs)
+    if not identifier.langs:
+        return identifier
+    rows = docs.where(~held_out(4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    return identifier.calibrate(materialise(own_entropies(scored(rows, identifier, drop=("text",)), identifier), "own-entropies"))
+
+
+def unknown(docs: DataFrame) -> DataFrame:
+    """What nothing was learned for: every text is `und`, score 0 and rejected."""
+    return docs.drop(*NEW).withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "rejected": F.lit(True)})
 
 
 def identify(docs: DataFrame, identifier: Identifier, reject_at: float = 20.0) -> DataFrame:
@@ -257,21 +306,27 @@ def identify(docs: DataFrame, identifier: Identifier, reject_at: float = 20.0) -
 
     A null text, or one without letters, is `und`, score 0 and rejected; ties go to the language that sorts first. Rows
     that repeat a text get the same answer; texts of any length are read whole. With nothing to learn from, every text
-    is `und`. Columns of docs with the names of the new ones are replaced. An empty table gives no rows.
+    is `und`. Columns of docs with the names of the new ones (NEW) are replaced. An empty table gives no rows.
     """
-    new = T.StructType().add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     if not identifier.langs:
-        return docs.drop(*new.names).withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "rejected": F.lit(True)})
-    shared = docs.sparkSession.sparkContext.broadcast(identifier)
+        return unknown(docs)
+    return scored(docs, identifier).withColumn("rejected", identifier.rejects(reject_at)).drop("_entropies", "_letters")
 
-    def compute(texts: list[str | None]) -> list:
-        p = pd.concat([shared.value.predict(part, reject_at) for part in chunks(texts)])
-        return [p[c] for c in new.names]
 
-    return with_columns(docs, compute, new, drop=tuple(new.names), done=lambda: shared.value.forget())
+def identify_own(docs: DataFrame, reject_at: float = 20.0, drop: tuple[str, ...] = ()) -> DataFrame:
+    """identify(docs, learn(docs), reject_at) without the columns `drop`, each text being scored once for both.
+
+    The scored rows are written to the shared folder, so columns that aren't wanted, such as text, are better dropped (all but
+    doc_id and lang may be).
+    """
+    identifier = models(docs)
+    if not identifier.langs:
+        return unknown(docs).drop(*drop)
+    rows = materialise(scored(docs, identifier, drop), "scored")
+    identifier.calibrate(own_entropies(rows, identifier))
+    return rows.withColumn("rejected", identifier.rejects(reject_at)).drop("_entropies", "_letters")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    out = identify(docs.select("doc_id", "text", held_out(4, 2).alias("held_out")), learn(docs))
-    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(4, 2).alias("held_out"))
+    return identify_own(docs, drop=("text",)).select("doc_id", "held_out", "lang_pred", "score", "rejected")

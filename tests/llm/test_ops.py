@@ -272,6 +272,39 @@ def test_language_keeps_all_grams(spark):
     assert n > 300_000 and len(got.models["zh"].hashes[3]) == n and np.isfinite(got.deviation).all()
 
 
+def test_language_calibrates_on_all_rows(spark):
+    # More training rows a language than any sample of 2000 has room for; repeated ids and rows without one count each, held-out ones don't.
+    rng = np.random.default_rng(5)
+    rows = []
+    for lang, letters in (("aa", "abcdeé"), ("bb", "bcdfgß")):
+        for i in range(1700):
+            alphabet = list(letters[: 2 + i % 5])
+            rows.append((2 * i + (lang == "bb"), " ".join("".join(rng.choice(alphabet, rng.integers(1, 9))) for _ in range(rng.integers(1, 30))), lang))
+        rows += [(None, f"{letters} {letters[:3]}", lang)] * 70 + [(9, letters * 3, lang)] * 60 + [(11, "½ 7", lang), (12, None, lang)]
+    rows += [(20_000 + i, "zzz", None) for i in range(9)] + [(30_000, "qqq qqq", "cc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = op4_language.learn(df)
+    trained = [r for r in rows if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 4 != 2]
+    for lang in ("aa", "bb"):
+        k, texts = got.langs.index(lang), [t for _, t, x in trained if x == lang]
+        e, n = got.entropies(texts)
+        e, n = e[n > 0, k], n[n > 0]
+        assert len(e) > 1300 and abs(got.mean[k] - np.median(e)) < 1e-9
+        assert abs(got.deviation[k] - np.sqrt(np.mean((e - np.median(e)) ** 2 * np.minimum(n, 256)))) < 1e-7
+    if "cc" in got.langs:  # one text tells no deviation, so nothing is rejected
+        assert got.deviation[got.langs.index("cc")] == np.inf
+    sort = lambda d: sorted(map(tuple, d.select("doc_id", "text", "lang", "lang_pred", "score", "rejected").collect()), key=repr)
+    assert sort(op4_language.identify(df, got, 2.0)) == sort(op4_language.identify_own(df, 2.0))
+
+
+def test_language_medians(spark):
+    rng = np.random.default_rng(6)
+    groups = {"one": [0.75], "two": [1.0, 3.5], "even": [1.0] * 4 + [2.0] * 4, "odd": [2.0, 1.0, 1.0], "near": 1 + rng.random(1000) * 2.0**-12, "wide": rng.random(1001) * 40}
+    df = spark.createDataFrame([(k, float(e)) for k, v in groups.items() for e in v], "lang string, e double")
+    got = {r["lang"]: r["mean"] for r in op4_language.medians(df).collect()}
+    assert set(got) == set(groups) and all(0 <= np.median(v) - got[k] < 2.0**-32 for k, v in groups.items())
+
+
 def dictionary_model(words):
     """Interpolated Kneser-Ney over padded words, by dictionaries of tuples: log-probability of each 4-gram's last character."""
     full = Counter(tuple((["\0"] * 3 + ["<", *w, ">"])[i : i + 4]) for w in words for i in range(1, len(w) + 2))
