@@ -117,6 +117,28 @@ def test_statistics_of_a_table_of_regions(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_spans_are_sent_once_for_many_planes(spark, tmp_path):
+    # Spans beside every plane's block would be sent 60 times, in batches of 10,000 blocks, each with up to 4096 spans.
+    cube = np.random.default_rng(8).normal(size=(60, 8, 8)).astype(np.float32)
+    px = spark.createDataFrame([(c, y, x, float(v)) for (c, y, x), v in np.ndenumerate(cube)], "channel int, y int, x int, v double")
+    spans = spark.range(400).selectExpr("id AS region_id", "int(id % 4) AS y", "explode(array(0, 1, 2)) AS k").selectExpr("region_id", "y + k AS y", "0 AS x_from", "5 AS x_to")
+    blocks.write(px, str(tmp_path / "b"), ["channel"], 8)
+    stats = K.masked_stats(spark.read.parquet(str(tmp_path / "b")), spans, ["channel"], 8)
+    got = {(r.channel, r.region_id): r.sum for r in stats.collect()}
+    assert len(got) == 60 * 400 and all(np.isclose(s, cube[c, i % 4 : i % 4 + 3, :5].sum(dtype=float)) for (c, i), s in got.items())
+    sent, todo = 0, [stats._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        if "pythonDataSent" in str(node.metrics().keys()):
+            sent += node.metrics().apply("pythonDataSent").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert 0 < sent < 400_000
+
+
 # Sky: the same by rotation matrices, with the native pole found by a search instead of formulas
 
 
