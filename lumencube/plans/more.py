@@ -214,10 +214,12 @@ def region_is_box(spark, d):
 @query(_PX + ", s AS (SELECT channel, " + _NINE.format(beam=1.0) + " FROM px WHERE " + _INSIDE + " GROUP BY channel) SELECT * FROM s")
 def progressive_adaptive(spark, d):
     """The region spectrum, run slab by slab with sizes by the time that each takes, as a stream; its rows are those of one run."""
+    vectors = _table(spark, d, "embeddings")  # listed once, not for each slab
+
     def read(a: int, z: int) -> DataFrame:
-        return R.region_stats(cubes.emb3d_nan(spark, d, (a, z)), _inside(), ["channel"])
+        return R.region_stats(cubes.emb3d_nan_pixels(cubes.of_channels(vectors, (a, z))), _inside(), ["channel"])
 
-    last = cubes.emb3d_nan(spark, d).agg(F.max("channel")).first()[0]
+    last = vectors.agg(F.max(F.floor(F.col("vec_id") / cubes.ROWS).cast("int"))).first()[0]
     return rounded(slabs.progressive(spark, 0 if last is None else last + 1, read, first=4).drop("first", "last", "batch"), *_STATS)
 
 

@@ -26,9 +26,13 @@ def emb3d_nan_pixels(vectors: DataFrame) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str, channels: tuple[int, int] | None) -> DataFrame:
-    """channels: a half-open range, pushed to the scan as a range of vec_id."""
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    return df.where((F.col("vec_id") >= channels[0] * ROWS) & (F.col("vec_id") < channels[1] * ROWS)) if channels else df
+    return of_channels(df, channels) if channels else df
+
+
+def of_channels(vectors: DataFrame, channels: tuple[int, int]) -> DataFrame:
+    """channels: a half-open range, pushed to the scan as a range of vec_id."""
+    return vectors.where((F.col("vec_id") >= channels[0] * ROWS) & (F.col("vec_id") < channels[1] * ROWS))
 
 
 def emb3d(spark: SparkSession, sf_dir: str, channels: tuple[int, int] | None = None) -> DataFrame:

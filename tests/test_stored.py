@@ -2,6 +2,7 @@
 
 import itertools
 import os
+import time
 
 import numpy as np
 import pytest
@@ -160,6 +161,23 @@ def test_slab_source_goes_on_where_it_was(tmp_path):
     assert [list(again.read(p)) for p in again.partitions({"at": 10}, {"at": 20})] == [[(10, 20)]] and list(again.read(slabs.Range(3, 3))) == []
 
 
+def test_slabs_grow_where_every_batch_has_a_fixed_cost(spark, tmp_path):
+    options = {"channels": "2000", "size": "4", "target": "1000", "memory": str(tmp_path / "m"), "took": str(tmp_path / "t")}
+    reader = slabs.SlabReader(options)
+    assert reader.latestOffset() == {"at": 4}
+    for took, at in ((3000, 12), (3100, 25), (6500, 28), (2500, 52)):  # of which 2500 are those of an empty slab
+        (tmp_path / "t").write_text(f"[{took}, 2500]")
+        assert reader.latestOffset() == {"at": at}
+    px = spark.createDataFrame([(c, 0, 0, float(c)) for c in range(60)], "channel int, y int, x int, v double")
+
+    def read(a, z):
+        time.sleep(0.6)
+        return R.region_stats(P.slab(px, channel=(a, z)), F.lit(True), ["channel"])
+
+    out = slabs.progressive(spark, 60, read, target_ms=500, first=2).collect()
+    assert sorted(r.channel for r in out) == list(range(60)) and len({r.batch for r in out}) < 25
+
+
 MINUTE = 60_000_000
 
 
