@@ -1,7 +1,7 @@
 """A stored pyramid: levels of block means that are kept up to date from changed blocks alone.
 
 Level k has a cell for 2^k x 2^k pixels, as the sum and the number of its finite values, so that means of coarser cells are
-exact. A row is a square of `size` x `size` cells of a plane, with its place (by, bx) and that place's number in Z-order; four
+exact, and the number of its pixels, so that cells without any are told from those without values. A row is a square of `size` x `size` cells of a plane, with its place (by, bx) and that place's number in Z-order; four
 squares of a level make one of the next. A version holds the squares that it changes, in folders by level and zone (a run
 of 64 numbers in Z-order), which a read prunes; the newest version of a square counts. A version is there once its mark is
 written, which is last, so that a job that fails leaves nothing that is read.
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .store import locate, read_file, write_file
 
 ZONE_BITS = 6  # of the Z-order number, inside a zone
-SQUARE = [("by", "int"), ("bx", "int"), ("sums", "array<double>"), ("counts", "array<int>")]
+SQUARE = [("by", "int"), ("bx", "int"), ("sums", "array<double>"), ("counts", "array<int>"), ("cells", "array<int>")]
 
 
 def z_order(by: Column, bx: Column, bits: int = 20) -> Column:
@@ -44,16 +44,17 @@ def squares(blocks: DataFrame, planes: list[str], size: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            sums, counts = [], []
+            sums, counts, cells = [], [], []
             for data, wide in zip(b.column("data"), b.column("width").to_pylist(), strict=True):
                 v = data.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, wide)
-                s, n = np.zeros((size, size)), np.zeros((size, size), np.int32)
-                ok = np.isfinite(v)
-                s[: v.shape[0], :wide], n[: v.shape[0], :wide] = np.where(ok, v, 0.0), ok
+                s, n, c = np.zeros((size, size)), np.zeros((size, size), np.int32), np.zeros((size, size), np.int32)
+                ok, at = np.isfinite(v), (slice(0, v.shape[0]), slice(0, wide))
+                s[at], n[at], c[at] = np.where(ok, v, 0.0), ok, data.values.is_valid().to_numpy(zero_copy_only=False).reshape(v.shape)
                 sums.append(s.ravel())
                 counts.append(n.ravel())
+                cells.append(c.ravel())
             own = [b.column(c) for c in (*planes, "by", "bx")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(sums, pa.list_(pa.float64())), pa.array(counts, pa.list_(pa.int32()))], names=[*planes, *(n for n, _ in SQUARE)])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sums, pa.list_(pa.float64())), *(pa.array(c, pa.list_(pa.int32())) for c in (counts, cells))], names=[*planes, *(n for n, _ in SQUARE)])
 
     return blocks.select(*planes, "by", "bx", "width", "data").mapInArrow(run, _schema(fields))
 
@@ -63,14 +64,14 @@ def parents(children: DataFrame, planes: list[str], size: int) -> DataFrame:
     fields, half = [children.schema[p] for p in planes], size // 2
 
     def one(key: tuple, t: pa.Table) -> pa.Table:
-        sums, counts = np.zeros((size, size)), np.zeros((size, size), np.int32)
-        for by, bx, s, n in zip(t["by"].to_pylist(), t["bx"].to_pylist(), t["sums"], t["counts"], strict=True):
+        sums, counts, cells = np.zeros((size, size)), np.zeros((size, size), np.int32), np.zeros((size, size), np.int32)
+        for by, bx, *found in zip(t["by"].to_pylist(), t["bx"].to_pylist(), t["sums"], t["counts"], t["cells"], strict=True):
             at = (slice(by % 2 * half, by % 2 * half + half), slice(bx % 2 * half, bx % 2 * half + half))
-            for out, values in ((sums, s), (counts, n)):
+            for out, values in zip((sums, counts, cells), found, strict=True):
                 out[at] = values.values.to_numpy().reshape(half, 2, half, 2).sum((1, 3))
         head = {p: pa.array([k.as_py()], t.schema.field(p).type) for p, k in zip(planes, key, strict=False)}
         place = {n: pa.array([k.as_py()], pa.int32()) for n, k in zip(("by", "bx"), key[-2:], strict=True)}
-        return pa.table({**head, **place, "sums": pa.array([sums.ravel()], pa.list_(pa.float64())), "counts": pa.array([counts.ravel()], pa.list_(pa.int32()))})
+        return pa.table({**head, **place, "sums": pa.array([sums.ravel()], pa.list_(pa.float64())), **{n: pa.array([a.ravel()], pa.list_(pa.int32())) for n, a in (("counts", counts), ("cells", cells))}})
 
     up = lambda c: F.shiftright(c, 1).cast("int")
     keys = [*(F.col(p) for p in planes), up("by").alias("by_up"), up("bx").alias("bx_up")]
@@ -163,7 +164,7 @@ def update(spark: SparkSession, changed: DataFrame, path: str, planes: list[str]
         beside = level(spark, path, k - 1, planes, near).join(up, on, "left_semi")
         own = new.select(*[F.col(c).alias(f"_{c}") for c in key])
         beside = beside.join(own, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left_anti")
-        children = new.select(*key, "sums", "counts").unionByName(beside.select(*key, "sums", "counts"))
+        children = new.select(*key, "sums", "counts", "cells").unionByName(beside.select(*key, "sums", "counts", "cells"))
         _store(parents(children, planes, size), path, version, k)
     write_file(f"{path}/_marks/{version}", b"{}")
     return version
@@ -172,7 +173,7 @@ def update(spark: SparkSession, changed: DataFrame, path: str, planes: list[str]
 def means(spark: SparkSession, path: str, planes: list[str], factor: int, box: tuple[int, int, int, int] | None = None, size: int = 256) -> DataFrame:
     """planes, y, x, v: means over factor x factor pixels, from the coarsest stored level whose cells they are made of.
 
-    box: x0, y0, x1, y1 of pixels, half-open; only squares that meet it are read. Cells without finite values give NULL.
+    box: x0, y0, x1, y1 of pixels, half-open; only squares that meet it are read. Cells without finite values give NULL, those without pixels no row.
     """
     k, about = 0, _about(path)
     while k + 1 < about["levels"] and factor % (1 << (k + 1)) == 0:
@@ -183,16 +184,15 @@ def means(spark: SparkSession, path: str, planes: list[str], factor: int, box: t
         near = F.col("bx").between(x0 // span, (x1 - 1) // span) & F.col("by").between(y0 // span, (y1 - 1) // span)
         places = [z for z in (_z(y0 // span, x0 // span), _z((y1 - 1) // span, (x1 - 1) // span))]  # the box's least and greatest number
         near = F.col("zone").between(places[0] >> ZONE_BITS, places[1] >> ZONE_BITS) & F.col("z").between(*places) & near
-    df = level(spark, path, k, planes, near).select(*planes, "by", "bx", F.posexplode(F.arrays_zip("sums", "counts")).alias("at", "c"))
+    df = level(spark, path, k, planes, near).select(*planes, "by", "bx", F.posexplode(F.arrays_zip("sums", "counts", "cells")).alias("at", "c"))
     y, x = F.col("by") * size + F.floor(F.col("at") / size), F.col("bx") * size + F.col("at") % size
-    df = df.select(*planes, y.cast("int").alias("y"), x.cast("int").alias("x"), F.col("c.sums").alias("s"), F.col("c.counts").alias("n"))
+    df = df.select(*planes, y.cast("int").alias("y"), x.cast("int").alias("x"), F.col("c.sums").alias("s"), F.col("c.counts").alias("n")).where("c.cells > 0")
     if box:
         inside = lambda c, a, z: (F.col(c) >= a // (1 << k)) & (F.col(c) < -(-z // (1 << k)))
         df = df.where(inside("x", x0, x1) & inside("y", y0, y1))
     if rest > 1:
         key = [*planes, F.floor(F.col("y") / rest).cast("int").alias("y"), F.floor(F.col("x") / rest).cast("int").alias("x")]
         df = df.groupBy(*key).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    df = df.where((F.col("y") * factor < about["height"]) & (F.col("x") * factor < about["width"]))  # squares reach beyond the image
     return df.select(*planes, "y", "x", F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("v"))
 
 

@@ -85,6 +85,23 @@ def test_pyramid_is_kept_up_to_date(spark, tmp_path):
     assert all((r.v is None and np.isnan(whole[r.channel, r.y, r.x])) or np.isclose(r.v, whole[r.channel, r.y, r.x]) for r in box)
 
 
+def test_pyramid_of_planes_that_lack_rows(spark, tmp_path):
+    # Plane 1 ends at row 9, plane 2 lacks rows 8 to 11: cells without pixels have no row, those without values have NULL.
+    path, size, cube = str(tmp_path / "p"), 8, cube_of(9, (3, 24, 24))
+    cube[1, :4, :4] = np.nan
+    px = pixels_of(spark, cube).where("NOT (channel = 1 AND y > 8) AND NOT (channel = 2 AND y BETWEEN 8 AND 11)")
+    pyramid.write(spark, blocks.to_blocks(px, ["channel"], size), path, ["channel"], size)
+    for f in (1, 2, 4, 12):
+        got = {(r.channel, r.y, r.x): r.v for r in pyramid.means(spark, path, ["channel"], f, size=size).collect()}
+        want = {}
+        for r in px.collect():
+            want.setdefault((r.channel, r.y // f, r.x // f), []).append(r.v)
+        assert set(got) == set(want)
+        for k, values in want.items():
+            values = [v for v in values if np.isfinite(v)]
+            assert (got[k] is None) == (not values) and (not values or np.isclose(got[k], np.mean(values)))
+
+
 def test_pyramid_reads_near_files_alone(spark, tmp_path):
     path, size = str(tmp_path / "p"), 8
     pyramid.write(spark, blocks.to_blocks(pixels_of(spark, cube_of(2, (1, 256, 256))), ["channel"], size), path, ["channel"], size)
