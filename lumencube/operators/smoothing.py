@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def gaussian(blocks: DataFrame, planes: list[str], sigma: float, size: int = 256, reach: float = 3.0) -> DataFrame:
+def gaussian(blocks: DataFrame, planes: list[str], sigma: float, size: int = 256, reach: float = 3.0, shape: tuple[int, int] | None = None) -> DataFrame:
     """blocks (planes and blocks.BLOCK of `size`) with each pixel as the mean of the finite pixels around it, under Gaussian
     weights up to ceil(reach * sigma) pixels off along each axis; NaN where there are none. data is an array of doubles.
 
     The margin is at most a block wide, so a block's pixels go to at most nine places; only strips of it move besides
-    itself. A pixel without a value gets one from its neighbours; places outside the image count as without values.
+    itself. A pixel without a value gets one from its neighbours; places outside the image count as without values. shape:
+    height and width of the image, all of whose places get a value from pixels near them, in blocks that aren't there or
+    are cut short too; without it each block has the places that it came with.
     """
     radius = math.ceil(reach * sigma)
     if radius > size:
@@ -50,9 +52,14 @@ def gaussian(blocks: DataFrame, planes: list[str], sigma: float, size: int = 256
 
     def smooth(key: tuple, t: pa.Table) -> pa.Table:
         own = t.filter(t["own"])
-        if not own.num_rows:  # a place beyond the image
-            return pa.table({n: pa.array([], k) for n, k in zip(out.names, to_arrow_schema(out).types, strict=True)})
-        y0, x0, h, w = (own[c][0].as_py() for c in ("y0", "x0", "height", "width"))
+        by, bx = (int(k.as_py()) for k in key[-2:])
+        if shape:
+            y0, x0 = by * size, bx * size
+            h, w = min(size, shape[0] - y0), min(size, shape[1] - x0)
+        else:
+            y0, x0, h, w = (own[c][0].as_py() if own.num_rows else 0 for c in ("y0", "x0", "height", "width"))
+        if h <= 0 or w <= 0:  # a place beyond the image
+            return to_arrow_schema(out).empty_table()
         wide = np.full((h + 2 * radius, w + 2 * radius), np.nan)
         for i in range(t.num_rows):
             py, px, ph, pw = (t[c][i].as_py() for c in ("y0", "x0", "height", "width"))
@@ -62,6 +69,7 @@ def gaussian(blocks: DataFrame, planes: list[str], sigma: float, size: int = 256
         ok = np.isfinite(wide)
         sums = [np.apply_along_axis(np.convolve, 1, np.apply_along_axis(np.convolve, 0, a, weights, "valid"), weights, "valid") for a in (np.where(ok, wide, 0.0), ok.astype(float))]
         found = np.where(sums[1] > 1e-12, sums[0] / np.maximum(sums[1], 1e-12), np.nan)
-        return own.select(out.names[:-1]).append_column("data", pa.array([found.ravel()], pa.list_(pa.float64())))
+        place = [pa.array([v], pa.int32()) for v in (by, bx, y0, x0, h, w)]
+        return pa.table([*(pa.repeat(k, 1) for k in key[:-2]), *place, pa.array([found.ravel()], pa.list_(pa.float64()))], schema=to_arrow_schema(out))
 
     return blocks.select(*planes, "by", "bx", "y0", "x0", "height", "width", "data").mapInArrow(strips, dealt).groupBy(*planes, "by", "bx").applyInArrow(smooth, out)

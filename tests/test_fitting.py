@@ -64,3 +64,18 @@ def test_smoothing_equals_a_plain_loop(spark):
             w = np.outer(k, k) * np.isfinite(part)
             want = (np.where(np.isfinite(part), part, 0) * w).sum() / w.sum() if w.sum() > 1e-12 else np.nan
             assert np.isclose(v, want, atol=1e-9, equal_nan=True)
+
+
+def test_smoothing_reaches_all_of_the_image(spark):
+    # Rows 17 to 40 and 46 on aren't there: places up to the kernel's radius beside the others have values all the same.
+    cube = np.random.default_rng(5).normal(size=(1, 50, 20)).astype(np.float32)
+    cube[:, 17:41], cube[:, 46:] = np.nan, np.nan
+    px = spark.createDataFrame([(c, y, x, float(v)) for (c, y, x), v in np.ndenumerate(cube) if np.isfinite(v)], "channel int, y int, x int, v double")
+    found = blocks.pixels(gaussian(blocks.to_blocks(px, ["channel"], 16), ["channel"], 1.0, 16, shape=(50, 20)), ["channel"]).collect()
+    got = {(p.y, p.x): p.v for p in found if np.isfinite(p.v)}
+    assert set(got) == {(y, x) for y in range(50) if y < 20 or 38 <= y < 49 for x in range(20)}
+    k = np.exp(-0.5 * np.arange(-3, 4) ** 2.0)
+    wide = np.pad(cube[0].astype(float), 3, constant_values=np.nan)
+    for (y, x), v in got.items():
+        part, w = wide[y : y + 7, x : x + 7], np.outer(k, k)
+        assert np.isclose(v, np.nansum(part * w) / (w * np.isfinite(part)).sum(), atol=1e-9)
