@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROWS = 50
+ROWS, WIDTH = 50, 64
 
 
 def emb3d_pixels(vectors: DataFrame) -> DataFrame:
@@ -25,6 +25,15 @@ def emb3d_nan_pixels(vectors: DataFrame) -> DataFrame:
     return emb3d_pixels(vectors).withColumn("v", F.when(gap, float("nan")).otherwise(F.col("v")))
 
 
+def whole(vectors: DataFrame) -> DataFrame:
+    """vec_id and embedding of whole planes: the rows that a channel lacks are zeros. Only ids are compared."""
+    first = F.floor(F.col("vec_id") / ROWS) * ROWS
+    ids = vectors.select(first.alias("first")).distinct().select(F.explode(F.sequence("first", F.col("first") + ROWS - 1)).alias("vec_id"))
+    absent = ids.join(vectors.select("vec_id"), "vec_id", "left_anti")
+    zeros = F.array_repeat(F.lit(0.0), WIDTH).cast("array<float>").alias("embedding")
+    return vectors.select("vec_id", "embedding").unionByName(absent.select("vec_id", zeros))
+
+
 def _vectors(spark: SparkSession, sf_dir: str, channels: tuple[int, int] | None) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return of_channels(df, channels) if channels else df

@@ -12,7 +12,8 @@ from lumencube.operators import metadata as M
 from lumencube.operators import planes as P
 from lumencube.operators import regions as R
 from lumencube.operators import sketches as Z
-from lumencube.sources import blocks, files, pyramid
+from lumencube.plans.registry import CATALOGUE
+from lumencube.sources import blocks, cubes, files, pyramid
 from lumencube.streaming import sessions, slabs
 from lumencube.streaming import streams as S
 
@@ -195,6 +196,20 @@ def test_slabs_grow_where_every_batch_has_a_fixed_cost(spark, tmp_path):
     assert sorted(r.channel for r in out) == list(range(60)) and len({r.batch for r in out}) < 25
 
 
+@pytest.fixture
+def short(spark, tmp_path):
+    """Channel 0, and 15 rows of channel 1."""
+    spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 65").write.parquet(str(tmp_path / "embeddings.parquet"))
+    return str(tmp_path)
+
+
+def test_components_of_a_plane_that_lacks_rows(spark, short):
+    whole = cubes.whole(spark.read.parquet(f"{short}/embeddings.parquet")).collect()
+    assert sorted(r.vec_id for r in whole) == list(range(100)) and all((sum(map(abs, r.embedding)) == 0) == (r.vec_id >= 65) and len(r.embedding) == 64 for r in whole)
+    got = {tuple(r) for r in CATALOGUE["gaussian_components"].run(spark, short).collect()}
+    assert got == {r for c in (0, 1) for r in ((c, 0, 6, 14 + c, 12 + c, 5, 2, 2, 0, True), (c, 1, 4, 45 - c, 34, 6, 3, -3, 0, True))}
+
+
 MINUTE = 60_000_000
 
 
