@@ -95,8 +95,9 @@ def steps(blocks: DataFrame, planes: list[str], levels: list[float]) -> DataFram
 
 
 def lines(blocks: DataFrame, planes: list[str], levels: list[float]) -> DataFrame:
-    """planes, level, line, closed, place, at_y, at_x: every crossing with its line and its place from the line's end on.
+    """planes, level, line, closed, place, edge, at_y, at_x: every crossing with its line and its place from the line's end on.
 
+    edge: the number of the edge that it lies on, y in the upper 31 bits, then x, then 1 for an edge along y.
     line: a closed line's smallest edge, an open one's last edge. Closed lines are cut at that edge. Crossings on squares
     with a missing corner alone belong to no line. Values equal to a level count as above it. A plane of NaN has no rows.
     """
@@ -133,7 +134,7 @@ def lines(blocks: DataFrame, planes: list[str], levels: list[float]) -> DataFram
     ranked = doubled(opened).select(*key, "edge", F.col("first").alias("line"), F.lit(True).alias("closed"), F.col("hops").alias("place"))
     tails = _to_ends(paths, nodes, key, kept)
     out = ranked.unionByName(tails.select(*key, "edge", "line", F.lit(False).alias("closed"), F.col("hops").alias("place")))
-    return out.join(nodes.select(*key, "edge", "at_y", "at_x"), [*key, "edge"]).drop("edge")
+    return out.join(nodes.select(*key, "edge", "at_y", "at_x"), [*key, "edge"])
 
 
 def _to_ends(paths: DataFrame, nodes: DataFrame, key: list[str], kept: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import os
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -210,6 +211,15 @@ def test_components_of_a_plane_that_lacks_rows(spark, short):
     assert got == {r for c in (0, 1) for r in ((c, 0, 6, 14 + c, 12 + c, 5, 2, 2, 0, True), (c, 1, 4, 45 - c, 34, 6, 3, -3, 0, True))}
 
 
+def test_lines_of_a_plane_that_lacks_rows(spark, short):
+    # Row 14 of channel 1 is its last one, and cuts the line round the first source; the second one is below.
+    db = duckdb.connect()
+    db.execute(f"create view embeddings as select * from '{short}/embeddings.parquet/*.parquet'")
+    want = {r[0]: r for r in db.execute(CATALOGUE["contour_lines"].sql).fetchall()}
+    got = {r.channel: tuple(r) for r in CATALOGUE["contour_lines"].run(spark, short).collect()}
+    assert got == want and set(got) == {0, 1} and got[0][2:4] == got[1][2:4] == (2, 2) and got[1][4] < got[0][4] / 2
+
+
 MINUTE = 60_000_000
 
 
