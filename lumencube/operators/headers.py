@@ -41,9 +41,17 @@ def of_axis(name: str, axis: Column) -> Column:
     return F.concat(F.lit(name), axis.cast("string"))
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A number to so many places, as it is in binary: format_string rounds the shortest decimal that stands for it once more."""
+    whole = F.call_function("format_number", value, F.lit("0." + "0" * places))
+    half = float(f"5e-{places + 1}")  # the one number that format_number takes for an exact half, whose first digit is rounded
+    least = F.concat(F.when(value < 0, "-").otherwise(""), F.lit(f"{half:.{places}f}"))
+    return F.when(F.abs(value) == half, least).when(F.abs(value) < float("inf"), whole).otherwise(F.format_string(f"%.{places}f", value))
+
+
 def shown(value: Column, whole: Column | None = None) -> Column:
     """A number to the millionth, without zeros at its end but for one after the point; as an integer where `whole` holds."""
-    point = F.when(value.isNotNull(), F.regexp_replace(F.regexp_replace(F.format_string("%.6f", value), "0+$", ""), r"\.$", ".0"))
+    point = F.when(value.isNotNull(), F.regexp_replace(F.regexp_replace(fixed(value, 6), "0+$", ""), r"\.$", ".0"))
     return point if whole is None else F.when(whole, value.cast("long").cast("string")).otherwise(point)
 
 
@@ -197,8 +205,8 @@ def computed_entries() -> Column:
     low, high, rest = F.col("low"), F.col("high"), F.coalesce(number("RESTFRQ"), number("RESTFREQ"))
     scale = F.when(high > 1e9, 1e9).when(high > 1e6, 1e6).otherwise(1.0)
     unit = F.when(high > 1e9, " (GHz)").when(high > 1e6, " (MHz)").otherwise(" (Hz)")
-    four = lambda v: F.when(v.isNotNull(), F.format_string("%.4f", v))
-    three = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.3f", F.col(c)))
+    four = lambda v: F.when(v.isNotNull(), fixed(v, 4))
+    three = lambda c: F.when(F.col(c).isNotNull(), fixed(F.col(c), 3))
     of_pol = lambda k: F.coalesce(F.col(f"n_stokes_{k}"), F.lit(1.0))
     places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.coalesce(F.col("n_stokes_NAXIS"), F.lit(1.0)).cast("int")))
     known = F.create_map(*[x for k, v in STOKES.items() for x in (F.lit(k), F.lit(v))])

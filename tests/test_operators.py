@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumencube.functions.expr import beam_area, finite, layer_to_mip, tile_id, tile_parts
+from lumencube.operators import headers as H
 from lumencube.operators import metadata as M
 from lumencube.operators import overlays as O
 from lumencube.operators import planes as P
@@ -199,3 +200,14 @@ def test_live_regions_and_pages(spark):
     t = spark.createDataFrame([(i, f"Name{i}", float(i % 4)) for i in range(20)], "id int, name string, size double")
     page = M.catalog_page(t, [("size", ">=", 1), ("name", "contains", "NAME1"), ("id", "range_open", 1, 19)], ["id", "size"], "size", True, 1, 3).collect()
     assert [tuple(r) for r in page] == [(15, 3.0), (10, 2.0), (14, 2.0)]
+
+
+def test_fixed_places_round_what_is_stored(spark):
+    # -21607952.91195 and many like it lie a little below or above the half that their shortest decimal shows.
+    values = [-21607952.91195, 0.5, -0.00001, 1e22, 0.0, 2.00005, -5554600.35275, 5e-4, -5e-4, 5e-5, -5e-5, 5e-7, 4.9e-5, 5.1e-5] + [k * 1237.1 + (k % 10_000 + 0.5) / 10_000 for k in range(20_000)] + [-(k + 0.0625) for k in range(50)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for places in (3, 4, 6):
+        got = [r[0] for r in df.select(H.fixed(F.col("v"), places)).collect()]
+        assert got == [f"{v:.{places}f}" for v in values]
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "v double").select(H.fixed(F.col("v"), 2)).collect()
+    assert [r[0] for r in odd][:2] == ["NaN", "Infinity"]
